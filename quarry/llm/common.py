@@ -144,10 +144,10 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
             yield batch.slice(a, b - a)
 
 
-def semi(left: DataFrame, ids: DataFrame, column: str, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of ``left`` whose ``column`` is in ``ids`` (null matches null). ``ids`` goes out by broadcast only
-    when its counted rows are at most ``broadcast_rows``; else both sides are shuffled."""
+def semi(left: DataFrame, ids: DataFrame, column: str, broadcast_rows: int = 1_000_000, how: str = "left_semi") -> DataFrame:
+    """Rows of ``left`` whose ``column`` is in ``ids`` (null matches null), or with ``left_anti`` the others. ``ids`` goes
+    out by broadcast only when its counted rows are at most ``broadcast_rows``; else both sides are shuffled."""
     ids = ids.select(F.col(column).alias("_semi")).distinct()
     if ids.count() <= broadcast_rows:
         ids = F.broadcast(ids)
-    return left.join(ids, left[column].eqNullSafe(F.col("_semi")), "left_semi")
+    return left.join(ids, left[column].eqNullSafe(F.col("_semi")), how)

@@ -2,7 +2,7 @@
 
 Folding lower-cases, strips accents, maps look-alike letters and digits or signs inside words to one skeleton. The
 lexicon is learned from a bounded, hash-ordered sample of labelled rows: words and word beginnings that toxic texts
-have and other texts hardly have, weighted by log-odds. Phrases around lexicon words that only clean texts have become
+have and other texts hardly have, weighted by log-odds, and chosen until few toxic texts are left without one. Phrases around lexicon words that only clean texts have become
 exceptions, which silence the matches inside them. The weight found is normalised by the number of words.
 
 Defined cases: null and empty texts score as clean; without labels of both kinds every text scores 0; a label for an
@@ -105,25 +105,21 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"entry": [*toxic, *clean], "pos": [*toxic.values(), *[0] * len(clean)], "neg": [*[0] * len(toxic), *clean.values()]})
 
 
-def choose(counts: pd.DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
-    """The lexicon: of entries that contain each other, the longest that no longer one outdoes."""
-    weight = np.log((counts.pos + 0.5) / (n_pos + 1)) - np.log((counts.neg + 0.5) / (n_neg + 1))
-    good = {e: (w, p) for e, w, p in zip(counts.entry, weight, counts.pos) if w >= WEIGHT}
+def choose(weights: dict[str, float], texts: list[list[str]], least: float) -> dict[str, float]:
+    """The lexicon: again and again the candidate that the most toxic texts without an entry so far have, the longest
+    on ties, while it adds ``least`` texts. ``texts``: the candidates in each toxic text."""
+    holders: dict[str, set[int]] = {}
+    for i, entries in enumerate(texts):
+        for entry in entries:
+            holders.setdefault(entry, set()).add(i)
     out: dict[str, float] = {}
-    for entry, (w, pos) in sorted(good.items(), key=lambda x: (len(x[0]), x[0])):
-        stem = entry.rstrip()
-        shorter = [stem[:n] for n in range(5, len(stem) + (entry != stem))]
-        if any(s in out for s in shorter if s != entry):
-            continue  # a beginning that is in the lexicon already covers it
-        out[entry] = float(w)
-    for entry in list(out):  # and a beginning gives way to the longer one that stands for the same texts
-        while entry[-1] != " ":
-            longer = [e for e in good if e != entry and len(e) == len(entry) + 1 and e.startswith(entry) and good[e][1] >= 0.98 * good[entry][1]]
-            if not longer:
-                break
-            out.pop(entry)
-            entry = longer[0]
-            out[entry] = float(good[entry][0])
+    while holders:
+        best = max(holders, key=lambda e: (len(holders[e]), len(e), e))
+        if len(holders[best]) < least:
+            break
+        out[best] = float(weights[best])
+        gone = holders[best].copy()
+        holders = {e: left for e, h in holders.items() if len(left := h - gone) >= least}
     return out
 
 
@@ -139,8 +135,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(sizes) < 2:
         return lexicon
     counts = rows.mapInPandas(_counted, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    likely = counts.where((F.col("pos") >= max(SUPPORT, SHARE * sizes[1])) & (F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1)) >= WEIGHT))
-    lexicon.weights = choose(likely.toPandas(), sizes[1], sizes[0])
+    least = max(SUPPORT, SHARE * sizes[1])
+    weight = F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1))
+    likely = counts.select("entry", "pos", weight.alias("w")).where((F.col("pos") >= least) & (F.col("w") >= WEIGHT)).toPandas()
+    weights = dict(zip(likely.entry, likely.w))
+    candidates = spark.sparkContext.broadcast(weights)
+
+    def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"entries": [sorted(_entries(fold(t)) & candidates.value.keys()) for t in frame.text]})
+
+    # copies of one text count once here, or its chance words would look like evidence
+    toxic = rows.where("toxic = 1").select("text").distinct().mapInPandas(held, "entries array<string>").toPandas()
+    lexicon.weights = choose(weights, list(toxic.entries), least)
     if not lexicon.weights:
         return lexicon
     shared = spark.sparkContext.broadcast(lexicon)
