@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents
 
-MAX_STATES = 150_000
+MAX_STATES = 350_000
 MAX_PIECES = 250_000
 #: Pieces or ids that are handled at a time.
 BLOCK = 1 << 16
@@ -57,6 +57,7 @@ class BpeTransducer:
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.spines: dict[int, tuple[tuple, tuple] | None] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}  # pieces seen before those, for as long
         self._reset()
 
     def _reset(self) -> None:
@@ -158,8 +159,10 @@ class BpeTransducer:
         for piece in pieces:
             if (found := seen.get(piece)) is None:
                 if len(seen) >= MAX_PIECES:
-                    seen.clear()
-                found = self.encode_piece(piece.encode())
+                    self.older, self.pieces = seen, {}
+                    seen = self.pieces
+                if (found := self.older.get(piece)) is None:
+                    found = self.encode_piece(piece.encode())
                 if len(piece) < 64:
                     seen[piece] = found
             ids += found
