@@ -21,6 +21,10 @@ _ENDS = {t: {"p"} for t in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol",
 _STOPS = {"ul", "ol", "table", "body", "div", "article", "blockquote", "td", "th", "dl"}
 
 
+class Raw(str):
+    """Markup that is kept as it stands: declarations, comments, scripts."""
+
+
 class Node:
     __slots__ = ("attrs", "children", "parent", "tag")
 
@@ -48,6 +52,8 @@ class Node:
         parts, stack = [], list(reversed(self.children))
         while stack:
             item = stack.pop()
+            if isinstance(item, Raw):
+                continue
             if isinstance(item, str):
                 parts += [item.strip()] if item.strip() else []
             elif lists or item.tag not in LISTS:
@@ -58,7 +64,7 @@ class Node:
         out = []
         for c in self.children:
             if isinstance(c, str):
-                out.append(escape(c, quote=False))
+                out.append(c if isinstance(c, Raw) else escape(c, quote=False))
             elif lists or c.tag not in LISTS:
                 attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in c.attrs)
                 out.append(f"<{c.tag}{attrs}/>" if c.tag in _VOID else f"<{c.tag}{attrs}>{c.inner(lists)}</{c.tag}>")
@@ -94,8 +100,16 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.at.tag not in ("script", "style"):
-            self.at.children.append(data)
+        self.at.children.append(Raw(data) if self.at.tag in ("script", "style") else data)
+
+    def handle_decl(self, decl):
+        self.at.children.append(Raw(f"<!{decl}>"))
+
+    def handle_pi(self, data):
+        self.at.children.append(Raw(f"<?{data}>"))
+
+    def handle_comment(self, data):
+        self.at.children.append(Raw(f"<!--{data}-->"))
 
 
 def parse(html: str | None) -> Node:
@@ -118,11 +132,14 @@ def _inside_other(node: Node) -> bool:
 _DROP = [re.compile(r"^[\d\s]*$"), re.compile(r"^(?:https?://|www\.)\S+$", re.I), re.compile(r"^ISBN(?:-1[03])?[\s:-]*[\dX][\dX\s-]*$", re.I)]
 
 
+def unit_nodes(root: Node) -> list[Node]:
+    """The outermost text blocks, in order; lists in lists are units of their own, translations of earlier runs none."""
+    return [n for n in root.walk() if n.tag in UNIT_TAGS and not any(TRANSLATED in a.classes() for a in (n, *n.above())) and not _inside_other(n)]
+
+
 def units(html: str | None) -> Iterator[tuple[int, str, str, str]]:
-    """(ordinal, tag, inner HTML, text) of the outermost text blocks; lists in lists are units of their own. Ordinals
-    count what is dropped (nothing, digits, a URL, an ISBN) too."""
-    found = (n for n in parse(html).walk() if n.tag in UNIT_TAGS and not any(TRANSLATED in a.classes() for a in (n, *n.above())) and not _inside_other(n))
-    for ordinal, node in enumerate(found):
+    """(ordinal, tag, inner HTML, text) of the units. Ordinals count what is dropped (nothing, digits, a URL, an ISBN) too."""
+    for ordinal, node in enumerate(unit_nodes(parse(html))):
         text = node.text(lists=False)
         if not any(p.fullmatch(text) for p in _DROP):
             yield ordinal, node.tag, node.inner(lists=False), text
@@ -178,6 +195,101 @@ def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([resolve(b, h) for b, h in zip(base, href)])
 
 
+_INLINE = {"strong", "em", "b", "i", "sup", "sub", "br", "a", "span", "small"}
+_UNTOUCHED = {"code", "pre", "ul", "ol"}
+_BARE_AND = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#\d+|#x[0-9A-Fa-f]+);)")
+_BARE_LESS = re.compile(r"<(?!/?(?:%s)(?:\s[^<>]*)?/?>)" % "|".join(sorted(_INLINE)))
+
+
+def _slots(node: Node) -> list[tuple[Node, int]]:
+    """Places of the texts of a unit, outside code and nested lists."""
+    out = []
+    for i, c in enumerate(node.children):
+        if isinstance(c, Node):
+            out += [] if c.tag in _UNTOUCHED else _slots(c)
+        elif not isinstance(c, Raw) and c.strip():
+            out.append((node, i))
+    return out
+
+
+def translate_node(node: Node, html: str, bilingual: bool = False) -> None:
+    """Put a translation (text with trusted inline tags only) in a unit's place, or beside it."""
+    fragment = parse(_BARE_LESS.sub("&lt;", _BARE_AND.sub("&amp;", html)))
+    if bilingual:
+        if node.tag in ("td", "th"):
+            copy = Node("span", [("class", TRANSLATED), ("lang", "vi")], node)
+            node.children += [Node("br", (), node), copy]
+        else:
+            attrs = [(k, v) for k, v in node.attrs if k not in ("id", "class", "lang")]
+            copy = Node(node.tag, [*attrs, ("class", " ".join([*node.classes(), TRANSLATED])), ("lang", "vi")], node.parent)
+            node.parent.children.insert(next(i for i, c in enumerate(node.parent.children) if c is node) + 1, copy)
+        copy.children = fragment.children
+        return
+    if all(n.tag in _INLINE for n in node.walk()):
+        node.children = fragment.children
+        return
+    slots, runs = _slots(node), [p.children[i] for p, i in _slots(fragment)]
+    if not slots:
+        node.children.append(" ".join(runs))
+    elif len(slots) > 1 and len(slots) == len(runs):
+        for (parent, i), run in zip(slots, runs):
+            parent.children[i] = run
+    else:  # the structure of the translation can't be trusted: all of it goes into the longest text
+        parent, i = max(slots, key=lambda s: len(s[0].children[s[1]]))
+        parent.children[i] = " ".join(runs)
+
+
+def translated(html: str, by_ordinal: dict[int, str], bilingual: bool = False) -> str:
+    """A document with its units replaced; unknown ordinals raise."""
+    root = parse(html)
+    nodes = unit_nodes(root)
+    if unknown := sorted(set(by_ordinal) - set(range(len(nodes)))):
+        raise ValueError(f"no such units: {unknown}")
+    for ordinal, text in by_ordinal.items():
+        translate_node(nodes[ordinal], text, bilingual)
+    return root.inner()
+
+
+_MD = {"strong": "**", "b": "**", "em": "*", "i": "*"}
+
+
+def markdown(html: str | None) -> str:
+    """Markdown of a document: headings, paragraphs, lists, quotes, emphasis, links, images; blocks a blank line apart."""
+
+    def inline(node: Node) -> str:
+        out = []
+        for c in node.children:
+            if isinstance(c, Raw):
+                continue
+            if isinstance(c, str):
+                out.append(re.sub(r"\s+", " ", c))
+            elif c.tag == "br":
+                out.append("\n")
+            elif c.tag == "img":
+                a = dict(c.attrs)
+                out.append(f"![{a.get('alt') or ''}]({a.get('src') or ''})")
+            elif c.tag == "a" and dict(c.attrs).get("href"):
+                out.append(f"[{inline(c)}]({dict(c.attrs)['href']})")
+            elif c.tag not in LISTS:
+                mark = _MD.get(c.tag, "")
+                out.append(f"{mark}{inline(c)}{mark}" if inline(c).strip() else "")
+        return "".join(out)
+
+    blocks = []
+    for node in unit_nodes(parse(flat_scripts(html or ""))):
+        text = inline(node).strip()
+        if not text:
+            continue
+        depth = sum(a.tag in LISTS for a in node.above())
+        lead = "#" * int(node.tag[1]) + " " if re.fullmatch("h[1-6]", node.tag) else "> " if node.tag == "blockquote" else ""
+        if node.tag == "li":
+            ordered = next((a.tag for a in node.above() if a.tag in LISTS), "ul") == "ol"
+            place = [c for c in node.parent.children if isinstance(c, Node) and c.tag == "li"].index(node) + 1
+            lead = "  " * (depth - 1) + (f"{place}. " if ordered else "- ")
+        blocks.append(lead + text)
+    return "\n\n".join(blocks)
+
+
 TRUSTED = "strong|em|b|i|sup|sub|br|a|span|small"
 
 
