@@ -3,7 +3,7 @@
 A seed is a window of 11 tokens of which a fixed mask reads 7; four masks together meet every passage of 15 tokens with
 two substitutions, wherever those are. Seed hashes of the benchmark items are joined with those of the documents; at a
 hit, document and item are laid on each other, and the best stretch (a token that agrees counts 1, one that differs -2)
-must agree in enough tokens. Items shorter than a window are one seed of their own length and must be met whole.
+or all of the overlap must agree in enough tokens. Items shorter than a window are one seed of their own length and must be met whole.
 
 The benchmark goes out in blocks of at most ``BLOCK_TOKENS`` tokens (one item at least), one pass over the documents for
 each, so a broadcast never grows with the tables.
@@ -99,10 +99,11 @@ class Block:
         low = np.minimum.accumulate(np.concatenate([[0], run[:-1]]))
         end = int((run - low).argmax()) + 1
         begin = int(np.flatnonzero(np.concatenate([[0], run])[:end] == low[end - 1])[-1])
-        agree = int(same[begin:end].sum())
-        if agree < min(AGREE, len(own)) or agree < SHARE * (end - begin):
-            return None
-        return lo + begin + shift, lo + end + shift, agree
+        for a, b in ((begin, end), (0, hi - lo)):  # near its ends a substitution outweighs what lies beyond: the whole overlap may do
+            agree = int(same[a:b].sum())
+            if agree >= min(AGREE, len(own)) and agree >= SHARE * (b - a):
+                return lo + a + shift, lo + b + shift, agree
+        return None
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, begin, end, agreeing tokens): the best match of each text and item."""
