@@ -6,6 +6,7 @@ import pytest
 
 from quarry.llm import exact_dedup, near_dedup
 from quarry.llm.common import word_hashes
+from tests_shared import brute_near
 
 SCHEMA = "doc_id long, text string, kept string, score int"
 
@@ -37,28 +38,6 @@ def test_exact_empty(spark):
     assert exact_dedup.exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def brute(data):
-    sets = {}
-    for i, t in data:
-        w = (t or "").lower().split()
-        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[j : j + 5]) for j in range(len(w) - 4)])
-    parent = {i: i for i in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            p, q = sets[a], sets[b]
-            if p and q and 100 * len(p & q) >= 75 * len(p | q):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
-
-
 def corpus(n=160, seed=3):
     rnd = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -79,7 +58,7 @@ def test_near_duplicates_equal_brute_force(spark):
     data = corpus()
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in data], SCHEMA).repartition(3)
     got = rows(near_dedup.near_duplicates(df))
-    want = brute(data)
+    want = brute_near(data)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
     assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
 

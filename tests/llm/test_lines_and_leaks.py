@@ -4,29 +4,11 @@ import numpy as np
 import pytest
 
 from quarry.llm import decontaminate, line_dedup, sharding
+from tests_shared import brute_lines
 
 SCHEMA = "doc_id long, text string, lines_gone string, n_chars long"
 
 
-def brute(docs, least):
-    texts = [(i, t.split("\n")) for i, t in sorted(docs) if t is not None]
-    gone = {}
-    for d, (i, lines) in enumerate(texts):
-        out = set()
-        for s in range(len(lines)):
-            best = 0
-            for e, (_, other) in enumerate(texts[: d + 1]):
-                for m in range(len(other) if e < d else s):
-                    k = 0
-                    while s + k < len(lines) and m + k < len(other) and (e < d or m + k < s) and lines[s + k] == other[m + k]:
-                        k += 1
-                    best = max(best, k)
-            if best and sum(len(x.split()) for x in lines[s : s + best]) >= least:
-                out |= set(range(s, s + best))
-        gone[i] = sorted(out)
-    return gone
-
-
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup_equals_brute_force(spark, seed):
     rnd = random.Random(seed)
@@ -35,7 +17,7 @@ def test_line_dedup_equals_brute_force(spark, seed):
     docs += [(100, docs[0][1]), (101, "\n".join([lines[3]] * 9)), (102, ""), (103, "\n\n\n")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs] + [(200, None, "x", 1)], SCHEMA).repartition(3)
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, min_words=8).collect()}
-    want = brute(docs, 8)
+    want = brute_lines(docs, 8)
     texts = dict(docs)
     for i, gone in want.items():
         assert list(got[i]["lines_gone"] or []) == gone, i

@@ -83,13 +83,6 @@ def test_folding():
     assert toxicity.fold(None) == toxicity.fold("") == "  "
 
 
-def brute_base(docs, train):
-    tokens = {i: [*(t or "").lower().split(), None] for i, t in docs}
-    c = Counter(w for i in train for w in tokens[i])
-    n, v = sum(c.values()), len(c)
-    return {i: (len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) for i, t in tokens.items()}
-
-
 @pytest.mark.parametrize("limit_mb", [64, 0.0001])
 def test_lm_base_scores_and_segments(spark, limit_mb):
     rnd = random.Random(2)
