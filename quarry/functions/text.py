@@ -90,7 +90,7 @@ def term_source(text: Column, fold: bool = False) -> Column:
 
 def singular(word: Column) -> Column:
     return (
-        F.when(word.endswith("ies") & (F.length(word) > 5), F.concat(F.expr("''"), F.substring(word, F.lit(1), F.length(word) - 3), F.lit("y")))
+        F.when(word.endswith("ies") & (F.length(word) > 5), F.concat(F.substring(word, F.lit(1), F.length(word) - 3), F.lit("y")))
         .when(word.endswith("s") & ~word.endswith("ss") & (F.length(word) > 3), F.substring(word, F.lit(1), F.length(word) - 1))
         .otherwise(word)
     )

@@ -103,6 +103,6 @@ def fit(width: Column, text_width: Column, size: Column) -> tuple[Column, Column
 
 def tail_number(line: Column) -> Column:
     """Page number at the end of a line of contents: 1 to 4 digits after a body with two letters in a row."""
-    n = F.regexp_extract(line, "^(.*[^0-9])([0-9]{1,4})$", 2)
-    body = F.regexp_extract(line, "^(.*[^0-9])([0-9]{1,4})$", 1)
-    return F.when((n != "") & body.rlike("[A-Za-z]{2,}") & (F.expr("try_cast(null as int)").isNull()), F.nullif(n, F.lit("")).cast("int"))
+    pattern = "^(.*[^0-9])([0-9]{1,4})$"
+    n = F.regexp_extract(line, pattern, 2).try_cast("int")
+    return F.when((n >= 1) & F.regexp_extract(line, pattern, 1).rlike("[A-Za-z]{2,}"), n)
