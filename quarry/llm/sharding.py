@@ -5,8 +5,7 @@ largest spread, the fullest shard of one with the emptiest of the other, until o
 buckets by hash; each bucket is differenced in one task, then the buckets' partial partitions are differenced in turn,
 at most ``FAN_IN`` at a time, so neither a task nor the driver ever holds all groups.
 
-Defined cases: a null text has no bytes and equals other null texts only; an empty text is a group of its own; repeated
-rows get slots one by one; rows with a null id are dealt like others, after them; an empty table gives no row.
+Defined cases: a null text has no bytes and counts as equal to an empty one; repeated rows get slots one by one; rows with a null id are dealt like others, after them; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -101,7 +100,7 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "
             F.col(id_col).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit(b""))).cast("long").alias("text_crc32"),
-            F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b"")).alias("gid"),
+            F.unhex(F.sha2(F.coalesce(text, F.lit(b"")), 256)).alias("gid"),
         ),
         "shard-rows",
     )
