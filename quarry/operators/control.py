@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +23,55 @@ def outcome(exit_code: Column, rate_limit_hits: Column, duration: Column, timeou
     )
 
 
-def next_threads(threads: Column, found: Column, floor: int) -> Column:
+def next_threads(threads: int, found: str, floor: int) -> int:
     """Two more after success, half (at least the floor) after overload, else as many; never above the ceiling."""
-    half = F.greatest(F.lit(floor), F.floor(threads / 2).cast("int"))
-    return F.when(found.isin("rate_limited", "timeout_signalled"), half).otherwise(F.least(F.lit(L.THREAD_CEILING), threads + F.when(found == "success", 2).otherwise(0)))
+    if found in ("rate_limited", "timeout_signalled"):
+        return max(floor, threads // 2)
+    return min(L.THREAD_CEILING, threads + 2 * (found == "success"))
+
+
+def _shortened(floor: int):
+    """A sorted partition to one row a key: what its part of the log does to any thread count, and to the run of successes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        key, leads, tail, clean, n = None, [], 0, True, 0
+        done = []
+        for frame in frames:
+            for k, found in zip(frame.k, frame.outcome):
+                if k != key:
+                    if n:
+                        done.append((key, part, leads, tail, clean, n))
+                    key, leads, tail, clean, n = k, list(range(L.THREAD_CEILING + 1)), 0, True, 0
+                low, high = next_threads(leads[0], found, floor), next_threads(leads[-1], found, floor)
+                leads = [low] * len(leads) if low == high else [next_threads(t, found, floor) for t in leads]  # steps keep the order
+                tail, clean, n = (tail + 1, clean, n + 1) if found == "success" else (0, False, n + 1)
+            if len(done) > 10_000:
+                yield pd.DataFrame(done, columns=["k", "part", "leads", "tail", "clean", "n"])
+                done = []
+        if n:
+            done.append((key, part, leads, tail, clean, n))
+        yield pd.DataFrame(done, columns=["k", "part", "leads", "tail", "clean", "n"])
+
+    return run
 
 
 def thread_counts(log: DataFrame, key: str, order: list[str], floor: int = 8, start: int = 8) -> DataFrame:
-    """``log`` (key, order columns, outcome) to the thread count and the run of successes at the end of each key's log."""
-    events = F.array_sort(F.collect_list(F.struct(*order, "outcome")))
+    """``log`` (key, order columns, outcome) to the thread count and the run of successes at the end of each key's log.
+
+    A step maps thread counts to thread counts, and such maps combine; so ranges of the log are shortened to one map a key
+    wherever they are, and a long log of one key is spread over many tasks. Rows with a null key are left out."""
+    kind = log.schema[key].dataType.simpleString()
+    ranges = log.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *order, "outcome").repartitionByRange("k", *order).sortWithinPartitions("k", *order)
+    short = ranges.select("k", "outcome").mapInPandas(_shortened(floor), f"k {kind}, part int, leads array<int>, tail int, clean boolean, n int")
     zero = F.struct(F.lit(start).alias("threads"), F.lit(0).alias("streak"), F.lit(0).alias("seen"))
 
-    def step(s: Column, e: Column) -> Column:
-        streak = F.when(e["outcome"] == "success", s["streak"] + 1).otherwise(0)
-        return F.struct(next_threads(s["threads"], e["outcome"], floor).alias("threads"), streak.alias("streak"), (s["seen"] + 1).alias("seen"))
+    def step(s: Column, p: Column) -> Column:
+        streak = F.when(p["clean"], s["streak"]).otherwise(0) + p["tail"]
+        return F.struct(F.get(p["leads"], s["threads"]).alias("threads"), streak.alias("streak"), (s["seen"] + p["n"]).alias("seen"))
 
-    return log.groupBy(key).agg(events.alias("e")).select(key, F.aggregate("e", zero, step).alias("s")).select(key, F.col("s.threads").alias("threads"), F.col("s.streak").alias("streak"), F.col("s.seen").alias("observations"))
+    parts = short.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("part", "leads", "tail", "clean", "n"))).alias("p"))  # one a partition at most
+    return parts.select(F.col("k").alias(key), F.aggregate("p", zero, step).alias("s")).select(key, F.col("s.threads").alias("threads"), F.col("s.streak").alias("streak"), F.col("s.seen").alias("observations"))
 
 
 def warm_chunk_size(observations: Column, streak: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from quarry.functions import lexicon as L
+from quarry.operators.control import next_threads
 from quarry.sources.shared import scratch
 
 
@@ -21,10 +21,7 @@ def _threads(floor: int, start: int):
         for found in log.outcome:
             seen += 1
             streak = streak + 1 if found == "success" else 0
-            if found in ("rate_limited", "timeout_signalled"):
-                threads = max(floor, threads // 2)
-            else:
-                threads = min(L.THREAD_CEILING, threads + 2 * (found == "success"))
+            threads = next_threads(threads, found, floor)
         state.update((threads, streak, seen))
         yield pd.DataFrame({"key": [key[0]], "threads": [threads], "streak": [streak], "observations": [seen]})
 
