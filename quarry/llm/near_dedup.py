@@ -1,10 +1,13 @@
 """Near-duplicate detection: MinHash bands find candidates, sequential Bayesian verification prunes them, full sets decide.
 
 1. Each text becomes its set of 5-word shingles and a signature of 128 minima. Texts with one set are one class.
-2. Signatures are cut into 32 bands of 4. In every bucket all members are compared with the smallest one (a star), never
-   each with each; verified links give first components.
+2. Signatures are cut into 32 bands of 4. In the buckets of the first bands all members are compared with the smallest
+   one (a star), never each with each; verified links give first components. Then members of the buckets that still
+   hold several components are put in a few random orders and neighbours are compared (chains), which joins what the
+   stars left apart in big groups.
 3. Buckets whose members still lie in different components are compared further: all pairs across components, in blocks
-   of bounded size, so a big group of near copies, one component by now, costs nothing and no link is lost.
+   of bounded size and with the full sets at hand, giving one link for each text and component at most. A big group of
+   near copies is one component by now and costs little, and no link between components is lost.
 4. A comparison reads the signatures batch by batch and stops once the posterior probability of a similarity of
    ``threshold`` or more falls below ``MISS``. Survivors are confirmed on their full sets.
 5. Components come from alternating large and small stars over the links, written to the shared folder each round.
@@ -21,19 +24,20 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, drop_spool, mix, semi, slices, spool, word_hashes
 
-WORDS, ROWS, BANDS = 5, 4, 32
+WORDS, ROWS, BANDS, FIRST_BANDS = 5, 4, 32, 3
 HASHES, BATCH = ROWS * BANDS, 16
-#: Posterior probability below which a pair is dropped; members of a comparison block.
-MISS, BLOCK = 1e-6, 512
+#: Posterior probability below which a pair is dropped; members and bytes of sets in a comparison block; rounds of chains.
+MISS, BLOCK, BLOCK_BYTES, CHAINS = 1e-6, 1024, 64 << 20, 3
 
 _rng = np.random.default_rng(11)
 _ODD = _rng.integers(1, 1 << 63, HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -96,7 +100,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 for r in range(ROWS):
                     keys = mix(keys + sig[:, r::ROWS] + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS))], ["key", "rep"])
+            band = np.tile(np.arange(BANDS, dtype=np.int16), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS))], ["key", "band", "rep"])
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
@@ -148,55 +153,92 @@ def _confirm(threshold: float):
     return run
 
 
+def _sets_of(ids: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, set) of the documents in ``ids`` (doc_id)."""
+    return spool(semi(own, ids, "doc_id").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]), "nd-sets")
+
+
 def _verified(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = spool(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nd-ids")
-    texts = semi(own, ids, "doc_id")
-    sets = spool(texts.mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]), "nd-sets")
+    sets = _sets_of(spool(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nd-ids"), own)
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     links = spool(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(threshold), "a long, b long"), "nd-links")
     drop_spool(sets)
     return links
 
 
+def _similar(one: np.ndarray, others: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which of the sets are similar enough to one set, exactly."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    both = np.add.reduceat((one[at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return 100 * both >= round(threshold * 100) * (sizes + len(one) - both)
+
+
 def _across(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group.sig), np.uint32).reshape(-1, HASHES)
+        sets = [np.frombuffer(x, np.uint64) for x in group.set]
         rep, comp, n, part = (group[c].to_numpy() for c in ("rep", "comp", "n", "part"))
         one = group.i.iloc[0] == group.j.iloc[0]
-        found = [np.zeros((0, 2), np.int64)]
         rows = np.flatnonzero(part == group.i.iloc[0])
         others = rows if one else np.flatnonzero(part == group.j.iloc[0])
+        if len(others) < len(rows):
+            rows, others = others, rows
+        out = []
         for x in rows:
             y = others[(comp[others] != comp[x]) & (np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x]))]
             y = y[rep[y] > rep[x]] if one else y
-            live = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], threshold)]
-            found.append(np.stack([np.minimum(rep[x], rep[live]), np.maximum(rep[x], rep[live])], axis=1))
-        pairs = np.concatenate(found)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            y = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], threshold)] if len(y) else y
+            if len(y):
+                y = y[_similar(sets[x], [sets[k] for k in y], threshold)]
+                _, first = np.unique(comp[y], return_index=True)
+                out += [(min(rep[x], rep[k]), max(rep[x], rep[k])) for k in y[first]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp) of every end of a link; comp is the smallest id that can be reached."""
-    edges, before = spool(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc"), None
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition, block by block, as stars: every end with the smallest it can reach."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def root(x: int, parent: dict[int, int] = parent) -> int:
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = root(u), root(v)
+            parent[max(p, q)] = min(p, q)
+        out = [(x, root(x)) for x in list(parent)]
+        ends = np.array([o for o in out if o[0] != o[1]], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    state = mark(edges)
-    while state != before and state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+def components(links: DataFrame) -> DataFrame:
+    """(u, v) for every document that can reach a smaller id; v is the smallest one. Links are (u, v) either way round.
+
+    Alternating large and small stars, after each partition has shortened what it holds; done when no end has two parents
+    or a parent that has one."""
+    edges = spool(links.select("u", "v").mapInArrow(_forest, "u long, v long").distinct(), "cc")
+    while True:
+        both = edges.select("u", F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+        if both.groupBy("u").agg(F.sum("o").alias("o"), F.max("i").alias("i")).where("o > 1 or o = 1 and i = 1").isEmpty():
+            return edges
+        sides = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = sides.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         following = spool(small, "cc")
         drop_spool(edges)
-        edges, before, state = following, state, mark(following)
-    ends = edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    return ends.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+        edges = following
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,24 +250,45 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
     # a class has one representative; an id that was given twice, with two texts, may stand for two classes
     reps = classes.select("rep", "n", "sig")
 
-    bands = reps.select("rep", "sig").mapInArrow(lambda b: _bands(x.select(["rep", "sig"]) for x in b), "key long, rep long")
+    bands = reps.select("rep", "sig").mapInArrow(lambda b: _bands(x.select(["rep", "sig"]) for x in b), "key long, band short, rep long")
     leads = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead != last").select("key", "lead")
     members = spool(bands.join(leads, "key"), "nd-members")
-    star = spool(members.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "nd-star")
     left, right = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    likely = spool(star.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(threshold), "a long, b long"), "nd-likely")
-    links = _verified(likely, own, threshold)
-
-    first = components(links).withColumnRenamed("id", "rep")
-    placed = members.select("key", "rep").join(first, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    placed = spool(placed, "nd-placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    rows = placed.join(mixed, "key").join(reps, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return spool(pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(threshold), "a long, b long"), "nd-likely")
+
+    def placed_by(stars: DataFrame, among: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components."""
+        placed = among.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m")
+        return spool(placed.join(mixed, "key"), "nd-placed")
+
+    as_edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    star = members.where((F.col("band") < FIRST_BANDS) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = components(as_edges(_verified(likely(spool(star, "nd-star")), own, threshold)))
+    placed = placed_by(stars, members.select("key", "rep"))
+    if not placed.isEmpty():
+        near = []
+        for turn in range(CHAINS):
+            dealt = placed.withColumn("o", F.xxhash64("rep", "key", F.lit(turn))).withColumn("part", F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / 4096)))
+            w = Window.partitionBy("key", "part").orderBy("o", "rep")  # some thousand members
+            pairs = dealt.select("rep", "comp", F.lead("rep").over(w).alias("b"), F.lead("comp").over(w).alias("c")).where("comp != c")
+            near.append(pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")))
+        chains = spool(reduce(DataFrame.unionByName, near).distinct(), "nd-chains")
+        stars = components(stars.unionByName(as_edges(_verified(likely(chains), own, threshold))))
+        placed = placed_by(stars, placed.select("key", "rep"))
+
+    sets = _sets_of(placed.select(F.col("rep").alias("doc_id")), own).withColumnRenamed("id", "rep")
+    full = placed.join(reps, "rep")
+    parts = full.groupBy("key").agg(F.greatest(F.ceil(F.max("m") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("parts"))
+    rows = full.join(parts, "key").join(sets, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("key", "rep", "comp", "n", "sig", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    more = blocks.groupBy("key", "i", "j").applyInPandas(_across(threshold), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    blocks = blocks.select("key", "rep", "comp", "n", "sig", "set", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    more = blocks.groupBy("key", "i", "j").applyInPandas(_across(threshold), "a long, b long").distinct()
     more = spool(more, "nd-more")
-    comps = components(links.unionByName(_verified(more, own, threshold))).withColumnRenamed("id", "rep")
+    stars = stars if more.isEmpty() else components(stars.unionByName(as_edges(more)))
+    comps = stars.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
 
     named = classes.select("set_id", "rep", "size").join(comps, "rep", "left").where("size > 1 or comp is not null").select("set_id", F.coalesce("comp", "rep").alias("comp"))
     out = sketch.select("doc_id", "n", "set_id").join(named, "set_id", "left")
