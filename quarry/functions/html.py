@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Tags of text blocks, of lists, and the class that marks translations of earlier runs.
 UNIT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "td", "th", "dt", "dd", "figcaption"}
 LISTS = {"ul", "ol"}
 TRANSLATED = "bb-vi"
@@ -129,6 +130,7 @@ def _inside_other(node: Node) -> bool:
     return False
 
 
+# Texts that need no translation.
 _DROP = [re.compile(r"^[\d\s]*$"), re.compile(r"^(?:https?://|www\.)\S+$", re.I), re.compile(r"^ISBN(?:-1[03])?[\s:-]*[\dX][\dX\s-]*$", re.I)]
 
 
@@ -195,6 +197,7 @@ def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([resolve(b, h) for b, h in zip(base, href)])
 
 
+# Tags that translations may hold, and tags whose text stays.
 _INLINE = {"strong", "em", "b", "i", "sup", "sub", "br", "a", "span", "small"}
 _UNTOUCHED = {"code", "pre", "ul", "ol"}
 _BARE_AND = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#\d+|#x[0-9A-Fa-f]+);)")

@@ -11,8 +11,8 @@ from pyspark.sql.types import StringType
 
 from quarry.functions import lexicon as L
 
+# Patterns of words, of term tokens (À-ÿ holds × and ÷ too, as it always did) and of segment ends.
 WORD = "[a-zàâäéèêëïîôöùûüçœæ]+"
-#: A term token; the range À-ÿ holds × and ÷ too, as it always did.
 TOKEN = "[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ']*(?:-[A-Za-zÀ-ÿ']+)*"
 SEGMENT_END = '[.!?;:,()\\[\\]"“”—•|]+'
 _W = "A-Za-z0-9_À-ÖØ-öø-ÿ"
