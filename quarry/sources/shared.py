@@ -1,9 +1,12 @@
-"""The folder that driver and executors share, and tables written there."""
+"""The folder that driver and executors share, tables written there, and this package on the workers."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it themselves: by PYTHONPATH, or in the working folder."""
+    root = Path(__file__).resolve().parents[2]
+    near = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    app = spark.sparkContext.applicationId
+    if root not in near and app not in _shipped:
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='quarry-')}/quarry", "zip", root, "quarry"))
+        _shipped.add(app)
