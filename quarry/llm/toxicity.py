@@ -2,7 +2,8 @@
 
 Folding lower-cases, strips accents, maps look-alike letters and digits or signs inside words to one skeleton. The
 lexicon is learned from a bounded, hash-ordered sample of labelled rows: words and word beginnings that toxic texts
-have and other texts hardly have, weighted by log-odds, and chosen until few toxic texts are left without one. Phrases around lexicon words that only clean texts have become
+have and other texts hardly have, weighted by log-odds: those of many toxic texts, and more until few texts are left
+without one. Phrases around lexicon words that only clean texts have become
 exceptions, which silence the matches inside them. The weight found is normalised by the number of words.
 
 Defined cases: null and empty texts score as clean; without labels of both kinds every text scores 0; a label for an
@@ -29,8 +30,12 @@ from quarry.llm.common import crc_fold, documents
 SAMPLE = 24_000
 #: Toxic texts that must have an entry (at least, and as a share); least log-odds weight; lengths of word beginnings.
 SUPPORT, SHARE, WEIGHT, BEGINNINGS = 4, 0.005, 4.0, range(4, 13)
+#: Share of toxic texts, and weight, from which a candidate enters the lexicon by itself.
+OFTEN, CERTAIN = 0.02, 5.0
 #: Clean texts that must have a phrase before it is an exception.
 EXCEPTION = 2
+#: Where between the values of clean and of toxic texts the threshold lies: long texts have small values.
+MARGIN = 0.25
 
 # Letters of other scripts that look like Latin ones, and digits or signs written for letters.
 _LOOKALIKES = dict(zip("аеорсухіјѕԁһӏкмтвнαβεικνορτυχ", "aeopcyxijsdhlkmtbhabeiknoptux")) | {"ß": "ss", "ø": "o", "đ": "d", "ł": "l", "ı": "i", "æ": "ae", "œ": "oe"}
@@ -106,17 +111,23 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def choose(weights: dict[str, float], texts: list[list[str]], least: float) -> dict[str, float]:
-    """The lexicon: again and again the candidate that the most toxic texts without an entry so far have, the longest
-    on ties, while it adds ``least`` texts. ``texts``: the candidates in each toxic text."""
+    """The lexicon. ``texts``: the candidates in each toxic text.
+
+    Candidates that many toxic texts have enter by themselves. Then the candidate that the most texts without an entry so
+    far have enters (the longest on ties), again and again, while it adds ``least`` texts. Of entries that begin alike and
+    stand for nearly the same texts, the longest stays; what a shorter entry matches anyway is left out."""
     holders: dict[str, set[int]] = {}
     for i, entries in enumerate(texts):
         for entry in entries:
             holders.setdefault(entry, set()).add(i)
-    out: dict[str, float] = {}
+    often = max(2 * least, OFTEN * len(texts))
+    strong = sorted((e for e, h in holders.items() if len(h) >= often and weights[e] >= CERTAIN), key=lambda e: (len(e), e))
+    own = [e for e in strong if not any(x != e and x.startswith(e) and len(holders[x]) >= 0.9 * len(holders[e]) for x in strong)]
+    out = {e: float(weights[e]) for e in own if not any(x != e and e.startswith(x) for x in own)}
+    covered = set().union(*(holders[e] for e in out)) if out else set()
+    holders = {e: left for e, h in holders.items() if len(left := h - covered) >= least}
     while holders:
         best = max(holders, key=lambda e: (len(holders[e]), len(e), e))
-        if len(holders[best]) < least:
-            break
         out[best] = float(weights[best])
         gone = holders[best].copy()
         holders = {e: left for e, h in holders.items() if len(left := h - gone) >= least}
@@ -182,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     right = np.array([(labels_[:e] == 0).sum() + (labels_[e:] == 1).sum() for e in edges])  # right if all below the value are clean
     best = int(right[1:].argmax()) + 1 if len(values) > 1 else 0
     if best:
-        lexicon.threshold = float((values[best - 1] + values[best]) / 2)
+        lexicon.threshold = float(values[best - 1] + MARGIN * (values[best] - values[best - 1]))
     return lexicon
 
 
