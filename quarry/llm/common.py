@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,25 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- session and shared tables
-
+from quarry.sources.shared import scratch
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only for local masters."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="quarry-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+# ---------------------------------------------------------------- session and shared tables
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.spool_path = path
@@ -49,9 +41,39 @@ def crc_fold(doc_id: Column, n: int) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; texts will reach Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+# ---------------------------------------------------------------- what Python workers keep
+
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """The tools of an operator, which a worker keeps from task to task; it keeps those of one operator at a time."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of other operators' tools and give free memory back; for functions that need it."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 4 MB at most (one text at least), so a worker's memory doesn't follow the rows' number."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 # ---------------------------------------------------------------- word hashing
 
 #: Bytes hashed at a time; longer words widen one step.

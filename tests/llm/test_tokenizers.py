@@ -10,7 +10,7 @@ tiktoken = pytest.importorskip("tiktoken")
 from quarry.llm import bpe, token_counts  # noqa: E402
 
 PATH = P.path("byte_bpe_50k.tiktoken")
-ODD = ["a", "the ", "e", "=", "--", " ", "\n", "é", "日本", "\x85", "😀", "12", "٣", "İ", "'s", "\t", "_", "́", "​", "<|endoftext|>", "x" * 40]
+ODD = ["a", "  ", " \u0308", "\x1c", "\r\n", "\u00a0", "\u2003", "the ", "e", "=", "--", " ", "\n", "é", "日本", "\x85", "😀", "12", "٣", "İ", "'s", "\t", "_", "́", "​", "<|endoftext|>", "x" * 40]
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +74,7 @@ def test_round_trip_rows(spark, reference):
     assert bpe.bpe_roundtrip(df.where("false"), PATH, P.PATTERN).count() == 0
 
 
-def test_spliced_counts_equal_the_library(spark):
+def test_counts_equal_the_library(spark, monkeypatch):
     path = P.path("word_bpe_49k.json")
     tokenizer = token_counts._tokenizer(path)
 
@@ -82,8 +82,11 @@ def test_spliced_counts_equal_the_library(spark):
         e = tokenizer.encode(text, add_special_tokens=False)
         return e.ids, e.offsets
 
+    monkeypatch.setattr(token_counts, "PIECES", 50)
+    pieces = token_counts.PieceCounts(tokenizer)
     for text in samples(600, 3):
         assert token_counts.spliced_ids(text, encode, 25, 6) == encode(text)[0], repr(text)
+        assert pieces.of([text, " " + text, text]) == [len(encode(t)[0]) for t in (text, " " + text, text)], repr(text)
     texts = [None, "", "word " * 9000, "<|endoftext|>" * 5, "x" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in token_counts.token_counts(df, path, chunk=1000).collect():
