@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, mix, slices, word_hashes
+from quarry.llm.common import documents, mix, release, slices, word_hashes
 
 # The masks.
 MASKS = ["11111001001", "10010101111", "11000111101", "10101100111"]
@@ -146,6 +146,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             block = shared.value
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):
@@ -164,6 +165,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 for part in slices(batch, text_col, 1 << 20):
                     clean = np.ones(part.num_rows, bool)

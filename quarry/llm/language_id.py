@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_fold, documents, slices, text_bytes
+from quarry.llm.common import crc_fold, documents, release, slices, text_bytes
 
 #: Hashed dimensions; labelled rows a language may give at most; languages at most; centroids a language.
 DIMS, SAMPLE, LANGUAGES, CENTROIDS = 2048, 600, 64, 4
@@ -141,6 +141,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 lang, score, rejected = shared.value.predict(part.column(1))
@@ -155,6 +156,7 @@ def filter_language(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
                 yield part.filter(pa.array(~shared.value.predict(part.column(text_col))[2]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, drop_spool, spool
+from quarry.llm.common import documents, drop_spool, release, slices, spool
 
 #: Words that a run must have; documents with deletions that may be broadcast at most.
 MIN_WORDS, BROADCAST_DOCS = 50, 200_000
@@ -36,13 +36,14 @@ _RUN = f"{_DOC}, start int, size int, a long, b long"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    release()
+    for part in (part for batch in batches for part in slices(batch, "text")):
         ids, words = [], []
-        for text in batch.column(2).to_pylist():
+        for text in part.column(2).to_pylist():
             lines = text.split("\n")
             ids.append([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in lines])
             words.append([len(x.split()) for x in lines])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "th", "ids", "words"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["doc_id", "th", "ids", "words"])
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -151,7 +152,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     found = spool(state.mapInPandas(runs, _RUN), "sa-runs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "start")
     interval = ["size", "a", "b"]
-    copies = found.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # as a table of its own, so that the join below is dealt anew and a run with very many copies is split over tasks
+    copies = spool(found.groupBy(*interval).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "sa-copies")
     later = found.join(copies, interval).where((place > F.col("first")) & ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("start") - F.col("first.start") < F.col("size"))))
     gone = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("size") - 1)))))
     return spool(later.groupBy("doc_id", "th").agg(gone.alias("gone")), "sa-gone")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, drop_spool, mix, semi, slices, spool, word_hashes
+from quarry.llm.common import documents, drop_spool, mix, release, semi, slices, spool, word_hashes
 
 WORDS, ROWS, BANDS, FIRST_BANDS = 5, 4, 32, 3
 HASHES, BATCH = ROWS * BANDS, 16
@@ -68,6 +68,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for part in slices(batch, "text"):
             tokens, ends = word_hashes(part.column(1))
