@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import crc_fold, documents, mix, slices, spool, word_hashes
 
 #: Most of the model that is broadcast at a time, in MB; tokens that a map task counts before it sends.
-SEGMENT_MB, FLUSH = 96, 3_000_000
+SEGMENT_MB, FLUSH = 64, 3_000_000
 #: Probes a level and bits an entry: one absent level in about 2**PROBES is taken for present.
 PROBES, BITS = 4, 6.0
 #: Weight of the word distribution against pair counts.
