@@ -12,34 +12,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
-from quarry.llm.common import crc_fold, documents, spool
+from quarry.llm.common import crc_fold, documents, small_batches, spool
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (no letters, or far from every language) go."""
+    small_batches(spark)
     model = language_id.train(docs.where(crc_fold(F.col("doc_id"), 5) != 0))
     return language_id.filter_language(docs, model)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go, and documents of which nothing is left."""
+    small_batches(spark)
     out = line_dedup.dedup_lines(docs)
     return out.where((F.col("n_lines_gone") == 0) | (F.col("text") != "")).select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' number and digest, and the digest of the decoded bytes."""
-    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    small_batches(spark)
+    # the stages before have left the executors' memory full: remember less
+    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_states=40_000, max_pieces=50_000)
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("decontamination", benchmark_stage), ("byte_bpe", token_stage)]

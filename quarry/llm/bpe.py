@@ -13,16 +13,18 @@ import base64
 import hashlib
 import itertools
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents
+from quarry.llm.common import documents, held, trim
 
-MAX_STATES = 350_000
-MAX_PIECES = 250_000
+#: States, and pieces in each of two generations, that a worker keeps: about 350 MB.
+MAX_STATES, MAX_PIECES = 350_000, 250_000
+#: Marks of what was met once: only what comes again is kept, for most of the words of a corpus come once.
+MARKS = 1 << 21
 #: Pieces or ids that are handled at a time.
 BLOCK = 1 << 16
 
@@ -35,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class _State:
     __slots__ = ("edge", "ends", "final", "live", "next", "window")
 
-    def __init__(self, edge: tuple, window: bytes, ends: list[int], live: list[int]):
+    def __init__(self, edge: tuple, window: bytes, ends: tuple[int, ...], live: tuple[int, ...]):
         self.edge, self.window, self.ends, self.live, self.next, self.final = edge, window, ends, live, {}, None
 
 
@@ -49,20 +51,22 @@ class BpeTransducer:
     Of the token before the window a state keeps only ``edge``: those parts of its right spine that could still merge
     with something that begins like the window. Tokens that differ elsewhere share their states."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], max_states: int | None = None, max_pieces: int | None = None):
+        self.ranks, self.max_states, self.max_pieces = ranks, max_states or MAX_STATES, max_pieces or MAX_PIECES
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.spines: dict[int, tuple[tuple, tuple] | None] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}  # pieces seen before those, for as long
+        self.older: dict[str, tuple[int, ...]] = {}  # pieces kept before those, for as long
+        self.met_pieces = bytearray(MARKS)
         self._reset()
 
     def _reset(self) -> None:
-        self.start = _State((), b"", [-1], [0])
-        self.states = {((), b""): self.start}
+        self.start = _State((), b"", (-1,), (0,))
+        self.states = {((), b"", ()): self.start}
+        self.met = bytearray(MARKS)
         self.fits: dict[tuple, bool] = {}
 
     def _spine(self, token: int) -> tuple[tuple, tuple] | None:
@@ -99,7 +103,7 @@ class BpeTransducer:
         ranks, prefixes = self.ranks, self.prefixes
         return tuple(e for e in spine if (x := e[0] + window) in prefixes or any(x[:i] in ranks for i in range(len(e[0]) + 1, len(x) + 1)))
 
-    def _chain(self, ends: list[int], at: int) -> list[int]:
+    def _chain(self, ends: Sequence[int], at: int) -> list[int]:
         """Tokens, in order, that lead from the window's start to ``at``."""
         out = []
         while at:
@@ -133,11 +137,17 @@ class BpeTransducer:
             edge = self._edge(self._spine(emitted[-1])[1] if emitted else s.edge, window[cut:])
         key = (edge, window[cut:], tuple(ends[cut + 1 :]))
         state = self.states.get(key)
+        again = hash((s.window, byte, s.edge)) % MARKS
         if state is None:
-            if len(self.states) >= MAX_STATES:
-                self._reset()
-            state = self.states[key] = _State(edge, key[1], [-1, *key[2]], [j - cut for j in live])
-        s.next[byte] = out = (state, tuple(emitted))
+            state = _State(edge, key[1], (-1, *key[2]), tuple(j - cut for j in live))
+            if self.met[again]:
+                if len(self.states) >= self.max_states:
+                    self._reset()
+                self.states[key] = state
+        out = (state, tuple(emitted))
+        if self.met[again]:
+            s.next[byte] = out
+        self.met[again] = 1
         return out
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
@@ -158,13 +168,15 @@ class BpeTransducer:
         seen, ids = self.pieces, []
         for piece in pieces:
             if (found := seen.get(piece)) is None:
-                if len(seen) >= MAX_PIECES:
-                    self.older, self.pieces = seen, {}
-                    seen = self.pieces
+                mark = hash(piece) % MARKS
                 if (found := self.older.get(piece)) is None:
                     found = self.encode_piece(piece.encode())
-                if len(piece) < 64:
+                if self.met_pieces[mark] and len(piece) < 64:
                     seen[piece] = found
+                    if len(seen) >= self.max_pieces:
+                        self.older, self.pieces, self.met_pieces = seen, {}, bytearray(MARKS)
+                        seen = self.pieces
+                self.met_pieces[mark] = 1
             ids += found
         return ids
 
@@ -205,15 +217,13 @@ class Utf8Decoder:
             raise ValueError("the bytes end inside a character")
 
 
-_worker: dict[tuple[str, str], tuple] = {}
-
-
-def _tools(path: str, pattern: str) -> tuple:
-    if (path, pattern) not in _worker:
+def _tools(path: str, pattern: str, *limits: int | None) -> tuple:
+    def make() -> tuple:
         import regex
 
-        _worker[path, pattern] = (BpeTransducer(load_ranks(path)), regex.compile(pattern))
-    return _worker[path, pattern]
+        return BpeTransducer(load_ranks(path), *limits), regex.compile(pattern)
+
+    return held(("bpe", path, pattern, *limits), make)
 
 
 def blocks(text: str, pattern) -> Iterator[list[str]]:
@@ -239,15 +249,18 @@ def digest(text: str, transducer: BpeTransducer, pattern) -> tuple[int, str, str
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
-def bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256."""
+def bpe_roundtrip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int | None = None, max_pieces: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256.
+
+    ``max_states`` and ``max_pieces`` bound what a worker remembers; they change its memory and speed, not the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, compiled = _tools(path, pattern)
+        transducer, compiled = _tools(path, pattern, max_states, max_pieces)
         for batch in batches:
             found = [digest(t or "", transducer, compiled) for t in batch.column(1).to_pylist()]
             n, ids, decoded = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        trim()
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

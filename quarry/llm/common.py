@@ -64,6 +64,11 @@ def release() -> None:
     if _held:
         _held.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back to the system, so that a worker that waits holds little."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, drop_spool, mix, release, semi, slices, spool, word_hashes
+from quarry.llm.common import documents, drop_spool, mix, release, semi, slices, spool, trim, word_hashes
 
 WORDS, ROWS, BANDS, FIRST_BANDS = 5, 4, 32, 3
 HASHES, BATCH = ROWS * BANDS, 16
@@ -79,6 +79,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 set_id.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
                 sig.append(signature(shingles).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(set_id, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "set_id", "sig"])
+    trim()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +87,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             tokens, ends = word_hashes(part.column(1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(tokens[a:b]).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["id", "set"])
+    trim()
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
