@@ -101,13 +101,20 @@ def _entries(folded: str) -> set[str]:
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     toxic, clean = Counter(), Counter()
+
+    def sent() -> Iterator[pd.DataFrame]:
+        rows = [(e, toxic[e], clean[e]) for e in toxic.keys() | clean.keys()]
+        for i in range(0, len(rows), 100_000):
+            yield pd.DataFrame(rows[i : i + 100_000], columns=["entry", "pos", "neg"])
+        toxic.clear()
+        clean.clear()
+
     for frame in frames:
         for text, label in zip(frame.text, frame.toxic):
             (toxic if label else clean).update(_entries(fold(text)))
-            if len(toxic) + len(clean) > 2_000_000:  # partial counts may go out at any time
-                yield pd.DataFrame({"entry": [*toxic, *clean], "pos": [*toxic.values(), *[0] * len(clean)], "neg": [*[0] * len(toxic), *clean.values()]})
-                toxic, clean = Counter(), Counter()
-    yield pd.DataFrame({"entry": [*toxic, *clean], "pos": [*toxic.values(), *[0] * len(clean)], "neg": [*[0] * len(toxic), *clean.values()]})
+            if len(toxic) + len(clean) > 1_000_000:  # partial counts may go out at any time
+                yield from sent()
+    yield from sent()
 
 
 def choose(weights: dict[str, float], texts: list[list[str]], least: float) -> dict[str, float]:
