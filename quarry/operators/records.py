@@ -97,13 +97,16 @@ def width_to_break(units: Column, scale: Column) -> Column:
 
 def wrapped(text: str, width: float, font: float, char: float = 0.5) -> list[str]:
     """Greedy lines; a character is ``char`` of the font size wide, and a word that is too long stands alone."""
-    lines: list[str] = []
+    lines: list[list[str]] = []
+    length = 0  # of the last line
     for word in text.split():
-        if lines and len(lines[-1] + " " + word) * char * font <= width:
-            lines[-1] += " " + word
+        if lines and (length + 1 + len(word)) * char * font <= width:
+            lines[-1].append(word)
+            length += 1 + len(word)
         else:
-            lines.append(word)
-    return lines
+            lines.append([word])
+            length = len(word)
+    return [" ".join(x) for x in lines]
 
 
 def fit_blocks(frame_iter):

@@ -63,7 +63,7 @@ def word_width(spark, sf):
 
 
 def wrap_fit(spark, sf):
-    b = table(spark, sf, "documents").where("n_chars < 3000").select(F.col("doc_id").alias("block"), "text", F.lit(400.0).alias("width"), (F.col("doc_id") % 400 + 20.0).alias("height"), F.lit(10.0).alias("font"))
+    b = table(spark, sf, "documents").select(F.col("doc_id").alias("block"), "text", F.lit(400.0).alias("width"), (F.col("doc_id") % 400 + 20.0).alias("height"), F.lit(10.0).alias("font"))
     return b.mapInPandas(records.fit_blocks, "block long, fits boolean, scale double, lines int")
 
 
