@@ -170,24 +170,29 @@ def image_compress(spark, sf):
 
 def _responses(spark, sf):
     c = table(spark, sf, "conversations")
-    clean = F.regexp_replace(F.substring("text", 1, 80), '["\\\\\\n\\t]', " ")
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", clean.alias("t")))).alias("s"))
-    body = F.array_join(F.transform("s", lambda x: F.concat(F.lit('"'), x["turn"].cast("string"), F.lit('": "'), x["t"], F.lit('"'))), ", ")
+    held = F.to_json(F.array("text"))
+    quoted = F.when(F.col("text").isNotNull(), F.substring(held, F.lit(2), F.length(held) - 2))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", quoted.alias("t")))).alias("s"))
+    body = F.array_join(F.transform("s", lambda x: F.concat(F.lit('"'), x["turn"].cast("string"), F.lit('": '), x["t"])), ", ")
     return g.select("conv_id", F.concat(F.lit("{"), body, F.lit("}")).alias("raw"), F.transform("s", lambda x: x["turn"].cast("string")).alias("expected"))
 
 
+def _blank(v):
+    return ~v.rlike("(?U)[^\\s\\x1c-\\x1f]")
+
+
 def json_strict_parse(spark, sf):
     """Clean responses need no Python: a map from JSON, blank values left out."""
     r = _responses(spark, sf)
     m = F.from_json("raw", "map<string,string>")
-    good = F.map_filter(m, lambda k, v: F.array_contains("expected", k) & (F.trim(v) != ""))
+    good = F.map_filter(m, lambda k, v: F.array_contains("expected", k) & ~_blank(v))
     return r.select("conv_id", F.explode(good).alias("id", "value"))
 
 
 def missing_ids(spark, sf):
     r = _responses(spark, sf)
     m = F.from_json("raw", "map<string,string>")
-    have = F.map_keys(F.map_filter(m, lambda k, v: F.trim(v) != ""))
+    have = F.map_keys(F.map_filter(m, lambda k, v: ~_blank(v)))
     return r.select("conv_id", F.size("expected").alias("expected"), F.concat_ws(",", F.array_sort(F.array_except(F.concat("expected", F.array(F.lit("999"))), have))).alias("missing"))
 
 

@@ -1,8 +1,8 @@
 """Queries do the whole job: whole tables, whole texts, every page and every count."""
 
-import pandas as pd
-import pytest
+import json
 
+import pandas as pd
 from quarry import plans
 
 
@@ -36,3 +36,21 @@ def test_wrap_fit_takes_long_documents(spark, tmp_path):
                 break
         want[379 - 50 * i] = (fits, scale, n)
     assert got == want
+
+
+TEXTS = ['say "hi" \\ there\n\ttab \x01 ' + "long " * 100 + 'end"', '\\"', "{}}, [", 'x": "y', "é 😀" * 60, "plain"]
+
+
+def test_responses_hold_whole_texts(spark, tmp_path):
+    rows = [(conv, turn, t) for conv in range(4) for turn, t in enumerate([*TEXTS, " \n\t", ""])]
+    sf = put(tmp_path, "conversations", rows, ["conv_id", "turn", "text"])
+    got = {(r["conv_id"], r["id"]): r["value"] for r in plans.QUERIES["json_strict_parse"](spark, sf).collect()}
+    assert got == {(c, str(k)): t for c, k, t in rows if t.strip()}
+    assert {r["conv_id"]: (r["expected"], r["missing"]) for r in plans.QUERIES["missing_ids"](spark, sf).collect()} == {c: (8, "6,7,999") for c in range(4)}
+    got = {r["conv_id"]: (r["found"], r["strict_ids"], r["salvaged_ids"]) for r in plans.QUERIES["json_salvage"](spark, sf).collect()}
+    whole = (6, "0,1,2,3,4,5", "")
+    raw = json.dumps({str(k): t for c, k, t in rows if c == 1}, ensure_ascii=False)
+    cut = raw[: int(len(raw) * 0.7)]
+    kept = [str(k) for k, t in enumerate(TEXTS) if f'"{k}": {json.dumps(t, ensure_ascii=False)}' in cut]
+    assert 0 < len(kept) < 6
+    assert got == {0: whole, 1: (len(kept), "", ",".join(kept)), 2: whole, 3: whole}
