@@ -85,7 +85,7 @@ def unit_assignment(spark, sf):
     """Pages with the chunk whose kept range holds them: an interval join within each job."""
     jobs = job_queries._jobs(spark, sf)
     kept = planning.survivors(planning.page_chunks(jobs)).withColumnRenamed("job_id", "j")
-    pages = jobs.where("total_pages > 0").select("job_id", F.explode(F.sequence(F.lit(1), F.col("total_pages").cast("int"), F.lit(7))).alias("page"))
+    pages = jobs.where("total_pages > 0").select("job_id", F.explode(F.sequence(F.lit(1), F.col("total_pages").cast("int"))).alias("page"))
     return pages.join(kept, (F.col("job_id") == F.col("j")) & F.col("page").between(F.col("kept_start"), F.col("kept_end"))).select("job_id", "page", "chunk_index")
 
 

@@ -1,6 +1,7 @@
 """Queries do the whole job: whole tables, whole texts, every page and every count."""
 
 import json
+from datetime import datetime
 
 import pandas as pd
 from quarry import plans
@@ -54,3 +55,10 @@ def test_responses_hold_whole_texts(spark, tmp_path):
     kept = [str(k) for k, t in enumerate(TEXTS) if f'"{k}": {json.dumps(t, ensure_ascii=False)}' in cut]
     assert 0 < len(kept) < 6
     assert got == {0: whole, 1: (len(kept), "", ",".join(kept)), 2: whole, 3: whole}
+
+
+def test_unit_assignment_has_every_page(spark, tmp_path):
+    rows = [(k, n, 100.0, datetime(2024, 1, 1)) for k, n in enumerate([0, 1, 2, 19, 40, 50, 51, 81, 137, 399])]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r["job_id"], r["page"]): r["chunk_index"] for r in plans.QUERIES["unit_assignment"](spark, str(tmp_path)).collect()}
+    assert got == {(k, p): 0 if n <= 50 else (p - 1) // 40 for k, n, *_ in rows for p in range(1, n + 1)}
