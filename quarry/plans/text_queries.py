@@ -107,7 +107,7 @@ def tokenize_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
     stats = terms.statistics(terms.grams(terms.tokens(terms.segments(books(spark, sf)))))
-    return stats.where("cnt >= 3").select("book", "n", "key", "surface", "cnt", "cap", F.col("first.doc_pos").alias("first_doc"))
+    return stats.select("book", "n", "key", "surface", "cnt", "cap", F.col("first.doc_pos").alias("first_doc"))
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:

@@ -62,3 +62,12 @@ def test_unit_assignment_has_every_page(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     got = {(r["job_id"], r["page"]): r["chunk_index"] for r in plans.QUERIES["unit_assignment"](spark, str(tmp_path)).collect()}
     assert got == {(k, p): 0 if n <= 50 else (p - 1) // 40 for k, n, *_ in rows for p in range(1, n + 1)}
+
+
+def test_ngram_counts_have_rare_ones(spark, tmp_path):
+    sf = put(tmp_path, "documents", [(1, "s", "en", "Amber basin. Amber crane"), (2, "s", "en", "amber; crane of basin")], ["doc_id", "source", "lang", "text"])
+    got = {r["key"]: (r["n"], r["cnt"], r["surface"], r["first_doc"]) for r in plans.QUERIES["ngram_counts"](spark, sf).collect()}
+    assert got == {
+        "amber": (1, 3, "Amber", 1), "basin": (1, 2, "basin", 1), "crane": (1, 2, "crane", 1), "amber basin": (2, 1, "Amber basin", 1), "amber crane": (2, 1, "Amber crane", 1),
+        "crane of basin": (3, 1, "crane of basin", 2),
+    }
