@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a window of 11 tokens of which a fixed mask reads 7; four masks together meet every passage of 15 tokens with
-two substitutions, wherever those are. Seed hashes of the benchmark items are joined with those of the documents; at a
+A seed is a window of 6 to 14 tokens of which a fixed mask reads 6 or 7. The masks together meet every passage that can be
+accepted (12 tokens and 75 % agree), wherever it differs: all patterns of 16 tokens with 4 differing, 20 with 5, 24 with 6
+and 28 with 7 hold a seed (a test enumerates them), which shorter and other lengths up to 31 follow from, and a longer
+passage has a part of 16 to 31 tokens that agrees in as large a share. Seed hashes of the benchmark items are joined with those of the documents; at a
 hit, document and item are laid on each other, and the best stretch (a token that agrees counts 1, one that differs -2)
-or all of the overlap must agree in enough tokens. Items shorter than a window are one seed of their own length and must be met whole.
+or all of the overlap must agree in enough tokens. Items of fewer than 11 tokens are one seed of their own length and must be met whole.
 
 The benchmark goes out in blocks of at most ``BLOCK_TOKENS`` tokens (one item at least), one pass over the documents for
 each, so a broadcast never grows with the tables.
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import documents, mix, release, slices, word_hashes
 
 # The masks.
-MASKS = ["11111001001", "10010101111", "11000111101", "10101100111"]
+MASKS = ["11111001001", "10010101111", "11000111101", "10101100111", "1101001000011", "11011101", "11000000011011", "10100101000011", "1110111", "1111010001"]
+#: Tokens from which on an item is met by the masks.
 SPAN = 11
 #: Tokens that must agree, and at least this share of the stretch; tokens of a benchmark block.
 AGREE, SHARE, BLOCK_TOKENS = 12, 0.75, 2_000_000
