@@ -75,13 +75,14 @@ def copyright_score(page: Column) -> Column:
     return cue(2, L.STRONG_CUES) + F.when(pattern, 2).otherwise(0) + cue(1, L.WEAK_CUES)
 
 
-def term_source(text: Column, fold: bool = False) -> Column:
+def term_source(text: Column, fold: bool = True) -> Column:
     """Source text for terms: no markup, straight quotes, ligature fragments and hyphenated line ends joined.
 
-    ``fold`` adds Unicode NFKC, which needs a UDF; text within Latin-1 letters doesn't change by it."""
+    ``fold`` adds Unicode NFKC, which needs a UDF; text of ASCII, Latin-1 letters, dashes and quotes alone doesn't change by it and isn't sent there."""
+    other = text.rlike("[^\\x00-\\x7FÀ-ÿ\u2013\u2014\u2018-\u201D]")
     text = F.regexp_replace(text, "!\\[[^\\]]*\\]\\([^)]*\\)", " ")
     text = F.regexp_replace(tags_to_spaces(text), "(?m)^#{1,6}[ \\t]*", "")
-    text = nfkc(text) if fold else text
+    text = F.coalesce(nfkc(F.when(other, text)), text) if fold else text
     text = F.regexp_replace(text, "[‘’]", "'")
     text = F.regexp_replace(text, f"(?<![{_W}])(ffi|ffl|ff)[ \\t]+([a-z]{{1,20}})(?![{_W}])", "$1$2")
     text = F.regexp_replace(text, f"(?<![{_W}])([A-Za-z]*(?:fi|fl))[ \\t]+([a-z]{{1,20}})(?![{_W}])", "$1$2")

@@ -17,7 +17,7 @@ from quarry.functions import text as T
 _FW = sorted(set(L.EN_FUNCTION_WORDS))
 
 
-def segments(docs: DataFrame, fold: bool = False) -> DataFrame:
+def segments(docs: DataFrame, fold: bool = True) -> DataFrame:
     """(book, doc_pos, text) to punctuation-bounded segments with their tokens."""
     norm = docs.select("book", "doc_pos", T.term_source(F.col("text"), fold).alias("norm"))
     segs = norm.select("book", "doc_pos", F.posexplode(F.split("norm", T.SEGMENT_END)).alias("seg_pos", "seg"))
@@ -132,7 +132,7 @@ def ranked(candidates: DataFrame, cap: int = 20_000, ranks: DataFrame | None = N
     return out.select("book", F.col("surface").alias("term"), F.col("key").alias("match_key"), F.col("n").alias("ngram_size"), F.concat_ws(",", "flags").alias("noise_flags"), F.col("cnt").alias("occurrences"), F.col("score").alias("rank_score"), "place")
 
 
-def mine(docs: DataFrame, forms: DataFrame, cap: int = 20_000, fold: bool = False) -> DataFrame:
+def mine(docs: DataFrame, forms: DataFrame, cap: int = 20_000, fold: bool = True) -> DataFrame:
     """All steps, from (book, doc_pos, text) and known glossary forms (form) to ranked candidates."""
     segs = segments(docs, fold)
     toks = tokens(segs)

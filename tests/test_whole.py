@@ -71,3 +71,12 @@ def test_ngram_counts_have_rare_ones(spark, tmp_path):
         "amber": (1, 3, "Amber", 1), "basin": (1, 2, "basin", 1), "crane": (1, 2, "crane", 1), "amber basin": (2, 1, "Amber basin", 1), "amber crane": (2, 1, "Amber crane", 1),
         "crane of basin": (3, 1, "crane of basin", 2),
     }
+
+
+def test_terms_are_folded(spark, tmp_path):
+    text = "\ufb01lter \ufb02our. caf\u0065\u0301 brul\u00e9e. \uff46\uff55\uff4c\uff4c. o\ufb00er plain"
+    sf = put(tmp_path, "documents", [(k, "s", "en", t) for k, t in enumerate([text, text, "Plain \u2018ASCII\u2019 na\u00efve", None])], ["doc_id", "source", "lang", "text"])
+    counts = {r["key"]: r["cnt"] for r in plans.QUERIES["ngram_counts"](spark, sf).collect()}
+    assert {k: counts.get(k) for k in ("filter flour", "caf\u00e9 brul\u00e9e", "full", "offer", "plain", "na\u00efve")} == {"filter flour": 2, "caf\u00e9 brul\u00e9e": 2, "full": 2, "offer": 2, "plain": 3, "na\u00efve": 1}
+    assert {"filter flour", "full", "offer plain"} <= {r["match_key"] for r in plans.QUERIES["term_candidates"](spark, sf).collect()}
+    assert {r["doc_pos"]: r["tokens"] for r in plans.QUERIES["tokenize_segments"](spark, sf).collect()} == {0: 7, 1: 7, 2: 3}
