@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import crc_fold, documents, release, slices, text_bytes
 
-#: Hashed dimensions; labelled rows a language may give at most; languages at most; centroids a language.
-DIMS, SAMPLE, LANGUAGES, CENTROIDS = 2048, 600, 64, 4
+#: Hashed dimensions; labelled rows a language may give at most; centroids a language.
+DIMS, SAMPLE, CENTROIDS = 2048, 600, 4
 #: Share of training texts of a length that may lie outside, and how much farther still counts as near.
 TAIL, SLACK = 0.01, 0.6
 
@@ -99,14 +99,14 @@ def _cluster(v: np.ndarray, k: int) -> np.ndarray:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows a language (the first in the order of a hash of the id) and ``LANGUAGES`` languages."""
+    """Fit on at most ``sample`` rows a language (the first in the order of a hash of the id); every language counts."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
     )
     first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = rows.select("id", "lang", "h").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample).select("id", "lang").distinct().limit(sample * LANGUAGES)
-    picked = rows.select("id", "text").join(F.broadcast(chosen), "id")  # at most sample x LANGUAGES rows
+    chosen = rows.select("id", "lang", "h").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample).select("id", "lang").distinct()
+    picked = rows.select("id", "text").join(F.broadcast(chosen), "id")  # at most sample rows a language
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +123,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     langs, counts = langs[order], counts[order]
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     v = vectors(counts, idf)
-    names = sorted(set(langs.tolist()))[:LANGUAGES]
+    names = sorted(set(langs.tolist()))
     parts = [_cluster(v[langs == x], CENTROIDS) for x in names]
     centroids = np.vstack(parts).astype(np.float32)
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
