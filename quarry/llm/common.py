@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 from collections.abc import Callable
 
@@ -18,21 +19,102 @@ from quarry.sources.shared import scratch
 # ---------------------------------------------------------------- session and shared tables
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_open: list[list[Callable[[], None]]] = []  # what the running operators, outer ones first, undo when their result is written
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of a block; the session's own comes back after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffles of the job go when it ends. Inside a ``tidied`` operator the table goes when the operator's result is written."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.spool_path = path
+    if _open:
+        _open[-1].append(lambda: _delete(spark, path))
     return out
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_spool(df: DataFrame) -> None:
     """Delete a spooled table that nothing will read again."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.spool_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.spool_path)
+
+
+def share(spark: SparkSession, value):
+    """A broadcast; inside a ``tidied`` operator it goes when the operator's result is written."""
+    shared = spark.sparkContext.broadcast(value)
+    if _open:
+        _open[-1].append(shared.destroy)
+    return shared
+
+
+def tidied(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written to the shared folder, and whose own tables and broadcasts go then."""
+
+    @functools.wraps(make)
+    def run(*args, **kwargs) -> DataFrame:
+        _open.append([])
+        try:
+            out = make(*args, **kwargs)
+            own = _open.pop()
+            try:
+                return spool(out, make.__name__)  # belongs to the operator outside, if any
+            finally:
+                _open.append(own)
+        finally:
+            for undo in _open.pop():
+                with contextlib.suppress(Exception):  # the result stands; a leftover does no harm
+                    undo()
+
+    return run
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, made from ``names``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+#: Rows from which on a key's rows may be split; such keys go out by broadcast, so there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 200, 50_000
+
+
+def spread_join(rows: DataFrame, classes: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` joined with ``classes``: one row a key, of which ``count`` says how many rows have it. ``keys`` hold no null.
+
+    Rows of frequent keys are not gathered: their classes, at most HOT_KEYS since each has a HOT_KEYS-th of all rows, are
+    broadcast. Both tables are read twice, so they should be written ones."""
+    total = classes.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, -(-int(total) // HOT_KEYS))
+    hot, cold = classes.where(F.col(count) >= least), classes.where(F.col(count) < least)
+    if hot.isEmpty():
+        return rows.join(classes, keys)
+    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return few.unionByName(rows.join(F.broadcast(hot), keys))
 
 
 def crc_fold(doc_id: Column, n: int) -> Column:
@@ -74,6 +156,18 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def lean(run: Callable) -> Callable:
+    """For functions of mapInArrow and mapInPandas: a worker lets go of other operators' tools before, and of free memory after."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        release()
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python in batches of 4 MB at most (one text at least), so a worker's memory doesn't follow the rows' number."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
@@ -82,7 +176,7 @@ def small_batches(spark: SparkSession) -> None:
 # ---------------------------------------------------------------- word hashing
 
 #: Bytes hashed at a time; longer words widen one step.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _P = 0x9E3779B97F4A7C15 | 1
 _FOLD = np.arange(1, 257, dtype=np.uint64)
 _FOLD[65:91] = _FOLD[97:123]
@@ -102,9 +196,11 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _tables or len(_tables["p"]) < n:
-        size = max(CHUNK + 4096, n)
-        _tables["p"], _tables["inv"] = _powers(_P, size), _powers(pow(_P, -1, 1 << 64), size)
+    """Powers up to n; those of a chunk are kept, longer ones (for a word that is longer) are not."""
+    if n > CHUNK + 4096:
+        return _powers(_P, n), _powers(pow(_P, -1, 1 << 64), n)
+    if not _tables:
+        _tables["p"], _tables["inv"] = _powers(_P, CHUNK + 4096), _powers(pow(_P, -1, 1 << 64), CHUNK + 4096)
     return _tables["p"], _tables["inv"]
 
 
@@ -174,7 +270,8 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
 def semi(left: DataFrame, ids: DataFrame, column: str, broadcast_rows: int = 1_000_000, how: str = "left_semi") -> DataFrame:
     """Rows of ``left`` whose ``column`` is in ``ids`` (null matches null), or with ``left_anti`` the others. ``ids`` goes
     out by broadcast only when its counted rows are at most ``broadcast_rows``; else both sides are shuffled."""
-    ids = ids.select(F.col(column).alias("_semi")).distinct()
+    (other,) = free(left, "_semi")
+    ids = ids.select(F.col(column).alias(other)).distinct()
     if ids.count() <= broadcast_rows:
         ids = F.broadcast(ids)
-    return left.join(ids, left[column].eqNullSafe(F.col("_semi")), how)
+    return left.join(ids, left[column].eqNullSafe(F.col(other)), how)

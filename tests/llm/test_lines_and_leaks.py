@@ -34,6 +34,25 @@ def test_line_dedup_ties_and_empty(spark):
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+def test_blank_heavy_texts(spark):
+    text = "\n".join(x for _ in range(60) for x in ["a", *[""] * 60])
+    df = spark.createDataFrame([(1, text, "", 0), (2, text, "", 0), (3, "x\n" * 3000, "", 0)], SCHEMA)
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[2]["text"] == "" and got[2]["n_lines_gone"] == 60 * 61
+    assert got[1]["text"] == "\n".join(text.split("\n")[: 61 * 60 - got[1]["n_lines_gone"]])
+    assert 50 <= len(got[3]["text"].split()) < 110
+
+
+def test_line_dedup_columns_of_the_new_names_and_hot_lines(spark, monkeypatch):
+    monkeypatch.setattr("quarry.llm.common.HOT_ROWS", 2)
+    docs = [(i, "\n".join(["common line here"] * 4 + [f"own {i % 7}"])) for i in range(30)]
+    df = spark.createDataFrame([(i, t, "x", 5, 6, 7) for i, t in docs], "doc_id long, text string, lines_gone string, n_lines_gone int, _d int, _t int")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, min_words=8).collect()}
+    assert {i: list(r["lines_gone"] or []) for i, r in got.items()} == brute_lines(docs, 8) and got[3]["_d"] == 6 and got[3]["_t"] == 7
+    runs = line_dedup.repeated_runs(df, 8).collect()
+    assert {(r["doc_id"], r["begin"], r["end"]) for r in runs} >= {(7, 0, 5), (29, 0, 5)} and len(runs) == len({r["doc_id"] for r in runs})
+
+
 def items():
     rnd = random.Random(8)
     return [(i, " ".join(f"t{rnd.randrange(5000)}" for _ in range(n))) for i, n in enumerate([15, 20, 40, 60, 7, 1])]
