@@ -104,17 +104,92 @@ def test_lm_base_scores_and_segments(spark, limit_mb):
 def test_lm_counts_come_back_quantised(spark):
     df = spark.createDataFrame([(i, "p q " * (i + 1), "en", "s") for i in range(20)], SCHEMA)
     model = lm_scoring.train(df, owners=3)
-    (segment,) = lm_scoring.segments(model, 20)
+    segment = lm_scoring.whole_model(model, lm_scoring.weigh(model, 20))
     import numpy as np
     import pyarrow as pa
 
     words, before, _ = lm_scoring.tokens_of(pa.array(["p q"]))
     exact = segment.word_counts(words)
     assert exact.tolist() == [210, 210, 20]
-    pairs = segment.pair_counts(lm_scoring.pair_keys(before, words), lm_scoring.owner_of(words, 3))
+    keys = lm_scoring.pair_keys(before, words)
+    pairs = segment.pair_counts(keys, segment.plan.owner(words, keys))
     assert 128 <= pairs[1] <= 256 and 16 <= pairs[0] <= 32 and np.all(pairs > 0)
 
 
+def lm_corpus(n=150, vocabulary=120):
+    rnd = random.Random(12)
+    names = [f"w{i}" for i in range(vocabulary)]
+    docs = [(i, " ".join(names[min(int(rnd.expovariate(0.08)), vocabulary - 1)] for _ in range(rnd.randint(0, 90)))) for i in range(n)]
+    return docs + [(i + n, docs[i][1]) for i in range(0, n, 9)]
+
+
+def lm_brute(docs, weights):
+    """{id: score} with exact counts, rounded down to powers of two."""
+    texts_ = [[None, *(t or "").lower().split(), ""] for _, t in docs]
+    words = Counter(w for t in texts_ for w in t[1:])
+    pairs = Counter(p for t in texts_ for p in zip(t, t[1:]))
+    before = words | Counter({None: len(docs)})
+    p = lambda w: (words[w] + 0.1) / (words.total() + 0.1 * (len(words) + 1))
+    low = lambda c: 2.0 ** (c.bit_length() - 1) if c else 0.0
+    one = lambda v, w: math.log10((low(pairs[v, w]) + weights.alpha * p(w)) / ((1 + weights.slack) * before[v] + weights.alpha + weights.reserve))
+    return lambda text: sum(one(v, w) for t in [[None, *text.lower().split(), ""]] for v, w in zip(t, t[1:]))
+
+
+@pytest.mark.parametrize("limit_mb", [64, 0])
+def test_lm_scores_equal_brute_force(spark, monkeypatch, limit_mb):
+    monkeypatch.setattr(lm_scoring, "LEAST_PROBES", 30)  # no false positives here
+    monkeypatch.setattr(lm_scoring, "BLOCK_TEXTS", 7)
+    seen, weigh = [], lm_scoring.weigh
+    monkeypatch.setattr(lm_scoring, "weigh", lambda *a: seen.append(weigh(*a)) or seen[-1])
+    docs = lm_corpus()
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in docs], SCHEMA).repartition(3)
+    training = df.where("doc_id % 10 > 0")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(df, training, limit_mb=limit_mb).collect()}
+    score = lm_brute([d for d in docs if d[0] % 10], seen[0])
+    assert len(got) == len(docs)
+    for i, t in docs:
+        assert got[i] == pytest.approx(score(t))
+
+
+def test_lm_probabilities_sum_to_one_at_most(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in lm_corpus(200, 900)], SCHEMA)
+    model = lm_scoring.train(df)
+    weights = lm_scoring.weigh(model, df.count())
+    segment = lm_scoring.whole_model(model, weights)
+    words = np.concatenate([np.unique(lm_scoring.tokens_of(pa.array([t for _, t in lm_corpus(200, 900)]))[0]), lm_scoring.tokens_of(pa.array(["never"]))[0][:1]])
+    assert len(words) == weights.distinct + 1
+    for v in [lm_scoring.START, *words[words != lm_scoring.END]]:
+        value = segment.score(words, np.full(len(words), v, np.uint64))[2]
+        context = segment.word_counts(np.array([v]))[0] if v != lm_scoring.START else weights.starts
+        own = np.where(words == lm_scoring.END, 0.0, np.log10(weights.mass(segment.word_counts(words))))
+        total = (10.0 ** (value + own)).sum() / weights.mass(context)
+        assert 0.4 < total <= 1
+
+
+@pytest.mark.parametrize("limit_mb", [64, 0])
+def test_lm_repeated_passage_scores_below_zero_and_shared_buckets(spark, monkeypatch, limit_mb):
+    monkeypatch.setattr(lm_scoring, "TASK_TOKENS", 2000)
+    plan = lm_scoring.owner_plan
+
+    def shared(texts, owners=None):
+        out = plan(texts, owners)
+        loads = out.parts * 0 + 1
+        loads[::3] = 3
+        return lm_scoring.Plan(out.bits, (loads.cumsum() - loads).astype("int32"), loads)
+
+    monkeypatch.setattr(lm_scoring, "owner_plan", shared)
+    data = [(1, "alpha beta " * 30_000, "", ""), (2, "Alpha beta", "", ""), (2, "alpha beta", "", ""), (None, "beta gamma", "", ""), (5, "x " * 50_000, "", "")]
+    df = spark.createDataFrame(data, SCHEMA)
+    out = lm_scoring.lm_scores(df, df, limit_mb=limit_mb).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len(out) == 5 and all(r["score"] < 0 for r in out)
+    assert (got[1]["n_tokens"], got[1]["train_tokens"], got[5]["n_known"], got[None]["n_known"]) == (60_001, 110_011, 50_001, 3)
+    assert got[1]["score"] > got[1]["base_score"]
+
+
 def test_lm_without_training_rows(spark):
     df = spark.createDataFrame([(1, "a b", "en", "s")], SCHEMA)
     (r,) = lm_scoring.lm_scores(df, df.where("false")).collect()
