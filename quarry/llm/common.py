@@ -103,17 +103,17 @@ def free(df: DataFrame, *names: str) -> list[str]:
 HOT_ROWS, HOT_KEYS = 200, 50_000
 
 
-def spread_join(rows: DataFrame, classes: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """``rows`` joined with ``classes``: one row a key, of which ``count`` says how many rows have it. ``keys`` hold no null.
+def spread_join(rows: DataFrame, classes: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``how``: inner or left) with ``classes``: one row a key, of which ``count`` says how many rows have it. ``keys`` hold no null.
 
     Rows of frequent keys are not gathered: their classes, at most HOT_KEYS since each has a HOT_KEYS-th of all rows, are
     broadcast. Both tables are read twice, so they should be written ones."""
-    total = classes.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    total, most = classes.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()
     least = max(HOT_ROWS, -(-int(total) // HOT_KEYS))
+    if most < least:
+        return rows.join(classes, keys, how)
     hot, cold = classes.where(F.col(count) >= least), classes.where(F.col(count) < least)
-    if hot.isEmpty():
-        return rows.join(classes, keys)
-    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return few.unionByName(rows.join(F.broadcast(hot), keys))
 
 

@@ -15,8 +15,9 @@
 A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6, and less above.
 
 Defined cases: a text without words has an empty set and links with nothing; fewer than five words are one shingle;
-rows that repeat an id are one document; a row with a null id links with nothing, has a null component and is kept;
-an empty table gives no row; other columns are ignored.
+rows that repeat an id are one document: if their texts differ, the one whose set has the smallest digest stands for it
+in every step, and all its rows get its component (``n_shingles`` is each row's own); a row with a null id links with
+nothing, has a null component and is kept; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, drop_spool, mix, release, semi, slices, spool, trim, word_hashes
+from quarry.llm.common import documents, drop_spool, lean, mix, semi, slices, spool, spread_join, tidied, word_hashes
 
 WORDS, ROWS, BANDS, FIRST_BANDS = 5, 4, 32, 3
 HASHES, BATCH = ROWS * BANDS, 16
@@ -67,8 +67,12 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+@lean
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release()
     for batch in batches:
         for part in slices(batch, "text"):
             tokens, ends = word_hashes(part.column(1))
@@ -76,24 +80,27 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(ends, ends[1:]):
                 shingles = shingle_set(tokens[a:b])
                 n.append(len(shingles))
-                set_id.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
+                set_id.append(_digest(shingles) if len(shingles) else None)
                 sig.append(signature(shingles).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(set_id, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "set_id", "sig"])
-    trim()
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             tokens, ends = word_hashes(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(tokens[a:b]).tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], ["id", "set"])
-    trim()
+            sets = [shingle_set(tokens[a:b]) for a, b in zip(ends, ends[1:])]
+            some = [i for i, x in enumerate(sets) if len(x)]  # an empty text of a repeated id stands for nothing
+            sets = [sets[i] for i in some]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some, pa.int64())), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "set_id", "set"])
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
+@lean
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 4096):
@@ -135,7 +142,7 @@ def _prune(threshold: float):
                 live = pa.array(survivors(_signatures(batch.column(2)), _signatures(batch.column(3)), threshold))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(live), batch.column(1).take(live)], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _confirm(threshold: float):
@@ -153,17 +160,25 @@ def _confirm(threshold: float):
                 good.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return run
+    return lean(run)
+
+
+def _sets_of(ids: DataFrame, own: DataFrame, twice: DataFrame) -> DataFrame:
+    """(id, set) of the documents in ``ids`` (doc_id); ``twice`` has the set that counts of ids with several."""
+    sets = semi(own, ids, "doc_id").mapInArrow(_sets, "id long, set_id binary, set binary")
+    if not twice.isEmpty():
+        sets = sets.join(_small(twice.withColumnRenamed("doc_id", "id")), "id", "left").where("chosen is null or chosen = set_id").drop("chosen")
+    return spool(sets.select("id", "set").dropDuplicates(["id"]), "nd-sets")
 
 
-def _sets_of(ids: DataFrame, own: DataFrame) -> DataFrame:
-    """(id, set) of the documents in ``ids`` (doc_id)."""
-    return spool(semi(own, ids, "doc_id").mapInArrow(_sets, "id long, set binary").dropDuplicates(["id"]), "nd-sets")
+def _small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """For broadcast if it has that few rows, by count."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def _verified(pairs: DataFrame, own: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, own: DataFrame, twice: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    sets = _sets_of(spool(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nd-ids"), own)
+    sets = _sets_of(spool(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nd-ids"), own, twice)
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     links = spool(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(threshold), "a long, b long"), "nd-links")
     drop_spool(sets)
@@ -179,30 +194,65 @@ def _similar(one: np.ndarray, others: list[np.ndarray], threshold: float) -> np.
     return 100 * both >= round(threshold * 100) * (sizes + len(one) - both)
 
 
-def _across(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group.sig), np.uint32).reshape(-1, HASHES)
-        sets = [np.frombuffer(x, np.uint64) for x in group.set]
-        rep, comp, n, part = (group[c].to_numpy() for c in ("rep", "comp", "n", "part"))
-        one = group.i.iloc[0] == group.j.iloc[0]
-        rows = np.flatnonzero(part == group.i.iloc[0])
-        others = rows if one else np.flatnonzero(part == group.j.iloc[0])
-        if len(others) < len(rows):
-            rows, others = others, rows
-        out = []
-        for x in rows:
-            y = others[(comp[others] != comp[x]) & (np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x]))]
-            y = y[rep[y] > rep[x]] if one else y
-            y = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], threshold)] if len(y) else y
-            if len(y):
-                y = y[_similar(sets[x], [sets[k] for k in y], threshold)]
-                _, first = np.unique(comp[y], return_index=True)
-                out += [(min(rep[x], rep[k]), max(rep[x], rep[k])) for k in y[first]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+def _block_links(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], part: np.ndarray, i: int, j: int, threshold: float) -> list[tuple[int, int]]:
+    """Links between components in a block of a bucket: of part i with part j, one for each row and component at most."""
+    rows = np.flatnonzero(part == i)
+    others = rows if i == j else np.flatnonzero(part == j)
+    if len(others) < len(rows):
+        rows, others = others, rows
+    out = []
+    for x in rows:
+        y = others[(comp[others] != comp[x]) & (np.minimum(n[others], n[x]) >= threshold * np.maximum(n[others], n[x]))]
+        y = y[rep[y] > rep[x]] if i == j else y
+        y = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], threshold)] if len(y) else y
+        if len(y):
+            y = y[_similar(sets[x], [sets[k] for k in y], threshold)]
+            _, first = np.unique(comp[y], return_index=True)
+            out += [(min(rep[x], rep[k]), max(rep[x], rep[k])) for k in y[first]]
+    return out
 
-    return run
 
+_BLOCK = ["key", "i", "j", "part", "rep", "comp", "n", "sig", "set"]
 
+
+def _across(threshold: float):
+    """Blocks lie one after the other in a partition; only the one that is open is held."""
+
+    def links(batch: pa.RecordBatch, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j, part, rep, comp, n = (np.asarray(batch.column(k)) for k in range(1, 7))
+        sig, raw = _signatures(batch.column(7)), batch.column(8).cast(pa.large_binary())
+        offsets, data = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1], np.frombuffer(raw.buffers()[2], np.uint8)
+        sets = [data[a:b].view(np.uint64) for a, b in zip(offsets, offsets[1:])]
+        out = []
+        for a, b in zip(begins, [*begins[1:], batch.num_rows]):
+            out += _block_links(rep[a:b], comp[a:b], n[a:b], sig[a:b], sets[a:b], part[a:b], i[a], j[a], threshold)
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(3)])
+            new = np.flatnonzero(np.concatenate([[last is None or (key[:, 0] != last).any()], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+            last = key[:, -1]
+            if not len(new):
+                held.append(batch)
+                continue
+            if held:
+                yield from links(pa.concat_batches([*held, batch.slice(0, int(new[0]))]), np.zeros(1, np.int64))
+            if len(new) > 1:
+                yield from links(batch.slice(int(new[0]), int(new[-1] - new[0])), new[:-1] - new[0])
+            held = [batch.slice(int(new[-1]))]
+        if held:
+            yield from links(pa.concat_batches(held), np.zeros(1, np.int64))
+
+    return lean(run)
+
+
+@lean
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition, block by block, as stars: every end with the smallest it can reach."""
     for batch in batches:
@@ -244,18 +294,24 @@ def components(links: DataFrame) -> DataFrame:
         edges = following
 
 
+@tidied
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = spool(own.mapInArrow(_sketch, "doc_id long, n long, set_id binary, sig binary"), "nd-sketch")
     linked = sketch.where("n > 0 and doc_id is not null")
+    twice = spool(linked.groupBy("doc_id").agg(F.min("set_id").alias("chosen"), F.max("set_id").alias("last")).where("chosen != last").drop("last"), "nd-twice")
+    named = sketch
+    if not twice.isEmpty():
+        named = sketch.join(_small(twice), "doc_id", "left").withColumn("own", F.coalesce(F.col("chosen") == F.col("set_id"), F.col("chosen").isNull())).withColumn("set_id", F.coalesce("chosen", "set_id"))
+        linked = named.where("n > 0 and doc_id is not null and own")
     classes = spool(linked.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "nd-classes")
-    # a class has one representative; an id that was given twice, with two texts, may stand for two classes
     reps = classes.select("rep", "n", "sig")
 
-    bands = reps.select("rep", "sig").mapInArrow(lambda b: _bands(x.select(["rep", "sig"]) for x in b), "key long, band short, rep long")
-    leads = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead != last").select("key", "lead")
-    members = spool(bands.join(leads, "key"), "nd-members")
+    bands = spool(reps.select("rep", "sig").mapInArrow(_bands, "key long, band short, rep long"), "nd-bands")
+    leads = spool(bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("m")).where("lead != last").select("key", "lead", "m"), "nd-leads")
+    members = spool(spread_join(bands, leads, ["key"], "m").drop("m"), "nd-members")
+    drop_spool(bands)
     left, right = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -263,13 +319,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
 
     def placed_by(stars: DataFrame, among: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components."""
-        placed = among.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m")
-        return spool(placed.join(mixed, "key"), "nd-placed")
+        placed = spool(among.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp")), "nd-where")
+        mixed = spool(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m"), "nd-mixed")
+        return spool(spread_join(placed, mixed, ["key"], "m"), "nd-placed")
 
     as_edges = lambda pairs: pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
     star = members.where((F.col("band") < FIRST_BANDS) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = components(as_edges(_verified(likely(spool(star, "nd-star")), own, threshold)))
+    stars = components(as_edges(_verified(likely(spool(star, "nd-star")), own, twice, threshold)))
     placed = placed_by(stars, members.select("key", "rep"))
     if not placed.isEmpty():
         near = []
@@ -279,29 +335,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc
             pairs = dealt.select("rep", "comp", F.lead("rep").over(w).alias("b"), F.lead("comp").over(w).alias("c")).where("comp != c")
             near.append(pairs.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")))
         chains = spool(reduce(DataFrame.unionByName, near).distinct(), "nd-chains")
-        stars = components(stars.unionByName(as_edges(_verified(likely(chains), own, threshold))))
+        stars = components(stars.unionByName(as_edges(_verified(likely(chains), own, twice, threshold))))
         placed = placed_by(stars, placed.select("key", "rep"))
 
-    sets = _sets_of(placed.select(F.col("rep").alias("doc_id")), own).withColumnRenamed("id", "rep")
-    full = placed.join(reps, "rep")
-    parts = full.groupBy("key").agg(F.greatest(F.ceil(F.max("m") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("parts"))
-    rows = full.join(parts, "key").join(sets, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select("key", "rep", "comp", "n", "sig", "set", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    more = blocks.groupBy("key", "i", "j").applyInPandas(_across(threshold), "a long, b long").distinct()
-    more = spool(more, "nd-more")
-    stars = stars if more.isEmpty() else components(stars.unionByName(as_edges(more)))
+    if not placed.isEmpty():
+        sets = _sets_of(placed.select(F.col("rep").alias("doc_id")), own, twice).withColumnRenamed("id", "rep")
+        sized = spool(placed.join(reps.select("rep", "n"), "rep"), "nd-sized")
+        parts = spool(sized.groupBy("key").agg(F.greatest(F.ceil(F.max("m") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("parts"), F.count("*").alias("rows")), "nd-parts")
+        rows = spread_join(sized, parts, ["key"], "rows").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        blocks = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+        blocks = blocks.join(reps.select("rep", "sig").join(sets, "rep"), "rep").select(*_BLOCK)
+        more = spool(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(threshold), "a long, b long").distinct(), "nd-more")
+        stars = stars if more.isEmpty() else components(stars.unionByName(as_edges(more)))
     comps = stars.select(F.col("u").alias("rep"), F.col("v").alias("comp"))
 
-    named = classes.select("set_id", "rep", "size").join(comps, "rep", "left").where("size > 1 or comp is not null").select("set_id", F.coalesce("comp", "rep").alias("comp"))
-    out = sketch.select("doc_id", "n", "set_id").join(named, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    placing = spool(classes.select("set_id", "rep", "size").join(comps, "rep", "left").where("size > 1 or comp is not null").select("set_id", F.coalesce("comp", "rep").alias("comp"), "size"), "nd-placing")
+    found = named.where("set_id is not null and doc_id is not null").select("doc_id", "n", "set_id")
+    rest = named.where("set_id is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("comp"))
+    out = spread_join(found, placing, ["set_id"], "size", "left").select("doc_id", "n", F.coalesce("comp", "doc_id").alias("comp")).unionByName(rest)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of the document that stays of each component."""
-    gone = spool(near_duplicates(docs, threshold, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)), "nd-gone")
+    gone = near_duplicates(docs, threshold, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col))
     return semi(docs, gone, id_col, how="left_anti")
 
 

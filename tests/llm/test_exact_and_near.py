@@ -102,3 +102,29 @@ def test_word_hashes_follow_the_pattern():
     for w, h in zip((w for ws in words for w in ws), hashes.tolist()):
         seen[h].add(w)
     assert all(len(v) == 1 for v in seen.values()) and len(seen) == len({w for ws in words for w in ws})
+
+
+def test_near_repeated_id_with_other_text_is_one_document(spark, monkeypatch):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    data = [(1, a), (1, b), (2, a), (3, b), (4, b + " more"), (5, ""), (5, a + " more"), (None, a)]
+    want = None
+    for parts, hot in ((1, 200), (2, 1), (7, 1)):
+        monkeypatch.setattr("quarry.llm.common.HOT_ROWS", hot)
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(parts, "text")
+        got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+        want = want or got
+        assert got == want
+    component = {i: c for i, _, c, _ in want}
+    assert sum(x[0] == 1 for x in want) == 2 and component[4] == component[3] and component[2] == component[5]
+    assert (component[1] == component[2]) != (component[1] == component[3])
+
+
+def test_near_bucket_of_many_documents_with_common_words(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rnd = random.Random(1)
+    common = [f"c{i}" for i in range(60)]
+    data = [(i, " ".join(common + [f"x{rnd.randrange(10**6)}" for _ in range(40)])) for i in range(120)]
+    data += [(200 + i, data[i][1] + " tail") for i in range(0, 120, 10)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute_near(data)
