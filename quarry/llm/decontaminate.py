@@ -10,8 +10,12 @@ or all of the overlap must agree in enough tokens. Items of fewer than 11 tokens
 The benchmark goes out in blocks of at most ``BLOCK_TOKENS`` tokens (one item at least), one pass over the documents for
 each, so a broadcast never grows with the tables.
 
+Seeds of a word that comes again and again, in a text and in an item, are not listed pair by pair: the diagonals between
+them are looked at once each, until one agrees in the whole item.
+
 Defined cases: null or empty texts and items match nothing; repeated rows give one match each; repeated items (same id
-and text) count once; words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; other columns are ignored or passed on.
+and text) count once, an id with two texts counts as two items; rows with a null id are looked at like others; of stretches
+that agree in as many tokens the first counts; words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; other columns are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, mix, release, slices, word_hashes
+from quarry.llm.common import documents, lean, mix, share, slices, word_hashes
 
 # The masks.
 MASKS = ["11111001001", "10010101111", "11000111101", "10101100111", "1101001000011", "11011101", "11000000011011", "10100101000011", "1110111", "1111010001"]
@@ -32,6 +36,8 @@ MASKS = ["11111001001", "10010101111", "11000111101", "10101100111", "1101001000
 SPAN = 11
 #: Tokens that must agree, and at least this share of the stretch; tokens of a benchmark block.
 AGREE, SHARE, BLOCK_TOKENS = 12, 0.75, 2_000_000
+#: Hits that are listed at a time; hits of one seed from which on the range of its diagonals is looked at instead.
+EXPANDED, HEAVY = 1_000_000, 1024
 
 _ODD = [np.uint64(int(x)) for x in np.random.default_rng(5).integers(1, 1 << 63, SPAN, dtype=np.int64) | 1]
 
@@ -77,27 +83,54 @@ class Block:
             sieve[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         return Block(np.array(ids), tokens, begins, shapes, table, sieve)
 
-    def hits(self, tokens: np.ndarray) -> np.ndarray:
-        """Distinct (item, place in document minus place in item) of all seeds that meet; document places count from 0."""
-        found = []
+    def hits(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int], list[tuple[int, int]]]]:
+        """Distinct (text, item, place in all texts minus place in item) of the seeds that meet, a seed belonging to the
+        text that it begins in; and, for words that come again and again in a text and an item, ranges of such differences by (text, item)."""
+        found, wide = [np.zeros((0, 3), np.int64)], {}
         for k, (shape, (hashes, places)) in enumerate(zip(self.shapes, self.table)):
             if not len(hashes):
                 continue
             h = seeds(tokens, shape, k)
             here = np.flatnonzero(self.sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(hashes, h[here]), np.searchsorted(hashes, h[here], side="right")
-            n = hi - lo
-            if n.any():
-                at = places[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                item = np.searchsorted(self.begins, at, side="right") - 1
-                found.append(np.stack([item, np.repeat(here, n) - (at - self.begins[item])], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            here, lo, n = here[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            if n.sum() > EXPANDED:
+                _, own, often = np.unique(lo, return_inverse=True, return_counts=True)
+                heavy = often[own] * n > HEAVY
+                self._ranges(here[heavy], lo[heavy], n[heavy], places, ends, wide)
+                here, lo, n = here[~heavy], lo[~heavy], n[~heavy]
+            part = np.cumsum(n) // EXPANDED  # some at a time
+            for x in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+                if len(x):
+                    m = n[x]
+                    at = places[np.repeat(lo[x], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                    item, begin = np.searchsorted(self.begins, at, side="right") - 1, np.repeat(here[x], m)
+                    text = np.searchsorted(ends, begin, side="right") - 1
+                    found.append(np.unique(np.stack([text, item, begin - (at - self.begins[item])], axis=1), axis=0))
+        return np.unique(np.concatenate(found), axis=0), wide
+
+    def _ranges(self, here: np.ndarray, lo: np.ndarray, n: np.ndarray, places: np.ndarray, ends: np.ndarray, wide: dict) -> None:
+        text = np.searchsorted(ends, here, side="right") - 1
+        order = np.lexsort((here, text, lo))
+        here, lo, n, text = here[order], lo[order], n[order], text[order]
+        edges = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (text[1:] != text[:-1]), [True]])) if len(lo) else []
+        for a, b in zip(edges, edges[1:]):
+            at = np.sort(places[lo[a] : lo[a] + n[a]])
+            item = np.searchsorted(self.begins, at, side="right") - 1
+            firsts = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+            for i, least, most in zip(item[firsts].tolist(), at[firsts].tolist(), at[np.append(firsts[1:], len(at)) - 1].tolist()):
+                begin = int(self.begins[i])
+                wide.setdefault((int(text[a]), i), []).append((int(here[a]) - most + begin, int(here[b - 1]) - least + begin))
 
     def verify(self, tokens: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
         """Begin, end (in the document) and agreeing tokens of the best stretch, if it is enough."""
         own = self.tokens[self.begins[item] : self.begins[item + 1]]
         lo, hi = max(0, -shift), min(len(own), len(tokens) - shift)
+        if hi <= lo:
+            return None
         same = own[lo:hi] == tokens[lo + shift : hi + shift]
+        if int(same.sum()) < min(AGREE, len(own)):
+            return None
         run = np.cumsum(np.where(same, 1, -2))
         low = np.minimum.accumulate(np.concatenate([[0], run[:-1]]))
         end = int((run - low).argmax()) + 1
@@ -109,21 +142,28 @@ class Block:
         return None
 
     def matches(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, begin, end, agreeing tokens): the best match of each text and item."""
+        """(text, item, begin, end, agreeing tokens): the best match of each text and item, the first one on ties."""
         tokens, ends = word_hashes(column)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for item, shift in self.hits(tokens).tolist():
-            # seeds may run over the border of two texts: each text near the place is tried by itself
-            first = int(np.searchsorted(ends, max(shift, 0), side="right")) - 1
-            last = int(np.searchsorted(ends, shift + int(self.begins[item + 1] - self.begins[item]), side="left"))
-            for text in range(max(0, first), min(last, len(ends) - 1)):
-                a, b = int(ends[text]), int(ends[text + 1])
-                if a < b and (found := self.verify(tokens[a:b], item, shift - a) if self._meet(item, shift, a, b) else None) and found[2] > best.get((text, item), (0, 0, 0))[2]:
+
+        def look(text: int, item: int, shift: int) -> None:
+            a, b = int(ends[text]), int(ends[text + 1])
+            so_far = best.get((text, item), (0, 0, 0))
+            if so_far[2] < self.begins[item + 1] - self.begins[item]:  # all of the item agrees: nothing is better
+                found = self.verify(tokens[a:b], item, shift - a)
+                if found and (found[2] > so_far[2] or found[2] == so_far[2] and found < so_far):
                     best[text, item] = found
-        yield from ((t, i, *m) for (t, i), m in best.items())
 
-    def _meet(self, item: int, shift: int, a: int, b: int) -> bool:
-        return shift < b and shift + int(self.begins[item + 1] - self.begins[item]) > a
+        some, wide = self.hits(tokens, ends)
+        for text, item, shift in some.tolist():
+            look(text, item, shift)
+        for (text, item), ranges in wide.items():  # each diagonal once, however many seeds lie on it
+            done = min(a for a, _ in ranges)
+            for a, b in sorted(ranges):
+                for shift in range(max(a, done), b + 1):
+                    look(text, item, shift)
+                done = max(done, b + 1)
+        yield from ((t, i, *m) for (t, i), m in best.items())
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
@@ -146,10 +186,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = spark.createDataFrame([], _SCHEMA)
     for block in blocks(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
+        shared = share(spark, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            release()
             block = shared.value
             for batch in batches:
                 for part in slices(batch, "text", 1 << 20):
@@ -158,24 +197,23 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         text, item, begin, end, agree = map(np.array, zip(*found))
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(block.ids[item]), pa.array(agree.astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(begin), pa.array(end)], [c.split()[0] for c in _SCHEMA.split(", ")])
 
-        out = out.unionByName(own.mapInArrow(run, _SCHEMA))
+        out = out.unionByName(own.mapInArrow(lean(run), _SCHEMA))
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no benchmark item."""
     for block in blocks(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = share(docs.sparkSession, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            release()
             for batch in batches:
                 for part in slices(batch, text_col, 1 << 20):
                     clean = np.ones(part.num_rows, bool)
                     clean[[m[0] for m in shared.value.matches(part.column(text_col))]] = False
                     yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs
 
 
