@@ -49,6 +49,21 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, column: str, buckets: int):
+    """``df`` as a table in the shared folder, bucketed by ``column``, for the time of a block: joins on it move the other side only."""
+    spark = df.sparkSession
+    path = scratch(spark, "bucketed")
+    name = "quarry_" + path.rsplit("-", 1)[1]
+    with setting(spark, CLEANUP, "true"):
+        df.write.bucketBy(buckets, column).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, path)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
