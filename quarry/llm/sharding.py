@@ -5,7 +5,9 @@ largest spread, the fullest shard of one with the emptiest of the other, until o
 buckets by hash; each bucket is differenced in one task, then the buckets' partial partitions are differenced in turn,
 at most ``FAN_IN`` at a time, so neither a task nor the driver ever holds all groups.
 
-Defined cases: a null text has no bytes and counts as equal to an empty one; repeated rows get slots one by one; rows with a null id are dealt like others, after them; an empty table gives no row.
+Defined cases: a null text has no bytes and counts as equal to an empty one; a group, or a very long text, that is larger than a
+shard fills one by itself; repeated rows get slots one by one; rows with a null id are dealt like others, and come last
+among rows of one block; an empty table gives no row; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, spool
+from quarry.llm.common import documents, spool, spread_join, tidied
 
 #: Groups in a bucket, about; partial partitions that one task combines at most; rows in a slot block, about.
 BUCKET_GROUPS, FAN_IN, SLOT_ROWS = 20_000, 4096, 50_000
@@ -92,6 +94,7 @@ def shard_groups(groups: DataFrame, shards: int) -> DataFrame:
     return place.select("gid", F.col("place").alias("shard"))
 
 
+@tidied
 def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null)."""
     text = F.col(text_col).cast("binary")
@@ -104,10 +107,11 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, id_col: str = "
         ),
         "shard-rows",
     )
-    groups = spool(own.groupBy("gid").agg(F.sum("size").alias("size")), "shard-groups")
-    placed = own.join(shard_groups(groups, shards), "gid").drop("gid")
+    groups = spool(own.groupBy("gid").agg(F.sum("size").alias("size"), F.count("*").alias("copies")), "shard-groups")
+    sharded = spool(shard_groups(groups.select("gid", "size"), shards).join(groups.select("gid", "copies"), "gid"), "shard-places")
+    placed = spread_join(own, sharded, ["gid"], "copies").drop("gid", "copies")
     n = own.count()
-    placed = spool(placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SLOT_ROWS)))), "shard-placed")
+    placed = spool(placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(max(1, n // SLOT_ROWS)))), "shard-placed")
     blocks = placed.groupBy("shard", "block").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("shard", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
