@@ -2,10 +2,13 @@
 
 Texts become normalised TF-IDF vectors of hashed byte 1- to 3-grams (letters lower-cased, all else one space). Training
 takes a bounded, hash-ordered sample of labelled rows, clusters each language into a few spherical centroids, and
-notes, per length of text, how near training texts are to their centroids; farther texts are rejected.
+notes, per length of text, how near training texts, and pieces cut out of them, are to their centroids; farther texts are rejected.
 
 Defined cases: a text that is null or has no letter is ``und``, score 0, rejected; without any labelled row every text
-is ``und``; repeated rows are predicted alike; other columns are ignored (or passed on by ``filter_language``).
+is ``und``; any number of languages is learned; of centroids that are equally near the first counts, in the order of
+languages; repeated rows are predicted alike, and rows that repeat an id teach one text a language; rows with a null id
+are predicted like others; very long texts are read whole, some at a time; other columns are ignored (or passed on by
+``filter_language``).
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_fold, documents, release, slices, text_bytes
+from quarry.llm.common import crc_fold, documents, drop_spool, lean, share, slices, spool, text_bytes
 
 #: Hashed dimensions; labelled rows a language may give at most; centroids a language.
 DIMS, SAMPLE, CENTROIDS = 2048, 600, 4
+#: Characters of the pieces cut out of the training texts, to tell how near short texts are.
+PIECES = (4, 8, 16, 32, 64, 128)
 #: Share of training texts of a length that may lie outside, and how much farther still counts as near.
 TAIL, SLACK = 0.01, 0.6
 
@@ -98,23 +103,34 @@ def _cluster(v: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows a language (the first in the order of a hash of the id); every language counts."""
-    spark = labelled.sparkSession
+def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> DataFrame:
+    """(lang, text) of at most ``sample`` rows a language: those with the least hash of the id.
+
+    Languages are counted first, so that only a few more rows than wanted meet where a language's first ones are found."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
     )
+    ids = rows.select("id", "lang", "h").distinct()
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
+    part = (1.5 * sample + 200) / F.col("size")  # far more than ``sample`` with any odds
+    sizes = F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes
+    likely = ids.join(sizes, "lang").where((part >= 1) | (F.col("h").cast("double") < part * 2.0**64 - 2.0**63))
     first = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = rows.select("id", "lang", "h").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample).select("id", "lang").distinct()
-    picked = rows.select("id", "text").join(F.broadcast(chosen), "id")  # at most sample rows a language
+    chosen = likely.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample).select("id", "lang")
+    return rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                counts = gram_counts(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.astype(np.uint32).tobytes() for c in counts], pa.binary())], ["lang", "counts"])
 
-    found = picked.select("lang", "text").mapInArrow(features, "lang string, counts binary").toArrow()
+@lean
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.astype(np.uint32).tobytes() for c in gram_counts(part.column(1))], pa.binary())], ["lang", "counts"])
+
+
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """Fit on at most ``sample`` rows a language (the first in the order of a hash of the id); every language counts."""
+    picked = spool(_sample(labelled, id_col, text_col, lang_col, sample), "language-sample")
+    found = picked.mapInArrow(_features, "lang string, counts binary").toArrow()
     if not found.num_rows:
         return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(32))
     langs = np.array(found.column("lang").to_pylist())
@@ -127,41 +143,54 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     parts = [_cluster(v[langs == x], CENTROIDS) for x in names]
     centroids = np.vstack(parts).astype(np.float32)
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
-    like = np.where(owner[None, :] == np.searchsorted(names, langs)[:, None], v @ centroids.T, -1).max(axis=1)
-    size, near, last = length_class(counts), np.zeros(32), 0.0
+    model = Model(names, owner, centroids, idf, np.zeros(32))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text, and of pieces from its middle: class of length, and similarity to its language."""
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column(1).to_pylist()
+                cuts = [t[len(t) // 2 :][:n] for n in PIECES for t in texts]
+                own = np.tile(np.searchsorted(model.langs, part.column(0).to_pylist()), 1 + len(PIECES))
+                c = np.vstack([gram_counts(part.column(1)), gram_counts(pa.array(cuts, pa.string()))])
+                like = np.where(model.owner[None, :] == own[:, None], vectors(c, model.idf) @ model.centroids.T, -1).max(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(length_class(c).astype(np.int32)), pa.array(like.astype(float))], ["size", "like"])
+
+    seen = picked.mapInArrow(lean(similar), "size int, like double").toArrow()
+    drop_spool(picked)
+    size, like = (np.asarray(seen.column(c)) for c in ("size", "like"))
+    fit = [c for c in range(1, 32) if (size == c).sum() >= 20]
     for c in range(32):
-        if (size == c).sum() >= 20:
-            last = SLACK * float(np.quantile(like[size == c], TAIL))
-        near[c] = last
-    return Model(names, owner, centroids, idf, near)
+        if fit and c:  # without letters there is nothing to measure
+            near = max((x for x in fit if x <= c), default=fit[0])
+            model.near[c] = SLACK * float(np.quantile(like[size == near], TAIL))
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, lang_pred, score (cosine), rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 lang, score, rejected = shared.value.predict(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return own.mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def filter_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that the model does not reject."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
                 yield part.filter(pa.array(~shared.value.predict(part.column(text_col))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

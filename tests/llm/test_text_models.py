@@ -41,6 +41,25 @@ def test_language_edge_cases(spark):
     assert language_id.identify(df.where("false"), model).count() == 0
 
 
+def test_language_short_junk_is_rejected_and_short_texts_are_not(spark):
+    data = texts(400)
+    df = spark.createDataFrame([(i, t, lang, "s") for i, t, lang in data], SCHEMA)
+    model = language_id.train(df)
+    odd = spark.createDataFrame([(1, "日本語", None, ""), (2, "ШЩ", None, ""), (3, "with the house", None, ""), (4, "avec les", None, ""), (None, "und schön", None, ""), (4, "avec les", None, "")], SCHEMA)
+    got = [(r["doc_id"], r["lang_pred"], r["rejected"]) for r in language_id.identify(odd, model).collect()]
+    assert sorted((i or 9, lang, r) for i, lang, r in got if i not in (1, 2)) == [(3, "en", False), (4, "fr", False), (4, "fr", False), (9, "de", False)]
+    assert all(r for i, _, r in got if i in (1, 2))
+
+
+def test_language_many_labels_of_one_language_and_repeated_ids(spark):
+    data = [(i, f"the other water thing {i}", "en", "s") for i in range(3000)] + [(1, "with house", "en", "s")] * 50 + [(5000 + i, "les avec maison", "fr", "s") for i in range(30)]
+    df = spark.createDataFrame(data, SCHEMA)
+    sample = language_id._sample(df, "doc_id", "text", "lang", 40).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in sample} == {"en": 40, "fr": 30}
+    first = sorted(r["text"] for r in language_id._sample(df, "doc_id", "text", "lang", 40).collect())
+    assert first == sorted(r["text"] for r in language_id._sample(df.repartition(5), "doc_id", "text", "lang", 40).collect())
+
+
 def toxic_corpus(n=300):
     rnd = random.Random(4)
     plain = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
