@@ -7,7 +7,9 @@ without one. Phrases around lexicon words that only clean texts have become
 exceptions, which silence the matches inside them. The weight found is normalised by the number of words.
 
 Defined cases: null and empty texts score as clean; without labels of both kinds every text scores 0; a label for an
-unknown id is ignored; repeated rows score alike; repeated labels of an id count once (the larger).
+unknown id is ignored; repeated rows score alike, and rows that repeat an id teach one text (the greatest); repeated labels
+of an id count once (the larger); rows with a null id are scored, and teach nothing; an empty table gives no row; very
+long texts are scored whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import crc_fold, documents
+from quarry.llm.common import crc_fold, documents, drop_spool, lean, share, slices, spool
 
 #: Labelled rows that the lexicon is learned from at most.
 SAMPLE = 24_000
@@ -147,28 +149,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     ids = docs.select(F.col(id_col).alias("id")).join(known, "id").distinct()
     chosen = ids.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic")  # at most ``sample`` rows
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = spool(texts.groupBy("id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic-sample")  # at most ``sample`` rows
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lexicon = Lexicon()
     if len(sizes) < 2:
         return lexicon
-    counts = rows.mapInPandas(_counted, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInPandas(lean(_counted), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     least = max(SUPPORT, SHARE * sizes[1])
     weight = F.log((F.col("pos") + 0.5) / (sizes[1] + 1)) - F.log((F.col("neg") + 0.5) / (sizes[0] + 1))
     likely = counts.select("entry", "pos", weight.alias("w")).where((F.col("pos") >= least) & (F.col("w") >= WEIGHT)).toPandas()
     weights = dict(zip(likely.entry, likely.w))
-    candidates = spark.sparkContext.broadcast(weights)
+    candidates = share(spark, weights)
 
     def held(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"entries": [sorted(_entries(fold(t)) & candidates.value.keys()) for t in frame.text]})
 
     # copies of one text count once here, or its chance words would look like evidence
-    toxic = rows.where("toxic = 1").select("text").distinct().mapInPandas(held, "entries array<string>").toPandas()
+    toxic = rows.where("toxic = 1").select("text").distinct().mapInPandas(lean(held), "entries array<string>").toPandas()
     lexicon.weights = choose(weights, list(toxic.entries), least)
     if not lexicon.weights:
         return lexicon
-    shared = spark.sparkContext.broadcast(lexicon)
+    shared = share(spark, lexicon)
 
     def phrases(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = shared.value.automaton()
@@ -185,16 +188,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out += [(p, int(label)) for p in found]
             yield pd.DataFrame(out, columns=["phrase", "toxic"])
 
-    spared = rows.mapInPandas(phrases, "phrase string, toxic int").groupBy("phrase").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
+    spared = rows.mapInPandas(lean(phrases), "phrase string, toxic int").groupBy("phrase").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"))
     lexicon.exceptions = sorted(r["phrase"] for r in spared.where((F.col("toxic") == 0) & (F.col("n") >= EXCEPTION)).collect())
-    tuned = spark.sparkContext.broadcast(lexicon)
+    tuned = share(spark, lexicon)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = tuned.value.automaton()
         for frame in frames:
             yield pd.DataFrame({"f": [tuned.value.feature(fold(t), automaton) for t in frame.text], "toxic": frame.toxic})
 
-    seen = rows.mapInPandas(features, "f double, toxic int").toPandas().sort_values("f")
+    seen = rows.mapInPandas(lean(features), "f double, toxic int").toPandas().sort_values("f")
+    drop_spool(rows)
     values, edges = np.unique(seen.f, return_index=True)
     labels_ = seen.toxic.to_numpy()
     right = np.array([(labels_[:e] == 0).sum() + (labels_[e:] == 1).sum() for e in edges])  # right if all below the value are clean
@@ -206,17 +210,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, score (0 to 1), predicted (1 if the score is 0.5 or more)."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = share(docs.sparkSession, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
         automaton = lexicon.automaton()
-        for batch in batches:
-            score = [lexicon.score(lexicon.feature(fold(t), automaton)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], ["doc_id", "score", "predicted"])
+        for part in (part for batch in batches for part in slices(batch, "text", 1 << 20)):
+            score = [lexicon.score(lexicon.feature(fold(t), automaton)) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32())], ["doc_id", "score", "predicted"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, score double, predicted int")
+    return own.mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
