@@ -4,7 +4,11 @@ A state is (edge of the last emitted token, bytes since). Reading a byte finds t
 before it; tokens on which all still possible continuations agree are emitted. Tokens are short, so the bytes held
 back are bounded; states and transitions are built when first met, and dropped together when there are too many.
 
-Defined cases: a null text counts as empty (no ids); any other text, of any length, is encoded whole.
+A piece that is itself a token is emitted as it is; merging would give the same.
+
+Defined cases: a null text counts as empty (no ids); any other text, of any length, is encoded whole; rows are independent
+of each other, so repeated rows and rows with a null id give a row each; an empty table gives none; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -57,13 +61,13 @@ class BpeTransducer:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.spines: dict[int, tuple[tuple, tuple] | None] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # pieces kept before those, for as long
         self.met_pieces = bytearray(MARKS)
         self._reset()
 
     def _reset(self) -> None:
+        self.spines: dict[int, tuple[tuple, tuple] | None] = {}
         self.start = _State((), b"", (-1,), (0,))
         self.states = {((), b"", ()): self.start}
         self.met = bytearray(MARKS)
@@ -92,6 +96,8 @@ class BpeTransducer:
     def _fits(self, edge: tuple, token: int) -> bool:
         """Whether a token can stand after that right edge: no merge across the border comes before the merges inside."""
         if (edge, token) not in self.fits:
+            if len(self.fits) >= 4 * self.max_states:
+                self.fits.clear()
             get = self.ranks.get
             self.fits[edge, token] = not any((m := get(x + y)) is not None and m < p and m <= q for x, p in edge for y, q in self._spine(token)[0])
         return self.fits[edge, token]
