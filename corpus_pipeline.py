@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
-from quarry.llm.common import crc_fold, documents, small_batches, spool
+from quarry.llm.common import crc_fold, documents, free, small_batches, spool
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go, and documents of which nothing is left."""
     small_batches(spark)
-    out = line_dedup.dedup_lines(docs)
-    return out.where((F.col("n_lines_gone") == 0) | (F.col("text") != "")).select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+    number, which = free(docs, "n_lines_gone", "lines_gone")
+    out = line_dedup.dedup_lines(docs, added=(number, which))
+    return out.where((F.col(number) == 0) | (F.col("text") != "")).select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
