@@ -38,14 +38,16 @@ from quarry.llm.common import crc_fold, documents, lean, mix, share, slices, spo
 #: Most of a model that is broadcast, in MB; bytes of text an owner has, about; tokens a map task counts before it sends.
 LIMIT_MB, OWNER_BYTES, FLUSH = 24, 12 << 20, 3_000_000
 #: Expected false positives after a word that the probes allow; least probes a level; filled share of a filter.
-FALSE, LEAST_PROBES, FILL = 16, 8, 0.5
-#: Tokens and texts of a block of probes; probed tokens a task, about.
-BLOCK_TOKENS, BLOCK_TEXTS, TASK_TOKENS = 1_000_000, 50_000, 6_000_000
+FALSE, LEAST_PROBES, FILL = 64, 8, 0.5
+#: Tokens and texts of a block of probes; probed tokens that ask one copy of a slice, about; tasks at most.
+BLOCK_TOKENS, BLOCK_TEXTS, TASK_TOKENS, TASKS = 1_500_000, 50_000, 6_000_000, 20_000
 
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _LOW = np.uint64((1 << 40) - 1)
 _HIST = 64
+#: Probes after which absent pairs are left out.
+_DROP = {0, 1, 3, 6}
 
 
 def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -341,36 +343,49 @@ class Segment:
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return np.where(self.words[at] == words, self.counts[at], 0).astype(np.int64)
 
-    def pair_counts(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        owner = owner - self.lowest
-        level, live, q = np.zeros(len(keys), np.int64), np.flatnonzero(self.bits[owner] > 0), 1
+    def pair_counts(self, keys: np.ndarray, owner: np.ndarray | int) -> np.ndarray:
+        level, q = np.zeros(len(keys), np.int64), 1
+        if isinstance(owner, int):  # one owner's pairs
+            live = np.arange(len(keys)) if self.bits[owner - self.lowest] else np.zeros(0, np.int64)
+        else:
+            owner = owner - self.lowest
+            live = np.flatnonzero(self.bits[owner] > 0)
         while len(live):
-            own = owner[live]
             h, step = _places(keys[live], q)
-            size, begin, probes, i = self.bits[own].astype(np.uint64), self.begins[own], self.probes[own], 0
-            while len(live):  # those that some probe finds absent leave
+            own = owner - self.lowest if isinstance(owner, int) else owner[live]
+            size, begin, probes = self.bits[own].astype(np.uint64), self.begins[own], self.probes[own]
+            there = np.ones(len(live), bool)
+            for i in range(int(np.max(probes))):
                 at = _bit(h, step, i, size)
-                there = ((self.filter[(at >> np.uint64(3)).astype(np.int64) + begin] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                i += 1
-                live, h, step, size, begin, probes = (x[there] for x in (live, h, step, size, begin, probes))
-                if len(probes) and i >= probes.min():
-                    if i >= probes.max():
+                there &= ((self.filter[(at >> np.uint64(3)).astype(np.int64) + begin] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool) | (i >= probes)
+                if i in _DROP and not there.all():  # those that are absent leave now and then
+                    live, h, step = live[there], h[there], step[there]
+                    if not isinstance(owner, int):
+                        size, begin, probes = size[there], begin[there], probes[there]
+                    there = np.ones(len(live), bool)
+                    if not len(live):
                         break
-                    through = i >= probes  # owners differ a little in their probes
-                    size = np.where(through, np.uint64(0), size)
-                    begin = np.where(through, len(self.filter) - 1, begin)
+            live = live[there]
             level[live] = q
             q += 1
         return level_count(level)
 
-    def score(self, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: its count, and its part of base score and score. A word is also the context of what follows it."""
+    def score(self, words: np.ndarray, before: np.ndarray, owner: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token: its count, and its part of base score and score. A word is also the context of what follows it.
+
+        With ``owner`` given, words are in order and all that owner's."""
         keys = pair_keys(before, words)
-        distinct, inverse = np.unique(words, return_inverse=True)
+        if owner is None:
+            distinct, inverse = np.unique(words, return_inverse=True)
+            owner = self.plan.owner(words, keys)
+        else:
+            new = np.ones(len(words), bool)
+            new[1:] = words[1:] != words[:-1]
+            distinct, inverse = words[new], np.cumsum(new) - 1
         counts = self.word_counts(distinct)
         share = self.weights.share(counts)
         context = np.where(distinct == END, 0.0, np.log10(self.weights.mass(counts)))
-        value = np.log10(self.pair_counts(keys, self.plan.owner(words, keys)) + self.weights.alpha * share[inverse]) - context[inverse]
+        value = np.log10(self.pair_counts(keys, owner) + (self.weights.alpha * share)[inverse]) - context[inverse]
         return counts[inverse], np.log10(share)[inverse], value
 
     def score_texts(self, column: pa.Array) -> tuple[np.ndarray, ...]:
@@ -390,8 +405,7 @@ def whole_model(model: DataFrame, weights: Weights) -> Segment:
     for r in rows:
         bits[r["owner"]], probes[r["owner"]], begins[r["owner"]] = r["bits"], r["probes"], at
         at += len(r["filter"])
-    # 0xFF: a probe beyond an owner's number of probes finds a set bit
-    table = np.concatenate([*[np.frombuffer(r["filter"], np.uint8) for r in rows], np.full(1, 255, np.uint8)])
+    table = np.concatenate([*[np.frombuffer(r["filter"], np.uint8) for r in rows], np.zeros(1, np.uint8)])
     join = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows if r["first"]] or [np.zeros(0, kind)])
     return Segment(model.plan, weights, join("words", np.uint64), join("counts", np.int64), bits, probes, begins, table)
 
@@ -400,7 +414,7 @@ def _one_slice(plan: Plan, weights: Weights, owner: int, row: dict | None) -> Se
     if row is None:  # words of no training text
         none = np.zeros(1, np.int64)
         return Segment(plan, weights, np.zeros(0, np.uint64), none, none, none + 1, none, np.zeros(1, np.uint8), owner)
-    table = np.concatenate([np.frombuffer(row["filter"], np.uint8), np.full(1, 255, np.uint8)])
+    table = np.frombuffer(row["filter"], np.uint8)
     return Segment(plan, weights, np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64), np.array([row["bits"]]), np.array([row["probes"]]), np.zeros(1, np.int64), table, owner)
 
 
@@ -467,7 +481,7 @@ def _answer(plan, weights: Weights):
                 if here != (row["owner"], row["part"]):
                     here, segment = (row["owner"], row["part"]), _one_slice(plan.value, weights, row["owner"], None)
                 words = np.repeat(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.uint32))
-                counts, base, value = segment.score(words, _wide(row["filter"]))
+                counts, base, value = segment.score(words, _wide(row["filter"]), row["owner"])
                 texts, at = np.unique(np.frombuffer(row["texts"], np.uint16), return_inverse=True)
                 known, base, value = (np.bincount(at, weights=x, minlength=len(texts)) for x in (counts > 0, base, value))
                 rows.append((row["block"], texts.tobytes(), known.astype(np.uint32).tobytes(), base.tobytes(), value.tobytes(), None, None))
@@ -501,13 +515,15 @@ def _by_probes(own: DataFrame, model: DataFrame, weights: Weights) -> DataFrame:
     for r in tokens:
         parts[r["owner"]] = max(1, -(-r["tokens"] // TASK_TOKENS))
     plan, shared = share(spark, model.plan), share(spark, parts)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weights.total // TASK_TOKENS))
+    owners = model.plan.owners
+    tasks = min(TASKS, owners)  # owners lie evenly over the tasks, copies of a slice in tasks that follow
     copies = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("tokens") / TASK_TOKENS).cast("int") - 1))
     given = {"kind": F.lit(0), "block": F.lit(None), "texts": F.lit(None), "ids": F.lit(None), "sizes": F.lit(None)}
     tables = model.withColumn("part", F.explode(copies)).select(*[given.get(c.split()[0], F.col(c.split()[0])).cast(c.split()[1]).alias(c.split()[0]) for c in _TABLE.split(", ")])
     asked = own.mapInArrow(_ask(plan, shared), _TABLE).unionByName(tables)
     # rows about texts have owner -1: they are dealt by block
-    dealt = asked.repartition(tasks, F.col("owner"), F.col("part"), F.when(F.col("owner") < 0, F.col("block"))).sortWithinPartitions("owner", "part", "kind")
+    task = F.when(F.col("owner") < 0, F.pmod(F.xxhash64("block"), F.lit(tasks)).cast("int")).otherwise(F.expr(f"cast((cast(owner as long) * {tasks} div {owners} + part) % {tasks} as int)"))
+    dealt = asked.repartitionById(tasks, task).sortWithinPartitions("owner", "part", "kind")
     return dealt.mapInArrow(_answer(plan, weights), _PARTIAL).groupBy("block").applyInPandas(_gather(weights), _SCORED)
 
 
