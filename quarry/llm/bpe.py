@@ -61,13 +61,13 @@ class BpeTransducer:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.spines: dict[int, tuple[tuple, tuple] | None] = {}  # of the tokens met, so at most one a token
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # pieces kept before those, for as long
         self.met_pieces = bytearray(MARKS)
         self._reset()
 
     def _reset(self) -> None:
-        self.spines: dict[int, tuple[tuple, tuple] | None] = {}
         self.start = _State((), b"", (-1,), (0,))
         self.states = {((), b"", ()): self.start}
         self.met = bytearray(MARKS)
