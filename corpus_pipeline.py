@@ -46,7 +46,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids' number and digest, and the digest of the decoded bytes."""
     small_batches(spark)
     # the stages before have left the executors' memory full: remember less
-    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_states=40_000, max_pieces=50_000)
+    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, max_states=80_000, max_pieces=100_000)
 
 
 STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("decontamination", benchmark_stage), ("byte_bpe", token_stage)]
