@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources.shared import scratch
+from quarry.sources.tables import spread
 
 # ---------------------------------------------------------------- session and shared tables
 
@@ -140,7 +141,7 @@ def crc_fold(doc_id: Column, n: int) -> Column:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents; texts will reach Python in small batches."""
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 # ---------------------------------------------------------------- what Python workers keep
