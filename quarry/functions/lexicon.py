@@ -9,8 +9,8 @@ down of off over under again further once out as across behind beside besides be
 towards upon within without per via and but or nor so yet although because unless while whereas if though whether either
 neither both not no too very just only also than then there here when where why how all any each few more most other
 another some such own same itself is am are was were be been being have has had having do does did doing will would
-shall should may might must can could ought et al al i.e e.g etc vs mr mrs ms dr of à de en au aux
-""".split()
+shall should may might must can could ought al i.e e.g etc vs mr mrs ms dr of à de en au aux
+""".split() + ["et al"]
 
 # French function words.
 FR_FUNCTION_WORDS = """

@@ -16,6 +16,8 @@ WORD = "[a-zàâäéèêëïîôöùûüçœæ]+"
 TOKEN = "[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ']*(?:-[A-Za-zÀ-ÿ']+)*"
 SEGMENT_END = '[.!?;:,()\\[\\]"“”—•|]+'
 _W = "A-Za-z0-9_À-ÖØ-öø-ÿ"
+#: Letters, digits and underscore of any script.
+WORD_CHAR = "\\p{L}\\p{N}_"
 
 
 @F.pandas_udf(StringType())
@@ -24,6 +26,11 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def composed(text: Column) -> Column:
+    """Unicode NFC; texts of Latin and Vietnamese letters, dashes and quotes alone don't change by it and don't go through the UDF."""
+    return F.coalesce(nfc(F.when(text.rlike("[^\\x{0}-\\x{2FF}\\x{1E00}-\\x{1EFF}\\x{2010}-\\x{2027}\\x{2030}-\\x{205E}\\x{20AC}]"), text)), text)
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC."""
@@ -61,11 +68,11 @@ def squeeze(text: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("\\p{L}"))
+    return F.length(F.regexp_replace(text, "\\P{L}+", ""))
 
 
 def vietnamese_letters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{L.VIETNAMESE}]"))
+    return F.length(text) - F.length(F.translate(text, L.VIETNAMESE, ""))
 
 
 def copyright_score(page: Column) -> Column:
@@ -100,7 +107,7 @@ def singular(word: Column) -> Column:
 def occurrences(text: Column, term: Column) -> Column:
     """How often a term stands in a text as whole words, whatever the case."""
     quoted = F.regexp_replace(F.lower(term), "([\\\\.\\[\\]{}()*+?^$|-])", "\\\\$1")
-    return F.regexp_count(F.lower(text), F.concat(F.lit(f"(?<![{_W}])"), quoted, F.lit(f"(?![{_W}])")))
+    return F.regexp_count(F.lower(text), F.concat(F.lit(f"(?<![{WORD_CHAR}])"), quoted, F.lit(f"(?![{WORD_CHAR}])")))
 
 
 def entities(text: Column) -> Column:

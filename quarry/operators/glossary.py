@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from quarry.functions import text as T
+from quarry.sources.shared import written
 
 
 # What a prompt says of terms without a target.
@@ -24,17 +25,44 @@ def effective(entries: DataFrame, project: str) -> DataFrame:
     return own.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
+#: Words of the longest term that is looked up by its words; terms that may be broadcast at most.
+LONGEST, BROADCAST_TERMS = 8, 200_000
+
+
+def _pieces(text: Column) -> Column:
+    """Words, at even places, and what stands between them."""
+    w = T.WORD_CHAR
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), f"^[^{w}]+", ""), F.lit(f"([{w}]+|[^{w}]+)"), 1)
+
+
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) and ``terms`` (term_en) to (doc_id, term_en, n) where n > 0.
-
-    Texts meet terms on a word that both have (the term's first); only such pairs are counted. Nothing is crossed. Terms
-    without a word of letters or digits can't be met by a word and match nothing."""
-    words = "[A-Za-z0-9_À-ÖØ-öø-ÿ]+"
-    first = terms.select("term_en").distinct().withColumn("w", F.regexp_extract(F.lower("term_en"), words, 0)).where("w != ''")
-    each = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({words})"), 1))).alias("w"))
-    met = each.select("doc_id", "w").join(first, "w").select("doc_id", "term_en")
-    counted = met.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "term_en", T.occurrences(F.col("text"), F.col("term_en")).alias("n"))
-    return counted.where("n > 0")
+    """``docs`` (doc_id, text) and ``terms`` (term_en) to (doc_id, term_en, n) where n > 0: whole words, whatever the case.
+
+    Texts are cut into words once. Runs of as many words as some term has are keys, which meet the terms, and are counted;
+    no text is shuffled. Terms that words don't settle are counted by pattern in the texts that hold their first word: those
+    that begin or end with another character, that may overlap themselves, or that are very long. Terms without a
+    word of letters or digits match nothing; rows that repeat an id add up; a null text holds no term."""
+    w = T.WORD_CHAR
+    cut = terms.select("term_en").distinct().withColumn("key", F.lower("term_en")).withColumn("p", _pieces(F.col("term_en"))).withColumn("words", F.ceil(F.size("p") / 2).cast("int")).where(F.size("p") > 0)
+    plain = F.col("key").rlike(f"^[{w}]") & F.col("key").rlike(f"[{w}]$") & ((F.col("words") == 1) | (F.get("p", F.lit(0)) != F.element_at("p", -1))) & (F.col("words") <= LONGEST)
+    # written: the optimiser would try these conditions on every key of every text
+    cut = written(cut.select("term_en", "key", "words", F.get("p", F.lit(0)).alias("w"), plain.alias("plain")), "terms")
+    settled = cut.where("plain").select("term_en", "key")
+    lengths = sorted(r["words"] for r in cut.where("plain").select("words").distinct().collect())  # at most LONGEST numbers
+    # element by element: a slice would copy the whole array each time
+    runs = lambda n: F.when(F.size("p") >= 2 * n - 1, F.transform(F.sequence(F.lit(0), F.size("p") - (2 * n - 1), F.lit(2)), lambda i: F.concat(*(F.get("p", i + k) for k in range(2 * n - 1)))))
+    texts = docs.select("doc_id", F.explode(F.array(_pieces(F.col("text")))).alias("p")).where(F.size("p") > 0)  # cut once: a plain column would be cut again in each lambda
+    none = F.array().cast("array<string>")
+    keys = texts.select("doc_id", F.explode(F.concat(*(F.coalesce(runs(n), none) for n in lengths)) if lengths else none).alias("key"))
+    if settled.count() <= BROADCAST_TERMS:
+        settled = F.broadcast(settled)
+    found = keys.join(settled, "key").groupBy("doc_id", "term_en").agg(F.count("*").cast("int").alias("n"))
+    first = cut.where("not plain").select("term_en", "w")
+    if first.isEmpty():
+        return found
+    each = docs.select("doc_id", "text", F.explode(F.array_distinct(F.filter(_pieces(F.col("text")), lambda x, i: i % 2 == 0))).alias("w"))
+    met = each.join(first, "w").select("doc_id", "term_en", T.occurrences(F.col("text"), F.col("term_en")).alias("n"))
+    return found.unionByName(met.where("n > 0").groupBy("doc_id", "term_en").agg(F.sum("n").cast("int").alias("n")))
 
 
 def top(entries: DataFrame, counts: DataFrame, most: int) -> DataFrame:

@@ -106,3 +106,10 @@ def tail_number(line: Column) -> Column:
     pattern = "^(.*[^0-9])([0-9]{1,4})$"
     n = F.regexp_extract(line, pattern, 2).try_cast("int")
     return F.when((n >= 1) & F.regexp_extract(line, pattern, 1).rlike("[A-Za-z]{2,}"), n)
+
+
+def dropped(paragraphs: DataFrame, first: int, last: int) -> DataFrame:
+    """Paragraphs (page, debug_id, text, rendered) of the pages ``first`` to ``last`` that were not drawn: they have a text and an id, but
+    no drawn character. With the text's length and its first 400 characters."""
+    gone = paragraphs.where(F.col("page").between(first, last) & (F.coalesce("rendered", F.lit(0)) == 0) & (F.coalesce(F.trim("text"), F.lit("")) != "") & F.col("debug_id").isNotNull())
+    return gone.select("page", "debug_id", F.length("text").alias("text_len"), F.substring("text", 1, 400).alias("text_excerpt"))

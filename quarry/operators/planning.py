@@ -68,6 +68,16 @@ def output_tokens(chars: Column) -> Column:
     return (chars * 1.16 / 2.0).cast("long")
 
 
+def chunk_output_tokens(chars: Column) -> Column:
+    """Output of a chunk that was rendered, by its source characters."""
+    return (chars * 1.3 * 1.5 / 4.0).cast("long")
+
+
+def epub_inputs(chars: Column, units: Column) -> Column:
+    """Characters that an EPUB's units send: markup of 15 % and 30 characters a unit on top."""
+    return (chars * 1.15).cast("long") + 30 * units
+
+
 def price(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:
     return tokens_in / 1e6 * rate_in + tokens_out / 1e6 * rate_out
 

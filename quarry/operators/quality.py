@@ -25,7 +25,7 @@ def detect_language(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 def diacritics(docs: DataFrame) -> DataFrame:
     """Share of letters with Vietnamese diacritics, and the gates for requests and units."""
-    low = docs.select("doc_id", F.lower(T.nfc(T.tags_to_spaces(F.col("text")))).alias("t"))
+    low = docs.select("doc_id", F.lower(T.composed(T.tags_to_spaces(F.col("text")))).alias("t"))
     n = low.select("doc_id", F.coalesce(T.letters(F.col("t")), F.lit(0)).alias("letters"), F.coalesce(T.vietnamese_letters(F.col("t")), F.lit(0)).alias("marked"))
     ratio = F.when(F.col("letters") == 0, 0.0).otherwise(F.col("marked") / F.col("letters"))
     return n.select(

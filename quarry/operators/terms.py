@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as L
 from quarry.functions import text as T
+from quarry.sources.shared import written
+from quarry.sources.tables import spread
 
 _FW = sorted(set(L.EN_FUNCTION_WORDS))
 
@@ -132,8 +134,8 @@ def ranked(candidates: DataFrame, cap: int = 20_000, ranks: DataFrame | None = N
     return out.select("book", F.col("surface").alias("term"), F.col("key").alias("match_key"), F.col("n").alias("ngram_size"), F.concat_ws(",", "flags").alias("noise_flags"), F.col("cnt").alias("occurrences"), F.col("score").alias("rank_score"), "place")
 
 
-def mine(docs: DataFrame, forms: DataFrame, cap: int = 20_000, fold: bool = True) -> DataFrame:
-    """All steps, from (book, doc_pos, text) and known glossary forms (form) to ranked candidates."""
-    segs = segments(docs, fold)
+def mine(docs: DataFrame, forms: DataFrame, cap: int = 20_000, fold: bool = True, ranks: DataFrame | None = None) -> DataFrame:
+    """All steps, from (book, doc_pos, text) and known glossary forms (form) to ranked candidates; ``ranks`` as in ``ranked``."""
+    segs = spread(written(segments(docs, fold), "segments"))  # three branches read it
     toks = tokens(segs)
-    return ranked(merged(flagged(kept(statistics(grams(toks)), inside(toks), floors(segs), forms))), cap)
+    return ranked(merged(flagged(kept(statistics(grams(toks)), inside(toks), floors(segs), forms))), cap, ranks)

@@ -49,10 +49,10 @@ def glossary_occurrences(spark, sf):
     return _counts(spark, sf).select("doc_id", "term_en", F.col("n").cast("long").alias("n"))
 
 
-_W = "A-Za-z0-9_À-ÖØ-öø-ÿ"
-_TWICE = lambda c: f"regexp_replace(lower({c}), '([^{_W}])', '\\1\\1', 'g')"  # noqa: E731  so that neighbours don't share a separator
-_COUNTS = f"""(SELECT doc_id, term_en, n FROM (SELECT doc_id, term_en, len(regexp_extract_all(t, '(^|[^{_W}])' || regexp_replace(e, '([^{_W} ])', '[\\1]', 'g') || '($|[^{_W}])')) AS n
-  FROM (SELECT doc_id, {_TWICE('text')} AS t FROM documents) CROSS JOIN (SELECT term_en, {_TWICE('term_en')} AS e FROM {_EFF}) WHERE contains(t, e)) WHERE n > 0)"""
+# a mark on both sides of each character that is no letter, digit or underscore, and at both ends: a term with its marks is whole words
+_MARKED = lambda c: f"chr(1) || regexp_replace(lower({c}), '([^\\p{{L}}\\p{{N}}_])', chr(1) || '\\1' || chr(1), 'g') || chr(1)"
+_COUNTS = f"""(SELECT doc_id, term_en, (length(t) - length(replace(t, e, ''))) // length(e) AS n
+  FROM (SELECT doc_id, {_MARKED('text')} AS t FROM documents) CROSS JOIN (SELECT term_en, {_MARKED('term_en')} AS e FROM {_EFF}) WHERE contains(t, e))"""
 
 
 def _top(spark, sf):

@@ -83,10 +83,40 @@ def job_cost_estimate(spark, sf):
     return _estimates(spark, sf)
 
 
+def chunk_cost_estimate(spark, sf):
+    """Every document as a chunk that was rendered: tokens and cost at one price."""
+    e = _estimates(spark, sf).withColumn("tokens_out", planning.chunk_output_tokens(F.col("chars"))).withColumn("provider", F.lit("gemini")).withColumn("model", F.lit("gemini-2.5-pro"))
+    return planning.priced(e).select("doc_id", "tokens_in", "tokens_out", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+def epub_cost_estimate(spark, sf):
+    """Every source as an EPUB: the lines of its documents are units, some units a request."""
+    units = table(spark, sf, "documents").select("source", F.explode(F.split("text", "\n")).alias("t")).where(F.trim("t") != "")
+    book = units.groupBy("source").agg(F.sum(F.length("t")).alias("total"), F.count("*").alias("units"))
+    chars, requests = planning.epub_inputs(F.col("total"), F.col("units")), F.ceil(F.col("units") / 7)
+    return book.select("source", "units", chars.alias("chars"), planning.input_tokens(chars, requests, F.lit("en"), 1314).alias("tokens_in"), planning.output_tokens(chars).alias("tokens_out"))
+
+
+def checks_by_prefix(spark, sf):
+    """Jobs' checks whose name matches a prefix pattern, in which an underscore stands for any character."""
+    name = F.concat(F.get(F.array(*map(F.lit, ["babeldoc_", "babeldocs", "layout_", "babeldoc"])), (F.col("o_orderkey") % 4).cast("int")), F.col("o_custkey").cast("string"))
+    checks = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), name.alias("name"))
+    return checks.where(F.col("name").like("babeldoc_%")).groupBy("status").agg(F.count("*").alias("checks"), F.min("name").alias("first_name"))
+
+
+def write_once(spark, sf):
+    """Decisions that a retry replays: what a job has stays, what is missing is computed."""
+    o = table(spark, sf, "orders")
+    known = F.when(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_custkey") % 2 == 0, "en").otherwise("fr"))
+    computed = F.when(F.col("o_totalprice") > 100_000, "fr").otherwise("en")
+    size = F.when(F.col("o_orderkey") % 5 == 0, F.lit(25))
+    return o.select("o_orderkey", F.coalesce(known, computed).alias("lang"), F.coalesce(size, F.when(F.col("o_custkey") % 2 == 0, F.lit(50)).otherwise(F.lit(10))).cast("int").alias("chunk_size"))
+
+
 def _by_provider(spark, sf):
     e = _estimates(spark, sf)
-    offers = spark.createDataFrame([(p, m) for p, m, *_ in L.PRICES if m] + [("openai", "unheard-of"), ("deepl", ""), ("ollama", "any")], "provider string, model string")
-    return planning.priced(e.withColumn("o", F.explode(F.array(*(F.struct(F.lit(r.provider).alias("provider"), F.lit(r.model).alias("model")) for r in offers.collect())))).select("doc_id", "source", "tokens_in", "tokens_out", "o.*"))
+    offers = [(p, m) for p, m, *_ in L.PRICES if m] + [("openai", "unheard-of"), ("deepl", ""), ("ollama", "any")]
+    return planning.priced(e.withColumn("o", F.explode(F.array(*(F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model")) for p, m in offers)))).select("doc_id", "source", "tokens_in", "tokens_out", "o.*"))
 
 
 def cost_by_provider(spark, sf):
@@ -231,7 +261,7 @@ def effective_settings(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    page_chunk_plan, chunk_survivors, unit_chunk_plan, job_cost_estimate, cost_by_provider, cost_gate, batch_cost_gate, runaway_output, chunk_outcome, aimd_threads, warm_chunk_size,
+    page_chunk_plan, chunk_survivors, unit_chunk_plan, job_cost_estimate, chunk_cost_estimate, epub_cost_estimate, checks_by_prefix, write_once, cost_by_provider, cost_gate, batch_cost_gate, runaway_output, chunk_outcome, aimd_threads, warm_chunk_size,
     running_cost_cap, batch_cost_cap, cost_source_rollup, batch_rollup, orphan_sweep, job_history_page, job_counts, job_duration, status_guards, latest_duplicate, shortest_first,
     bilingual_interleave, file_router, upload_hashes, download_names, effective_settings,
 )}
@@ -241,6 +271,14 @@ _TERMINAL = ", ".join(f"'{s}'" for s in L.TERMINAL_STATES)
 _PRICE = lambda a, b: f"(tokens_in / 1e6::DOUBLE * {a} + tokens_out / 1e6::DOUBLE * {b})"
 
 SQL = {
+    "chunk_cost_estimate": f"""SELECT doc_id, tokens_in, tokens_out, round(tokens_in / 1e6::DOUBLE * 1.25::DOUBLE + tokens_out / 1e6::DOUBLE * 10.0::DOUBLE, 9) AS cost_usd FROM (
+      SELECT doc_id, tokens_in, trunc(chars * 1.3::DOUBLE * 1.5::DOUBLE / 4.0::DOUBLE)::BIGINT AS tokens_out FROM {_EST})""",
+    "epub_cost_estimate": """SELECT source, units, chars, trunc(chars / 4.0::DOUBLE + ceil(units / 7.0::DOUBLE) * 1314 / 4.0::DOUBLE)::BIGINT AS tokens_in, trunc(chars * 1.16::DOUBLE / 2.0::DOUBLE)::BIGINT AS tokens_out FROM (
+      SELECT source, count(*) AS units, trunc(sum(length(t)) * 1.15::DOUBLE)::BIGINT + 30 * count(*) AS chars FROM (SELECT source, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE trim(t) <> '' GROUP BY source)""",
+    "checks_by_prefix": """SELECT status, count(*) AS checks, min(name) AS first_name FROM (SELECT o_orderstatus AS status, ['babeldoc_', 'babeldocs', 'layout_', 'babeldoc'][o_orderkey % 4 + 1] || o_custkey AS name FROM orders)
+      WHERE regexp_full_match(name, 'babeldoc..*') GROUP BY status""",
+    "write_once": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'en' ELSE 'fr' END WHEN o_totalprice > 100000 THEN 'fr' ELSE 'en' END AS lang,
+      (CASE WHEN o_orderkey % 5 = 0 THEN 25 WHEN o_custkey % 2 = 0 THEN 50 ELSE 10 END)::INT AS chunk_size FROM orders""",
     "page_chunk_plan": f"SELECT * FROM {_CHUNKS}",
     "chunk_survivors": f"SELECT job_id, chunk_index, CASE WHEN chunk_index > 0 THEN overlap_end + 1 ELSE page_start END AS kept_start, page_end AS kept_end FROM {_CHUNKS}",
     "unit_chunk_plan": _PACK,

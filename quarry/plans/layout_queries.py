@@ -243,6 +243,14 @@ def drop_report_audit(spark, sf):
     return per.where("page is not null").select("page", "declared", "logged", (F.coalesce("declared", F.lit(0)) != F.col("logged")).alias("mismatch"))
 
 
+def dropped_paragraphs(spark, sf):
+    """Turns of conversations as paragraphs of pages 2 to 40; some were drawn, some have no id or no text."""
+    c = table(spark, sf, "conversations")
+    text = F.when(F.col("turn") % 5 == 4, F.lit("  ")).otherwise(F.col("text"))
+    p = c.select((F.col("conv_id") % 60 + 1).alias("page"), F.when(F.col("conv_id") % 7 > 0, F.concat_ws("-", "conv_id", "turn")).alias("debug_id"), text.alias("text"), F.when(F.col("turn") % 3 > 0, (F.col("turn") - 1) * 10).alias("rendered"))
+    return layout.dropped(p, 2, 40)
+
+
 def token_usage(spark, sf):
     """Counters of a log, the last mention of each; a missing one is null, cache hits default to 0."""
     log = F.concat(F.lit("total tokens: 1\ntotal tokens: "), (F.col("event_id") * 3).cast("string"), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("\nprompt tokens: "), F.col("event_id").cast("string"))).otherwise(""), F.lit("\nRateLimitError x RateLimitError"))
@@ -253,10 +261,10 @@ def token_usage(spark, sf):
 QUERIES = {f.__name__: f for f in (
     block_overlap, text_over_border, text_over_image, best_block_match, rotation_flags, rotated_groups, page_queue, line_groups, fit_decision, toc_marks, entity_loss, list_markers,
     html_units, html_unit_lengths, html_unit_filter, external_links, escape_untrusted, sup_sub_normalize, link_targets, structural_drop_refs, image_names, image_compress,
-    json_strict_parse, missing_ids, json_salvage, fallback_quota, output_guard, drop_report_audit, token_usage,
+    json_strict_parse, missing_ids, json_salvage, fallback_quota, output_guard, drop_report_audit, dropped_paragraphs, token_usage,
 )}
 
-_RESP = "(SELECT conv_id, turn::VARCHAR AS id, regexp_replace(substr(text, 1, 80), '[\"\\\\\\n\\t]', ' ', 'g') AS t FROM conversations)"
+_RESP = "(SELECT conv_id, turn::VARCHAR AS id, text AS t FROM conversations)"
 SQL = {
     "block_overlap": f"SELECT a.page, a.block, b.block AS o_block, round({_SHARED} / least({_AREA('a')}, {_AREA('b')}), 4) AS ratio FROM {_b()} a JOIN {_b()} b ON a.page = b.page AND a.block < b.block WHERE {_SHARED} > 0 AND {_SHARED} / least({_AREA('a')}, {_AREA('b')}) > 0.05::DOUBLE",
     "text_over_border": f"SELECT a.page, a.block, b.block AS o_block, round({_SHARED} / {_AREA('a')}, 4) AS ratio FROM {_b()} a JOIN {_b(15)} b ON a.page = b.page WHERE {_SHARED} > 0 AND {_SHARED} < {_AREA('a')} - 1e-6 AND {_SHARED} / {_AREA('a')} > 0.05::DOUBLE",
@@ -311,5 +319,8 @@ SQL = {
     "drop_report_audit": """WITH e AS (SELECT *, event_id % 40 AS page FROM events WHERE event_id % 50 <> 7 AND event_type IN ('view', 'error'))
       SELECT page, arg_max(event_id % 60, event_id) FILTER (WHERE event_type = 'view') AS declared, count(*) FILTER (WHERE event_type = 'error') AS logged,
         coalesce(arg_max(event_id % 60, event_id) FILTER (WHERE event_type = 'view'), 0) <> count(*) FILTER (WHERE event_type = 'error') AS mismatch FROM e GROUP BY page""",
+    "dropped_paragraphs": """SELECT page, debug_id, length(text)::INT AS text_len, substr(text, 1, 400) AS text_excerpt FROM (
+      SELECT conv_id % 60 + 1 AS page, CASE WHEN conv_id % 7 > 0 THEN conv_id || '-' || turn END AS debug_id, CASE WHEN turn % 5 = 4 THEN '  ' ELSE text END AS text, turn FROM conversations)
+      WHERE page BETWEEN 2 AND 40 AND (turn % 3 = 0 OR turn = 1) AND trim(coalesce(text, '')) <> '' AND debug_id IS NOT NULL""",
     "token_usage": "SELECT event_id, event_id * 3 AS total, CASE WHEN event_id % 3 > 0 THEN event_id END AS prompt, 0 AS cache_hits, 2 AS rate_limits FROM events",
 }

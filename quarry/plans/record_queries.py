@@ -175,7 +175,7 @@ SQL = {
     "word_width": "SELECT p_partkey, round(0.9::DOUBLE * coalesce(list_sum(list_transform(string_split(string_split(p_name, ' ')[1][2:], ''), lambda c: CASE WHEN c = '' THEN 0 ELSE ascii(c) % 7 + 1 END)), 0), 6) AS width FROM part",
     "missing_pages": """WITH w AS (SELECT DISTINCT user_id AS job, unnest(range(1, 26)) AS page FROM events), o AS (SELECT DISTINCT user_id AS job, event_id % 30 AS page FROM events WHERE event_type = 'view')
       SELECT job, page, 'missing' AS what FROM (SELECT * FROM w EXCEPT SELECT * FROM o) UNION ALL SELECT job, page, 'unexpected' FROM (SELECT * FROM o EXCEPT SELECT * FROM w)""",
-    "unit_assignment": f"""SELECT p.job_id, page, chunk_index FROM (SELECT job_id, unnest(range(1, total_pages + 1, 7)) AS page FROM {job_queries._JOBS} WHERE total_pages > 0) p
+    "unit_assignment": f"""SELECT p.job_id, page, chunk_index FROM (SELECT job_id, unnest(range(1, total_pages + 1)) AS page FROM {job_queries._JOBS} WHERE total_pages > 0) p
       JOIN {job_queries._CHUNKS} c ON c.job_id = p.job_id AND page BETWEEN CASE WHEN chunk_index > 0 THEN overlap_end + 1 ELSE page_start END AND page_end""",
     "parse_method": "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_custkey % 4 = 2 THEN 'txt' WHEN o_custkey % 4 = 3 THEN 'ocr' WHEN o_orderkey % 3 = 1 THEN 'txt' ELSE 'ocr' END AS method, greatest(600, o_custkey * 6) AS timeout_seconds FROM orders",
     "book_texts": "SELECT source AS book, length(f) AS total_chars, sha256(f) AS sha256, n AS pages FROM (SELECT source, string_agg(CASE WHEN t <> '' THEN t END, chr(10) || chr(10) ORDER BY doc_id) AS f, count(*)::INT AS n FROM (SELECT source, doc_id, trim(regexp_replace(text, '<[^>]+>', ' ', 'g')) AS t FROM documents) GROUP BY source)",

@@ -50,6 +50,34 @@ def suggested_terms_page(spark, sf):
     return t.orderBy(F.desc("occurrences"), "book", "match_key").offset(20).limit(20).select("book", "match_key", "occurrences")
 
 
+def suggested_terms_sorted(spark, sf):
+    """First pages of thirty, noise included, from two words on: by rank and by alphabet; the limit is the feature."""
+    t = text_queries.term_candidates(spark, sf).where("ngram_size >= 2")
+    pages = []
+    for name, order in (("rank", [F.desc("rank_score"), "book", "match_key"]), ("alpha", ["match_key", "book"])):
+        pages.append(t.orderBy(*order).limit(30).select(F.lit(name).alias("sort"), "book", "match_key", "rank_score"))
+    return pages[0].unionByName(pages[1])
+
+
+def suggested_terms_promote(spark, sf):
+    """The user promotes the best two terms of each book and dismisses the next one: promoted ones enter the project's glossary, unless it has them."""
+    t = text_queries.term_candidates(spark, sf).where("place <= 3").select("book", "match_key", "place", F.lower("term").alias("key"))
+    have = glossary_queries.glossary.effective(glossary_queries._entries(spark, sf), "project:1").select(F.lower("term_en").alias("key"), F.lit(True).alias("known"))
+    done = t.join(have, "key", "left")
+    return done.select("book", "match_key", F.when(F.col("place") == 3, "dismissed").otherwise("promoted").alias("status"), ((F.col("place") < 3) & F.col("known").isNull()).alias("entry_created"))
+
+
+def glossary_edit(spark, sf):
+    """Entries after updates and deletions by id; a new term that another entry of the scope has is a conflict, and nothing changes."""
+    e = glossary_queries._entries(spark, sf)
+    edits = e.where("entry_id % 4 < 2").select("entry_id", (F.col("entry_id") % 4 == 0).alias("drop"), F.when(F.col("entry_id") % 8 == 1, F.lit("THE")).otherwise(F.concat(F.col("term_en"), F.lit("x"))).alias("new_term"))
+    taken = e.groupBy("scope", F.lower("term_en").alias("key")).agg(F.min("entry_id").alias("lo"), F.max("entry_id").alias("hi"))
+    asked = e.join(edits, "entry_id", "left")
+    met = asked.join(taken, (taken["scope"] == asked["scope"]) & (taken["key"] == F.lower("new_term")) & ((taken["lo"] != asked["entry_id"]) | (taken["hi"] != asked["entry_id"])), "left").select(asked["*"], F.col("key").isNotNull().alias("clash"))
+    result = F.when(F.col("drop"), "deleted").when(F.col("new_term").isNull(), "kept").when(F.col("clash"), "conflict").otherwise("updated")
+    return met.select("entry_id", result.alias("result"), F.when(result == "updated", F.col("new_term")).when(result != "deleted", F.col("term_en")).alias("term_en"))
+
+
 def suggested_terms_counts(spark, sf):
     t = text_queries.term_candidates(spark, sf)
     return t.groupBy("book").agg(F.count("*").alias("total"), F.count_if(F.col("noise_flags") != "").alias("noise_hidden"), F.count_if((F.col("ngram_size") >= 2) & (F.col("noise_flags") == "")).alias("shown"))
@@ -110,7 +138,7 @@ def epub_translate(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    layout_findings, delete_cascade, glossary_create, suggested_terms_page, suggested_terms_counts, source_text_choice, request_cost_cap, retry_quota, settings_upsert, epub_units, epub_translate,
+    layout_findings, delete_cascade, glossary_create, suggested_terms_page, suggested_terms_sorted, suggested_terms_promote, glossary_edit, suggested_terms_counts, source_text_choice, request_cost_cap, retry_quota, settings_upsert, epub_units, epub_translate,
 )}
 
 _STATES = ", ".join(f"'{s}'" for s in job_queries.L.ACTIVE_STATES)
@@ -128,6 +156,14 @@ SQL = {
         SELECT -item_id - 1, lower(regexp_extract(text, '^(\\S+ [^ .,\\n]+)', 1)), item_id % 2 = 0 FROM benchmark)
       SELECT p_partkey, CASE WHEN key IS NULL THEN 'created' WHEN force THEN 'updated' ELSE 'conflict' END AS result FROM new LEFT JOIN have ON lower(term) = key""",
     "suggested_terms_page": text_queries._TERMS_SQL + "SELECT book, match_key, occurrences FROM ranked WHERE place <= 20000 AND noise_flags = '' AND ngram_size >= 2 ORDER BY occurrences DESC, book, match_key LIMIT 20 OFFSET 20",
+    "suggested_terms_sorted": text_queries._TERMS_SQL + """, two AS (SELECT * FROM ranked WHERE place <= 20000 AND ngram_size >= 2)
+      (SELECT 'rank' AS sort, book, match_key, rank_score FROM two ORDER BY rank_score DESC, book, match_key LIMIT 30) UNION ALL (SELECT 'alpha', book, match_key, rank_score FROM two ORDER BY match_key, book LIMIT 30)""",
+    "suggested_terms_promote": text_queries._TERMS_SQL + f"""SELECT book, match_key, CASE WHEN place = 3 THEN 'dismissed' ELSE 'promoted' END AS status,
+      place < 3 AND lower(term) NOT IN (SELECT lower(term_en) FROM {glossary_queries._EFF}) AS entry_created FROM ranked WHERE place <= 3""",
+    "glossary_edit": f"""WITH e AS (SELECT *, CASE WHEN entry_id % 8 = 1 THEN 'THE' WHEN entry_id % 4 = 1 THEN term_en || 'x' END AS asked FROM {glossary_queries._E}),
+      r AS (SELECT entry_id, term_en, asked, CASE WHEN entry_id % 4 = 0 THEN 'deleted' WHEN asked IS NULL THEN 'kept'
+        WHEN EXISTS (SELECT 1 FROM e o WHERE o.scope = e.scope AND o.entry_id <> e.entry_id AND lower(o.term_en) = lower(e.asked)) THEN 'conflict' ELSE 'updated' END AS result FROM e)
+      SELECT entry_id, result, CASE result WHEN 'updated' THEN asked WHEN 'deleted' THEN NULL ELSE term_en END AS term_en FROM r""",
     "suggested_terms_counts": text_queries._TERMS_SQL + "SELECT book, count(*) AS total, count(*) FILTER (WHERE noise_flags <> '') AS noise_hidden, count(*) FILTER (WHERE ngram_size >= 2 AND noise_flags = '') AS shown FROM ranked WHERE place <= 20000 GROUP BY book",
     "source_text_choice": """SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'document.md' WHEN o_orderkey % 3 = 2 AND o_custkey % 5 = 0 THEN 'error' WHEN o_orderkey % 3 = 2 THEN 'ocr.pdf' WHEN o_orderkey % 3 = 1 THEN 'file' ELSE 'units' END AS source FROM orders""",
     "request_cost_cap": """SELECT l_orderkey AS job_id, count(*) AS requests, max(l_linenumber) AS last_chunk FROM (

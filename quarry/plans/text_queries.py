@@ -137,6 +137,17 @@ def term_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
     return terms.mine(books(spark, sf), _forms(spark), cap=10).select("book", "match_key", "rank_score", "place")
 
 
+def _ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of common words: those of the benchmark, at a made-up rank."""
+    low = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word")).distinct()
+    return low.select("word", ((F.ascii("word") * 1000 + F.length("word") * 137) % 60_000 + 1).alias("freq_rank"))
+
+
+def term_specificity(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best of each book where a list of word ranks lowers common words; the limit is the feature."""
+    return terms.mine(books(spark, sf), _forms(spark), cap=10, ranks=_ranks(spark, sf)).select("book", "match_key", "rank_score", "place")
+
+
 def term_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """New candidates replace pending ones; terms that a user decided on (here: a third of one-word terms) stay as they are."""
     found = term_candidates(spark, sf).select("book", F.col("match_key").alias("term"), "occurrences")
@@ -148,20 +159,20 @@ def term_refresh(spark: SparkSession, sf: str) -> DataFrame:
 _TOKEN = "[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'']*(?:-[A-Za-zÀ-ÿ'']+)*"
 _END = T.SEGMENT_END.replace("'", "''")
 _TERMS_SQL = f"""
-WITH src AS (SELECT source AS book, doc_id AS doc_pos,
+WITH src AS MATERIALIZED (SELECT source AS book, doc_id AS doc_pos,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\\[[^\\]]*\\]\\([^)]*\\)', ' ', 'g'), '<[^>]+>', ' ', 'g'),
       '(?m)^#{{1,6}}[ \\t]*', '', 'g'), '[‘’]', '''', 'g'), '(^|[^{_W}])(ffi|ffl|ff|[A-Za-z]*fi|[A-Za-z]*fl)[ \\t]+([a-z]{{1,20}})\\b', '\\1\\2\\3', 'g'),
       '([a-z])-[ \\t]*\\n[ \\t]*([a-z])', '\\1\\2', 'g') AS norm FROM documents WHERE lang = 'en'),
 seg0 AS (SELECT book, doc_pos, string_split_regex(norm, '{_END}') AS parts FROM src),
 seg AS (SELECT book, doc_pos, unnest(range(len(parts))) AS seg_pos, regexp_extract_all(unnest(parts), '{_TOKEN}') AS toks FROM seg0),
-segs AS (SELECT * FROM seg WHERE len(toks) > 0),
+segs AS MATERIALIZED (SELECT * FROM seg WHERE len(toks) > 0),
 tok AS (SELECT book, doc_pos, seg_pos, toks, unnest(range(len(toks))) AS tok_pos FROM segs),
 t AS (SELECT book, doc_pos, seg_pos, tok_pos, CASE WHEN tok_pos >= 2 THEN toks[tok_pos - 1] END AS b2, CASE WHEN tok_pos >= 1 THEN toks[tok_pos] END AS b1,
     toks[tok_pos + 1] AS s0, toks[tok_pos + 2] AS s1, toks[tok_pos + 3] AS s2 FROM tok),
 fw AS (SELECT unnest({EN}) AS w),
 l AS (SELECT *, lower(b2) AS lb2, lower(b1) AS lb1, lower(s0) AS l0, lower(s1) AS l1, lower(s2) AS l2,
     list_contains({EN}, lower(b2)) AS fb2, list_contains({EN}, lower(b1)) AS fb1, list_contains({EN}, lower(s0)) AS f0, list_contains({EN}, lower(s1)) AS f1, list_contains({EN}, lower(s2)) AS f2 FROM t),
-k AS (SELECT *, CASE WHEN NOT f0 AND length(l0) >= 3 THEN l0 END AS one,
+k AS MATERIALIZED (SELECT *, CASE WHEN NOT f0 AND length(l0) >= 3 THEN l0 END AS one,
     CASE WHEN NOT f0 AND NOT f1 AND length(l0) + length(l1) >= 3 THEN l0 || ' ' || l1 END AS two,
     CASE WHEN NOT fb1 AND NOT f0 AND length(lb1) + length(l0) >= 3 THEN lb1 || ' ' || l0 END AS two_b,
     CASE WHEN NOT f0 AND NOT f2 AND length(l0) + length(l1) + length(l2) >= 3 THEN l0 || ' ' || l1 || ' ' || l2 END AS three,
@@ -172,14 +183,14 @@ g AS (
   UNION ALL SELECT book, doc_pos, seg_pos, tok_pos, 2, two, s0 || ' ' || s1, (tok_pos > 0 AND regexp_matches(s0, '^[A-ZÀ-ÖØ-Þ]') AND regexp_matches(s1, '^[A-ZÀ-ÖØ-Þ]'))::INT FROM k WHERE two IS NOT NULL
   UNION ALL SELECT book, doc_pos, seg_pos, tok_pos, 3, three, s0 || ' ' || s1 || ' ' || s2, (tok_pos > 0 AND regexp_matches(s0, '^[A-ZÀ-ÖØ-Þ]') AND regexp_matches(s1, '^[A-ZÀ-ÖØ-Þ]') AND regexp_matches(s2, '^[A-ZÀ-ÖØ-Þ]'))::INT FROM k WHERE three IS NOT NULL),
 bys AS (SELECT book, n, key, surface, count(*) AS cnt, sum(cap) AS cap, min(doc_pos * 1000000000000 + seg_pos * 1000000 + tok_pos) AS first FROM g GROUP BY ALL),
-st AS (SELECT book, n, key, first(surface ORDER BY cnt DESC, first) AS surface, sum(cnt)::BIGINT AS cnt, sum(cap)::BIGINT AS cap, min(first) AS first FROM bys GROUP BY book, n, key),
-fl AS (SELECT book, CASE WHEN sum(len(toks)) >= 50000 THEN 3 ELSE 2 END AS floor FROM segs GROUP BY book),
-pr AS (SELECT book, short, long, count(*) AS hits FROM (
+st AS MATERIALIZED (SELECT book, n, key, first(surface ORDER BY cnt DESC, first) AS surface, sum(cnt)::BIGINT AS cnt, sum(cap)::BIGINT AS cap, min(first) AS first FROM bys GROUP BY book, n, key),
+fl AS MATERIALIZED (SELECT book, CASE WHEN sum(len(toks)) >= 50000 THEN 3 ELSE 2 END AS floor FROM segs GROUP BY book),
+pr AS MATERIALIZED (SELECT book, short, long, count(*) AS hits FROM (
     SELECT book, one AS short, two AS long FROM k UNION ALL SELECT book, one, two_b FROM k UNION ALL SELECT book, one, three FROM k UNION ALL SELECT book, one, three_b FROM k
     UNION ALL SELECT book, one, three_bb FROM k UNION ALL SELECT book, two, three FROM k UNION ALL SELECT book, two, three_b FROM k) WHERE short IS NOT NULL AND long IS NOT NULL GROUP BY ALL),
-rated AS (SELECT st.*, floor, list_contains({_sql_list(GLOSSARY)}, key) AS known FROM st JOIN fl USING (book)),
-best AS (SELECT pr.book, short AS key, max(hits) AS best FROM pr JOIN rated r ON r.book = pr.book AND r.key = pr.long AND (r.cnt >= r.floor OR r.known) GROUP BY ALL),
-kept AS (SELECT r.* FROM rated r LEFT JOIN best b ON b.book = r.book AND b.key = r.key
+rated AS MATERIALIZED (SELECT st.*, floor, list_contains({_sql_list(GLOSSARY)}, key) AS known FROM st JOIN fl USING (book)),
+best AS MATERIALIZED (SELECT pr.book, short AS key, max(hits) AS best FROM pr JOIN rated r ON r.book = pr.book AND r.key = pr.long AND (r.cnt >= r.floor OR r.known) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT r.* FROM rated r LEFT JOIN best b ON b.book = r.book AND b.key = r.key
     WHERE r.cnt >= floor AND NOT known AND (n = 3 OR coalesce(best, 0) / r.cnt < 0.8)),
 flagged AS (SELECT *, list_filter([CASE WHEN regexp_matches(surface, '-( |$)') THEN 'fragment_suspect' END,
     CASE WHEN (n = 1 AND surface = upper(surface) AND regexp_matches(surface, '[A-Za-zÀ-ÖØ-öø-ÿ]') AND length(surface) >= 2) OR (cnt >= 3 AND cap / cnt >= 0.8) THEN 'proper_noun' END,
@@ -199,7 +210,7 @@ ranked AS (SELECT book, surface AS term, key AS match_key, n AS ngram_size, nois
 
 QUERIES = {f.__name__: f for f in (
     language_detect, language_by_source, diacritic_quality, strip_markup_lengths, unit_hint_filter, ocr_warning, copyright_score, copyright_scan, copyright_prune,
-    tokenize_segments, ngram_counts, term_absorption, term_noise_flags, term_plural_merge, term_candidates, term_rank_topk, term_refresh,
+    tokenize_segments, ngram_counts, term_absorption, term_noise_flags, term_plural_merge, term_candidates, term_rank_topk, term_specificity, term_refresh,
 )}
 
 SQL = {
@@ -222,10 +233,15 @@ SQL = {
       SELECT source AS book, count(*) AS pages_left, min(doc_id) AS first_page, max(doc_id) AS last_page FROM documents
       WHERE (source, doc_id) NOT IN (SELECT book, doc_pos FROM ({_SCAN_SQL}) WHERE removed) GROUP BY source""",
     "tokenize_segments": _TERMS_SQL + "SELECT book, doc_pos, count(*) AS segments, sum(len(toks))::BIGINT AS tokens, max(len(toks)) AS longest FROM segs GROUP BY ALL",
-    "ngram_counts": _TERMS_SQL + "SELECT book, n, key, surface, cnt, cap, first // 1000000000000 AS first_doc FROM st WHERE cnt >= 3",
+    "ngram_counts": _TERMS_SQL + "SELECT book, n, key, surface, cnt, cap, first // 1000000000000 AS first_doc FROM st",
     "term_absorption": _TERMS_SQL + "SELECT book, n, key, cnt FROM kept",
     "term_noise_flags": _TERMS_SQL + "SELECT book, n, key, array_to_string(flags, ',') AS noise_flags FROM flagged",
     "term_plural_merge": _TERMS_SQL + "SELECT book, n, key, surface, cnt, noise_flags FROM merged",
     "term_candidates": _TERMS_SQL + "SELECT * FROM ranked WHERE place <= 20000",
+    "term_specificity": _TERMS_SQL + """, rr AS (SELECT DISTINCT word, (ascii(word) * 1000 + length(word) * 137) % 60000 + 1 AS r FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)),
+      cw AS (SELECT book, n, key, min(r) AS common FROM (SELECT book, n, key, unnest(string_split(key, ' ')) AS word FROM merged) JOIN rr USING (word) GROUP BY ALL),
+      sp AS (SELECT m.book, m.key, round(ln(1 + m.cnt) * (1 + 0.5::DOUBLE * (m.n - 1)) * least(1.0::DOUBLE, coalesce(common / 50000.0::DOUBLE, 1.0::DOUBLE)) * CASE WHEN m.noise_flags <> '' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score
+        FROM merged m LEFT JOIN cw ON cw.book = m.book AND cw.n = m.n AND cw.key = m.key)
+      SELECT book, key AS match_key, score AS rank_score, place FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, key) AS place FROM sp) WHERE place <= 10""",
     "term_rank_topk": _TERMS_SQL + "SELECT book, match_key, rank_score, place FROM ranked WHERE place <= 10",
 }

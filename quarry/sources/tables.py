@@ -6,12 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tasks that a small table of texts is dealt to at most.
+SPREAD = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few file parts is dealt to more tasks, since work on texts, not reading, takes the time; a larger one stays as it is."""
+    tasks = min(SPREAD, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def books(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
-    """Documents as pages of books: (book, doc_pos, text)."""
+    """Documents as pages of books: (book, doc_pos, text); those of one language, ``lang``, unless it is None.
+
+    Terms are mined in English books, whose function words are known; so the queries on terms read the English documents."""
     docs = table(spark, sf_dir, "documents")
     docs = docs.where(F.col("lang") == lang) if lang else docs
     return docs.select(F.col("source").alias("book"), F.col("doc_id").alias("doc_pos"), "text")
