@@ -41,3 +41,13 @@ def parse_zip_problem(content: bytes, images: int) -> str | None:
     if "document.md" not in names:
         return "no document"
     return None if sum(n.startswith("images/") and not n.endswith("/") for n in names) == images else "images"
+
+
+def parse_zip(document: str, images: dict[str, bytes]) -> bytes:
+    """A parse result as one archive: the text as ``document.md``, images below ``images/``, in order of names."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("document.md", document)
+        for name in sorted(images):
+            archive.writestr(f"images/{name}", images[name])
+    return out.getvalue()
