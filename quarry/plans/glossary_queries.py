@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import glossary
-from quarry.sources.tables import table
+from quarry.sources.tables import table, texts
 
 
 _SMALL, _LARGE = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,7 +42,7 @@ _EFF = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(term_en
 
 
 def _counts(spark, sf):
-    return glossary.occurrences(table(spark, sf, "documents").select("doc_id", "text"), glossary.effective(_entries(spark, sf), "project:1"))
+    return glossary.occurrences(texts(spark, sf).select("doc_id", "text"), glossary.effective(_entries(spark, sf), "project:1"))
 
 
 def glossary_occurrences(spark, sf):

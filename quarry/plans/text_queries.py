@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import lexicon as L
 from quarry.functions import text as T
 from quarry.operators import quality, terms
-from quarry.sources.tables import books, table
+from quarry.sources.tables import books, table, texts
 
 
 def _sql_list(values) -> str:
@@ -19,11 +19,11 @@ EN, FR = _sql_list(sorted(set(L.EN_FUNCTION_WORDS))), _sql_list(sorted(set(L.FR_
 
 
 def language_detect(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.detect_language(table(spark, sf, "documents"), ["doc_id"])
+    return quality.detect_language(texts(spark, sf), ["doc_id"])
 
 
 def language_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.detect_language(table(spark, sf, "documents"), ["source", "lang"])
+    return quality.detect_language(texts(spark, sf), ["source", "lang"])
 
 
 def _language_sql(keys: str, group: bool) -> str:
@@ -40,7 +40,7 @@ def _language_sql(keys: str, group: bool) -> str:
 
 
 def diacritic_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.diacritics(table(spark, sf, "documents"))
+    return quality.diacritics(texts(spark, sf))
 
 
 def strip_markup_lengths(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +50,7 @@ def strip_markup_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 def unit_hint_filter(spark: SparkSession, sf: str) -> DataFrame:
     low = F.lower("text")
-    return table(spark, sf, "documents").where(F.exists(F.array(*map(F.lit, L.UNIT_HINTS)), lambda u: F.contains(low, u))).select("doc_id")
+    return texts(spark, sf).where(F.exists(F.array(*map(F.lit, L.UNIT_HINTS)), lambda u: F.contains(low, u))).select("doc_id")
 
 
 def ocr_warning(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,14 +17,18 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name == "documents" else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work on their texts."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def books(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
     """Documents as pages of books: (book, doc_pos, text); those of one language, ``lang``, unless it is None.
 
     Terms are mined in English books, whose function words are known; so the queries on terms read the English documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     docs = docs.where(F.col("lang") == lang) if lang else docs
     return docs.select(F.col("source").alias("book"), F.col("doc_id").alias("doc_pos"), "text")
