@@ -6,7 +6,9 @@ import posixpath
 import re
 from collections.abc import Iterator
 from html import escape
+from html.entities import html5
 from html.parser import HTMLParser
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -68,7 +70,7 @@ class Node:
                 out.append(c if isinstance(c, Raw) else escape(c, quote=False))
             elif lists or c.tag not in LISTS:
                 attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in c.attrs)
-                out.append(f"<{c.tag}{attrs}/>" if c.tag in _VOID else f"<{c.tag}{attrs}>{c.inner(lists)}</{c.tag}>")
+                out.append(f"<{c.tag}{attrs}/>" if c.tag in _VOID and not c.children else f"<{c.tag}{attrs}>{c.inner(lists)}</{c.tag}>")
         return "".join(out)
 
 
@@ -120,6 +122,74 @@ def parse(html: str | None) -> Node:
     return builder.root
 
 
+_NAMED = re.compile(r"&(?!(?:amp|lt|gt|quot|apos);)[A-Za-z][A-Za-z0-9]*;")
+#: Class of the spans that some shops put around each sentence.
+READER_SPAN = "koboSpan"
+
+
+def _xml(text: str) -> Node:
+    """Tree of well-formed XML, names in their own case; what precedes the root element is kept as it stands."""
+    data = _NAMED.sub(lambda m: html5.get(m[0][1:], m[0]), text).encode()
+    parser = expat.ParserCreate("utf-8")
+    parser.buffer_text = parser.ordered_attributes = True
+    root = Node("")
+    at = [root]
+
+    def start(tag, attrs):
+        if at[-1] is root and not any(isinstance(c, Node) for c in root.children):
+            root.children.append(Raw(data[: parser.CurrentByteIndex].decode()))
+        at.append(Node(tag, zip(attrs[::2], attrs[1::2]), at[-1]))
+        at[-2].children.append(at[-1])
+
+    def chars(value):
+        at[-1].children.append(Raw(escape(value, quote=False)) if at[-1].tag in ("script", "style") else value)
+
+    def keep(value):
+        if len(root.children):  # else part of what precedes the root element
+            at[-1].children.append(Raw(value))
+
+    def skipped(name, is_parameter):
+        raise expat.ExpatError(f"unknown entity {name}")
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, lambda tag: at.pop(), chars
+    parser.CommentHandler, parser.ProcessingInstructionHandler = lambda c: keep(f"<!--{c}-->"), lambda target, c: keep(f"<?{target} {c}?>")
+    parser.SkippedEntityHandler = skipped
+    parser.Parse(data, True)
+    return root
+
+
+def _unwrapped(root: Node) -> Node:
+    """The tree without reader's spans; what they hold takes their place."""
+    for node in [n for n in root.walk() if n.tag == "span" and READER_SPAN in n.classes()]:
+        siblings = node.parent.children
+        at = next(i for i, c in enumerate(siblings) if c is node)
+        siblings[at : at + 1] = node.children
+        for c in node.children:
+            if isinstance(c, Node):
+                c.parent = node.parent
+        for i in range(len(siblings) - 1, 0, -1):  # neighbouring texts become one
+            if type(siblings[i]) is str and type(siblings[i - 1]) is str:
+                siblings[i - 1 : i + 1] = [siblings[i - 1] + siblings[i]]
+    return root
+
+
+def parse_xhtml(text: str | None) -> Node:
+    """Tree of a book's document: as XML where it is well-formed, so names keep their case (``viewBox``), else as lenient HTML.
+    Reader's spans are unwrapped."""
+    try:
+        return _unwrapped(_xml(text or ""))
+    except expat.ExpatError:
+        return _unwrapped(parse(text))
+
+
+def well_formed(text: str) -> bool:
+    try:
+        _xml(text)
+    except expat.ExpatError:
+        return False
+    return True
+
+
 def _inside_other(node: Node) -> bool:
     """Whether a unit above holds this node's text, with no list between them."""
     for above in node.above():
@@ -139,9 +209,9 @@ def unit_nodes(root: Node) -> list[Node]:
     return [n for n in root.walk() if n.tag in UNIT_TAGS and not any(TRANSLATED in a.classes() for a in (n, *n.above())) and not _inside_other(n)]
 
 
-def units(html: str | None) -> Iterator[tuple[int, str, str, str]]:
+def units(html: str | None, read=parse) -> Iterator[tuple[int, str, str, str]]:
     """(ordinal, tag, inner HTML, text) of the units. Ordinals count what is dropped (nothing, digits, a URL, an ISBN) too."""
-    for ordinal, node in enumerate(unit_nodes(parse(html))):
+    for ordinal, node in enumerate(unit_nodes(read(html))):
         text = node.text(lists=False)
         if not any(p.fullmatch(text) for p in _DROP):
             yield ordinal, node.tag, node.inner(lists=False), text
@@ -242,9 +312,9 @@ def translate_node(node: Node, html: str, bilingual: bool = False) -> None:
         parent.children[i] = " ".join(runs)
 
 
-def translated(html: str, by_ordinal: dict[int, str], bilingual: bool = False) -> str:
+def translated(html: str, by_ordinal: dict[int, str], bilingual: bool = False, read=parse) -> str:
     """A document with its units replaced; unknown ordinals raise."""
-    root = parse(html)
+    root = read(html)
     nodes = unit_nodes(root)
     if unknown := sorted(set(by_ordinal) - set(range(len(nodes)))):
         raise ValueError(f"no such units: {unknown}")
@@ -256,7 +326,7 @@ def translated(html: str, by_ordinal: dict[int, str], bilingual: bool = False) -
 _MD = {"strong": "**", "b": "**", "em": "*", "i": "*"}
 
 
-def markdown(html: str | None) -> str:
+def markdown(html: str | None, read=parse) -> str:
     """Markdown of a document: headings, paragraphs, lists, quotes, emphasis, links, images; blocks a blank line apart."""
 
     def inline(node: Node) -> str:
@@ -279,7 +349,7 @@ def markdown(html: str | None) -> str:
         return "".join(out)
 
     blocks = []
-    for node in unit_nodes(parse(flat_scripts(html or ""))):
+    for node in unit_nodes(read(flat_scripts(html or ""))):
         text = inline(node).strip()
         if not text:
             continue

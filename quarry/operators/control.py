@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark import TaskContext
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as L
+from quarry.sources.shared import written
 
 
 def outcome(exit_code: Column, rate_limit_hits: Column, duration: Column, timeout: Column) -> Column:
@@ -97,5 +99,18 @@ def latest_duplicate(files: DataFrame, digest: str, order: list[str]) -> DataFra
     return files.join(newest, digest).where(F.struct(*order) != F.col("top"))
 
 
-def numbered(df: DataFrame, key: str, order: list[str], name: str = "pos") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def numbered(df: DataFrame, key: list[str], order: list, name: str = "pos") -> DataFrame:
+    """Place of each row among those of its key, from 1, in ``order`` (names or sort orders); null keys are one key.
+
+    Rows are dealt to ranges of key and order, written, and numbered within each range; what a key has in earlier ranges comes on
+    top. So a key that holds a third of all rows lies in many tasks. At most one key reaches into a range from the one before,
+    hence at most one row a range is broadcast."""
+    ranges = written(df.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "places")
+    counts = ranges.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0")
+    reach = reach.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)), F.col("_range").alias("_at"), "_before")
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)), F.col("_range") == F.col("_at"))
+    here = ranges.withColumn(name, F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*order)))
+    placed = here.join(F.broadcast(reach), same, "left")
+    return placed.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_range", "_at", "_before", *(f"_key{i}" for i in range(len(key))))

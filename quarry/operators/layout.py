@@ -1,6 +1,7 @@
 """Checks of page layout on tables of boxes; a box is the columns x0, y0, x1, y1.
 
-Every join of boxes is an equi-join on the page with a range condition, so a page's boxes meet in one shuffle."""
+Boxes meet by cells of a grid over the page: each is dealt to the cells that it touches, and a pair counts in the cell of its
+common corner. So a page of very many boxes is spread, and only neighbours are compared."""
 
 from __future__ import annotations
 
@@ -23,30 +24,49 @@ def other(boxes: DataFrame) -> DataFrame:
     return boxes.withColumnsRenamed({c: f"o_{c}" for c in boxes.columns if c != "page"})
 
 
+def meeting(blocks: DataFrame, others: DataFrame, cell: float) -> DataFrame:
+    """Pairs of boxes of a page that share an area, each once, with the areas ``a`` and ``b`` and the shared one ``s``.
+
+    Boxes without an area meet nothing. ``cell`` is the side of a grid cell, about the size of a box."""
+
+    def dealt(boxes: DataFrame, p: str) -> DataFrame:
+        along = lambda axis: F.sequence(F.floor(F.col(f"{p}{axis}0") / cell), F.floor(F.col(f"{p}{axis}1") / cell))
+        proper = boxes.where((F.col(f"{p}x1") > F.col(f"{p}x0")) & (F.col(f"{p}y1") > F.col(f"{p}y0")))
+        return proper.withColumn("_cx", F.explode(along("x"))).withColumn("_cy", F.explode(along("y")))
+
+    pairs = dealt(blocks, "").join(dealt(other(others), "o_"), ["page", "_cx", "_cy"])
+    corner = lambda axis: F.floor(F.greatest(F.col(f"{axis}0"), F.col(f"o_{axis}0")) / cell)
+    once = pairs.where((F.col("_cx") == corner("x")) & (F.col("_cy") == corner("y"))).drop("_cx", "_cy")
+    return once.withColumn("a", area()).withColumn("b", area("o_")).withColumn("s", shared_area()).where("s > 0")
+
+
+#: Side of a grid cell in points.
+CELL = 128.0
+
+
 def overlaps(blocks: DataFrame, least: float = 0.05) -> DataFrame:
     """Pairs of blocks of a page that share more than ``least`` of the smaller one's area."""
-    pairs = blocks.join(other(blocks), "page").where("block < o_block").withColumn("a", area()).withColumn("b", area("o_")).withColumn("s", shared_area())
+    pairs = meeting(blocks, blocks, CELL).where("block < o_block")
     ratio = F.col("s") / F.least("a", "b")
-    return pairs.where("a > 0 and b > 0 and s > 0").select("page", "block", "o_block", ratio.alias("ratio")).where(F.col("ratio") > least)
+    return pairs.select("page", "block", "o_block", ratio.alias("ratio")).where(F.col("ratio") > least)
 
 
 def over_border(blocks: DataFrame, borders: DataFrame, least: float = 0.05) -> DataFrame:
     """Text that crosses a border: more than ``least`` of it inside, and not all of it."""
-    pairs = blocks.join(other(borders), "page").withColumn("a", area()).withColumn("b", area("o_")).withColumn("s", shared_area())
-    return pairs.where("a > 0 and b > 0 and s > 0 and s < a - 1e-6").select("page", "block", "o_block", (F.col("s") / F.col("a")).alias("ratio")).where(F.col("ratio") > least)
+    return meeting(blocks, borders, CELL).where("s < a - 1e-6").select("page", "block", "o_block", (F.col("s") / F.col("a")).alias("ratio")).where(F.col("ratio") > least)
 
 
 def over_image(blocks: DataFrame, images: DataFrame, least: float = 0.05) -> DataFrame:
-    pairs = blocks.join(other(images), "page").withColumn("a", area()).withColumn("b", area("o_")).withColumn("s", shared_area())
-    return pairs.where("a > 0 and b > 0").select("page", "block", "o_block", (F.col("s") / F.col("a")).alias("ratio")).where(F.col("ratio") > least)
+    """Text that lies on an image by more than ``least`` (0 or more) of its area."""
+    return meeting(blocks, images, CELL).select("page", "block", "o_block", (F.col("s") / F.col("a")).alias("ratio")).where(F.col("ratio") > least)
 
 
 def best_match(blocks: DataFrame, targets: DataFrame, least: float = 0.05) -> DataFrame:
     """For each block the target with the largest intersection over union, the first on ties, if it is at least ``least``."""
-    pairs = blocks.join(other(targets), "page").withColumn("s", shared_area())
-    iou = F.col("s") / (area() + area("o_") - F.col("s"))
+    pairs = meeting(blocks, targets, CELL)
+    iou = F.col("s") / (F.col("a") + F.col("b") - F.col("s"))
     best = F.max_by(F.struct("o_block", F.col("iou")), F.struct(F.col("iou"), -F.col("o_block")))
-    return pairs.where("s > 0").withColumn("iou", iou).where(F.col("iou") >= least).groupBy("page", "block").agg(best.alias("m")).select("page", "block", F.col("m.o_block").alias("o_block"), F.col("m.iou").alias("iou"))
+    return pairs.withColumn("iou", iou).where(F.col("iou") >= least).groupBy("page", "block").agg(best.alias("m")).select("page", "block", F.col("m.o_block").alias("o_block"), F.col("m.iou").alias("iou"))
 
 
 def rotation(dx: Column, dy: Column) -> Column:

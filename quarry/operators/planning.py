@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,26 +39,33 @@ def pack_units(units: DataFrame, chunk_chars: int = 8000, request_chars: int = 1
 
     A chunk closes with the unit that fills it; a request closes before a unit that would overfill it, or when it has
     enough units. A book with a unit above ``largest`` can't be planned: its indices are null. Budgets start anew, so this
-    is a fold; a group is one book."""
+    is a fold over a book in order; units pass one by one, so a task remembers a few numbers, however long the book."""
+    kind = units.schema["book"].dataType.simpleString()
 
-    def fold(book: pd.DataFrame) -> pd.DataFrame:
-        book = book.sort_values("unit_idx")
-        sizes = book.n.to_numpy()
-        chunks, requests = [], []
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, begun = None, False
         run = chunk = chars = count = request = 0
-        for n in sizes.tolist():
-            if count and (chars + n > request_chars or count >= request_units):
-                request, chars, count = request + 1, 0, 0
-            chunks.append(chunk)
-            requests.append(request)
-            run, chars, count = run + n, chars + n, count + 1
-            if run >= chunk_chars:
-                run, chunk, request, chars, count = 0, chunk + 1, 0, 0, 0
-        bad = bool((sizes > largest).any())
-        none = [None] * len(sizes)
-        return pd.DataFrame({"book": book.book, "unit_idx": book.unit_idx, "chunk_index": pd.array(none if bad else chunks, "Int32"), "request_index": pd.array(none if bad else requests, "Int32")})
-
-    return units.select("book", "unit_idx", "n").groupBy("book").applyInPandas(fold, "book string, unit_idx long, chunk_index int, request_index int")
+        for frame in frames:
+            chunks, requests = [], []
+            for b, n in zip(frame.book, frame.n.tolist()):
+                if not begun or b != book:
+                    book, begun = b, True
+                    run = chunk = chars = count = request = 0
+                if count and (chars + n > request_chars or count >= request_units):
+                    request, chars, count = request + 1, 0, 0
+                chunks.append(chunk)
+                requests.append(request)
+                run, chars, count = run + n, chars + n, count + 1
+                if run >= chunk_chars:
+                    run, chunk, request, chars, count = 0, chunk + 1, 0, 0, 0
+            yield pd.DataFrame({"book": frame.book, "unit_idx": frame.unit_idx, "chunk_index": chunks, "request_index": requests})
+
+    sizes = units.select("book", "unit_idx", "n")
+    plan = sizes.repartition("book").sortWithinPartitions("book", "unit_idx").mapInPandas(fold, f"book {kind}, unit_idx long, chunk_index int, request_index int")
+    bad = sizes.groupBy(F.col("book").alias("_book")).agg(F.max("n").alias("_most")).where(F.col("_most") > largest)
+    known = plan.join(bad, F.col("book").eqNullSafe(F.col("_book")), "left")
+    good = lambda c: F.when(F.col("_most").isNull(), F.col(c)).alias(c)
+    return known.select("book", "unit_idx", good("chunk_index"), good("request_index"))
 
 
 def input_tokens(chars: Column, segments: Column, lang: Column, overhead: int) -> Column:

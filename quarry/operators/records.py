@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -64,9 +66,15 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
 
 
-def match_lines(lines: DataFrame, spans: DataFrame, least: float = 0.6) -> DataFrame:
-    """Detector lines (page, line, text, cx, cy, height) with their most similar span (page, span, content, sx, sy) nearby, the first on ties."""
-    near = lines.join(spans, "page").where(F.hypot(F.col("cx") - F.col("sx"), F.col("cy") - F.col("sy")) < 0.5 * F.col("height"))
+def match_lines(lines: DataFrame, spans: DataFrame, least: float = 0.6, cell: float = 32.0) -> DataFrame:
+    """Detector lines (page, line, text, cx, cy, height) with their most similar span (page, span, content, sx, sy) nearby, the first on ties.
+
+    Near is less than half a line's height from centre to centre: a line asks the grid cells of side ``cell`` within that reach,
+    a span lies in one, so a page of very many lines is spread."""
+    reach = lambda c: F.sequence(F.floor((F.col(c) - 0.5 * F.col("height")) / cell), F.floor((F.col(c) + 0.5 * F.col("height")) / cell))
+    asking = lines.where("height > 0").withColumn("_cx", F.explode(reach("cx"))).withColumn("_cy", F.explode(reach("cy")))
+    lying = spans.withColumn("_cx", F.floor(F.col("sx") / cell)).withColumn("_cy", F.floor(F.col("sy") / cell))
+    near = asking.join(lying, ["page", "_cx", "_cy"]).where(F.hypot(F.col("cx") - F.col("sx"), F.col("cy") - F.col("sy")) < 0.5 * F.col("height"))
     rated = near.withColumn("ratio", similarity("text", "content")).where(F.col("ratio") >= least)
     best = F.max_by(F.struct("span", "ratio"), F.struct("ratio", -F.col("span")))
     return rated.groupBy("page", "line").agg(best.alias("m")).select("page", "line", F.col("m.span").alias("span"), F.round("m.ratio", 6).alias("ratio"))
@@ -132,6 +140,35 @@ DENIED = {
 }
 
 
+def whole_texts(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
+    """(book, pos, text) to each book's whole text as (book, total_chars, sha256, pages): the pages that hold a text, in order.
+
+    A digest runs over one book in order, so a book is one task's; but its pages pass one by one, and no row holds a whole book."""
+    kind = pages.schema["book"].dataType.simpleString()
+    names = ["book", "total_chars", "sha256", "pages"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book, chars, digest, n, done = None, 0, None, 0, []
+        for frame in frames:
+            for b, t in zip(frame.book, frame.text):
+                if digest is None or b != book:
+                    done += [] if digest is None else [(book, chars, digest.hexdigest(), n)]
+                    book, chars, digest, n = b, 0, hashlib.sha256(), 0
+                n += 1
+                if t:
+                    lead = separator if chars else ""
+                    chars += len(lead) + len(t)
+                    digest.update((lead + t).encode())
+            if len(done) > 10_000:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        done += [] if digest is None else [(book, chars, digest.hexdigest(), n)]
+        yield pd.DataFrame(done, columns=names)
+
+    in_order = pages.select("book", "pos", "text").repartition("book").sortWithinPartitions("book", "pos").select("book", "text")
+    return in_order.mapInPandas(run, f"book {kind}, total_chars long, sha256 string, pages int")
+
+
 def contents_cuts(label: str | None, lines: list[list[tuple[float, float, str, float]] | None]) -> tuple[str, list[int]]:
     """Whether a paragraph is a list of contents, and the lines after which to cut it. A line is glyphs (x, x2, char, font size), or None."""
     if (label or "").strip().lower() in DENIED:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as L
 from quarry.functions import text as T
+from quarry.operators.control import numbered
 from quarry.sources.shared import written
 from quarry.sources.tables import spread
 
@@ -127,10 +128,7 @@ def ranked(candidates: DataFrame, cap: int = 20_000, ranks: DataFrame | None = N
         candidates = candidates.join(best, ["book", "n", "key"], "left")
         rare = F.coalesce(F.least(F.lit(1.0), F.col("best") / 50_000), F.lit(1.0))
     score = F.log(1 + F.col("cnt")) * (1 + 0.5 * (F.col("n") - 1)) * rare * F.when(F.size("flags") > 0, 0.3).otherwise(1.0)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("book").orderBy(F.desc("score"), "key")
-    out = candidates.withColumn("score", F.round(score, 9)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
+    out = numbered(candidates.withColumn("score", F.round(score, 9)), ["book"], [F.desc("score"), F.asc("key")], "place").where(F.col("place") <= cap)
     return out.select("book", F.col("surface").alias("term"), F.col("key").alias("match_key"), F.col("n").alias("ngram_size"), F.concat_ws(",", "flags").alias("noise_flags"), F.col("cnt").alias("occurrences"), F.col("score").alias("rank_score"), "place")
 
 

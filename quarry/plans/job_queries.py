@@ -227,12 +227,15 @@ def shortest_first(spark, sf):
 
 
 def bilingual_interleave(spark, sf):
-    """Pages of two versions of each book side by side; the second may be shorter."""
-    d = table(spark, sf, "documents")
-    side = lambda lang, rank: control.numbered(d.where(F.col("lang") == lang).select(F.col("source").alias("book"), "doc_id"), "book", ["doc_id"]).withColumn("side", F.lit(rank))
-    first, second = side("en", 0), side("fr", 1)
-    both = first.unionByName(second.join(first.select("book", "pos"), ["book", "pos"], "left_semi"))
-    return both.select("book", "doc_id", F.row_number().over(Window.partitionBy("book").orderBy("pos", "side")).alias("place"))
+    """Pages of two versions of each book side by side; the second may be shorter.
+
+    A page's place follows from its position in its version and the number of pages of the other one."""
+    d = table(spark, sf, "documents").where("lang in ('en', 'fr')").select(F.col("source").alias("book"), "doc_id", "lang")
+    pages = d.groupBy("book").agg(F.count_if(F.col("lang") == "en").alias("firsts"), F.count_if(F.col("lang") == "fr").alias("seconds"))
+    placed = control.numbered(d, ["book", "lang"], ["doc_id"]).join(pages, "book")
+    is_first = F.col("lang") == "en"
+    place = F.when(is_first, F.col("pos") + F.least(F.col("pos") - 1, F.col("seconds"))).otherwise(2 * F.col("pos"))
+    return placed.where(is_first | (F.col("pos") <= F.col("firsts"))).select("book", "doc_id", place.alias("place"))
 
 
 def file_router(spark, sf):

@@ -98,9 +98,8 @@ def parse_method(spark, sf):
 
 def book_texts(spark, sf):
     """Whole text of each book, pages in order, and its length with separators."""
-    d = table(spark, sf, "documents").groupBy(F.col("source").alias("book")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("p"))
-    full = F.array_join(F.filter(F.transform("p", lambda x: F.trim(F.regexp_replace(x["text"], "<[^>]+>", " "))), lambda t: t != ""), "\n\n")
-    return d.select("book", F.length(full).alias("total_chars"), F.sha2(full, 256).alias("sha256"), F.size("p").alias("pages"))
+    d = table(spark, sf, "documents")
+    return records.whole_texts(d.select(F.col("source").alias("book"), F.col("doc_id").alias("pos"), F.trim(F.regexp_replace("text", "<[^>]+>", " ")).alias("text")))
 
 
 def prompts(spark, sf):

@@ -113,19 +113,26 @@ def settings_upsert(spark, sf):
 
 
 def _archives(spark, sf):
-    """Every book as an EPUB: documents are chapters, lines are paragraphs."""
+    """Every book as EPUB volumes of at most 64 documents, by id: documents are chapters, lines are paragraphs.
+
+    A file is one value, so a book of very many documents must be many files; ``_book`` gives the book of a volume's path."""
 
     def pack(book: pd.DataFrame) -> pd.DataFrame:
         book = book.sort_values("doc_id")
         chapters = [(f"d{i}.xhtml", "<html><body>" + "".join(f"<p>{escape(x, quote=False)}</p>" for x in t.split("\n")) + "</body></html>") for i, t in zip(book.doc_id, book.text)]
-        return pd.DataFrame({"path": [book.source.iloc[0]], "content": [epub.build(chapters)]})
+        return pd.DataFrame({"path": [f"{book.source.iloc[0]}/{book.volume.iloc[0]}"], "content": [epub.build(chapters)]})
+
+    d = table(spark, sf, "documents").select("doc_id", "source", "text", F.floor(F.col("doc_id") / 64).alias("volume"))
+    return d.groupBy("source", "volume").applyInPandas(pack, "path string, content binary")
+
 
-    return table(spark, sf, "documents").select("doc_id", "source", "text").groupBy("source").applyInPandas(pack, "path string, content binary")
+def _book(path: str = "path"):
+    return F.regexp_replace(path, "/[^/]*$", "")
 
 
 def epub_units(spark, sf):
     u = epub.read_units(_archives(spark, sf)).where("error is null")
-    return u.select("path", F.regexp_extract("doc_href", "d(\\d+)", 1).cast("long").alias("doc_id"), "ordinal", "text")
+    return u.select(_book().alias("path"), F.regexp_extract("doc_href", "d(\\d+)", 1).cast("long").alias("doc_id"), "ordinal", "text")
 
 
 def epub_translate(spark, sf):
@@ -134,7 +141,7 @@ def epub_translate(spark, sf):
     units = epub.read_units(files).where("error is null")
     done = units.where(F.regexp_extract("doc_href", "d(\\d+)", 1).cast("long") % 2 == 0).select("path", F.concat("doc_href", F.lit("#"), F.col("ordinal").cast("string")).alias("unit_id"), F.lit("<b>neu</b> & gut").alias("html"))
     again = epub.read_units(epub.rewrite_all(files, done))
-    return again.groupBy("path").agg(F.count("*").alias("units"), F.count_if(F.col("text") == "neu & gut").alias("changed"))
+    return again.groupBy(_book().alias("path")).agg(F.count("*").alias("units"), F.count_if(F.col("text") == "neu & gut").alias("changed"))
 
 
 QUERIES = {f.__name__: f for f in (

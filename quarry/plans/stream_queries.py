@@ -35,7 +35,7 @@ def progress_events(spark, sf):
     """Progress of each job after each chunk."""
     from quarry.sources.tables import table
 
-    li = control.numbered(table(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "chunk")
+    li = control.numbered(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "chunk")
     total = li.groupBy("l_orderkey").agg(F.count("*").alias("total"))
     return li.join(total, "l_orderkey").select(F.col("l_orderkey").alias("job_id"), "chunk", "total", F.when(F.col("total") == 0, 0.0).otherwise(F.round(F.col("chunk") / F.col("total"), 9)).alias("progress"))
 

@@ -59,6 +59,10 @@ def spine(archive: zipfile.ZipFile) -> tuple[str, list[str]]:
     return package, hrefs
 
 
+def _document(archive: zipfile.ZipFile, href: str) -> str:
+    return archive.read(href).decode("utf-8", "replace")
+
+
 def opened(content: bytes) -> zipfile.ZipFile:
     try:
         archive = zipfile.ZipFile(io.BytesIO(content or b""))
@@ -75,7 +79,7 @@ def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 archive = opened(content)
                 _, hrefs = spine(archive)
-                rows = [(path, None, pos, href, *u) for pos, href in enumerate(hrefs) for u in H.units(archive.read(href).decode("utf-8", "replace"))]
+                rows = [(path, None, pos, href, *u) for pos, href in enumerate(hrefs) for u in H.units(_document(archive, href), H.parse_xhtml)]
             except EpubError as e:
                 rows = [(path, str(e), None, None, None, None, None, None)]
             out = pd.DataFrame(rows, columns=names)
@@ -109,8 +113,11 @@ def rewrite(content: bytes, translations: dict[str, str], bilingual: bool = Fals
         if href not in hrefs or not ordinal.isdigit():
             raise EpubError(f"no such unit: {unit}")
         by_doc.setdefault(href, {})[int(ordinal)] = text
-    changed = {h: H.translated(archive.read(h).decode("utf-8", "replace"), t, bilingual).encode() for h, t in by_doc.items()}
-    return _copied(archive, changed)
+    changed = {h: H.translated(_document(archive, h), t, bilingual, H.parse_xhtml) for h, t in by_doc.items()}
+    for h, text in changed.items():
+        if not H.well_formed(text):
+            raise EpubError(f"not well-formed after translation: {h}")
+    return _copied(archive, {h: text.encode() for h, text in changed.items()})
 
 
 def rewrite_all(files: DataFrame, translations: DataFrame, bilingual: bool = False) -> DataFrame:
@@ -128,13 +135,14 @@ def rewrite_all(files: DataFrame, translations: DataFrame, bilingual: bool = Fal
 
 def drop_documents(content: bytes, hrefs: set[str]) -> tuple[bytes, list[str]]:
     """Remove documents from package, reading order, guide and contents; links to them lose their anchor. A document that
-    a kept one needs (image, frame, style sheet or script) stays. Gives the archive and what was removed."""
+    a kept one needs (image, frame, style sheet or script) stays. Gives the archive and what was removed; nothing is, if a kept
+    document would not be well-formed afterwards."""
     archive = opened(content)
     package, order = spine(archive)
     wanted = set(hrefs) & set(order)
     if wanted == set(order):
         return content, []
-    trees = {h: H.parse(archive.read(h).decode("utf-8", "replace")) for h in order if h not in wanted}
+    trees = {h: H.parse_xhtml(_document(archive, h)) for h in order if h not in wanted}
     targets = [(h, n, H.resolve(h, dict(n.attrs).get("href") or dict(n.attrs).get("src") or dict(n.attrs).get("data"))) for h, t in trees.items() for n in t.walk()]
     gone = wanted - {t for _, n, t in targets if n.tag in ("img", "link", "iframe", "object", "script")}
     changed: dict[str, bytes] = {}
@@ -143,6 +151,8 @@ def drop_documents(content: bytes, hrefs: set[str]) -> tuple[bytes, list[str]]:
             n.tag, n.attrs = "span", []
             changed[h] = b""
     changed = {h: trees[h].inner().encode() for h in changed}
+    if not all(H.well_formed(text.decode()) for text in changed.values()):
+        return content, []
     opf = ElementTree.fromstring(archive.read(package))
     base = posixpath.dirname(package)
     at = lambda e: posixpath.normpath(posixpath.join(base, unquote((e.get("href") or "").split("#")[0])))
@@ -168,7 +178,7 @@ def drop_documents(content: bytes, hrefs: set[str]) -> tuple[bytes, list[str]]:
 def to_markdown(content: bytes) -> str:
     """All documents in reading order, those with text a blank line apart."""
     archive = opened(content)
-    texts = (H.markdown(archive.read(h).decode("utf-8", "replace")) for h in spine(archive)[1])
+    texts = (H.markdown(_document(archive, h), H.parse_xhtml) for h in spine(archive)[1])
     return "\n\n".join(t for t in texts if t)
 
 
