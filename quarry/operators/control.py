@@ -93,6 +93,32 @@ def sweep_orphans(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("finished_at", F.when(active, F.coalesce("finished_at", "now")).otherwise(F.col("finished_at"))).withColumn("status", F.when(active, "failed").otherwise(F.col("status"))).drop("now")
 
 
+#: What may be uploaded, in lower case, and the most bytes of a file.
+UPLOADS, UPLOAD_BYTES = (".pdf", ".epub"), 500 << 20
+
+
+def upload_check(name: Column, n_bytes: Column) -> tuple[Column, Column]:
+    """(stored name, result) of an upload: its name without folders, so it can't leave the upload folder, and ``ok`` or what it is
+    refused for: no name, another extension, too many bytes."""
+    base = F.regexp_extract(F.rtrim(name, F.lit("/")), "([^/]*)$", 1)
+    suffix = F.lower(F.regexp_extract(base, r"^.+(\.[^.]+)$", 1))
+    result = F.when(F.coalesce(name, F.lit("")) == "", "no_name").when(~suffix.isin(*UPLOADS), "extension").when(n_bytes > UPLOAD_BYTES, "too_large").otherwise("ok")
+    return base, result
+
+
+def transitions(jobs: DataFrame) -> DataFrame:
+    """``jobs`` (status, cancel_requested, request: retry, cancel or null; ...) after the request, with its result.
+
+    A retry takes jobs that failed, were cancelled or ran into their cap, queues them, and withdraws an earlier cancellation. A
+    cancellation takes jobs that have not ended, and only leaves a mark: the job stops after its chunk. Else nothing changes."""
+    retry = (F.col("request") == "retry") & F.col("status").isin("failed", "cancelled", "cost_capped")
+    cancel = (F.col("request") == "cancel") & ~F.col("status").isin("completed", "failed", "cancelled")
+    out = jobs.withColumn("result", F.when(F.col("request").isNull(), "none").when(retry, "queued").when(cancel, "marked").otherwise("refused"))
+    done = F.col("result")
+    marked = F.when(done == "queued", False).when(done == "marked", True).otherwise(F.col("cancel_requested"))
+    return out.withColumn("status", F.when(done == "queued", "queued").otherwise(F.col("status"))).withColumn("cancel_requested", marked)
+
+
 def latest_duplicate(files: DataFrame, digest: str, order: list[str]) -> DataFrame:
     """Each file that is not the latest with its digest, and the latest one."""
     newest = files.groupBy(digest).agg(F.max(F.struct(*order)).alias("top"), F.count("*").alias("copies")).where("copies > 1")

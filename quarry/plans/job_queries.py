@@ -251,6 +251,31 @@ def upload_hashes(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(t, 256).alias("sha256"), F.octet_length(t).alias("n_bytes"))
 
 
+def _uploads(spark, sf):
+    """Pages as uploads under names of several kinds, some of them of many megabytes."""
+    kind = F.get(F.array(*map(F.lit, [".pdf", ".EPUB", ".txt", "", ".tar.Pdf", "/"])), (F.col("page_id") % 6).cast("int"))
+    name = F.when(F.col("page_id") % 11 > 0, F.concat(F.lit("../up/book"), F.col("page_id").cast("string"), kind))
+    return table(spark, sf, "pages").select("page_id", name.alias("name"), (F.octet_length("html") * (F.col("page_id") % 9) * 100_000).alias("n_bytes"))
+
+
+def upload_checks(spark, sf):
+    stored, result = control.upload_check(F.col("name"), F.col("n_bytes"))
+    return _uploads(spark, sf).select("page_id", stored.alias("stored"), result.alias("result"))
+
+
+def upload_delete(spark, sf):
+    """Jobs after uploads were deleted: a job keeps its row, whether its file is still there or not."""
+    files = _uploads(spark, sf).where("page_id % 4 > 0").select(F.col("page_id").alias("file_id"), F.lit(True).alias("there"))
+    jobs = _jobs(spark, sf).select("job_id", F.col("batch_id").alias("file_id"))
+    return jobs.join(files, "file_id", "left").select("job_id", "file_id", F.coalesce("there", F.lit(False)).alias("file_there"))
+
+
+def job_transitions(spark, sf):
+    request = F.get(F.array(*map(F.lit, ["retry", "cancel"])), (F.col("batch_id") % 3).cast("int"))
+    jobs = _jobs(spark, sf).select("job_id", "status", (F.col("batch_id") % 2 == 0).alias("cancel_requested"), request.alias("request"))
+    return control.transitions(jobs).drop("request")
+
+
 def download_names(spark, sf):
     done = F.coalesce("finished_at", "created_at")
     return _jobs(spark, sf).select("job_id", F.concat(F.lit("book"), F.col("job_id").cast("string"), F.lit("_bilingual_"), F.date_format(done, "yyyyMMdd-HHmmss"), F.lit(".pdf")).alias("name"))
@@ -266,7 +291,7 @@ def effective_settings(spark, sf):
 QUERIES = {f.__name__: f for f in (
     page_chunk_plan, chunk_survivors, unit_chunk_plan, job_cost_estimate, chunk_cost_estimate, epub_cost_estimate, checks_by_prefix, write_once, cost_by_provider, cost_gate, batch_cost_gate, runaway_output, chunk_outcome, aimd_threads, warm_chunk_size,
     running_cost_cap, batch_cost_cap, cost_source_rollup, batch_rollup, orphan_sweep, job_history_page, job_counts, job_duration, status_guards, latest_duplicate, shortest_first,
-    bilingual_interleave, file_router, upload_hashes, download_names, effective_settings,
+    bilingual_interleave, file_router, upload_hashes, upload_checks, upload_delete, job_transitions, download_names, effective_settings,
 )}
 
 _ACTIVE = ", ".join(f"'{s}'" for s in L.ACTIVE_STATES)
@@ -315,6 +340,12 @@ SQL = {
       SELECT book, doc_id, row_number() OVER (PARTITION BY book ORDER BY pos, lang) AS place FROM p JOIN n USING (book) WHERE pos <= n""",
     "file_router": """SELECT file, round(ratio, 9) AS ratio, CASE WHEN ratio > 0.9 THEN 'pdf_digital' ELSE 'pdf_scan' END AS file_type FROM (
       SELECT source AS file, CASE WHEN count(*) = count(*) FILTER (WHERE n_chars <= 400 AND doc_id % 3 = 0) THEN 0 ELSE count(*) FILTER (WHERE n_chars > 400) / (count(*) - count(*) FILTER (WHERE n_chars <= 400 AND doc_id % 3 = 0)) END AS ratio FROM documents GROUP BY source)""",
+    "upload_checks": """WITH u AS (SELECT page_id, strlen(html) * (page_id % 9) * 100000 AS n_bytes, CASE WHEN page_id % 11 > 0 THEN 'book' || page_id || ['.pdf', '.EPUB', '.txt', '', '.tar.Pdf', ''][page_id % 6 + 1] END AS stored FROM pages)
+      SELECT page_id, stored, CASE WHEN stored IS NULL THEN 'no_name' WHEN NOT (lower(stored) LIKE '%.pdf' OR lower(stored) LIKE '%.epub') THEN 'extension' WHEN n_bytes > 524288000 THEN 'too_large' ELSE 'ok' END AS result FROM u""",
+    "upload_delete": "SELECT o_orderkey AS job_id, o_custkey AS file_id, EXISTS (SELECT 1 FROM pages WHERE page_id = o_custkey AND page_id % 4 > 0) AS file_there FROM orders",
+    "job_transitions": f"""SELECT job_id, CASE WHEN r = 'retry' AND can THEN 'queued' ELSE status END AS status, CASE WHEN r = 'retry' AND can THEN false WHEN r = 'cancel' AND runs THEN true ELSE mark END AS cancel_requested,
+      CASE WHEN r = '' THEN 'none' WHEN r = 'retry' AND can THEN 'queued' WHEN r = 'cancel' AND runs THEN 'marked' ELSE 'refused' END AS result FROM (
+      SELECT job_id, status, batch_id % 2 = 0 AS mark, ['retry', 'cancel', ''][batch_id % 3 + 1] AS r, status IN ('failed', 'cancelled', 'cost_capped') AS can, status NOT IN ('completed', 'failed', 'cancelled') AS runs FROM {_JOBS})""",
     "upload_hashes": "SELECT page_id, sha256(html) AS sha256, strlen(html) AS n_bytes FROM pages",
     "download_names": f"SELECT job_id, 'book' || job_id || '_bilingual_' || strftime(coalesce(finished_at, created_at), '%Y%m%d-%H%M%S') || '.pdf' AS name FROM {_JOBS}",
     "effective_settings": "SELECT * FROM (VALUES ('cap', '2.0', NULL), ('enabled', 'off', false), ('threads', '16', NULL), ('overlap', '2', NULL)) v(key, value, flag)",

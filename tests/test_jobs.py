@@ -91,3 +91,17 @@ def test_contents_and_lists(spark):
     assert records.contents_cuts(None, [line("Bread1"), line("x"), line("y"), line("Cakes9")])[0] == "low_fraction"
     g = spark.createDataFrame([(["1. a", "b", "2. c", "4. d", "3. e"],), (["a", "1. b"],), ([],)], "l array<string>").select(records.numbered_groups(F.col("l"))).collect()
     assert [list(r[0]) for r in g] == [[0, 0, 1, 1, 2], [0, 0], []]
+
+
+def test_uploads_by_hand(spark):
+    rows = [("a.pdf", 1), ("../../etc/x.EPUB", 500 << 20), ("b.epub", (500 << 20) + 1), ("c.pdf.txt", 1), (".pdf", 1), ("", 1), (None, 1), ("d/e.Pdf/", 1), ("plain", 1)]
+    stored, result = control.upload_check(F.col("n"), F.col("b"))
+    got = [tuple(r) for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n string, b long").orderBy("i").select(stored, result).collect()]
+    assert got == [("a.pdf", "ok"), ("x.EPUB", "ok"), ("b.epub", "too_large"), ("c.pdf.txt", "extension"), (".pdf", "extension"), ("", "no_name"), (None, "no_name"), ("e.Pdf", "ok"), ("plain", "extension")]
+
+
+def test_transitions_by_hand(spark):
+    rows = [("failed", True, "retry"), ("cost_capped", False, "retry"), ("completed", False, "retry"), ("cost_capped", False, "cancel"), ("failed", False, "cancel"), ("queued", False, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, status string, cancel_requested boolean, request string")
+    got = [(r["status"], r["cancel_requested"], r["result"]) for r in control.transitions(df).orderBy("i").collect()]
+    assert got == [("queued", False, "queued"), ("queued", False, "queued"), ("completed", False, "refused"), ("cost_capped", True, "marked"), ("failed", False, "refused"), ("queued", False, "none")]
