@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, near_dedup, sessions, sharding, token_counts, toxicity
+from quarry.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, near_dedup, sessions, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_late_sessions": sessions.op11_late_sessions,
+    "op12_warc": warc.op12_warc,
 }
-SQL = {"op5_exact_dedup": exact_dedup.SQL, "op11_late_sessions": sessions.SQL}
+SQL = {"op5_exact_dedup": exact_dedup.SQL, "op11_late_sessions": sessions.SQL, "op12_warc": warc.SQL}
