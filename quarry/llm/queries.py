@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, near_dedup, sessions, sharding, token_counts, toxicity, warc
+from quarry.llm import bpe, decontaminate, exact_dedup, language_id, line_dedup, lm_scoring, near_dedup, prefix_trie, sessions, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_late_sessions": sessions.op11_late_sessions,
     "op12_warc": warc.op12_warc,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
-SQL = {"op5_exact_dedup": exact_dedup.SQL, "op11_late_sessions": sessions.SQL, "op12_warc": warc.SQL}
+SQL = {"op5_exact_dedup": exact_dedup.SQL, "op11_late_sessions": sessions.SQL, "op12_warc": warc.SQL, "op13_prefix_trie": prefix_trie.SQL}
