@@ -3,6 +3,7 @@
 Texts become normalised TF-IDF vectors of hashed byte 1- to 3-grams (letters lower-cased, all else one space). Training
 takes a bounded, hash-ordered sample of labelled rows, clusters each language into a few spherical centroids, and
 notes, per length of text, how near training texts, and pieces cut out of them, are to their centroids; farther texts are rejected.
+Each language is clustered in a task of its own; the driver gets centroids (32 KB a language) and document frequencies only.
 
 Defined cases: a text that is null or has no letter is ``und``, score 0, rejected; without any labelled row every text
 is ``und``; any number of languages is learned; of centroids that are equally near the first counts, in the order of
@@ -25,6 +26,8 @@ from quarry.llm.common import crc_fold, documents, drop_spool, lean, share, slic
 
 #: Hashed dimensions; labelled rows a language may give at most; centroids a language.
 DIMS, SAMPLE, CENTROIDS = 2048, 600, 4
+#: Texts whose vectors are held at a time.
+ROWS = 1000
 #: Characters of the pieces cut out of the training texts, to tell how near short texts are.
 PIECES = (4, 8, 16, 32, 64, 128)
 #: Share of training texts of a length that may lie outside, and how much farther still counts as near.
@@ -113,42 +116,66 @@ def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, samp
     ids = rows.select("id", "lang", "h").distinct()
     sizes = ids.groupBy("lang").agg(F.count("*").alias("size"))
     part = (1.5 * sample + 200) / F.col("size")  # far more than ``sample`` with any odds
-    sizes = F.broadcast(sizes) if sizes.count() <= 1_000_000 else sizes
+    few = sizes.agg(F.coalesce(F.sum(F.least("size", F.lit(sample))), F.lit(0))).first()[0] <= 1_000_000  # so many rows are chosen, and no more languages
+    sizes = F.broadcast(sizes) if few else sizes
     likely = ids.join(sizes, "lang").where((part >= 1) | (F.col("h").cast("double") < part * 2.0**64 - 2.0**63))
     first = Window.partitionBy("lang").orderBy("h", "id")
     chosen = likely.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= sample).select("id", "lang")
-    return rows.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+    return rows.join(F.broadcast(chosen) if few else chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 @lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", rows=ROWS // 4):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.astype(np.uint32).tobytes() for c in gram_counts(part.column(1))], pa.binary())], ["lang", "counts"])
 
 
+def _counts(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.vstack([np.frombuffer(b.as_py(), np.uint32) for b in column])
+
+
+@lean
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's number of texts, and in how many of them each gram occurs: one row."""
+    n, seen = 0, np.zeros(DIMS, np.int64)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.column(1).slice(i, 500)
+            n, seen = n + len(part), seen + (_counts(part) > 0).sum(axis=0)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([seen.tobytes()], pa.binary())], ["n", "seen"])
+
+
+def _centroids(idf: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        counts = _counts(table.column("counts")).astype(np.float32)
+        counts = counts[np.lexsort(counts[:, :8].T)]  # rows come in any order
+        found = _cluster(vectors(counts, idf), CENTROIDS).astype(np.float32)
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(found), pa.string()), "at": pa.array(range(len(found)), pa.int32()), "centroid": pa.array([c.tobytes() for c in found], pa.binary())})
+
+    return run
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` rows a language (the first in the order of a hash of the id); every language counts."""
     picked = spool(_sample(labelled, id_col, text_col, lang_col, sample), "language-sample")
-    found = picked.mapInArrow(_features, "lang string, counts binary").toArrow()
-    if not found.num_rows:
+    grams = spool(picked.mapInArrow(_features, "lang string, counts binary"), "language-grams")
+    seen = grams.mapInArrow(_frequencies, "n long, seen binary").toArrow()
+    if not seen.num_rows:
         return Model([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(32))
-    langs = np.array(found.column("lang").to_pylist())
-    counts = np.vstack([np.frombuffer(b, np.uint32) for b in found.column("counts").to_pylist()]).astype(np.float32)
-    order = np.lexsort([*counts[:, :8].T, langs])  # rows come in any order
-    langs, counts = langs[order], counts[order]
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    v = vectors(counts, idf)
-    names = sorted(set(langs.tolist()))
-    parts = [_cluster(v[langs == x], CENTROIDS) for x in names]
-    centroids = np.vstack(parts).astype(np.float32)
-    owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
+    idf = np.log((1 + sum(seen.column("n").to_pylist())) / (1 + sum(np.frombuffer(b, np.int64) for b in seen.column("seen").to_pylist()))).astype(np.float32) + np.float32(1)
+    found = grams.groupBy("lang").applyInArrow(_centroids(idf), "lang string, at int, centroid binary").toArrow().sort_by([("lang", "ascending"), ("at", "ascending")])
+    drop_spool(grams)
+    names = sorted(set(found.column("lang").to_pylist()))
+    centroids = np.vstack([np.frombuffer(b, np.float32) for b in found.column("centroid").to_pylist()])
+    owner = np.searchsorted(names, found.column("lang").to_pylist())
     model = Model(names, owner, centroids, idf, np.zeros(32))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text, and of pieces from its middle: class of length, and similarity to its language."""
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", rows=ROWS // 4):
                 texts = part.column(1).to_pylist()
                 cuts = [t[len(t) // 2 :][:n] for n in PIECES for t in texts]
                 own = np.tile(np.searchsorted(model.langs, part.column(0).to_pylist()), 1 + len(PIECES))
@@ -173,7 +200,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 2 << 20, ROWS):
                 lang, score, rejected = shared.value.predict(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
@@ -187,7 +214,7 @@ def filter_language(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 2 << 20, ROWS):
                 yield part.filter(pa.array(~shared.value.predict(part.column(text_col))[2]))
 
     return docs.mapInArrow(lean(run), docs.schema)
