@@ -41,11 +41,21 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def spaces(tokenizer) -> list[str]:
+    """The white space that never becomes part of a token and never changes its neighbours, of blank and line end, tried on pairs of
+    all kinds of characters; without the blank none."""
+    kinds = ["a", "Z", "7", "é", "ß", "'", ".", "_", "日", "\u0301", "\u200d", "'s", "\t", "\n", "\r\n", "\x0b", "\u00a0", "\u3000", "▁", " "]
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    own = {k: ids(k) for k in kinds}
+
+    def apart(space: str) -> bool:
+        return not own[space] and all(ids(f"{a}{space}{b}") == own[a] + own[b] for a in kinds for b in kinds)
+
+    return [s for s in (" ", "\n") if apart(s)] if apart(" ") else []
+
+
 def cuts_at_spaces(tokenizer) -> bool:
-    """Whether a space never becomes part of a token and never changes its neighbours, tried on pairs of all kinds of characters."""
-    kinds = ["a", "Z", "7", "é", "ß", "'", ".", "_", "日", "\u0301", "\u200d", "'s", "\t"]
-    ids = {k: tokenizer.encode(k, add_special_tokens=False).ids for k in kinds}
-    return not tokenizer.encode(" ", add_special_tokens=False).ids and all(tokenizer.encode(f"{a} {b}", add_special_tokens=False).ids == ids[a] + ids[b] for a in kinds for b in kinds)
+    return bool(spaces(tokenizer))
 
 
 class PieceCounts:
@@ -53,16 +63,16 @@ class PieceCounts:
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer, self.known, self.older = tokenizer, {}, {}
-        self.cuts = cuts_at_spaces(tokenizer)
+        self.spaces = spaces(tokenizer)
 
     def of(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
-        if not self.cuts:
+        if not self.spaces:
             return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if len(self.known) > PIECES:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [(t.replace("\n", " ") if "\n" in self.spaces else t).split(" ") for t in texts]
         missing = set(itertools.chain.from_iterable(itertools.filterfalse(known.__contains__, pieces) for pieces in cut))
         known.update((p, older[p]) for p in missing if p in older)
         new = [p for p in missing if p not in older]

@@ -94,3 +94,21 @@ def test_counts_equal_the_library(spark, monkeypatch):
         n = len(encode(text)[0])
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 2048)
     assert token_counts.token_counts(df.where("false"), path).count() == 0
+
+
+@pytest.mark.parametrize("kept", [["\n"], ["\n", "\t"], []])
+def test_white_space_that_is_a_token_counts_in_short_and_long_texts(spark, tmp_path, kept):
+    """Tokenizers that take blanks away and keep other white space: no size of a text changes what counts."""
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    vocabulary = {w: i for i, w in enumerate(["?", "a", "b", "\n", "\t"])}
+    tokenizer = Tokenizer(models.WordLevel(vocabulary, unk_token="?"))
+    gone = "".join({" ", "\n", "\t"} - set(kept))
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(f"[{gone}]"), "removed"), *(pre_tokenizers.Split(w, "isolated") for w in kept)])
+    tokenizer.save(path := f"{tmp_path}/t.json")
+    texts = ["a\nb a", "a b\n", "\n", "a\t\nb", " \n ", "a\nb \t a " * 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    for chunk in (token_counts.CHUNK, 64):
+        assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path, chunk=chunk).collect()} == want
+    assert token_counts.spaces(tokenizer) == ([" ", "\n"] if "\n" not in kept else [" "])
