@@ -25,6 +25,11 @@ def outcome(exit_code: Column, rate_limit_hits: Column, duration: Column, timeou
     )
 
 
+def thread_floor(engine: Column, provider: Column) -> Column:
+    """Least thread count of an engine and provider; null where none is known."""
+    return reduce(lambda found, x: found.when((engine == x[0]) & (provider == x[1]), x[2]), L.THREAD_FLOORS, F.when(F.lit(False), 0))
+
+
 def next_threads(threads: int, found: str, floor: int) -> int:
     """Two more after success, half (at least the floor) after overload, else as many; never above the ceiling."""
     if found in ("rate_limited", "timeout_signalled"):
@@ -32,48 +37,53 @@ def next_threads(threads: int, found: str, floor: int) -> int:
     return min(L.THREAD_CEILING, threads + 2 * (found == "success"))
 
 
-def _shortened(floor: int):
+def _shortened(keys: list[str]):
     """A sorted partition to one row a key: what its part of the log does to any thread count, and to the run of successes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         key, leads, tail, clean, n = None, [], 0, True, 0
         done = []
+        names = [*keys, "floor", "part", "leads", "tail", "clean", "n"]
         for frame in frames:
-            for k, found in zip(frame.k, frame.outcome):
-                if k != key:
+            for *k, floor, found in frame[[*keys, "floor", "outcome"]].itertuples(index=False, name=None):
+                if [*k, floor] != key:
                     if n:
-                        done.append((key, part, leads, tail, clean, n))
-                    key, leads, tail, clean, n = k, list(range(L.THREAD_CEILING + 1)), 0, True, 0
+                        done.append((*key, part, leads, tail, clean, n))
+                    key, leads, tail, clean, n = [*k, floor], list(range(L.THREAD_CEILING + 1)), 0, True, 0
                 low, high = next_threads(leads[0], found, floor), next_threads(leads[-1], found, floor)
                 leads = [low] * len(leads) if low == high else [next_threads(t, found, floor) for t in leads]  # steps keep the order
                 tail, clean, n = (tail + 1, clean, n + 1) if found == "success" else (0, False, n + 1)
             if len(done) > 10_000:
-                yield pd.DataFrame(done, columns=["k", "part", "leads", "tail", "clean", "n"])
+                yield pd.DataFrame(done, columns=names)
                 done = []
         if n:
-            done.append((key, part, leads, tail, clean, n))
-        yield pd.DataFrame(done, columns=["k", "part", "leads", "tail", "clean", "n"])
+            done.append((*key, part, leads, tail, clean, n))
+        yield pd.DataFrame(done, columns=names)
 
     return run
 
 
-def thread_counts(log: DataFrame, key: str, order: list[str], floor: int = 8, start: int = 8) -> DataFrame:
-    """``log`` (key, order columns, outcome) to the thread count and the run of successes at the end of each key's log.
+def thread_counts(log: DataFrame, key: str | list[str], order: list[str], floor: int | Column = 8) -> DataFrame:
+    """``log`` (key columns, order columns, outcome) to the thread count and the run of successes at the end of each key's log.
 
-    A step maps thread counts to thread counts, and such maps combine; so ranges of the log are shortened to one map a key
-    wherever they are, and a long log of one key is spread over many tasks. Rows with a null key are left out."""
-    kind = log.schema[key].dataType.simpleString()
-    ranges = log.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *order, "outcome").repartitionByRange("k", *order).sortWithinPartitions("k", *order)
-    short = ranges.select("k", "outcome").mapInPandas(_shortened(floor), f"k {kind}, part int, leads array<int>, tail int, clean boolean, n int")
-    zero = F.struct(F.lit(start).alias("threads"), F.lit(0).alias("streak"), F.lit(0).alias("seen"))
+    Every key begins at its ``floor``, which depends on nothing but the key, and never falls below it. A step maps thread counts to
+    thread counts, and such maps combine; so ranges of the log are shortened to one map a key wherever they are, and a long
+    log of one key is spread over many tasks. Rows with a null in the key, or without a floor, are left out."""
+    keys = [key] if isinstance(key, str) else key
+    kinds = ", ".join(f"`{k}` {log.schema[k].dataType.simpleString()}" for k in keys)
+    least = F.lit(floor) if isinstance(floor, int) else floor
+    known = log.select(*keys, *order, least.cast("int").alias("floor"), "outcome").where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in [*keys, "floor"])))
+    ranges = known.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    short = ranges.select(*keys, "floor", "outcome").mapInPandas(_shortened(keys), f"{kinds}, floor int, part int, leads array<int>, tail int, clean boolean, n int")
+    zero = F.struct(F.col("floor").alias("threads"), F.lit(0).alias("streak"), F.lit(0).alias("seen"))
 
     def step(s: Column, p: Column) -> Column:
         streak = F.when(p["clean"], s["streak"]).otherwise(0) + p["tail"]
         return F.struct(F.get(p["leads"], s["threads"]).alias("threads"), streak.alias("streak"), (s["seen"] + p["n"]).alias("seen"))
 
-    parts = short.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("part", "leads", "tail", "clean", "n"))).alias("p"))  # one a partition at most
-    return parts.select(F.col("k").alias(key), F.aggregate("p", zero, step).alias("s")).select(key, F.col("s.threads").alias("threads"), F.col("s.streak").alias("streak"), F.col("s.seen").alias("observations"))
+    parts = short.groupBy(*keys, "floor").agg(F.array_sort(F.collect_list(F.struct("part", "leads", "tail", "clean", "n"))).alias("p"))  # one a partition at most
+    return parts.select(*keys, F.aggregate("p", zero, step).alias("s")).select(*keys, F.col("s.threads").alias("threads"), F.col("s.streak").alias("streak"), F.col("s.seen").alias("observations"))
 
 
 def warm_chunk_size(observations: Column, streak: Column) -> Column:
@@ -125,18 +135,29 @@ def latest_duplicate(files: DataFrame, digest: str, order: list[str]) -> DataFra
     return files.join(newest, digest).where(F.struct(*order) != F.col("top"))
 
 
-def numbered(df: DataFrame, key: list[str], order: list, name: str = "pos") -> DataFrame:
-    """Place of each row among those of its key, from 1, in ``order`` (names or sort orders); null keys are one key.
+def _by_ranges(df: DataFrame, key: list[str], order: list, each: Column, name: str) -> DataFrame:
+    """Sum of ``each`` over a row and those of its key before it, in ``order`` (names or sort orders); null keys are one key.
 
-    Rows are dealt to ranges of key and order, written, and numbered within each range; what a key has in earlier ranges comes on
+    Rows are dealt to ranges of key and order, written, and summed within each range; what a key has in earlier ranges comes on
     top. So a key that holds a third of all rows lies in many tasks. At most one key reaches into a range from the one before,
     hence at most one row a range is broadcast."""
     ranges = written(df.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "places")
-    counts = ranges.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
+    counts = ranges.groupBy(*key, "_range").agg(F.sum(each).alias("_n"))
     earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    reach = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0")
+    reach = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before is not null")
     reach = reach.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)), F.col("_range").alias("_at"), "_before")
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)), F.col("_range") == F.col("_at"))
-    here = ranges.withColumn(name, F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*order)))
-    placed = here.join(F.broadcast(reach), same, "left")
+    so_far = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranges.withColumn(name, F.sum(each).over(so_far)).join(F.broadcast(reach), same, "left")
     return placed.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_range", "_at", "_before", *(f"_key{i}" for i in range(len(key))))
+
+
+def numbered(df: DataFrame, key: list[str], order: list, name: str = "pos") -> DataFrame:
+    """Place of each row among those of its key, from 1, in ``order``, whose ties are broken in any way; in ranges (``_by_ranges``)."""
+    return _by_ranges(df, key, order, F.lit(1).cast("long"), name)
+
+
+def spent_before(df: DataFrame, key: list[str], order: list, cost: str, name: str = "spent_before") -> DataFrame:
+    """What the rows of the key before each row cost together, exact to a millionth; a null cost is 0; in ranges (``_by_ranges``)."""
+    exact = F.coalesce(F.col(cost), F.lit(0)).cast("decimal(26,6)")
+    return _by_ranges(df, key, order, exact, name).withColumn(name, (F.col(name) - exact).cast("decimal(32,6)"))

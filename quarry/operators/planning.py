@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as L
+from quarry.operators.control import numbered, spent_before
+from quarry.sources.shared import written
 
 
 def page_chunks(jobs: DataFrame, size: int = 40, overlap: int = 2, single_pages: int = 50, single_bytes: int = 20 << 20) -> DataFrame:
@@ -34,38 +38,132 @@ def survivors(chunks: DataFrame) -> DataFrame:
     return chunks.select("job_id", "chunk_index", start.alias("kept_start"), F.col("page_end").alias("kept_end"))
 
 
-def pack_units(units: DataFrame, chunk_chars: int = 8000, request_chars: int = 1100, request_units: int = 6, largest: int = 10_000) -> DataFrame:
-    """``units`` (book, unit_idx, n) to (book, unit_idx, chunk_index, request_index).
+def assign_pages(pages: DataFrame, kept: DataFrame, width: int = 40) -> DataFrame:
+    """``pages`` (job_id, page) with the chunk of ``kept`` (job_id, chunk_index, kept_start, kept_end) that keeps them.
+
+    Ranges are dealt to buckets of ``width`` pages, so a page meets the few ranges near it, not all of its job."""
+    bucket = lambda c: F.floor(F.col(c) / width)
+    ranges = kept.where("kept_start <= kept_end").withColumn("_bucket", F.explode(F.sequence(bucket("kept_start"), bucket("kept_end"))))
+    near = pages.withColumn("_bucket", bucket("page")).join(ranges, ["job_id", "_bucket"])
+    return near.where(F.col("page").between(F.col("kept_start"), F.col("kept_end"))).select("job_id", "page", "chunk_index")
+
+
+def chunk_map(sizes: np.ndarray, full: int) -> tuple[int, list[int], list[int], list[int]]:
+    """What units of these sizes do to an open chunk of any length below ``full``, as steps.
+
+    (least, starts, lengths, closed): an open chunk shorter than ``least`` stays open and grows by all; from starts[k] on, lengths[k]
+    is open at the end and closed[k] chunks were closed."""
+    ends = np.cumsum(sizes)
+    total, n = int(ends[-1]), len(sizes)
+    least = max(0, full - total)
+    opened = np.arange(least, full)
+    at = np.searchsorted(ends, full - opened)  # the unit that fills the open chunk
+    after = np.searchsorted(ends, np.concatenate([[0], ends]) + full)  # ... and one that begins at a unit; n if none
+    closed, here = np.ones(len(at), np.int64), at + 1
+    going = after[here] < n
+    while going.any():
+        here[going], closed[going] = after[here[going]] + 1, closed[going] + 1
+        going = after[here] < n
+    left = total - np.concatenate([[0], ends])[here]
+    steps = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (closed[1:] != closed[:-1])])) if len(left) else np.zeros(0, int)
+    return least, opened[steps].tolist(), left[steps].tolist(), closed[steps].tolist()
+
+
+_BLOCK = "block long, total long, least int, starts array<int>, lengths array<int>, closed array<int>"
 
-    A chunk closes with the unit that fills it; a request closes before a unit that would overfill it, or when it has
-    enough units. A book with a unit above ``largest`` can't be planned: its indices are null. Budgets start anew, so this
-    is a fold over a book in order; units pass one by one, so a task remembers a few numbers, however long the book."""
-    kind = units.schema["book"].dataType.simpleString()
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book, begun = None, False
-        run = chunk = chars = count = request = 0
+def _block_maps(full: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            chunks, requests = [], []
-            for b, n in zip(frame.book, frame.n.tolist()):
-                if not begun or b != book:
-                    book, begun = b, True
-                    run = chunk = chars = count = request = 0
+            rows = [(book, block, int(np.sum(n)), *chunk_map(np.asarray(n, np.int64), full)) for book, block, n in zip(frame.book, frame.block, frame.sizes)]
+            yield pd.DataFrame(rows, columns=["book", *(x.split()[0] for x in _BLOCK.split(", "))])
+
+    return run
+
+
+def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of a book in order: how long the chunk is that is open where a block begins, and its number."""
+    book, begun, run, chunk = None, False, 0, 0
+    for frame in frames:
+        rows = []
+        for b, block, total, least, starts, lengths, closed in frame.itertuples(index=False, name=None):
+            if not begun or b != book:
+                book, begun, run, chunk = b, True, 0, 0
+            rows.append((b, block, run, chunk))
+            if run < least:
+                run += total
+            else:
+                k = int(np.searchsorted(starts, run, side="right")) - 1
+                run, chunk = int(lengths[k]), chunk + int(closed[k])
+        yield pd.DataFrame(rows, columns=["_book", "_block", "run", "chunk"])
+
+
+def _chunks(full: int):
+    """Blocks with the chunk of each of their units (``chunks``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for sizes, run, chunk in zip(*(batch.column(c).to_pylist() for c in ("sizes", "run", "chunk"))):
+                found = []
+                for n in sizes:
+                    found.append(chunk)
+                    run += n
+                    if run >= full:
+                        run, chunk = 0, chunk + 1
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("book", "block", "sizes", "units")), pa.array(out, pa.list_(pa.int32()))], ["book", "block", "sizes", "units", "chunks"])
+
+    return run
+
+
+def _requests(request_chars: int, request_units: int):
+    """Units in order of their chunks, with their request."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, request, chars, count = None, 0, 0, 0
+        for batch in batches:
+            found = []
+            for book, chunk, n in zip(*(batch.column(c).to_pylist() for c in ("book", "chunk_index", "n"))):
+                if (book, chunk) != at:
+                    at, request, chars, count = (book, chunk), 0, 0, 0
                 if count and (chars + n > request_chars or count >= request_units):
                     request, chars, count = request + 1, 0, 0
-                chunks.append(chunk)
-                requests.append(request)
-                run, chars, count = run + n, chars + n, count + 1
-                if run >= chunk_chars:
-                    run, chunk, request, chars, count = 0, chunk + 1, 0, 0, 0
-            yield pd.DataFrame({"book": frame.book, "unit_idx": frame.unit_idx, "chunk_index": chunks, "request_index": requests})
-
-    sizes = units.select("book", "unit_idx", "n")
-    plan = sizes.repartition("book").sortWithinPartitions("book", "unit_idx").mapInPandas(fold, f"book {kind}, unit_idx long, chunk_index int, request_index int")
+                found.append(request)
+                chars, count = chars + n, count + 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("book", "unit", "chunk_index")), pa.array(found, pa.int32())], ["book", "unit", "chunk_index", "request_index"])
+
+    return fold
+
+
+def pack_units(units: DataFrame, order: list[str] | None = None, chunk_chars: int = 8000, request_chars: int = 1100, request_units: int = 6, largest: int = 10_000, block: int = 16_384) -> DataFrame:
+    """``units`` (book, order columns, n) to (book, order columns, chunk_index, request_index).
+
+    A chunk closes with the unit that fills it; a request closes before a unit that would overfill it, or when it has
+    enough units. A book with a unit above ``largest`` can't be planned: its indices are null; a null size is 0.
+
+    A book lies in many tasks: its units are numbered in ranges and gathered in blocks. What a block does to the open chunk, whatever its length, is a
+    step function (``chunk_map``); these are run through in order, a few numbers a block, and tell each block how it begins.
+    Requests begin anew with a chunk, so they are a fold over a chunk, whose rows pass one by one."""
+    order = order or ["unit_idx"]
+    kind = units.schema["book"].dataType.simpleString()
+    unit = "struct<" + ",".join(f"`{c}`:{units.schema[c].dataType.simpleString()}" for c in order) + ">"
+    sizes = units.select("book", *order, F.coalesce(F.col("n").cast("long"), F.lit(0).cast("long")).alias("n"))
+    placed = numbered(sizes, ["book"], order).withColumn("block", F.call_function("div", F.col("pos") - 1, F.lit(block)))
+    gathered = placed.groupBy("book", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "n", F.struct(*order).alias("unit")))).alias("u"))
+    blocks = written(gathered.select("book", "block", F.col("u.n").alias("sizes"), F.col("u.unit").alias("units")), "blocks")
+    maps = blocks.select("book", "block", "sizes").mapInPandas(_block_maps(chunk_chars), f"book {kind}, {_BLOCK}")
+    entries = maps.repartition("book").sortWithinPartitions("book", "block").mapInPandas(_entries, f"_book {kind}, _block long, run long, chunk long")
+    begun = blocks.join(entries, F.col("book").eqNullSafe(F.col("_book")) & (F.col("block") == F.col("_block")))
+    parts = begun.select("book", "block", "sizes", F.col("units").cast(f"array<{unit}>").alias("units"), "run", "chunk")
+    chunks = parts.mapInArrow(_chunks(chunk_chars), f"book {kind}, block long, sizes array<long>, units array<{unit}>, chunks array<int>")
+    rows = chunks.select("book", "block", F.posexplode(F.arrays_zip("sizes", "units", "chunks")).alias("i", "x"))
+    rows = rows.select("book", "block", "i", F.col("x.chunks").alias("chunk_index"), F.col("x.sizes").alias("n"), F.col("x.units").alias("unit"))
+    plan = rows.repartition("book", "chunk_index").sortWithinPartitions("book", "chunk_index", "block", "i").mapInArrow(_requests(request_chars, request_units), f"book {kind}, unit {unit}, chunk_index int, request_index int")
     bad = sizes.groupBy(F.col("book").alias("_book")).agg(F.max("n").alias("_most")).where(F.col("_most") > largest)
     known = plan.join(bad, F.col("book").eqNullSafe(F.col("_book")), "left")
     good = lambda c: F.when(F.col("_most").isNull(), F.col(c)).alias(c)
-    return known.select("book", "unit_idx", good("chunk_index"), good("request_index"))
+    return known.select("book", *(F.col("unit")[c].alias(c) for c in order), good("chunk_index"), good("request_index"))
 
 
 def input_tokens(chars: Column, segments: Column, lang: Column, overhead: int) -> Column:
@@ -108,7 +206,6 @@ def runaway(payload_chars: Column, answer_tokens: Column) -> Column:
 
 
 def running_cap(chunks: DataFrame, job: str, order: list[str], cost: str, cap: float) -> DataFrame:
-    """Chunks that still run: those whose predecessors together cost at most ``cap``; the one that crosses it is kept."""
-    before = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum(F.coalesce(cost, F.lit(0.0))).over(before), F.lit(0.0))
-    return chunks.withColumn("spent_before", spent).where(F.col("spent_before") <= cap)
+    """Chunks that still run, with ``spent_before``: those whose predecessors together cost at most ``cap``; the one that crosses it is kept.
+    A job lies in many tasks (``spent_before``)."""
+    return spent_before(chunks, [job], order, cost).where(F.col("spent_before") <= F.lit(cap).cast("decimal(32,6)"))

@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,34 +15,60 @@ from pyspark.sql.types import DoubleType
 
 from quarry.functions import lexicon as L
 from quarry.functions import text as T
-
-_SPAN = "type:STRING,content:STRING,bbox:ARRAY<DOUBLE>,score:DOUBLE"
-
-
-def _block(depth: int) -> str:
-    inner = f",blocks:ARRAY<{_block(depth - 1)}>" if depth else ""
-    return f"STRUCT<lines:ARRAY<STRUCT<spans:ARRAY<STRUCT<{_SPAN}>>>>{inner}>"
-
-
-def ocr_schema(depth: int = 2) -> str:
-    """Schema of recognised documents whose blocks hold blocks ``depth`` levels down."""
-    return f"pdf_info ARRAY<STRUCT<page_idx:INT,page_size:ARRAY<DOUBLE>,preproc_blocks:ARRAY<{_block(depth)}>,discarded_blocks:ARRAY<{_block(depth)}>>>"
-
-
-def _spans(blocks: Column, depth: int) -> Column:
-    """All spans of an array of blocks, at any level."""
-    own = F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(F.coalesce(b["lines"], F.array()), lambda x: F.coalesce(x["spans"], F.array())))))
-    if not depth:
-        return F.coalesce(own, F.array())
-    nested = F.flatten(F.transform(blocks, lambda b: F.coalesce(b["blocks"], F.array())))
-    return F.concat(F.coalesce(own, F.array()), _spans(F.coalesce(nested, F.array()), depth - 1))
-
-
-def ocr_spans(docs: DataFrame, depth: int = 2) -> DataFrame:
-    """(doc, raw JSON) to spans: page, part (body or discarded), type, content, bbox, score. Broken JSON gives none."""
-    page = docs.select("doc", F.explode(F.from_json("raw", ocr_schema(depth))["pdf_info"]).alias("p"))
-    both = page.select("doc", F.col("p.page_idx").alias("page"), F.explode(F.array(F.struct(F.lit("body").alias("part"), F.col("p.preproc_blocks").alias("b")), F.struct(F.lit("discarded").alias("part"), F.col("p.discarded_blocks").alias("b")))).alias("x"))
-    return both.select("doc", "page", "x.part", F.explode(_spans(F.coalesce("x.b", F.array()), depth)).alias("s")).select("doc", "page", "part", "s.*")
+from quarry.sources.shared import written
+
+
+def _each(value: Column, path: str) -> Column:
+    """The elements of an array in a VARIANT; none if there is no array."""
+    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def ocr_spans(docs: DataFrame) -> DataFrame:
+    """(doc, raw JSON) to spans: page, part (body or discarded), type, content, bbox, score; broken JSON gives none.
+
+    Blocks hold lines or blocks, to any depth: each level's blocks are written, give their spans, and the blocks in them are the next level."""
+    page = docs.select("doc", F.explode(_each(F.try_parse_json("raw"), "$.pdf_info")).alias("p"))
+    parts = F.array(*(F.struct(F.lit(part).alias("part"), _each(F.col("p"), f"$.{name}").alias("b")) for part, name in (("body", "preproc_blocks"), ("discarded", "discarded_blocks"))))
+    blocks = page.select("doc", F.try_variant_get("p", "$.page_idx", "int").alias("page"), F.explode(parts).alias("x")).select("doc", "page", "x.part", F.explode("x.b").alias("b"))
+    found = []
+    while not found or not blocks.isEmpty():
+        blocks = written(blocks, "blocks")
+        lines = blocks.select("doc", "page", "part", F.explode(_each(F.col("b"), "$.lines")).alias("l"))
+        spans = lines.select("doc", "page", "part", F.explode(_each(F.col("l"), "$.spans")).alias("s"))
+        field = lambda name, kind: F.try_variant_get("s", f"$.{name}", kind).alias(name)
+        found.append(spans.select("doc", "page", "part", field("type", "string"), field("content", "string"), field("bbox", "array<double>"), field("score", "double")))
+        blocks = blocks.select("doc", "page", "part", F.explode(_each(F.col("b"), "$.blocks")).alias("b"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def drop_log(lines: DataFrame) -> DataFrame:
+    """Lines of drop reports (log, line_no, line) to records: kind (header, page, drop, other or malformed), page, dropped_count, debug_id.
+
+    Blank lines are none. A line that is no JSON object is malformed. A page record without page or count, or a drop without page, ends
+    the query with an error: the report can't be trusted."""
+    record = F.try_parse_json("line")
+    text = lambda name: F.try_variant_get("r", f"$.{name}", "string")
+    whole = lambda name: F.try_variant_get("r", f"$.{name}", "int")
+    kinds = F.when(F.coalesce(F.schema_of_variant("r"), F.lit("")).startswith("OBJECT"), F.when(text("type").isin("header", "page", "drop"), text("type")).otherwise("other")).otherwise("malformed")
+    rows = lines.where(F.trim("line") != "").withColumn("r", record).withColumn("kind", kinds)
+    broken = F.when((F.col("kind") == "page") & (whole("page_number_1based").isNull() | whole("dropped_count").isNull()), F.raise_error(F.concat(F.lit("page record without page or count: "), "line")))
+    broken = broken.when((F.col("kind") == "drop") & whole("page_number_1based").isNull(), F.raise_error(F.concat(F.lit("drop record without page: "), "line")))
+    page = F.when(F.col("kind").isin("page", "drop"), F.coalesce(broken.cast("int"), whole("page_number_1based")))
+    return rows.select("log", "line_no", "kind", page.alias("page"), whole("dropped_count").alias("dropped_count"), F.when(F.col("kind") == "drop", F.coalesce(text("debug_id"), F.lit(""))).alias("debug_id"))
+
+
+def drop_audit(records: DataFrame) -> DataFrame:
+    """Declared against logged drops of each page of a log; the last page record counts."""
+    is_page = F.col("kind") == "page"
+    per = records.where("page is not null").groupBy("log", "page").agg(F.max_by(F.when(is_page, F.col("dropped_count")), F.when(is_page, F.col("line_no"))).alias("declared"), F.count_if(F.col("kind") == "drop").alias("logged"))
+    return per.withColumn("mismatch", F.coalesce("declared", F.lit(0)) != F.col("logged"))
+
+
+def drop_summary(records: DataFrame) -> DataFrame:
+    """Each log as a whole: headers (without one the report was not available), malformed lines, pages seen, drops."""
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    pages = F.count_distinct(F.when(F.col("kind") == "page", F.col("page")))
+    return records.groupBy("log").agg((count("header") > 0).alias("available"), count("header").alias("headers"), count("malformed").alias("malformed"), pages.alias("pages"), count("drop").alias("drops"))
 
 
 def ocr_quality(spans: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as L
 from quarry.operators import control, planning
+from quarry.sources.shared import written
 from quarry.sources.tables import table
 
+ENGINES, PROVIDERS = ["plain", "layout"], ["deepseek", "openai", "gemini", "claude", "ollama"]
 STATES = ["completed", "failed", "cancelled", "cost_capped", *L.ACTIVE_STATES]
 
 
@@ -44,27 +46,31 @@ _CHUNKS = f"""(SELECT job_id, chunk_index::INT AS chunk_index, page_start::INT A
 
 def _units(spark, sf):
     lines = table(spark, sf, "documents").select(F.col("source").alias("book"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    return lines.select("book", (F.col("doc_id") * 100_000 + F.col("line")).alias("unit_idx"), F.length("t").alias("n"))
+    return lines.select("book", "doc_id", "line", F.length("t").alias("n"), (F.trim("t") == "").alias("blank"))
 
 
 def unit_chunk_plan(spark, sf):
-    return planning.pack_units(_units(spark, sf))
+    return planning.pack_units(_units(spark, sf).drop("blank"), ["doc_id", "line"])
 
 
-_UNITS = "(SELECT book, doc_id * 100000 + line AS unit_idx, length(t) AS n FROM (SELECT source AS book, doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS t FROM documents))"
-_PACK = f"""
-WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY unit_idx) AS rn FROM {_UNITS}),
+_UNITS = """(SELECT source AS book, doc_id, (line - 1)::INT AS line, length(t) AS n, trim(t) = '' AS blank FROM (
+  SELECT source, doc_id, generate_subscripts(t, 1) AS line, unnest(t) AS t FROM (SELECT source, doc_id, string_split(text, chr(10)) AS t FROM documents)))"""
+
+
+def _pack(units: str) -> str:
+    return f"""
+WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY doc_id, line) AS rn FROM {units}),
 bad AS (SELECT book, max(n) > 10000 AS bad FROM u GROUP BY book),
 r AS (
-  SELECT book, rn, unit_idx, 0 AS chunk_index, 0 AS request_index, n AS run, n AS chars, 1 AS cnt FROM u WHERE rn = 1
+  SELECT book, rn, doc_id, line, 0 AS chunk_index, 0 AS request_index, n AS run, n AS chars, 1 AS cnt FROM u WHERE rn = 1
   UNION ALL
-  SELECT u.book, u.rn, u.unit_idx, CASE WHEN r.run >= 8000 THEN r.chunk_index + 1 ELSE r.chunk_index END,
+  SELECT u.book, u.rn, u.doc_id, u.line, CASE WHEN r.run >= 8000 THEN r.chunk_index + 1 ELSE r.chunk_index END,
     CASE WHEN r.run >= 8000 THEN 0 WHEN r.chars + u.n > 1100 OR r.cnt >= 6 THEN r.request_index + 1 ELSE r.request_index END,
     CASE WHEN r.run >= 8000 THEN u.n ELSE r.run + u.n END,
     CASE WHEN r.run >= 8000 OR r.chars + u.n > 1100 OR r.cnt >= 6 THEN u.n ELSE r.chars + u.n END,
     CASE WHEN r.run >= 8000 OR r.chars + u.n > 1100 OR r.cnt >= 6 THEN 1 ELSE r.cnt + 1 END
   FROM r JOIN u ON u.book = r.book AND u.rn = r.rn + 1)
-SELECT book, unit_idx, CASE WHEN bad THEN NULL ELSE chunk_index END AS chunk_index, CASE WHEN bad THEN NULL ELSE request_index END AS request_index FROM r JOIN bad USING (book)"""
+SELECT book, doc_id, line, CASE WHEN bad THEN NULL ELSE chunk_index END AS chunk_index, CASE WHEN bad THEN NULL ELSE request_index END AS request_index FROM r JOIN bad USING (book)"""
 
 
 def _estimates(spark, sf):
@@ -90,11 +96,14 @@ def chunk_cost_estimate(spark, sf):
 
 
 def epub_cost_estimate(spark, sf):
-    """Every source as an EPUB: the lines of its documents are units, some units a request."""
-    units = table(spark, sf, "documents").select("source", F.explode(F.split("text", "\n")).alias("t")).where(F.trim("t") != "")
-    book = units.groupBy("source").agg(F.sum(F.length("t")).alias("total"), F.count("*").alias("units"))
-    chars, requests = planning.epub_inputs(F.col("total"), F.col("units")), F.ceil(F.col("units") / 7)
-    return book.select("source", "units", chars.alias("chars"), planning.input_tokens(chars, requests, F.lit("en"), 1314).alias("tokens_in"), planning.output_tokens(chars).alias("tokens_out"))
+    """Every source as an EPUB: the lines of its documents that aren't blank are units; the plan's requests are its segments. A book that can't be planned has no tokens."""
+    units = written(_units(spark, sf).where("not blank").drop("blank"), "units")
+    requests = planning.pack_units(units, ["doc_id", "line"]).where("request_index is not null").select("book", "chunk_index", "request_index").distinct().groupBy("book").agg(F.count("*").alias("requests"))
+    book = units.groupBy("book").agg(F.sum("n").alias("total"), F.count("*").alias("units"))
+    chars = planning.epub_inputs(F.col("total"), F.col("units"))
+    return book.join(requests.withColumnRenamed("book", "b"), F.col("book").eqNullSafe(F.col("b")), "left").select(
+        F.col("book").alias("source"), "units", "requests", chars.alias("chars"), planning.input_tokens(chars, F.col("requests"), F.lit("en"), 1314).alias("tokens_in"), planning.output_tokens(chars).alias("tokens_out")
+    )
 
 
 def checks_by_prefix(spark, sf):
@@ -161,6 +170,19 @@ def aimd_threads(spark, sf):
     return control.thread_counts(_outcomes(spark, sf), "user_id", ["ts", "event_id"])
 
 
+def _provider_log(spark, sf):
+    """Outcomes by (engine, provider, model); some providers have no floor."""
+    pick = lambda names, c: F.get(F.array(*map(F.lit, names)), c.cast("int"))
+    u = F.col("user_id")
+    engine, provider = pick(ENGINES, u % 2), pick(PROVIDERS, F.floor(u / 2) % 5)
+    return _outcomes(spark, sf).select(engine.alias("engine"), provider.alias("provider"), F.concat(F.lit("m"), (F.floor(u / 10) % 7).cast("string")).alias("model"), "ts", "event_id", "outcome")
+
+
+def provider_threads(spark, sf):
+    """Thread counts by engine, provider and model, from the floor of engine and provider on."""
+    return control.thread_counts(_provider_log(spark, sf), ["engine", "provider", "model"], ["ts", "event_id"], control.thread_floor(F.col("engine"), F.col("provider")))
+
+
 def warm_chunk_size(spark, sf):
     t = control.thread_counts(_outcomes(spark, sf), "user_id", ["ts", "event_id"])
     return t.select("user_id", control.warm_chunk_size(F.col("observations"), F.col("streak")).alias("chunk_size"))
@@ -171,6 +193,19 @@ _AIMD = f"""(SELECT user_id, list_reduce(list_concat([{{'threads': 8, 'streak':
     lambda s, e: {{'threads': CASE WHEN e.threads < 0 THEN greatest(8, s.threads // 2) ELSE least(32, s.threads + e.threads) END, 'streak': CASE WHEN e.streak = 1 THEN s.streak + 1 ELSE 0 END, 'seen': s.seen + 1}}) AS s FROM {_OUT} GROUP BY user_id)"""
 
 
+_LOG = f"""(SELECT {ENGINES}[user_id % 2 + 1] AS engine, {PROVIDERS}[(user_id // 2) % 5 + 1] AS provider, 'm' || (user_id // 10) % 7 AS model, ts, event_id, outcome FROM {_OUT})"""
+_FLOOR = "CASE provider WHEN 'gemini' THEN 4 ELSE 8 END // CASE engine WHEN 'layout' THEN 2 ELSE 1 END"
+_PROVIDER_AIMD = f"""
+WITH RECURSIVE o AS (SELECT *, {_FLOOR} AS floor, row_number() OVER (PARTITION BY engine, provider, model ORDER BY ts, event_id) AS rn FROM {_LOG} WHERE provider <> 'ollama'),
+f AS (
+  SELECT engine, provider, model, floor, 0::BIGINT AS rn, floor AS threads, 0 AS streak FROM (SELECT DISTINCT engine, provider, model, floor FROM o)
+  UNION ALL
+  SELECT o.engine, o.provider, o.model, o.floor, o.rn, CASE WHEN outcome IN ('rate_limited', 'timeout_signalled') THEN greatest(o.floor, threads // 2) WHEN outcome = 'success' THEN least(32, threads + 2) ELSE threads END,
+    CASE WHEN outcome = 'success' THEN streak + 1 ELSE 0 END
+  FROM f JOIN o ON o.engine = f.engine AND o.provider = f.provider AND o.model = f.model AND o.rn = f.rn + 1)
+SELECT engine, provider, model, arg_max(threads, rn) AS threads, arg_max(streak, rn) AS streak, max(rn) AS observations FROM f GROUP BY ALL"""
+
+
 def running_cost_cap(spark, sf):
     kept = planning.running_cap(table(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_extendedprice", 100_000.0)
     return kept.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count("*").alias("chunks_run"), F.round(F.sum("l_extendedprice"), 2).alias("spent"), (F.round(F.sum("l_extendedprice"), 2) > 100_000).alias("cost_capped"))
@@ -178,9 +213,9 @@ def running_cost_cap(spark, sf):
 
 def batch_cost_cap(spark, sf):
     """Jobs of a batch run shortest first; one is skipped when those before it cost more than the cap together."""
-    before = Window.partitionBy("batch_id").orderBy("total_pages", "file_bytes", "job_id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.round(F.coalesce(F.sum("cost").over(before), F.lit(0.0)), 2)
-    return _jobs(spark, sf).select("job_id", "batch_id", spent.alias("spent_before"), (spent > 500_000).alias("skipped"))
+    placed = control.spent_before(_jobs(spark, sf).select("job_id", "batch_id", "total_pages", "file_bytes", "cost"), ["batch_id"], ["total_pages", "file_bytes", "job_id"], "cost")
+    spent = F.round(F.col("spent_before").cast("double"), 2)
+    return placed.select("job_id", "batch_id", spent.alias("spent_before"), (spent > 500_000).alias("skipped"))
 
 
 def cost_source_rollup(spark, sf):
@@ -222,8 +257,8 @@ def latest_duplicate(spark, sf):
 
 
 def shortest_first(spark, sf):
-    w = Window.partitionBy("batch_id").orderBy(F.coalesce("total_pages", "file_bytes"), "job_id")
-    return _jobs(spark, sf).withColumn("total_pages", F.nullif("total_pages", F.lit(0))).select("batch_id", "job_id", F.row_number().over(w).alias("place"))
+    jobs = _jobs(spark, sf).select("batch_id", "job_id", F.coalesce(F.nullif("total_pages", F.lit(0)), "file_bytes").alias("size"))
+    return control.numbered(jobs, ["batch_id"], ["size", "job_id"], "place").select("batch_id", "job_id", F.col("place").cast("int").alias("place"))
 
 
 def bilingual_interleave(spark, sf):
@@ -289,7 +324,7 @@ def effective_settings(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    page_chunk_plan, chunk_survivors, unit_chunk_plan, job_cost_estimate, chunk_cost_estimate, epub_cost_estimate, checks_by_prefix, write_once, cost_by_provider, cost_gate, batch_cost_gate, runaway_output, chunk_outcome, aimd_threads, warm_chunk_size,
+    page_chunk_plan, chunk_survivors, unit_chunk_plan, job_cost_estimate, chunk_cost_estimate, epub_cost_estimate, checks_by_prefix, write_once, cost_by_provider, cost_gate, batch_cost_gate, runaway_output, chunk_outcome, aimd_threads, provider_threads, warm_chunk_size,
     running_cost_cap, batch_cost_cap, cost_source_rollup, batch_rollup, orphan_sweep, job_history_page, job_counts, job_duration, status_guards, latest_duplicate, shortest_first,
     bilingual_interleave, file_router, upload_hashes, upload_checks, upload_delete, job_transitions, download_names, effective_settings,
 )}
@@ -301,15 +336,18 @@ _PRICE = lambda a, b: f"(tokens_in / 1e6::DOUBLE * {a} + tokens_out / 1e6::DOUBL
 SQL = {
     "chunk_cost_estimate": f"""SELECT doc_id, tokens_in, tokens_out, round(tokens_in / 1e6::DOUBLE * 1.25::DOUBLE + tokens_out / 1e6::DOUBLE * 10.0::DOUBLE, 9) AS cost_usd FROM (
       SELECT doc_id, tokens_in, trunc(chars * 1.3::DOUBLE * 1.5::DOUBLE / 4.0::DOUBLE)::BIGINT AS tokens_out FROM {_EST})""",
-    "epub_cost_estimate": """SELECT source, units, chars, trunc(chars / 4.0::DOUBLE + ceil(units / 7.0::DOUBLE) * 1314 / 4.0::DOUBLE)::BIGINT AS tokens_in, trunc(chars * 1.16::DOUBLE / 2.0::DOUBLE)::BIGINT AS tokens_out FROM (
-      SELECT source, count(*) AS units, trunc(sum(length(t)) * 1.15::DOUBLE)::BIGINT + 30 * count(*) AS chars FROM (SELECT source, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE trim(t) <> '' GROUP BY source)""",
+    "epub_cost_estimate": f"""WITH plan AS ({_pack("(SELECT * FROM " + _UNITS + " WHERE NOT blank)")}),
+      asked AS (SELECT book, count(*) AS requests FROM (SELECT DISTINCT book, chunk_index, request_index FROM plan WHERE request_index IS NOT NULL) GROUP BY book),
+      sums AS (SELECT book, count(*) AS units, trunc(sum(n) * 1.15::DOUBLE)::BIGINT + 30 * count(*) AS chars FROM {_UNITS} WHERE NOT blank GROUP BY book)
+      SELECT book AS source, units, requests, chars, trunc(chars / 4.0::DOUBLE + requests * 1314 / 4.0::DOUBLE)::BIGINT AS tokens_in, trunc(chars * 1.16::DOUBLE / 2.0::DOUBLE)::BIGINT AS tokens_out
+      FROM sums LEFT JOIN asked USING (book)""",
     "checks_by_prefix": """SELECT status, count(*) AS checks, min(name) AS first_name FROM (SELECT o_orderstatus AS status, ['babeldoc_', 'babeldocs', 'layout_', 'babeldoc'][o_orderkey % 4 + 1] || o_custkey AS name FROM orders)
       WHERE regexp_full_match(name, 'babeldoc..*') GROUP BY status""",
     "write_once": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 'en' ELSE 'fr' END WHEN o_totalprice > 100000 THEN 'fr' ELSE 'en' END AS lang,
       (CASE WHEN o_orderkey % 5 = 0 THEN 25 WHEN o_custkey % 2 = 0 THEN 50 ELSE 10 END)::INT AS chunk_size FROM orders""",
     "page_chunk_plan": f"SELECT * FROM {_CHUNKS}",
     "chunk_survivors": f"SELECT job_id, chunk_index, CASE WHEN chunk_index > 0 THEN overlap_end + 1 ELSE page_start END AS kept_start, page_end AS kept_end FROM {_CHUNKS}",
-    "unit_chunk_plan": _PACK,
+    "unit_chunk_plan": _pack(_UNITS),
     "job_cost_estimate": f"SELECT * FROM {_EST}",
     "cost_by_provider": f"""SELECT provider, model, round(sum({_PRICE('a', 'b')}), 4) AS cost_usd, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out
       FROM {_EST} CROSS JOIN (VALUES {_OFFERS}) v(provider, model, a, b) GROUP BY ALL
@@ -319,6 +357,7 @@ SQL = {
     "runaway_output": "SELECT doc_id, answer_tokens, expected, answer_tokens > greatest(3.0 * expected, 1500) AS runaway FROM (SELECT doc_id, (doc_id * 37) % 6000 AS answer_tokens, trunc(length(text) * 1.16::DOUBLE / 2.0::DOUBLE)::BIGINT AS expected FROM documents)",
     "chunk_outcome": f"SELECT event_id, outcome FROM {_OUT}",
     "aimd_threads": f"SELECT user_id, s.threads AS threads, s.streak AS streak, s.seen AS observations FROM {_AIMD}",
+    "provider_threads": _PROVIDER_AIMD,
     "warm_chunk_size": f"SELECT user_id, CASE WHEN s.seen >= 3 AND s.streak >= 3 THEN 40 ELSE 20 END AS chunk_size FROM {_AIMD}",
     "running_cost_cap": """SELECT l_orderkey AS job_id, count(*) AS chunks_run, round(sum(l_extendedprice), 2) AS spent, round(sum(l_extendedprice), 2) > 100000 AS cost_capped FROM (
       SELECT *, coalesce(sum(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lineitem)

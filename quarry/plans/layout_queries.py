@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import html, lexicon, repair
 from quarry.functions import text as T
-from quarry.operators import control, layout
+from quarry.operators import control, layout, records
 from quarry.sources.shared import written
 from quarry.sources.tables import table
 
@@ -230,21 +230,28 @@ def output_guard(spark, sf):
     return g.select("book", "n", "m", "changed", ((F.col("n") == F.col("m")) & (F.col("changed") >= need) & (F.col("chars") > 0)).alias("passes"))
 
 
-def drop_report_audit(spark, sf):
-    """A log of lines, some broken: declared against logged drops of each page. The last page record wins."""
+def _drop_lines(spark, sf):
+    """Logs of lines, a log for each user, some lines broken, blank, or of kinds to come."""
     e = table(spark, sf, "events")
-    page = F.col("event_id") % 40
+    page = (F.col("event_id") % 40).cast("string")
     line = (
-        F.when(F.col("event_id") % 50 == 7, "{broken")
-        .when(F.col("event_type") == "view", F.concat(F.lit('{"type":"page","page":'), page.cast("string"), F.lit(',"dropped_count":'), (F.col("event_id") % 60).cast("string"), F.lit("}")))
-        .when(F.col("event_type") == "error", F.concat(F.lit('{"type":"drop","page":'), page.cast("string"), F.lit(',"debug_id":"p'), F.col("event_id").cast("string"), F.lit('"}')))
-        .otherwise(F.lit('{"type":"other"}'))
+        F.when(F.col("event_id") % 50 == 7, F.get(F.array(*map(F.lit, ["{broken", "[1]", "  ", "7"])), (F.floor(F.col("event_id") / 50) % 4).cast("int")))
+        .when(F.col("event_type") == "view", F.concat(F.lit('{"type":"page","page_number_1based":'), page, F.lit(',"dropped_count":'), (F.col("event_id") % 60).cast("string"), F.lit("}")))
+        .when(F.col("event_type") == "error", F.concat(F.lit('{"type":"drop","page_number_1based":'), page, F.lit(',"debug_id":"p'), F.col("event_id").cast("string"), F.lit('"}')))
+        .when(F.col("event_id") % 3 == 0, F.lit('{"type":"header","schema":"2"}')).otherwise(F.lit('{"type":"later"}'))
     )
-    log = e.select("event_id", line.alias("line")).select("event_id", "line", F.from_json("line", "type string, page int, dropped_count int, debug_id string").alias("r"))
-    per = log.groupBy(F.col("r.page").alias("page")).agg(
-        F.max_by(F.when(F.col("r.type") == "page", F.col("r.dropped_count")), F.when(F.col("r.type") == "page", F.col("event_id"))).alias("declared"), F.count_if(F.col("r.type") == "drop").alias("logged"),
-    )
-    return per.where("page is not null").select("page", "declared", "logged", (F.coalesce("declared", F.lit(0)) != F.col("logged")).alias("mismatch"))
+    return e.select("user_id", "event_id", line.alias("line"))
+
+
+def drop_report_audit(spark, sf):
+    """All lines as one log: declared against logged drops of each page. The last page record wins."""
+    log = _drop_lines(spark, sf).select(F.lit(0).alias("log"), F.col("event_id").alias("line_no"), "line")
+    return records.drop_audit(records.drop_log(log)).drop("log")
+
+
+def drop_report_summary(spark, sf):
+    log = _drop_lines(spark, sf).select(F.col("user_id").alias("log"), F.col("event_id").alias("line_no"), "line")
+    return records.drop_summary(records.drop_log(log)).withColumnRenamed("log", "user_id")
 
 
 def dropped_paragraphs(spark, sf):
@@ -265,7 +272,7 @@ def token_usage(spark, sf):
 QUERIES = {f.__name__: f for f in (
     block_overlap, text_over_border, text_over_image, best_block_match, rotation_flags, rotated_groups, page_queue, line_groups, fit_decision, toc_marks, entity_loss, list_markers,
     html_units, html_unit_lengths, html_unit_filter, external_links, escape_untrusted, sup_sub_normalize, link_targets, structural_drop_refs, image_names, image_compress,
-    json_strict_parse, missing_ids, json_salvage, fallback_quota, output_guard, drop_report_audit, dropped_paragraphs, token_usage,
+    json_strict_parse, missing_ids, json_salvage, fallback_quota, output_guard, drop_report_audit, drop_report_summary, dropped_paragraphs, token_usage,
 )}
 
 _RESP = "(SELECT conv_id, turn::VARCHAR AS id, text AS t FROM conversations)"
@@ -323,6 +330,10 @@ SQL = {
     "drop_report_audit": """WITH e AS (SELECT *, event_id % 40 AS page FROM events WHERE event_id % 50 <> 7 AND event_type IN ('view', 'error'))
       SELECT page, arg_max(event_id % 60, event_id) FILTER (WHERE event_type = 'view') AS declared, count(*) FILTER (WHERE event_type = 'error') AS logged,
         coalesce(arg_max(event_id % 60, event_id) FILTER (WHERE event_type = 'view'), 0) <> count(*) FILTER (WHERE event_type = 'error') AS mismatch FROM e GROUP BY page""",
+    "drop_report_summary": """SELECT user_id, count(*) FILTER (WHERE h) > 0 AS available, count(*) FILTER (WHERE h) AS headers, count(*) FILTER (WHERE broken) AS malformed,
+        count(DISTINCT event_id % 40) FILTER (WHERE NOT odd AND event_type = 'view') AS pages, count(*) FILTER (WHERE NOT odd AND event_type = 'error') AS drops
+      FROM (SELECT *, event_id % 50 = 7 AS odd, event_id % 50 = 7 AND (event_id // 50) % 4 <> 2 AS broken, event_id % 50 <> 7 AND event_type NOT IN ('view', 'error') AND event_id % 3 = 0 AS h FROM events)
+      WHERE NOT (odd AND (event_id // 50) % 4 = 2) GROUP BY user_id""",
     "dropped_paragraphs": """SELECT page, debug_id, length(text)::INT AS text_len, substr(text, 1, 400) AS text_excerpt FROM (
       SELECT conv_id % 60 + 1 AS page, CASE WHEN conv_id % 7 > 0 THEN conv_id || '-' || turn END AS debug_id, CASE WHEN turn % 5 = 4 THEN '  ' ELSE text END AS text, turn FROM conversations)
       WHERE page BETWEEN 2 AND 40 AND (turn % 3 = 0 OR turn = 1) AND trim(coalesce(text, '')) <> '' AND debug_id IS NOT NULL""",

@@ -11,21 +11,19 @@ from quarry.sources.tables import table
 
 
 def _ocr(spark, sf):
-    """Recognised documents as JSON: 40 spans each, every third one level down, every seventh discarded."""
+    """Recognised documents as JSON: 40 spans each, in blocks that lie up to five levels down, every seventh discarded."""
     p = table(spark, sf, "part")
     span = F.struct(
         F.when(F.col("p_size") % 9 == 0, "image").otherwise("text").alias("type"), F.when(F.col("p_size") % 11 == 0, " ").otherwise(F.col("p_name")).alias("content"),
         F.array((F.col("p_partkey") % 100).cast("double"), F.lit(5.0), (F.col("p_partkey") % 100 + F.col("p_size") - 3).cast("double"), F.lit(17.0)).alias("bbox"),
         F.when(F.col("p_size") % 13 == 0, 0.0).otherwise(F.col("p_size") / 100).alias("score"),
     )
-    line = F.array(F.struct(F.array(span).alias("spans")))
-    none = F.expr("cast(null as array<struct<lines:array<struct<spans:array<struct<type:string,content:string,bbox:array<double>,score:double>>>>>>)")
-    block = F.when(F.col("p_partkey") % 3 == 0, F.struct(F.lit(None).cast("array<struct<spans:array<struct<type:string,content:string,bbox:array<double>,score:double>>>>").alias("lines"), F.array(F.struct(line.alias("lines"))).alias("blocks"))).otherwise(F.struct(line.alias("lines"), none.alias("blocks")))
-    page = p.groupBy(F.floor(F.col("p_partkey") / 40).alias("doc"), (F.col("p_partkey") % 2).cast("int").alias("page")).agg(
-        F.collect_list(F.when(F.col("p_partkey") % 7 > 0, block)).alias("preproc_blocks"), F.collect_list(F.when(F.col("p_partkey") % 7 == 0, block)).alias("discarded_blocks")
-    )
-    docs = page.groupBy("doc").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("page").alias("page_idx"), "preproc_blocks", "discarded_blocks")).alias("pdf_info"))).alias("raw"))
-    return docs
+    down = (F.col("p_partkey") % 6).cast("int")
+    block = F.concat(F.repeat(F.lit('{"blocks":['), down), F.lit('{"lines":[{"spans":['), F.to_json(span), F.lit("]}]}"), F.repeat(F.lit("]}"), down))
+    some = lambda which: F.array_join(F.collect_list(F.when(which, block)), ",")
+    page = p.groupBy(F.floor(F.col("p_partkey") / 40).alias("doc"), (F.col("p_partkey") % 2).cast("int").alias("page")).agg(some(F.col("p_partkey") % 7 > 0).alias("body"), some(F.col("p_partkey") % 7 == 0).alias("discarded"))
+    text = F.format_string('{"page_idx":%d,"preproc_blocks":[%s],"discarded_blocks":[%s]}', "page", "body", "discarded")
+    return page.groupBy("doc").agg(F.concat(F.lit('{"pdf_info":['), F.array_join(F.collect_list(text), ","), F.lit("]}")).alias("raw"))
 
 
 def ocr_quality(spark, sf):
@@ -84,9 +82,9 @@ def missing_pages(spark, sf):
 def unit_assignment(spark, sf):
     """Pages with the chunk whose kept range holds them: an interval join within each job."""
     jobs = job_queries._jobs(spark, sf)
-    kept = planning.survivors(planning.page_chunks(jobs)).withColumnRenamed("job_id", "j")
+    kept = planning.survivors(planning.page_chunks(jobs))
     pages = jobs.where("total_pages > 0").select("job_id", F.explode(F.sequence(F.lit(1), F.col("total_pages").cast("int"))).alias("page"))
-    return pages.join(kept, (F.col("job_id") == F.col("j")) & F.col("page").between(F.col("kept_start"), F.col("kept_end"))).select("job_id", "page", "chunk_index")
+    return planning.assign_pages(pages, kept)
 
 
 def parse_method(spark, sf):

@@ -28,10 +28,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def until_end(spark: SparkSession, path: str) -> None:
+    """Delete a path that exists in the shared folder when the application ends, unless it is gone by then."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, for what several branches of a plan read."""
+    """``df`` as a table in the shared folder, for what several branches of a plan read; it goes when the application ends."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    until_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
