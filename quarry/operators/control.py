@@ -135,21 +135,26 @@ def latest_duplicate(files: DataFrame, digest: str, order: list[str]) -> DataFra
     return files.join(newest, digest).where(F.struct(*order) != F.col("top"))
 
 
-def _by_ranges(df: DataFrame, key: list[str], order: list, each: Column, name: str) -> DataFrame:
-    """Sum of ``each`` over a row and those of its key before it, in ``order`` (names or sort orders); null keys are one key.
+def _by_ranges(df: DataFrame, key: list[str], order: list, each: Column, name: str, gather=F.sum, add=lambda here, before: here + F.coalesce(before, F.lit(0))) -> DataFrame:
+    """``gather`` of ``each`` over a row and those of its key before it, in ``order`` (names or sort orders); null keys are one key.
 
-    Rows are dealt to ranges of key and order, written, and summed within each range; what a key has in earlier ranges comes on
-    top. So a key that holds a third of all rows lies in many tasks. At most one key reaches into a range from the one before,
+    Rows are dealt to ranges of key and order, written, and gathered within each range; what a key has in earlier ranges is added (``add``).
+    So a key that holds a third of all rows lies in many tasks. At most one key reaches into a range from the one before,
     hence at most one row a range is broadcast."""
     ranges = written(df.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "places")
-    counts = ranges.groupBy(*key, "_range").agg(F.sum(each).alias("_n"))
+    counts = ranges.groupBy(*key, "_range").agg(gather(each).alias("_n"))
     earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    reach = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before is not null")
+    reach = counts.withColumn("_before", gather("_n").over(earlier)).where("_before is not null")
     reach = reach.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)), F.col("_range").alias("_at"), "_before")
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)), F.col("_range") == F.col("_at"))
     so_far = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranges.withColumn(name, F.sum(each).over(so_far)).join(F.broadcast(reach), same, "left")
-    return placed.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_range", "_at", "_before", *(f"_key{i}" for i in range(len(key))))
+    placed = ranges.withColumn(name, gather(each).over(so_far)).join(F.broadcast(reach), same, "left")
+    return placed.withColumn(name, add(F.col(name), F.col("_before"))).drop("_range", "_at", "_before", *(f"_key{i}" for i in range(len(key))))
+
+
+def latest_before(df: DataFrame, key: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """The greatest ``value`` of the rows of the key up to each row, itself included; nulls don't count; in ranges (``_by_ranges``)."""
+    return _by_ranges(df, key, order, value, name, F.max, F.greatest)
 
 
 def numbered(df: DataFrame, key: list[str], order: list, name: str = "pos") -> DataFrame:

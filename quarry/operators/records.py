@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -229,16 +229,42 @@ def contents_cuts(label: str | None, lines: list[list[tuple[float, float, str, f
     return ("fired", sorted(cuts)) if cuts else ("no_cut_points", [])
 
 
-def split_contents(glyphs: DataFrame) -> DataFrame:
-    """(para, label, line, x, x2, ch, size) to (para, reason, cuts)."""
+def _contents_lines(glyphs: DataFrame) -> DataFrame:
+    """Glyphs to one row a line: left edge (null if it shows nothing), and, of a line that ends in a number well apart, number and size."""
+    shown = F.array_sort(F.collect_list(F.when(F.col("ch").rlike(r"(?U)\S"), F.struct("x", "x2", "ch", "size"))))
+    lines = glyphs.groupBy("para", "line").agg(F.first("label").alias("label"), shown.alias("g"))
+    lines = lines.withColumn("t", F.array_join(F.transform("g", lambda c: c["ch"]), ""))
+    number, head = F.regexp_extract("t", "^.*[^0-9]([0-9]{1,4})$", 1), F.regexp_extract("t", "^(.*[^0-9])[0-9]{1,4}$", 1)
+    last, digit = F.get("g", F.length(head) - 1), F.get("g", F.length(head))
+    apart = (last["size"] > 0) & ((digit["x"] - last["x2"]) / last["size"] >= 0.8)
+    marked = F.coalesce((number != "") & head.rlike("[A-Za-z]{2,}") & (number.try_cast("int") >= 1) & apart, F.lit(False))
+    left = F.get("g", F.lit(0))["x"]
+    return lines.select("para", "line", "label", left.alias("left"), F.when(marked, F.struct("line", number.cast("int").alias("number"), last["size"].alias("size"), left.alias("left"))).alias("mark"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        n = int(frame.line.max()) + 1
-        lines = [[tuple(r) for r in frame[frame.line == k][["x", "x2", "ch", "size"]].itertuples(index=False)] or None for k in range(n)]
-        reason, cuts = contents_cuts(frame.label.iloc[0], lines)
-        return pd.DataFrame({"para": [frame.para.iloc[0]], "reason": [reason], "cuts": [",".join(map(str, cuts))]})
 
-    return glyphs.groupBy("para").applyInPandas(run, "para long, reason string, cuts string")
+def split_contents(glyphs: DataFrame) -> DataFrame:
+    """(para, label, line, x, x2, ch, size) to (para, reason, cuts), as ``contents_cuts`` has them.
+
+    A line is a row of a few numbers once its glyphs are joined; lines of a paragraph pass a window in order, so one of very many
+    lines is sorted and streamed, not held."""
+    lines = _contents_lines(glyphs)
+    order = Window.partitionBy("para").orderBy("line")
+    entry = F.last("mark", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("entry", entry)
+    ends = F.col("mark").isNotNull() | F.col("left").isNull() | (F.col("left") - F.col("entry.left") < F.col("entry.size"))  # else it belongs to the entry before it
+    lines = lines.withColumn("ends", F.col("entry").isNotNull() & ends).withColumn("falls", F.coalesce(F.col("mark.number") < F.col("entry.number"), F.lit(False)))
+    per = lines.groupBy("para", "entry.line").agg(
+        F.min(F.when(F.col("ends"), lines["line"])).alias("end"), F.max("label").alias("label"), F.max(lines["line"]).alias("last"), F.count("mark").alias("marks"), F.bool_or("falls").alias("falls")
+    )
+    para = per.groupBy("para").agg(
+        F.array_sort(F.collect_list(F.col("end") - 1)).alias("cuts"), F.max("label").alias("label"), (F.max("last") + 1).alias("n"), F.sum("marks").alias("marks"), F.bool_or("falls").alias("falls")
+    )
+    denied = F.coalesce(F.lower(F.trim("label")).isin(*DENIED), F.lit(False))
+    reason = (
+        F.when(denied, "deny_layout").when(F.col("n") < 2, "too_short").when(F.col("marks") < 2, "few_tail_lines").when(F.col("marks") / F.col("n") < 0.6, "low_fraction")
+        .when(F.col("falls"), "not_monotonic").when(F.size("cuts") > 0, "fired").otherwise("no_cut_points")
+    )
+    return para.select("para", reason.alias("reason"), F.when(reason == "fired", F.array_join(F.col("cuts").cast("array<string>"), ",")).otherwise("").alias("cuts"))
 
 
 def expected_pages(seen: DataFrame, bounds: DataFrame) -> DataFrame:

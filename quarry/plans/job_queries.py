@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import lexicon as L
-from quarry.operators import control, planning
+from quarry.operators import control, planning, requests
 from quarry.sources.shared import written
 from quarry.sources.tables import table
 
@@ -316,6 +316,24 @@ def download_names(spark, sf):
     return _jobs(spark, sf).select("job_id", F.concat(F.lit("book"), F.col("job_id").cast("string"), F.lit("_bilingual_"), F.date_format(done, "yyyyMMdd-HHmmss"), F.lit(".pdf")).alias("name"))
 
 
+def _requests(spark, sf):
+    """Orders as requests, customers as files that many ask for again; parts of the orders are jobs that exist."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    late = F.when(k % 4 > 0, F.col("o_orderdate") + F.expr("make_dt_interval(cast(o_orderkey % 90 AS int))"))
+    kind = F.when(k % 17 == 0, "other").when(k % 6 == 0, "parse_only").otherwise("translate")
+    rows = o.select(
+        k.alias("request_id"), F.col("o_orderdate").alias("at"), F.when(k % 23 > 0, (F.floor(F.col("o_custkey") / 10)).cast("string")).alias("file_hash"), F.when(k % 3 == 0, "epub").otherwise("pdf_scan").alias("file_type"), kind.alias("job_type"),
+        F.when(k % 7 == 0, "deepl").otherwise("openai").alias("provider"), (F.col("o_totalprice") / 100_000).alias("cost"), (k % 5 == 0).alias("confirm"), (k % 13 == 0).alias("force"), late.alias("completed_at"),
+    )
+    jobs = rows.where("request_id % 10 = 1").select(F.col("request_id").alias("job_id"), "file_hash", "job_type", "completed_at")
+    return rows.where("request_id % 10 <> 1"), jobs
+
+
+def job_requests(spark, sf):
+    """One batch of requests for jobs: rejected, duplicate or created."""
+    return requests.create_jobs(*_requests(spark, sf))
+
+
 def effective_settings(spark, sf):
     base = spark.createDataFrame([("cap", "2.0"), ("enabled", "true"), ("threads", "8"), ("overlap", "2")], "key string, value string")
     own = spark.createDataFrame([("threads", "16"), ("enabled", "off"), ("other", "1")], "key string, value string").withColumnRenamed("value", "override")
@@ -326,7 +344,7 @@ def effective_settings(spark, sf):
 QUERIES = {f.__name__: f for f in (
     page_chunk_plan, chunk_survivors, unit_chunk_plan, job_cost_estimate, chunk_cost_estimate, epub_cost_estimate, checks_by_prefix, write_once, cost_by_provider, cost_gate, batch_cost_gate, runaway_output, chunk_outcome, aimd_threads, provider_threads, warm_chunk_size,
     running_cost_cap, batch_cost_cap, cost_source_rollup, batch_rollup, orphan_sweep, job_history_page, job_counts, job_duration, status_guards, latest_duplicate, shortest_first,
-    bilingual_interleave, file_router, upload_hashes, upload_checks, upload_delete, job_transitions, download_names, effective_settings,
+    bilingual_interleave, file_router, upload_hashes, upload_checks, upload_delete, job_transitions, job_requests, download_names, effective_settings,
 )}
 
 _ACTIVE = ", ".join(f"'{s}'" for s in L.ACTIVE_STATES)
@@ -385,6 +403,19 @@ SQL = {
     "job_transitions": f"""SELECT job_id, CASE WHEN r = 'retry' AND can THEN 'queued' ELSE status END AS status, CASE WHEN r = 'retry' AND can THEN false WHEN r = 'cancel' AND runs THEN true ELSE mark END AS cancel_requested,
       CASE WHEN r = '' THEN 'none' WHEN r = 'retry' AND can THEN 'queued' WHEN r = 'cancel' AND runs THEN 'marked' ELSE 'refused' END AS result FROM (
       SELECT job_id, status, batch_id % 2 = 0 AS mark, ['retry', 'cancel', ''][batch_id % 3 + 1] AS r, status IN ('failed', 'cancelled', 'cost_capped') AS can, status NOT IN ('completed', 'failed', 'cancelled') AS runs FROM {_JOBS})""",
+    "job_requests": """WITH RECURSIVE q AS (SELECT o_orderkey AS id, o_orderdate AS ts, CASE WHEN o_orderkey % 23 > 0 THEN (o_custkey // 10)::VARCHAR END AS hash, CASE WHEN o_orderkey % 3 = 0 THEN 'epub' ELSE 'pdf' END AS ft,
+        CASE WHEN o_orderkey % 17 = 0 THEN 'other' WHEN o_orderkey % 6 = 0 THEN 'parse_only' ELSE 'translate' END AS kind, o_orderkey % 7 = 0 AS deepl, o_totalprice / 100000 AS cost, o_orderkey % 5 = 0 AS confirm, o_orderkey % 13 = 0 AS force,
+        CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate + to_days((o_orderkey % 90)::INT) END AS done FROM orders),
+      g AS (SELECT *, CASE WHEN hash IS NULL THEN 'not_found' WHEN kind = 'other' THEN 'job_type' WHEN kind = 'translate' AND deepl AND ft = 'pdf' THEN 'provider' WHEN kind = 'translate' AND cost > 2 AND NOT confirm THEN 'cost' END AS reason FROM q WHERE id % 10 <> 1),
+      n AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY ts, id) AS rn FROM g WHERE reason IS NULL AND kind = 'translate'),
+      old AS (SELECT hash, list({'ts': done, 'job': id::VARCHAR}) AS jobs FROM q WHERE id % 10 = 1 AND kind = 'translate' AND done IS NOT NULL AND hash IS NOT NULL GROUP BY hash),
+      s AS (SELECT DISTINCT n.hash, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::VARCHAR AS result, NULL::VARCHAR AS job, coalesce(jobs, []) AS jobs FROM n LEFT JOIN old USING (hash)
+        UNION ALL
+        SELECT hash, rn, id, CASE WHEN dup IS NULL THEN 'created' ELSE 'duplicate' END, CASE WHEN dup IS NULL THEN 'r' || id ELSE dup.job END,
+          CASE WHEN dup IS NULL AND done IS NOT NULL THEN list_append(jobs, {'ts': done, 'job': 'r' || id}) ELSE jobs END
+        FROM (SELECT n.hash, n.rn, n.id, n.done, s.jobs, CASE WHEN NOT n.force THEN list_max(list_filter(s.jobs, lambda j: j.ts <= n.ts)) END AS dup FROM s JOIN n ON n.hash = s.hash AND n.rn = s.rn + 1))
+      SELECT g.id AS request_id, CASE WHEN g.reason IS NOT NULL THEN 'rejected' ELSE coalesce(s.result, 'created') END AS result, g.reason, CASE WHEN g.reason IS NULL THEN coalesce(s.job, 'r' || g.id) END AS job
+      FROM g LEFT JOIN s ON s.id = g.id""",
     "upload_hashes": "SELECT page_id, sha256(html) AS sha256, strlen(html) AS n_bytes FROM pages",
     "download_names": f"SELECT job_id, 'book' || job_id || '_bilingual_' || strftime(coalesce(finished_at, created_at), '%Y%m%d-%H%M%S') || '.pdf' AS name FROM {_JOBS}",
     "effective_settings": "SELECT * FROM (VALUES ('cap', '2.0', NULL), ('enabled', 'off', false), ('threads', '16', NULL), ('overlap', '2', NULL)) v(key, value, flag)",

@@ -170,6 +170,13 @@ SQL = {
         FROM (SELECT doc_id, list_transform(m, lambda x: [x]) AS m FROM m))
       SELECT doc_id, s[2] + 1 AS groups, array_to_string(s[3:], ',') AS of_lines FROM f""",
     "word_width": "SELECT p_partkey, round(0.9::DOUBLE * coalesce(list_sum(list_transform(string_split(string_split(p_name, ' ')[1][2:], ''), lambda c: CASE WHEN c = '' THEN 0 ELSE ascii(c) % 7 + 1 END)), 0), 6) AS width FROM part",
+    "toc_split": """WITH l AS (SELECT p_partkey // 5 AS para, (p_partkey % 5)::INT AS line, CASE WHEN p_partkey % 5 = 3 THEN p_name ELSE p_name || ' ' || (p_partkey % 9000 + p_size % 2 * 3 + 1) END AS t, CASE WHEN p_partkey % 5 = 3 THEN 20 ELSE 0 END AS x FROM part),
+      m AS (SELECT para, line, x, CASE WHEN regexp_matches(t, '[A-Za-z]{2}.* [0-9]{1,4}$') THEN regexp_extract(t, '([0-9]+)$', 1)::INT END AS number FROM l),
+      e AS (SELECT *, last_value(CASE WHEN number IS NOT NULL THEN {'line': line, 'number': number, 'x': x} END IGNORE NULLS) OVER (PARTITION BY para ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS entry FROM m),
+      c AS (SELECT para, entry.line AS entry, min(line) FILTER (WHERE entry IS NOT NULL AND (number IS NOT NULL OR x - entry.x < 10)) - 1 AS cut FROM e GROUP BY ALL),
+      p AS (SELECT para, max(line) + 1 AS n, count(number) AS marks, coalesce(bool_or(number < entry.number), false) AS falls FROM e GROUP BY para),
+      r AS (SELECT para, CASE WHEN para % 10 = 0 THEN 'deny_layout' WHEN n < 2 THEN 'too_short' WHEN marks < 2 THEN 'few_tail_lines' WHEN marks / n < 0.6 THEN 'low_fraction' WHEN falls THEN 'not_monotonic' ELSE 'fired' END AS reason FROM p)
+      SELECT para, reason, CASE WHEN reason = 'fired' THEN (SELECT string_agg(cut::VARCHAR, ',' ORDER BY cut) FROM c WHERE c.para = r.para AND cut IS NOT NULL) ELSE '' END AS cuts FROM r""",
     "missing_pages": """WITH w AS (SELECT DISTINCT user_id AS job, unnest(range(1, 26)) AS page FROM events), o AS (SELECT DISTINCT user_id AS job, event_id % 30 AS page FROM events WHERE event_type = 'view')
       SELECT job, page, 'missing' AS what FROM (SELECT * FROM w EXCEPT SELECT * FROM o) UNION ALL SELECT job, page, 'unexpected' FROM (SELECT * FROM o EXCEPT SELECT * FROM w)""",
     "unit_assignment": f"""SELECT p.job_id, page, chunk_index FROM (SELECT job_id, unnest(range(1, total_pages + 1)) AS page FROM {job_queries._JOBS} WHERE total_pages > 0) p

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from html import escape
 
 import pandas as pd
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators import layout, planning
 from quarry.plans import glossary_queries, job_queries, layout_queries, text_queries
-from quarry.sources import epub
+from quarry.sources import books, epub, sinks
+from quarry.sources.shared import scratch, until_end
 from quarry.sources.tables import table
 
 
@@ -144,8 +147,56 @@ def epub_translate(spark, sf):
     return again.groupBy(_book().alias("path")).agg(F.count("*").alias("units"), F.count_if(F.col("text") == "neu & gut").alias("changed"))
 
 
+def committed_epubs(spark, sf):
+    """The same rewritten archives as files: written under temporary names, checked, renamed, and read by the reader of EPUBs."""
+    books.register(spark)
+    files = _archives(spark, sf)
+    units = epub.read_units(files).where("error is null")
+    done = units.where(F.regexp_extract("doc_href", "d(\\d+)", 1).cast("long") % 2 == 0).select("path", F.concat("doc_href", F.lit("#"), F.col("ordinal").cast("string")).alias("unit_id"), F.lit("<b>neu</b> & gut").alias("html"))
+    folder = scratch(spark, "epubs")
+    epub.rewrite_all(files, done).withColumn("path", F.concat("path", F.lit(".epub"))).write.format("quarry_files").option("kind", "epub").mode("append").save(folder)
+    until_end(spark, folder)
+    again = spark.read.format("quarry_epub").load(folder)
+    return again.groupBy(_book().alias("path")).agg(F.count("*").alias("units"), F.count_if(F.col("text") == "neu & gut").alias("changed"))
+
+
+def parse_archives(spark, sf):
+    """Parse results of each book's volumes: a document and its images in an archive that is checked before it counts, and read again."""
+    books.register(spark)
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("doc_id")
+        images = {f"{i}.jpg": t[:3].encode() for i, t in zip(part.doc_id, part.text) if i % 3 == 0}
+        return pd.DataFrame({"path": [f"{part.source.iloc[0]}/{part.volume.iloc[0]}.zip"], "content": [sinks.parse_zip("\n\n".join(part.text), images)], "images": [len(images)]})
+
+    def unpack(frames):
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame.path, frame.content):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    rows.append((path, len(archive.read("document.md").decode()), len(archive.namelist()) - 1))
+            yield pd.DataFrame(rows, columns=["path", "chars", "images"])
+
+    d = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("doc_id") / 64).alias("volume"))
+    folder = scratch(spark, "parsed")
+    d.groupBy("source", "volume").applyInPandas(pack, "path string, content binary, images int").write.format("quarry_files").option("kind", "parse").mode("append").save(folder)
+    until_end(spark, folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content").mapInPandas(unpack, "path string, chars long, images long")
+    return files.groupBy(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("source")).agg(F.count("*").alias("volumes"), F.sum("chars").alias("chars"), F.sum("images").alias("images"))
+
+
+def request_log(spark, sf):
+    """Requests of each job and chunk as JSON lines in a folder of their own, read again."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 16).alias("job_id"), F.col("turn").alias("chunk_index"), "role", "text")
+    folder = scratch(spark, "requests")
+    sinks.write_requests(c, folder)
+    until_end(spark, folder)
+    back = spark.read.schema("job_id long, chunk_index long, role string, text string").json(folder)
+    return back.groupBy("job_id", "chunk_index").agg(F.count("*").alias("requests"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("role") == "user").alias("by_user"))
+
+
 QUERIES = {f.__name__: f for f in (
-    layout_findings, delete_cascade, glossary_create, suggested_terms_page, suggested_terms_sorted, suggested_terms_promote, glossary_edit, suggested_terms_counts, source_text_choice, request_cost_cap, retry_quota, settings_upsert, epub_units, epub_translate,
+    committed_epubs, parse_archives, request_log, layout_findings, delete_cascade, glossary_create, suggested_terms_page, suggested_terms_sorted, suggested_terms_promote, glossary_edit, suggested_terms_counts, source_text_choice, request_cost_cap, retry_quota, settings_upsert, epub_units, epub_translate,
 )}
 
 _STATES = ", ".join(f"'{s}'" for s in job_queries.L.ACTIVE_STATES)
@@ -181,5 +232,9 @@ SQL = {
     "settings_upsert": """SELECT coalesce(h.key, n.key) AS key, coalesce(n.v, h.value) AS value FROM (SELECT n_name AS key, n_regionkey::VARCHAR AS value FROM nation) h
       FULL JOIN (SELECT n_name AS key, 'set' AS v FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'r-' || r_name, 'made' FROM region) n ON h.key = n.key""",
     "epub_units": f"SELECT * FROM {_UNITS}",
+    "committed_epubs": f"SELECT path, count(*) AS units, count(*) FILTER (WHERE doc_id % 2 = 0) AS changed FROM {_UNITS} GROUP BY path",
+    "parse_archives": """SELECT source, count(*) AS volumes, sum(chars)::BIGINT AS chars, sum(images)::BIGINT AS images FROM (
+      SELECT source, doc_id // 64 AS v, sum(length(text)) + 2 * (count(*) - 1) AS chars, count(*) FILTER (WHERE doc_id % 3 = 0) AS images FROM documents GROUP BY ALL) GROUP BY source""",
+    "request_log": "SELECT conv_id % 16 AS job_id, turn AS chunk_index, count(*) AS requests, sum(length(text))::BIGINT AS chars, count(*) FILTER (WHERE role = 'user') AS by_user FROM conversations GROUP BY ALL",
     "epub_translate": f"SELECT path, count(*) AS units, count(*) FILTER (WHERE doc_id % 2 = 0) AS changed FROM {_UNITS} GROUP BY path",
 }

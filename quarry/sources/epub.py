@@ -72,18 +72,24 @@ def opened(content: bytes) -> zipfile.ZipFile:
     return archive
 
 
+def unit_rows(path: str, content: bytes) -> Iterator[tuple]:
+    """Rows of UNITS, a document at a time."""
+    try:
+        archive = opened(content)
+        _, hrefs = spine(archive)
+    except EpubError as e:
+        yield path, str(e), None, None, None, None, None, None
+        return
+    for pos, href in enumerate(hrefs):
+        for unit in H.units(_document(archive, href), H.parse_xhtml):
+            yield path, None, pos, href, *unit
+
+
 def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in UNITS.split(", ")]
     for frame in frames:
         for path, content in zip(frame.path, frame.content):
-            try:
-                archive = opened(content)
-                _, hrefs = spine(archive)
-                rows = [(path, None, pos, href, *u) for pos, href in enumerate(hrefs) for u in H.units(_document(archive, href), H.parse_xhtml)]
-            except EpubError as e:
-                rows = [(path, str(e), None, None, None, None, None, None)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"doc_pos": "Int32", "ordinal": "Int32"})
+            yield pd.DataFrame(list(unit_rows(path, content)), columns=names).astype({"doc_pos": "Int32", "ordinal": "Int32"})
 
 
 def read_units(files: DataFrame) -> DataFrame:
@@ -182,8 +188,8 @@ def to_markdown(content: bytes) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
-def build(documents: list[tuple[str, str]], title: str = "book") -> bytes:
-    """A small EPUB of (href, XHTML)."""
+def build(documents: list[tuple[str, str]], title: str = "book", images: dict[str, bytes] | None = None) -> bytes:
+    """A small EPUB of (href, XHTML), and images by href."""
     out = io.BytesIO()
     items = "".join(f'<item id="d{i}" href="{h}" media-type="application/xhtml+xml"/>' for i, (h, _) in enumerate(documents))
     refs = "".join(f'<itemref idref="d{i}"/>' for i in range(len(documents)))
@@ -193,4 +199,6 @@ def build(documents: list[tuple[str, str]], title: str = "book") -> bytes:
         z.writestr("OEBPS/content.opf", f'<package xmlns="{_NS["o"]}" version="2.0"><metadata><title>{title}</title></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>')
         for href, text in documents:
             z.writestr(f"OEBPS/{href}", text)
+        for href, data in sorted((images or {}).items()):
+            z.writestr(f"OEBPS/{href}", data)
     return out.getvalue()

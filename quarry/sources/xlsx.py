@@ -40,19 +40,26 @@ def rows_of(content: bytes) -> list[tuple[int, str | None, str | None, str | Non
     return [r for r in out[1:] if r[1]]
 
 
+ENTRIES = "path string, row int, term_en string, term_vi string, notes string, error string"
+
+
+def entry_rows(path: str, content: bytes) -> list[tuple]:
+    """Rows of ENTRIES; a file that can't be read is one row with its error."""
+    try:
+        return [(path, *r, None) for r in rows_of(content)]
+    except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+        return [(path, None, None, None, None, str(e))]
+
+
 def read_glossary(files: DataFrame) -> DataFrame:
     """(path, content) to (path, row, term_en, term_vi, notes, error)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame.path, frame.content):
-                try:
-                    rows = [(path, *r, None) for r in rows_of(content)]
-                except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                    rows = [(path, None, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["path", "row", "term_en", "term_vi", "notes", "error"]).astype({"row": "Int32"})
+                yield pd.DataFrame(entry_rows(path, content), columns=[c.split()[0] for c in ENTRIES.split(", ")]).astype({"row": "Int32"})
 
-    return files.select("path", "content").mapInPandas(run, "path string, row int, term_en string, term_vi string, notes string, error string")
+    return files.select("path", "content").mapInPandas(run, ENTRIES)
 
 
 def write_glossary(rows: list[tuple[str, str | None, str | None]]) -> bytes:
