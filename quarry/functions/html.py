@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import escape
 from html.entities import html5
 from html.parser import HTMLParser
@@ -326,8 +326,13 @@ def translated(html: str, by_ordinal: dict[int, str], bilingual: bool = False, r
 _MD = {"strong": "**", "b": "**", "em": "*", "i": "*"}
 
 
-def markdown(html: str | None, read=parse) -> str:
-    """Markdown of a document: headings, paragraphs, lists, quotes, emphasis, links, images; blocks a blank line apart."""
+def image_sources(html: str | None, read=parse) -> list[str]:
+    """Sources of a document's images, in order."""
+    return [dict(n.attrs)["src"] for n in read(html or "").walk() if n.tag == "img" and dict(n.attrs).get("src")]
+
+
+def markdown(html: str | None, read=parse, named: Callable[[str], str] = str) -> str:
+    """Markdown of a document: headings, paragraphs, lists, quotes, emphasis, links, images (as ``named``); blocks a blank line apart."""
 
     def inline(node: Node) -> str:
         out = []
@@ -340,7 +345,7 @@ def markdown(html: str | None, read=parse) -> str:
                 out.append("\n")
             elif c.tag == "img":
                 a = dict(c.attrs)
-                out.append(f"![{a.get('alt') or ''}]({a.get('src') or ''})")
+                out.append(f"![{a.get('alt') or ''}]({named(a.get('src') or '')})")
             elif c.tag == "a" and dict(c.attrs).get("href"):
                 out.append(f"[{inline(c)}]({dict(c.attrs)['href']})")
             elif c.tag not in LISTS:

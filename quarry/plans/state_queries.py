@@ -147,6 +147,28 @@ def epub_translate(spark, sf):
     return again.groupBy(_book().alias("path")).agg(F.count("*").alias("units"), F.count_if(F.col("text") == "neu & gut").alias("changed"))
 
 
+def _illustrated(spark, sf):
+    """Volumes whose documents each show one image; the same name has other content in other documents, and the same content other names."""
+
+    def pack(book: pd.DataFrame) -> pd.DataFrame:
+        book = book.sort_values("doc_id")
+        chapters = [(f"t/d{i}.xhtml", f'<html><body><p><img src="../i{i % 5}/p{i % 7}.jpg" alt="{i}"/> ' + "</p><p>".join(escape(x, quote=False) for x in t.split("\n")) + "</p></body></html>") for i, t in zip(book.doc_id, book.text)]
+        images = {f"i{i % 5}/p{i % 7}.jpg": f"{i % 5 % 3}-{i % 7}".encode() for i in book.doc_id}
+        return pd.DataFrame({"path": [f"{book.source.iloc[0]}/{book.volume.iloc[0]:09d}"], "content": [epub.build(chapters, "book", images)]})
+
+    d = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("doc_id") / 64).alias("volume"))
+    return d.groupBy("source", "volume").applyInPandas(pack, "path string, content binary")
+
+
+def book_markdown(spark, sf):
+    """Books of illustrated volumes exported document by document: what each document shows, and how long it is without its image."""
+    docs, _ = epub.export_markdown(_illustrated(spark, sf), _book())
+    first = F.regexp_extract("markdown", r"^!\[(\d+)\]\(images/([^)]*)\)", 1).cast("long")
+    shows = F.regexp_extract("markdown", r"^!\[(\d+)\]\(images/([^)]*)\)", 2)
+    rest = F.regexp_replace("markdown", r"^!\[\d+\]\([^)]*\)\s*", "")
+    return docs.select(F.col("book").alias("source"), first.alias("doc_id"), shows.alias("shows"), F.length(F.regexp_replace(rest, r"\s", "")).alias("chars"))
+
+
 def committed_epubs(spark, sf):
     """The same rewritten archives as files: written under temporary names, checked, renamed, and read by the reader of EPUBs."""
     books.register(spark)
@@ -196,13 +218,14 @@ def request_log(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    committed_epubs, parse_archives, request_log, layout_findings, delete_cascade, glossary_create, suggested_terms_page, suggested_terms_sorted, suggested_terms_promote, glossary_edit, suggested_terms_counts, source_text_choice, request_cost_cap, retry_quota, settings_upsert, epub_units, epub_translate,
+    book_markdown, committed_epubs, parse_archives, request_log, layout_findings, delete_cascade, glossary_create, suggested_terms_page, suggested_terms_sorted, suggested_terms_promote, glossary_edit, suggested_terms_counts, source_text_choice, request_cost_cap, retry_quota, settings_upsert, epub_units, epub_translate,
 )}
 
 _STATES = ", ".join(f"'{s}'" for s in job_queries.L.ACTIVE_STATES)
 _LINES = """(SELECT source AS path, doc_id, ordinal::INT AS ordinal, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS text FROM (
   SELECT source, doc_id, unnest(range(len(string_split(text, chr(10))))) AS ordinal, unnest(string_split(text, chr(10))) AS t FROM documents))"""
-_UNITS = f"(SELECT * FROM {_LINES} WHERE NOT regexp_full_match(text, '[\\d\\s]*') AND NOT regexp_full_match(text, '(?i)(https?://|www\\.)\\S+') AND NOT regexp_full_match(text, '(?i)isbn(?:-1[03])?[\\s:-]*[\\dx][\\dx\\s-]*'))"
+_IS_UNIT = "NOT regexp_full_match(text, '[\\d\\s]*') AND NOT regexp_full_match(text, '(?i)(https?://|www\\.)\\S+') AND NOT regexp_full_match(text, '(?i)isbn(?:-1[03])?[\\s:-]*[\\dx][\\dx\\s-]*')"
+_UNITS = f"(SELECT * FROM {_LINES} WHERE {_IS_UNIT})"
 SQL = {
     "delete_cascade": f"""WITH asked AS (SELECT job_id, batch_id, status FROM {job_queries._JOBS} WHERE job_id % 10 = 3 AND status NOT IN ({_STATES})),
       l AS (SELECT batch_id, count(*) AS chunks FROM lineitem JOIN {job_queries._JOBS} j ON l_orderkey = j.job_id WHERE l_orderkey NOT IN (SELECT job_id FROM asked) GROUP BY batch_id),
@@ -232,6 +255,10 @@ SQL = {
     "settings_upsert": """SELECT coalesce(h.key, n.key) AS key, coalesce(n.v, h.value) AS value FROM (SELECT n_name AS key, n_regionkey::VARCHAR AS value FROM nation) h
       FULL JOIN (SELECT n_name AS key, 'set' AS v FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'r-' || r_name, 'made' FROM region) n ON h.key = n.key""",
     "epub_units": f"SELECT * FROM {_UNITS}",
+    "book_markdown": f"""WITH d AS (SELECT source, doc_id, text, doc_id // 64 AS volume, doc_id % 7 AS base, doc_id % 5 % 3 AS content, 'i' || doc_id % 5 AS folder FROM documents),
+      f AS (SELECT source, base, content, min((volume, folder)) AS first FROM d GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY source, base ORDER BY first) AS k FROM f),
+      t AS (SELECT path AS source, doc_id, sum(length(regexp_replace(text, '\\s', '', 'g')))::BIGINT AS chars FROM (SELECT path, doc_id, ordinal, text FROM {_LINES}) WHERE {{unit}} OR ordinal = 0 GROUP BY ALL)
+      SELECT source, doc_id, 'p' || base || CASE WHEN k > 1 THEN '_' || k ELSE '' END || '.jpg' AS shows, chars::INT AS chars FROM d JOIN k USING (source, base, content) JOIN t USING (source, doc_id)""".replace("{unit}", _IS_UNIT),
     "committed_epubs": f"SELECT path, count(*) AS units, count(*) FILTER (WHERE doc_id % 2 = 0) AS changed FROM {_UNITS} GROUP BY path",
     "parse_archives": """SELECT source, count(*) AS volumes, sum(chars)::BIGINT AS chars, sum(images)::BIGINT AS images FROM (
       SELECT source, doc_id // 64 AS v, sum(length(text)) + 2 * (count(*) - 1) AS chars, count(*) FILTER (WHERE doc_id % 3 = 0) AS images FROM documents GROUP BY ALL) GROUP BY source""",

@@ -5,6 +5,7 @@ on that row, so any store that Spark reads will do."""
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import zipfile
@@ -13,10 +14,13 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from quarry.functions import html as H
+from quarry.sources.shared import written
 
+PICTURES = (".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp")
 FONTS = (".ttf", ".otf", ".woff", ".woff2")
 MIME = "application/epub+zip"
 _NS = {"c": "urn:oasis:names:tc:opendocument:xmlns:container", "o": "http://www.idpf.org/2007/opf", "e": "http://www.w3.org/2001/04/xmlenc#"}
@@ -128,8 +132,6 @@ def rewrite(content: bytes, translations: dict[str, str], bilingual: bool = Fals
 
 def rewrite_all(files: DataFrame, translations: DataFrame, bilingual: bool = False) -> DataFrame:
     """``files`` (path, content) and ``translations`` (path, unit_id, html) to (path, content); files without any stay as they are."""
-    from pyspark.sql import functions as F
-
     maps = translations.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", "html"))).alias("t"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,6 +190,81 @@ def to_markdown(content: bytes) -> str:
     return "\n\n".join(t for t in texts if t)
 
 
+DOCUMENTS = "path string, doc_pos int, doc_href string, html string, sources array<string>"
+IMAGES = "path string, image string, sha256 string, content binary"
+
+
+def read_documents(files: DataFrame) -> DataFrame:
+    """(path, content) to documents in reading order, each with the paths of the images that it shows; files that can't be read give none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame.path, frame.content):
+                try:
+                    archive = opened(content)
+                    hrefs = spine(archive)[1]
+                except EpubError:
+                    continue
+                for pos, href in enumerate(hrefs):
+                    html = _document(archive, href)
+                    sources = sorted({H.resolve(href, s) for s in H.image_sources(html, H.parse_xhtml)})
+                    yield pd.DataFrame({"path": [path], "doc_pos": [pos], "doc_href": [href], "html": [html], "sources": [sources]})
+
+    return files.select("path", "content").mapInPandas(run, DOCUMENTS)
+
+
+def read_images(files: DataFrame) -> DataFrame:
+    """(path, content) to the images that the archives hold, by the names that images have."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame.path, frame.content):
+                try:
+                    archive = opened(content)
+                except EpubError:
+                    continue
+                for name in sorted(n for n in archive.namelist() if n.lower().endswith(PICTURES)):
+                    data = archive.read(name)
+                    yield pd.DataFrame({"path": [path], "image": [name], "sha256": [hashlib.sha256(data).hexdigest()], "content": [data]})
+
+    return files.select("path", "content").mapInPandas(run, IMAGES)
+
+
+def image_names(images: DataFrame, book: str = "book") -> DataFrame:
+    """``images`` (book, path, image, sha256) with their ``name`` in the book's export: equal content under one base name shares it; other content
+    with that base name gets a number, in the order in which contents first appear."""
+    base, ending = F.regexp_extract("image", "([^/]+?)(\\.[^./]*)?$", 1), F.regexp_extract("image", "(\\.[^./]*)?$", 1)
+    based = images.withColumns({"_base": base, "_ending": ending})
+    firsts = based.groupBy(book, "_base", "_ending", "sha256").agg(F.min(F.struct("path", "image")).alias("first"))
+    order = Window.partitionBy(book, "_base", "_ending").orderBy("first")  # contents of one base name, not images
+    numbers = firsts.withColumn("_k", F.row_number().over(order))
+    keys = [book, "_base", "_ending", "sha256"]
+    tail = F.when(F.col("_k") == 1, F.lit("")).otherwise(F.concat(F.lit("_"), F.col("_k").cast("string")))
+    return based.join(numbers.select(*keys, "_k"), keys).withColumn("name", F.concat("_base", tail, "_ending")).drop("_base", "_ending", "_k")
+
+
+def export_markdown(files: DataFrame, book: Column) -> tuple[DataFrame, DataFrame]:
+    """Volumes (path, content) of books as Markdown: documents (book, path, doc_pos, markdown) and images (book, name, sha256, content).
+
+    Documents are rows of their own, so neither a book nor a volume is put together; their order is (path, doc_pos). Images are
+    named over all volumes of a book, each content once under a name (``image_names``), and documents refer to them below images/; what isn't in the archive keeps its source."""
+    images = written(image_names(read_images(files).select(book.alias("book"), "*")), "images")
+    docs = written(read_documents(files), "documents")
+    shown = docs.select("path", "doc_pos", F.explode("sources").alias("image")).join(images.select("path", "image", "name"), ["path", "image"])
+    names = shown.groupBy("path", "doc_pos").agg(F.map_from_entries(F.collect_list(F.struct("image", "name"))).alias("names"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for href, html, names in zip(frame.doc_href, frame.html, frame.names):
+                known = dict(names) if names is not None else {}
+                out.append(H.markdown(html, H.parse_xhtml, lambda s: f"images/{known[x]}" if (x := H.resolve(href, s)) in known else s))
+            yield pd.DataFrame({"path": frame.path, "doc_pos": frame.doc_pos, "markdown": out})
+
+    texts = docs.join(names, ["path", "doc_pos"], "left").select("path", "doc_pos", "doc_href", "html", "names").mapInPandas(run, "path string, doc_pos int, markdown string")
+    return texts.select(book.alias("book"), "*"), images.groupBy("book", "name", "sha256").agg(F.first("content").alias("content"))
+
+
 def build(documents: list[tuple[str, str]], title: str = "book", images: dict[str, bytes] | None = None) -> bytes:
     """A small EPUB of (href, XHTML), and images by href."""
     out = io.BytesIO()

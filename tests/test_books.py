@@ -98,3 +98,19 @@ def test_drop_reports(session, tmp_path):
         (tmp_path / "r.jsonl").write_text(json.dumps(bad))
         with pytest.raises(Exception, match="record without page"):
             session.read.format("quarry_drop_report").load(str(tmp_path)).collect()
+
+
+def test_markdown_of_volumes(session):
+    """Documents as rows equal the function over a volume, but for images, which are named over the volumes of a book."""
+    page = lambda name, text: f'<html><body><h1>{text}</h1><p><img src="../{name}" alt="a"/> {text} <img src="none.jpg"/></p></body></html>'
+    one = epub.build([("t/a.xhtml", page("i/x.jpg", "One")), ("t/b.xhtml", page("j/x.jpg", "Two")), ("t/c.xhtml", "<html><body/></html>")], images={"i/x.jpg": b"1", "j/x.jpg": b"2"})
+    two = epub.build([("t/a.xhtml", page("i/x.jpg", "Three")), ("t/b.xhtml", page("k/y.jpg", "Four"))], images={"i/x.jpg": b"2", "k/y.jpg": b"1", "unused.PNG": b"3"})
+    files = session.createDataFrame([("b/1", one), ("b/2", two), ("c/1", two), ("b/3", b"no zip")], "path string, content binary")
+    docs, images = epub.export_markdown(files, F.regexp_extract("path", "^[^/]*", 0))
+    texts = {}
+    for r in docs.orderBy("path", "doc_pos").collect():
+        texts.setdefault(r["path"], []).append(r["markdown"])
+    joined = {p: "\n\n".join(t for t in found if t) for p, found in texts.items()}
+    named = lambda text, *names: text.replace("(../i/x.jpg)", f"(images/{names[0]})").replace("(../j/x.jpg)", f"(images/{names[1]})").replace("(../k/y.jpg)", f"(images/{names[1]})")
+    assert joined == {"b/1": named(epub.to_markdown(one), "x.jpg", "x_2.jpg"), "b/2": named(epub.to_markdown(two), "x_2.jpg", "y.jpg"), "c/1": named(epub.to_markdown(two), "x.jpg", "y.jpg")}
+    assert sorted((r["book"], r["name"], bytes(r["content"])) for r in images.collect()) == [("b", "unused.PNG", b"3"), ("b", "x.jpg", b"1"), ("b", "x_2.jpg", b"2"), ("b", "y.jpg", b"1"), ("c", "unused.PNG", b"3"), ("c", "x.jpg", b"2"), ("c", "y.jpg", b"1")]
