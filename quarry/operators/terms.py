@@ -1,7 +1,7 @@
 """Term mining: from documents to ranked candidate terms, book by book.
 
-Tokens stay with their segment as an array until they are exploded, so n-grams and the pairs of n-grams inside longer
-ones come from array positions: no window, no self-join, and one partial aggregation before each shuffle.
+Tokens stay with their segment as an array until they are exploded, so n-grams come from array positions: no window, no
+self-join, and one partial aggregation before each shuffle. What lies inside a longer candidate follows from that one's words.
 """
 
 from __future__ import annotations
@@ -29,20 +29,23 @@ def segments(docs: DataFrame, fold: bool = True) -> DataFrame:
 
 
 def tokens(segs: DataFrame) -> DataFrame:
-    """One row a token, with its two neighbours on either side."""
+    """One row a token, with the two that follow it."""
     t = segs.select("book", "doc_pos", "seg_pos", "toks", F.posexplode("toks").alias("tok_pos", "s0"))
-    at = lambda d: F.when(F.col("tok_pos") + d >= 0, F.get("toks", F.col("tok_pos") + d))
-    return t.select("book", "doc_pos", "seg_pos", "tok_pos", at(-2).alias("b2"), at(-1).alias("b1"), "s0", at(1).alias("s1"), at(2).alias("s2"))
+    at = lambda d: F.get("toks", F.col("tok_pos") + d)
+    return t.select("book", "doc_pos", "seg_pos", "tok_pos", "s0", at(1).alias("s1"), at(2).alias("s2"))
 
 
-def _key(*parts: str) -> Column:
-    """Key of an n-gram, null where it can't be a candidate: function word at an end, too short, or past the segment."""
-    low = [F.lower(p) for p in parts]
+def _named(*low: Column) -> Column:
+    """Key of an n-gram of lower-cased words, null where it can't be a candidate: function word at an end, too short, or past the segment."""
     good = ~low[0].isin(_FW) & ~low[-1].isin(_FW)
     size = reduce(lambda a, b: a + b, (F.length(p) for p in low))
     return F.when(good & (size >= 3), reduce(lambda a, b: F.concat(a, F.lit(" "), b), low))
 
 
+def _key(*parts: str) -> Column:
+    return _named(*(F.lower(p) for p in parts))
+
+
 def grams(toks: DataFrame) -> DataFrame:
     """Occurrences of candidate n-grams: n, key, surface, and whether all words are capitalised after the clause's start."""
     rows = []
@@ -66,25 +69,25 @@ def floors(segs: DataFrame, large: int = 50_000, least: int = 3, least_short: in
     return segs.groupBy("book").agg(F.sum(F.size("toks")).alias("total_tokens")).withColumn("floor", F.when(F.col("total_tokens") >= large, least).otherwise(least_short))
 
 
-def inside(toks: DataFrame) -> DataFrame:
-    """(book, short, long, hits): how often a candidate lies within a longer one."""
-    k = {
-        "one": _key("s0"), "two": _key("s0", "s1"), "two_b": _key("b1", "s0"),
-        "three": _key("s0", "s1", "s2"), "three_b": _key("b1", "s0", "s1"), "three_bb": _key("b2", "b1", "s0"),
-    }
-    named = toks.select("book", *(v.alias(n) for n, v in k.items()))
-    pairs = [("one", "two"), ("one", "two_b"), ("one", "three"), ("one", "three_b"), ("one", "three_bb"), ("two", "three"), ("two", "three_b")]
-    each = named.select("book", F.explode(F.array(*(F.struct(F.col(a).alias("short"), F.col(b).alias("long")) for a, b in pairs))).alias("p"))
-    return each.where("p.short is not null and p.long is not null").groupBy("book", "p.short", "p.long").agg(F.count("*").alias("hits"))
+def inside(longer: DataFrame) -> DataFrame:
+    """(book, n, key, cnt) of n-grams to (book, short, hits): the most that a candidate lies within one of them, which is as often as the
+    n-gram occurs, for each place that it has there. So nothing has to be counted over tokens."""
+    w = F.split("key", " ")
+    at = lambda i: F.get(w, F.lit(i))
+    of = {2: [(0,), (1,)], 3: [(0,), (1,), (2,), (0, 1), (1, 2)]}
+    short = lambda n: F.array_compact(F.array(*(_named(*(at(i) for i in places)) for places in of[n])))
+    held = longer.where("n > 1").select("book", "cnt", F.when(F.col("n") == 2, short(2)).otherwise(short(3)).alias("s"))
+    hits = F.transform(F.array_distinct("s"), lambda x: F.struct(x.alias("short"), (F.size(F.filter("s", lambda y: y == x)) * F.col("cnt")).alias("hits")))
+    return held.select("book", F.explode(hits).alias("h")).groupBy("book", "h.short").agg(F.max("h.hits").alias("hits"))
 
 
-def kept(stats: DataFrame, pairs: DataFrame, floor: DataFrame, forms: DataFrame, ratio: float = 0.8) -> DataFrame:
+def kept(stats: DataFrame, floor: DataFrame, forms: DataFrame, ratio: float = 0.8) -> DataFrame:
     """Candidates at the floor that no longer candidate absorbs and the glossary doesn't have yet."""
     known = forms.select(F.col("form").alias("key"), F.lit(True).alias("known")).distinct()
     rated = stats.join(floor.select("book", "floor"), "book").join(known, "key", "left")
-    strong = rated.where((F.col("cnt") >= F.col("floor")) | F.col("known")).select("book", F.col("key").alias("long"))
-    best = pairs.join(strong, ["book", "long"]).groupBy("book", F.col("short").alias("key")).agg(F.max("hits").alias("best"))
-    out = rated.where((F.col("cnt") >= F.col("floor")) & F.col("known").isNull()).join(best, ["book", "key"], "left")
+    strong = written(rated.where((F.col("cnt") >= F.col("floor")) | F.col("known")), "strong")  # few of all that were counted
+    best = inside(strong.select("book", "n", "key", "cnt")).select("book", F.col("short").alias("key"), F.col("hits").alias("best"))
+    out = strong.where((F.col("cnt") >= F.col("floor")) & F.col("known").isNull()).join(best, ["book", "key"], "left")
     return out.where((F.col("n") == 3) | (F.coalesce("best", F.lit(0)) / F.col("cnt") < ratio)).drop("best", "known", "floor")
 
 
@@ -134,6 +137,6 @@ def ranked(candidates: DataFrame, cap: int = 20_000, ranks: DataFrame | None = N
 
 def mine(docs: DataFrame, forms: DataFrame, cap: int = 20_000, fold: bool = True, ranks: DataFrame | None = None) -> DataFrame:
     """All steps, from (book, doc_pos, text) and known glossary forms (form) to ranked candidates; ``ranks`` as in ``ranked``."""
-    segs = spread(written(segments(docs, fold), "segments"))  # three branches read it
+    segs = spread(written(segments(docs, fold), "segments"))  # two branches read it
     toks = tokens(segs)
-    return ranked(merged(flagged(kept(statistics(grams(toks)), inside(toks), floors(segs), forms))), cap, ranks)
+    return ranked(merged(flagged(kept(statistics(grams(toks)), floors(segs), forms))), cap, ranks)

@@ -112,8 +112,7 @@ def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
     segs = terms.segments(books(spark, sf))
-    toks = terms.tokens(segs)
-    return terms.kept(terms.statistics(terms.grams(toks)), terms.inside(toks), terms.floors(segs), _forms(spark))
+    return terms.kept(terms.statistics(terms.grams(terms.tokens(segs))), terms.floors(segs), _forms(spark))
 
 
 def term_absorption(spark: SparkSession, sf: str) -> DataFrame:
