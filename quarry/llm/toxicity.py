@@ -36,6 +36,9 @@ SUPPORT, SHARE, WEIGHT, BEGINNINGS = 4, 0.005, 4.0, range(4, 13)
 OFTEN, CERTAIN = 0.02, 5.0
 #: Clean texts that must have a phrase before it is an exception.
 EXCEPTION = 2
+#: Occurrences in a thousand words (and in all) from which on a text has a word's beginning densely: such entries count only there, for
+#: beginnings that clean texts have now and then.
+DENSE, DENSE_LEAST = 13.0, 3
 #: Where between the values of clean and of toxic texts the threshold lies: long texts have small values.
 MARGIN = 0.25
 
@@ -61,7 +64,7 @@ def fold(text: str | None) -> str:
 
 @dataclass
 class Lexicon:
-    weights: dict[str, float] = field(default_factory=dict)  # " word" matches a beginning, " word " a word
+    weights: dict[str, float] = field(default_factory=dict)  # " word" matches a beginning, " word " a word, "# word" a beginning where it is dense
     exceptions: list[str] = field(default_factory=list)
     threshold: float = float("inf")
     slope: float = 4.0
@@ -70,10 +73,8 @@ class Lexicon:
         import ahocorasick
 
         found = ahocorasick.Automaton()
-        for entry, weight in self.weights.items():
-            found.add_word(entry, (len(entry), weight))
-        for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), 0.0))
+        for entry in dict.fromkeys([*(e.removeprefix("#") for e in self.weights), *self.exceptions]):
+            found.add_word(entry, (len(entry), self.weights.get(entry, 0.0), self.weights.get("#" + entry, 0.0)))
         if len(found):
             found.make_automaton()
         return found
@@ -82,13 +83,18 @@ class Lexicon:
         """log of 1 + weight in a thousand words; matches inside an exception phrase don't count."""
         if not len(automaton):
             return 0.0
-        hits, spared = {}, []
-        for end, (size, weight) in automaton.iter(folded):
+        hits, spared, dense = {}, [], {}
+        for end, (size, weight, where_dense) in automaton.iter(folded):
             start = end + 1 - size
             if weight:
                 hits[start] = max(hits.get(start, (0.0, 0)), (weight, end))  # one match for each word
-            else:
+            if where_dense:
+                dense.setdefault((size, where_dense), []).append(start)
+            if not weight and not where_dense:
                 spared.append((start, end))
+        for (size, weight), starts in dense.items():
+            if is_dense(len(starts), folded):
+                hits.update((a, max(hits.get(a, (0.0, 0)), (weight, a + size - 1))) for a in starts)
         total = sum(w for a, (w, b) in hits.items() if not any(x <= a and b <= y for x, y in spared))
         return float(np.log1p(1000.0 * total / (folded.count(" ") + 20)))
 
@@ -96,9 +102,18 @@ class Lexicon:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * (feature - self.threshold), -50, 50)))) if np.isfinite(self.threshold) else 0.0
 
 
+def is_dense(times: int, folded: str) -> bool:
+    return times >= DENSE_LEAST and 1000.0 * times >= DENSE * (folded.count(" ") + 20)
+
+
 def _entries(folded: str) -> set[str]:
-    words = set(folded.split())
-    return {f" {w} " for w in words if 2 < len(w) < 40} | {f" {w[:n]}" for w in words for n in BEGINNINGS if n <= len(w)}
+    words = Counter(folded.split())
+    begins = Counter()
+    for w, times in words.items():
+        for n in BEGINNINGS:
+            if n <= len(w):
+                begins[w[:n]] += times
+    return {f" {w} " for w in words if 2 < len(w) < 40} | {f" {b}" for b in begins} | {f"# {b}" for b, times in begins.items() if is_dense(times, folded)}
 
 
 def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,7 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = []
             for text, label in zip(frame.text, frame.toxic):
                 folded, found = fold(text), set()
-                for end, (size, _) in automaton.iter(folded):
+                for end, (size, weight, _) in automaton.iter(folded):
+                    if not weight:
+                        continue
                     start = end + 1 - size
                     stop = folded.index(" ", start + 1)
                     before, after = folded.rfind(" ", 0, start) if start else -1, folded.find(" ", stop + 1)
