@@ -285,6 +285,53 @@ def prompt(text: Column, glossary: Column, lang: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("source: "), F.coalesce(lang, F.lit("en"))), F.when(F.coalesce(glossary, F.lit("")) != "", glossary), F.when(hint, F.lit("convert units")), F.replace(text, F.lit("$"), F.lit("$$")))
 
 
+def unit_section() -> str:
+    """The rules for measures and the table of ingredients, as a part of a prompt."""
+    rules = [f"- {unit}: {rule}" for unit, rule in L.UNIT_RULES]
+    return "\n".join(["Convert measures in recipes only:", *rules, "| ingredient | 1 cup |", "| --- | --- |", *(f"| {name} | {weight} |" for name, weight in L.CUP_WEIGHTS)])
+
+
+def prompt_variant(variant: str, parts: dict[str, str], glossary: Column, source: Column | None = None, lang: Column | None = None) -> Column:
+    """A prompt of ``parts`` (intro with {lang}, instruction, no_glossary, rules, footer), in one of three variants.
+
+    ``system``: everything, measures too. ``template``: goes through a template with ``${text}``, so dollar signs of what is
+    put in are doubled, and a footer without that place is refused. ``plain``: like the template's, but without template signs and footer. The last two
+    hold the section on measures only where ``source`` has a hint of one, or where there is no source to look at. An empty
+    or null glossary is the part no_glossary."""
+    if variant not in ("system", "template", "plain"):
+        raise ValueError(f"no such variant: {variant}")
+    if variant == "template" and "${text}" not in "".join(parts.values()):
+        raise ValueError("the template has no place for the text: ${text}")
+    own = (lambda c: F.replace(c, F.lit("$"), F.lit("$$"))) if variant == "template" else (lambda c: c)
+    none = F.coalesce(glossary, F.lit("")) == ""
+    given = F.when(none, F.lit(parts["no_glossary"])).otherwise(F.concat(F.lit(parts["instruction"] + "\n\n"), own(glossary)))
+    hint = F.lit(True) if variant == "system" or source is None else F.exists(F.array(*map(F.lit, L.UNIT_HINTS)), lambda u: F.contains(F.lower(source), u))
+    units = F.when(F.coalesce(hint, F.lit(True)), own(F.lit(unit_section())))
+    intro = F.replace(F.lit(parts["intro"]), F.lit("{lang}"), F.coalesce(lang, F.lit("en")) if lang is not None else F.lit("en"))
+    return F.concat_ws("\n\n", intro, given, units, F.lit(parts["rules"]), *([F.lit(parts["footer"])] if variant == "template" else []))
+
+
+def payload(htmls: Column) -> Column:
+    """A request's JSON: [{"id": "0", "html": ...}, ...], a space after commas and colons, characters beyond ASCII as they are."""
+    quoted = lambda h: F.regexp_extract(F.to_json(F.array(F.coalesce(h, F.lit("")))), r"(?s)^\[(.*)\]$", 1)
+    each = F.transform(htmls, lambda h, i: F.concat(F.lit('{"id": "'), i.cast("string"), F.lit('", "html": '), quoted(h), F.lit("}")))
+    return F.concat(F.lit("["), F.array_join(each, ", "), F.lit("]"))
+
+
+def chunk_texts(pages: DataFrame, chunks: DataFrame, width: int = 40) -> DataFrame:
+    """``pages`` (job_id, page, text) of ``chunks`` (job_id, chunk_index, page_start, page_end) as one text a chunk: (job_id, chunk_index, pages, text, segments).
+
+    Pages are joined by line ends, in order; segments are the lines that aren't blank, 1 at least. A page in an overlap is in
+    two chunks. Ranges meet pages by buckets, so neither a job nor a book is gathered, only a chunk's pages."""
+    bucket = lambda c: F.floor(F.col(c) / width)
+    ranges = chunks.where("page_start <= page_end").withColumn("_bucket", F.explode(F.sequence(bucket("page_start"), bucket("page_end"))))
+    near = pages.withColumn("_bucket", bucket("page")).join(ranges, ["job_id", "_bucket"]).where(F.col("page").between(F.col("page_start"), F.col("page_end")))
+    whole = near.groupBy("job_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
+    text = F.array_join(F.col("p.text"), "\n")
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    return whole.select("job_id", "chunk_index", F.size("p").alias("pages"), text.alias("text")).withColumn("segments", F.greatest(lines, F.lit(1)))
+
+
 def payload_length(htmls: Column) -> Column:
     """Length of a request's JSON with a space after commas and colons, ids from 0, and quotes and backslashes escaped."""
     each = F.transform(htmls, lambda h, i: F.length(i.cast("string")) + F.length(h) + F.regexp_count(h, F.lit('["\\\\\\n\\t]')) + F.lit(len('{"id": "", "html": ""}')))

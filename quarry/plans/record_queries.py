@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import planning, records
+from quarry.operators import control, planning, records
 from quarry.plans import job_queries
 from quarry.plans.layout_queries import _blocks
 from quarry.sources.tables import table
@@ -106,6 +106,36 @@ def prompts(spark, sf):
     return d.select("doc_id", F.length(p).alias("n"), F.sha2(p, 256).alias("sha256"))
 
 
+#: Parts of prompts, for the query.
+PARTS = {
+    "intro": "Translate from {lang}.", "instruction": "Use these terms:", "no_glossary": "(no terms)", "rules": "Keep numbers, measures and marks.", "footer": "Source: ${text}",
+}
+
+
+def prompt_variants(spark, sf):
+    """Every document's prompt in three variants, some with terms that hold dollar signs."""
+    d = table(spark, sf, "documents")
+    glossary = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("| $"), F.col("doc_id").cast("string"), F.lit(" |")))
+    one = lambda v: F.struct(F.lit(v).alias("variant"), records.prompt_variant(v, PARTS, glossary, F.col("text"), F.when(F.col("doc_id") % 5 > 0, F.col("lang"))).alias("p"))
+    each = d.select("doc_id", F.explode(F.array(*map(one, ("system", "template", "plain")))).alias("x"))
+    return each.select("doc_id", "x.variant", F.length("x.p").alias("n"), F.sha2("x.p", 256).alias("sha256"))
+
+
+def payloads(spark, sf):
+    """Requests of the turns of each conversation, as JSON."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    p = c.select("conv_id", records.payload(F.transform("p", lambda x: x["text"])).alias("p"))
+    return p.select("conv_id", F.length("p").alias("n"), F.sha2("p", 256).alias("sha256"))
+
+
+def chunk_texts(spark, sf):
+    """Books in chunks of forty pages, two of which overlap: documents are pages in the order of their ids."""
+    d = control.numbered(table(spark, sf, "documents").select(F.col("source").alias("job_id"), "doc_id", "text"), ["job_id"], ["doc_id"], "page")
+    books = table(spark, sf, "documents").groupBy(F.col("source").alias("job_id")).agg(F.count("*").alias("total_pages"), F.lit(1 << 30).alias("file_bytes"))
+    c = records.chunk_texts(d, planning.page_chunks(books))
+    return c.select("job_id", "chunk_index", "pages", "segments", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
 def payload_lengths(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
     return c.select("conv_id", records.payload_length(F.transform("p", lambda x: x["text"])).cast("long").alias("n"))
@@ -155,7 +185,7 @@ def batch_term_costs(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    ocr_quality, ocr_text_spans, detector_angles, detector_match, numbered_list_split, word_width, wrap_fit, toc_split, missing_pages, unit_assignment, parse_method, book_texts, prompts,
+    ocr_quality, ocr_text_spans, detector_angles, detector_match, numbered_list_split, word_width, wrap_fit, toc_split, missing_pages, unit_assignment, parse_method, book_texts, chunk_texts, prompts, prompt_variants, payloads,
     payload_lengths, group_boxes, crop_offsets, copyright_audit, suggestion_lookup, overlaid_settings, batch_term_costs,
 )}
 
@@ -185,6 +215,17 @@ SQL = {
     "book_texts": "SELECT source AS book, length(f) AS total_chars, sha256(f) AS sha256, n AS pages FROM (SELECT source, string_agg(CASE WHEN t <> '' THEN t END, chr(10) || chr(10) ORDER BY doc_id) AS f, count(*)::INT AS n FROM (SELECT source, doc_id, trim(regexp_replace(text, '<[^>]+>', ' ', 'g')) AS t FROM documents) GROUP BY source)",
     "prompts": f"""SELECT doc_id, length(p) AS n, sha256(p) AS sha256 FROM (SELECT doc_id, concat_ws(chr(10), 'source: ' || CASE WHEN doc_id % 5 > 0 THEN lang ELSE 'en' END, CASE WHEN doc_id % 2 = 0 THEN '| a | b |' END,
       CASE WHEN len(list_filter([{_UNIT}], lambda u: contains(lower(text), u))) > 0 THEN 'convert units' END, replace(text || ' $5', '$', '$$')) AS p FROM documents)""",
+    "prompt_variants": f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '| $' || doc_id || ' |' END AS g, CASE WHEN doc_id % 5 > 0 THEN lang ELSE 'en' END AS lang, len(list_filter([{_UNIT}], lambda u: contains(lower(text), u))) > 0 AS hint FROM documents),
+      p AS (SELECT doc_id, v, array_to_string(list_filter(['Translate from ' || lang || '.', CASE WHEN g IS NULL THEN '(no terms)' ELSE 'Use these terms:' || chr(10) || chr(10) || CASE WHEN v = 'template' THEN replace(g, '$', '$$') ELSE g END END,
+        CASE WHEN hint OR v = 'system' THEN '{records.unit_section()}' END, 'Keep numbers, measures and marks.', CASE WHEN v = 'template' THEN 'Source: $' || '{{text}}' END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS p
+        FROM d CROSS JOIN (VALUES ('system'), ('template'), ('plain')) t(v))
+      SELECT doc_id, v AS variant, length(p) AS n, sha256(p) AS sha256 FROM p""",
+    "payloads": """SELECT conv_id, length(p) AS n, sha256(p) AS sha256 FROM (SELECT conv_id, '[' || string_agg('{"id": "' || i || '", "html": ' || to_json(text)::VARCHAR || '}', ', ' ORDER BY i) || ']' AS p
+      FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i FROM conversations) GROUP BY conv_id)""",
+    "chunk_texts": """WITH d AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, count(*) OVER (PARTITION BY source) AS n FROM documents),
+      c AS (SELECT *, unnest(range(ceil(n / 40)::BIGINT)) AS k FROM d),
+      t AS (SELECT source, k, count(*) AS pages, string_agg(text, chr(10) ORDER BY page) AS t FROM c WHERE page BETWEEN CASE WHEN k = 0 THEN 1 ELSE k * 40 - 1 END AND least((k + 1) * 40, n) GROUP BY ALL)
+      SELECT source AS job_id, k::INT AS chunk_index, pages::INT AS pages, greatest(len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')), 1)::INT AS segments, length(t) AS chars, sha256(t) AS sha256 FROM t""",
     "payload_lengths": """SELECT conv_id, sum(length(i::VARCHAR) + length(text) + len(regexp_extract_all(text, '["\\\\\\n\\t]')) + 22)::BIGINT + (count(*) - 1) * 2 + 2 AS n
       FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS i FROM conversations) GROUP BY conv_id""",
     "crop_offsets": """SELECT p_partkey, greatest(p_partkey % 20 - 10 - 3, 0)::DOUBLE AS dx, greatest(-(p_partkey % 30 - 15), 0)::DOUBLE AS dy, abs(p_size / 10 - 2.5::DOUBLE) <= 2 AS same_system,

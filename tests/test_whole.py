@@ -4,6 +4,8 @@ import json
 from datetime import datetime
 
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 from quarry import plans
 
 
@@ -80,3 +82,36 @@ def test_terms_are_folded(spark, tmp_path):
     assert {k: counts.get(k) for k in ("filter flour", "caf\u00e9 brul\u00e9e", "full", "offer", "plain", "na\u00efve")} == {"filter flour": 2, "caf\u00e9 brul\u00e9e": 2, "full": 2, "offer": 2, "plain": 3, "na\u00efve": 1}
     assert {"filter flour", "full", "offer plain"} <= {r["match_key"] for r in plans.QUERIES["term_candidates"](spark, sf).collect()}
     assert {r["doc_pos"]: r["tokens"] for r in plans.QUERIES["tokenize_segments"](spark, sf).collect()} == {0: 7, 1: 7, 2: 3}
+
+
+def test_prompt_variants_and_payloads(spark):
+    import json
+
+    from quarry.functions import lexicon
+    from quarry.operators import records
+
+    parts = {"intro": "From {lang}", "instruction": "Terms", "no_glossary": "none", "rules": "Rules", "footer": "X ${text}"}
+    df = spark.createDataFrame([("| $5 |", "a CUP of", "fr"), ("", "plain", None), (None, None, "de")], "g string, s string, lang string")
+    made = lambda v, **k: [r[0] for r in df.select(records.prompt_variant(v, parts, F.col("g"), **k)).collect()]
+    unit = records.unit_section()
+    assert all(w in unit for _, w in lexicon.CUP_WEIGHTS) and "$" not in unit
+    assert made("plain", source=F.col("s"), lang=F.col("lang")) == [f"From fr\n\nTerms\n\n| $5 |\n\n{unit}\n\nRules", "From en\n\nnone\n\nRules", f"From de\n\nnone\n\n{unit}\n\nRules"]
+    assert made("template", source=F.col("s"))[0] == f"From en\n\nTerms\n\n| $$5 |\n\n{unit}\n\nRules\n\nX ${{text}}"
+    assert made("system")[1] == f"From en\n\nnone\n\n{unit}\n\nRules"
+    with pytest.raises(ValueError, match="place for the text"):
+        records.prompt_variant("template", {**parts, "footer": "X"}, F.col("g"))
+    with pytest.raises(ValueError, match="no such variant"):
+        records.prompt_variant("other", parts, F.col("g"))
+    texts = [['a "q" \\ é\n\t', "", None], []]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t array<string>").select(records.payload(F.col("t"))).collect()]
+    assert got == [json.dumps([{"id": str(i), "html": x or ""} for i, x in enumerate(t)], ensure_ascii=False) for t in texts]
+
+
+def test_chunks_hold_their_pages(spark):
+    from quarry.operators import records
+
+    pages = spark.createDataFrame([(1, p, None if p == 3 else f"p{p}\n ") for p in range(1, 91)] + [(2, 1, " ")], "job_id long, page long, text string")
+    chunks = spark.createDataFrame([(1, 0, 1, 40), (1, 1, 39, 80), (1, 2, 79, 90), (2, 0, 1, 5), (3, 0, 1, 5)], "job_id long, chunk_index int, page_start int, page_end int")
+    got = {(r["job_id"], r["chunk_index"]): r for r in records.chunk_texts(pages, chunks).collect()}
+    assert {k: (r["pages"], r["segments"]) for k, r in got.items()} == {(1, 0): (40, 39), (1, 1): (42, 42), (1, 2): (12, 12), (2, 0): (1, 1)}
+    assert got[1, 2]["text"] == "\n".join(f"p{p}\n " for p in range(79, 91)) and got[1, 0]["text"].startswith("p1\n \np2\n \n\np4")
