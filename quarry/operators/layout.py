@@ -5,6 +5,8 @@ common corner. So a page of very many boxes is spread, and only neighbours are c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +26,31 @@ def other(boxes: DataFrame) -> DataFrame:
     return boxes.withColumnsRenamed({c: f"o_{c}" for c in boxes.columns if c != "page"})
 
 
-def meeting(blocks: DataFrame, others: DataFrame, cell: float) -> DataFrame:
+def meeting(blocks: DataFrame, others: DataFrame, cell: float, most: int = 256) -> DataFrame:
     """Pairs of boxes of a page that share an area, each once, with the areas ``a`` and ``b`` and the shared one ``s``.
 
-    Boxes without an area meet nothing. ``cell`` is the side of a grid cell, about the size of a box."""
+    Boxes without an area, or with a corner that is no finite number, meet nothing. ``cell`` is the side of a grid cell, about the
+    size of a box. A box of more than ``most`` cells (a wrong coordinate can make it any number) isn't dealt to cells: it meets the boxes of its page."""
+
+    def proper(boxes: DataFrame, p: str) -> DataFrame:
+        corners = [F.col(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")]
+        finite = reduce(lambda x, y: x & y, (F.abs(c) < float("inf") for c in corners))
+        return boxes.where(finite & (corners[2] > corners[0]) & (corners[3] > corners[1])).withColumn(f"{p}_large", (across(p, "x") * across(p, "y")) > most)
+
+    def across(p: str, axis: str) -> Column:
+        return F.floor(F.col(f"{p}{axis}1") / cell).cast("double") - F.floor(F.col(f"{p}{axis}0") / cell).cast("double") + 1
 
     def dealt(boxes: DataFrame, p: str) -> DataFrame:
         along = lambda axis: F.sequence(F.floor(F.col(f"{p}{axis}0") / cell), F.floor(F.col(f"{p}{axis}1") / cell))
-        proper = boxes.where((F.col(f"{p}x1") > F.col(f"{p}x0")) & (F.col(f"{p}y1") > F.col(f"{p}y0")))
-        return proper.withColumn("_cx", F.explode(along("x"))).withColumn("_cy", F.explode(along("y")))
+        return boxes.where(~F.col(f"{p}_large")).withColumn("_cx", F.explode(along("x"))).withColumn("_cy", F.explode(along("y")))
 
-    pairs = dealt(blocks, "").join(dealt(other(others), "o_"), ["page", "_cx", "_cy"])
+    left, right = proper(blocks, ""), proper(other(others), "o_")
+    pairs = dealt(left, "").join(dealt(right, "o_"), ["page", "_cx", "_cy"])
     corner = lambda axis: F.floor(F.greatest(F.col(f"{axis}0"), F.col(f"o_{axis}0")) / cell)
-    once = pairs.where((F.col("_cx") == corner("x")) & (F.col("_cy") == corner("y"))).drop("_cx", "_cy")
-    return once.withColumn("a", area()).withColumn("b", area("o_")).withColumn("s", shared_area()).where("s > 0")
+    near = pairs.where((F.col("_cx") == corner("x")) & (F.col("_cy") == corner("y"))).drop("_cx", "_cy")
+    wide = left.where("_large").join(right, "page").unionByName(left.where("not _large").join(right.where("o__large"), "page"))
+    both = near.unionByName(wide).drop("_large", "o__large")
+    return both.withColumn("a", area()).withColumn("b", area("o_")).withColumn("s", shared_area()).where("s > 0")
 
 
 #: Side of a grid cell in points.

@@ -47,13 +47,17 @@ def _boxes(rng, n):
 def test_boxes_meet_as_in_all_pairs(spark):
     rng = random.Random(5)
     left, right = _boxes(rng, 60), _boxes(rng, 50)
+    left += [(0, 100, -1e9, -1e12, 1e9, 1e15), (1, 101, 5.0, -4e9, 6.0, 4e9)]
+    right += [(0, 100, -1e300, -5.0, 1e300, 50.0), (1, 101, 0.0, 0.0, 3e18, 300.0)]
+    nan, inf = float("nan"), float("inf")
+    odd = [(0, 200, nan, 0.0, 1.0, 1.0), (0, 201, 0.0, 0.0, inf, 1.0), (1, 202, -inf, -inf, inf, inf), (1, 203, 0.0, 0.0, 9.0, nan)]
     schema = "page int, block int, x0 double, y0 double, x1 double, y1 double"
 
     def shared(a, b):
         return max(min(a[4], b[4]) - max(a[2], b[2]), 0.0) * max(min(a[5], b[5]) - max(a[3], b[3]), 0.0)
 
     want = sorted((a[0], a[1], b[1]) for a in left for b in right if a[0] == b[0] and shared(a, b) > 0)
-    got = layout.meeting(spark.createDataFrame([*left, (0, 99, None, 0.0, 1.0, 1.0)], schema), spark.createDataFrame(right, schema), layout.CELL)
+    got = layout.meeting(spark.createDataFrame([*left, *odd, (0, 99, None, 0.0, 1.0, 1.0)], schema), spark.createDataFrame([*right, *odd], schema), layout.CELL)
     assert sorted((r["page"], r["block"], r["o_block"]) for r in got.collect()) == want and want
 
 
