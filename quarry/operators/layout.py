@@ -134,6 +134,38 @@ def fit(width: Column, text_width: Column, size: Column) -> tuple[Column, Column
     return decision, F.when(text_width <= width, size).otherwise(small)
 
 
+def fit_lines(spans: DataFrame) -> DataFrame:
+    """``spans`` (line, span, text, width of the block, text_width, size) of lines whose spans share one ratio: the least that any of them needs.
+
+    (line, span, size, scale, overflow, repack): at the line's ratio a span fits, is condensed, or overflows all the same; a line without
+    an overflow is laid out anew. Lines whose spans all fit, and spans that show nothing, are left out."""
+    shown = spans.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    _, size = fit(F.col("width"), F.col("text_width"), F.col("size"))
+    ratio = shown.groupBy("line").agg(F.min(size / F.col("size")).alias("ratio")).where("ratio < 1")
+    at = shown.join(ratio, "line").withColumn("needed", F.col("text_width") * F.col("ratio"))
+    scale = F.when(F.col("needed") <= F.col("width") + 1e-9, 1.0).otherwise(0.85)
+    each = at.select("line", "span", (F.col("size") * F.col("ratio")).alias("size"), scale.alias("scale"), (F.col("needed") * 0.85 > F.col("width") + 1e-9).alias("overflow"))
+    lines = each.groupBy("line").agg((~F.bool_or("overflow")).alias("repack"))
+    return each.join(lines, "line")
+
+
+# Codecs of images, channels by colour space, least bytes, bits of a channel.
+CODECS = ["DCTDecode", "JPXDecode", "JBIG2Decode", "CCITTFaxDecode"]
+CHANNELS = {"DeviceGray": [1], "DeviceRGB": [3], "DeviceCMYK": [4], "ICCBased": [1, 3, 4]}
+LEAST_BYTES, BITS = 4096, 8
+
+
+def image_reason(filters: Column, masked: Column, raw: Column, bits: Column, space: Column, channels: Column, jpeg: Column) -> Column:
+    """Why an image is recompressed or not, the first reason: codec, masked, small, depth, colours, not_smaller or compressed. ``filters``: names, in order; none is
+    no filter, and any list must hold FlateDecode and no codec of images."""
+    plain = F.coalesce(F.size(filters) < 1, F.lit(True)) | (F.array_contains(filters, "FlateDecode") & ~F.arrays_overlap(filters, F.array(*map(F.lit, CODECS))))
+    fits_ = reduce(lambda a, b: a | b, ((space == name) & channels.isin(n) for name, n in CHANNELS.items()))
+    return (
+        F.when(~plain, "codec").when(F.coalesce(masked, F.lit(False)), "masked").when(raw < LEAST_BYTES, "small").when(bits != BITS, "depth")
+        .when(~F.coalesce(fits_, F.lit(False)), "colours").when(jpeg >= raw, "not_smaller").otherwise("compressed")
+    )
+
+
 def tail_number(line: Column) -> Column:
     """Page number at the end of a line of contents: 1 to 4 digits after a body with two letters in a row."""
     pattern = "^(.*[^0-9])([0-9]{1,4})$"

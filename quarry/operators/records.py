@@ -332,6 +332,12 @@ def chunk_texts(pages: DataFrame, chunks: DataFrame, width: int = 40) -> DataFra
     return whole.select("job_id", "chunk_index", F.size("p").alias("pages"), text.alias("text")).withColumn("segments", F.greatest(lines, F.lit(1)))
 
 
+def overlay(layers: DataFrame, owner: list[str]) -> DataFrame:
+    """``layers`` (owner columns, layer, key, value) laid over each other: of each key the value of the last layer that has it, the greatest of
+    equal layers; a null key is none. Values are compared by a map-side half, so a key that many layers set is no hot spot."""
+    return layers.where("key is not null").groupBy(*owner, "key").agg(F.max_by("value", F.struct("layer", "value")).alias("value"))
+
+
 def payload_length(htmls: Column) -> Column:
     """Length of a request's JSON with a space after commas and colons, ids from 0, and quotes and backslashes escaped."""
     each = F.transform(htmls, lambda h, i: F.length(i.cast("string")) + F.length(h) + F.regexp_count(h, F.lit('["\\\\\\n\\t]')) + F.lit(len('{"id": "", "html": ""}')))

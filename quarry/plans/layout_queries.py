@@ -77,6 +77,13 @@ def fit_decision(spark, sf):
     return p.select("p_partkey", d.alias("decision"), F.round(s, 6).alias("font_size"))
 
 
+def fit_lines(spark, sf):
+    """Lines of five spans, of which some show nothing."""
+    k = F.col("p_partkey")
+    spans = table(spark, sf, "part").select(F.floor(k / 5).alias("line"), k.alias("span"), F.when(k % 11 > 0, F.col("p_name")).otherwise(" ").alias("text"), F.lit(100.0).alias("width"), (F.col("p_retailprice") / 10).alias("text_width"), (8.0 + F.col("p_size") % 7).alias("size"))
+    return layout.fit_lines(spans).withColumn("size", F.round("size", 6))
+
+
 def toc_marks(spark, sf):
     line = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"))
     p = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 10).alias("para"), "p_partkey", layout.tail_number(F.when(F.col("p_partkey") % 6 == 0, F.col("p_name")).otherwise(line)).alias("n"))
@@ -160,9 +167,14 @@ def image_names(spark, sf):
 
 def image_compress(spark, sf):
     """Why images are recompressed or not."""
-    i = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 4 == 0).alias("mask"), (F.col("p_size") * 300).alias("raw"), (F.col("p_size") % 3 * 4 + 4).alias("bpc"), (F.col("p_partkey") % 5).alias("channels"), F.col("p_brand").alias("space"), (F.col("p_retailprice") * 5).alias("jpeg"))
-    ok = ((F.col("space").endswith("1")) & (F.col("channels") == 1)) | (~F.col("space").endswith("1") & F.col("channels").isin(1, 3, 4))
-    why = F.when(F.col("mask"), "masked").when(F.col("raw") < 4096, "small").when(F.col("bpc") != 8, "depth").when(~ok, "colours").when(F.col("jpeg") >= F.col("raw"), "not_smaller").otherwise("compressed")
+    k = F.col("p_partkey")
+    pick = lambda values, by: F.get(F.array(*values), (by % len(values)).cast("int"))
+    names = [F.array(*map(F.lit, x)) for x in (["FlateDecode"], ["FlateDecode"], ["DCTDecode"], ["FlateDecode", "DCTDecode"], ["ASCII85Decode", "FlateDecode"], ["LZWDecode"])] + [F.lit(None), F.array().cast("array<string>")]
+    i = table(spark, sf, "part").select(
+        pick(names, k).alias("filters"), (k % 9 == 0).alias("masked"), (F.col("p_size") * 300).alias("raw"), F.when(F.col("p_size") % 7 == 0, 16).otherwise(8).alias("bits"),
+        pick([F.lit(x) for x in (*layout.CHANNELS, "Indexed")], F.floor(k / 8)).alias("space"), pick([F.lit(x) for x in (1, 3, 4)], F.floor(k / 40)).alias("channels"), (F.col("p_retailprice") * 5).alias("jpeg"),
+    )
+    why = layout.image_reason(*map(F.col, ("filters", "masked", "raw", "bits", "space", "channels", "jpeg")))
     return i.groupBy(why.alias("reason")).agg(F.count("*").alias("images"), F.sum("raw").cast("long").alias("raw_bytes"))
 
 
@@ -270,7 +282,7 @@ def token_usage(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    block_overlap, text_over_border, text_over_image, best_block_match, rotation_flags, rotated_groups, page_queue, line_groups, fit_decision, toc_marks, entity_loss, list_markers,
+    block_overlap, text_over_border, text_over_image, best_block_match, rotation_flags, rotated_groups, page_queue, line_groups, fit_decision, fit_lines, toc_marks, entity_loss, list_markers,
     html_units, html_unit_lengths, html_unit_filter, external_links, escape_untrusted, sup_sub_normalize, link_targets, structural_drop_refs, image_names, image_compress,
     json_strict_parse, missing_ids, json_salvage, fallback_quota, output_guard, drop_report_audit, drop_report_summary, dropped_paragraphs, token_usage,
 )}
@@ -292,6 +304,10 @@ SQL = {
     "page_queue": """SELECT page, sum(w)::BIGINT AS score, string_agg(c, ',' ORDER BY -w, seq) AS checks FROM (SELECT p_partkey // 7 AS page, p_partkey AS seq, p_brand AS c, 3 - p_size % 4 AS w FROM part) GROUP BY page""",
     "fit_decision": """SELECT p_partkey, CASE WHEN tw <= 100 THEN 'fits' WHEN tw * small / size <= 100 + 1e-9 THEN 'shrunk' WHEN tw * small / size * 0.85::DOUBLE <= 100 + 1e-9 THEN 'condensed' ELSE 'overflow' END AS decision,
       round(CASE WHEN tw <= 100 THEN size ELSE small END, 6) AS font_size FROM (SELECT *, greatest(0.8::DOUBLE * size, size * 100.0::DOUBLE / tw) AS small FROM (SELECT p_partkey, p_retailprice / 10 AS tw, 8.0::DOUBLE + p_size % 7 AS size FROM part))""",
+    "fit_lines": """WITH s AS (SELECT p_partkey // 5 AS line, p_partkey AS span, p_retailprice / 10 AS tw, 8.0::DOUBLE + p_size % 7 AS size FROM part WHERE p_partkey % 11 > 0),
+      r AS (SELECT *, min(CASE WHEN tw <= 100 THEN 1 ELSE greatest(0.8::DOUBLE, 100.0::DOUBLE / tw) END) OVER (PARTITION BY line) AS r FROM s)
+      SELECT line, span, round(size * r, 6) AS size, CASE WHEN tw * r <= 100 + 1e-9 THEN 1.0 ELSE 0.85 END::DOUBLE AS scale, tw * r * 0.85::DOUBLE > 100 + 1e-9 AS overflow,
+        NOT bool_or(tw * r * 0.85::DOUBLE > 100 + 1e-9) OVER (PARTITION BY line) AS repack FROM r WHERE r < 1""",
     "line_groups": """WITH g AS (SELECT p_partkey // 15 AS para, p_partkey AS glyph, (p_partkey * 29) % 120 AS y0, (p_partkey * 29) % 120 + p_size % 9 AS y1 FROM part),
       o AS (SELECT *, max(y1) OVER (PARTITION BY para ORDER BY y0, glyph ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM g),
       i AS (SELECT para, glyph, sum(CASE WHEN top IS NULL OR y0 > top + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY para ORDER BY y0, glyph) AS k FROM o)
@@ -315,9 +331,9 @@ SQL = {
       SELECT doc_id, coalesce(refs, 0) AS refs, CASE WHEN coalesce(needed, false) THEN 'skipped' ELSE 'removed' END AS result FROM gone LEFT JOIN held ON target = doc_id""",
     "image_names": """WITH p AS (SELECT p_partkey, 'img' || p_partkey % 90 AS base, p_brand FROM part), f AS (SELECT base, p_brand, row_number() OVER (PARTITION BY base ORDER BY min(p_partkey)) AS k FROM p GROUP BY base, p_brand)
       SELECT p_partkey, CASE WHEN k = 1 THEN base || '.jpg' ELSE base || '_' || k || '.jpg' END AS name FROM p JOIN f USING (base, p_brand)""",
-    "image_compress": """SELECT CASE WHEN p_partkey % 4 = 0 THEN 'masked' WHEN p_size * 300 < 4096 THEN 'small' WHEN p_size % 3 * 4 + 4 <> 8 THEN 'depth'
-        WHEN NOT ((p_brand LIKE '%1' AND p_partkey % 5 = 1) OR (p_brand NOT LIKE '%1' AND p_partkey % 5 IN (1, 3, 4))) THEN 'colours' WHEN p_retailprice * 5 >= p_size * 300 THEN 'not_smaller' ELSE 'compressed' END AS reason,
-      count(*) AS images, sum(p_size * 300)::BIGINT AS raw_bytes FROM part GROUP BY reason""",
+    "image_compress": """SELECT CASE WHEN p_partkey % 8 IN (2, 3, 5) THEN 'codec' WHEN p_partkey % 9 = 0 THEN 'masked' WHEN p_size * 300 < 4096 THEN 'small' WHEN p_size % 7 = 0 THEN 'depth'
+        WHEN s = 4 OR s < 3 AND s <> c THEN 'colours' WHEN p_retailprice * 5 >= p_size * 300 THEN 'not_smaller' ELSE 'compressed' END AS reason, count(*) AS images, sum(p_size * 300)::BIGINT AS raw_bytes
+      FROM (SELECT *, (p_partkey // 8) % 5 AS s, (p_partkey // 40) % 3 AS c FROM part) GROUP BY reason""",
     "json_strict_parse": f"SELECT conv_id, id, t AS value FROM {_RESP} WHERE trim(t) <> ''",
     "missing_ids": f"SELECT conv_id, count(*)::INT AS expected, array_to_string(list_sort(list_concat(list(id) FILTER (WHERE trim(t) = ''), ['999'])), ',') AS missing FROM {_RESP} GROUP BY conv_id",
     "fallback_quota": """SELECT job_id, n, fallback, fallback > greatest(1, ceil(0.20::DOUBLE * n)) AS chunk_fails, fallback > greatest(1, ceil(0.05::DOUBLE * n)) AS job_fails FROM (

@@ -171,10 +171,11 @@ def suggestion_lookup(spark, sf):
 
 
 def overlaid_settings(spark, sf):
-    """Maps laid over each other, the later one wins."""
-    o = table(spark, sf, "region")
-    both = F.map_zip_with(F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2)), F.create_map(F.lit("b"), F.col("r_regionkey") + 10, F.lit("c"), F.col("r_regionkey")), lambda k, x, y: F.coalesce(y, x))
-    return o.select("r_regionkey", F.explode(both).alias("key", "value")).select("r_regionkey", "key", F.col("value").cast("int").alias("value"))
+    """Maps of settings laid over each other, the later one wins: a region's nations, and the customers and orders of these nations as later layers."""
+    nations = table(spark, sf, "nation").select(F.col("n_regionkey").alias("owner"), F.lit(0).alias("layer"), F.col("n_name").alias("key"), F.col("n_nationkey").cast("long").alias("value"))
+    home = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("owner"), "n_name")
+    people = table(spark, sf, "customer").where("c_nationkey % 2 = 0").join(home, "c_nationkey").select("owner", F.lit(1).alias("layer"), F.when(F.col("c_custkey") % 50 == 0, F.col("c_mktsegment")).otherwise(F.col("n_name")).alias("key"), F.col("c_custkey").alias("value"))
+    return records.overlay(nations.unionByName(people), ["owner"])
 
 
 def batch_term_costs(spark, sf):
@@ -232,7 +233,9 @@ SQL = {
       round(greatest(s * least(1.0::DOUBLE, 60.0::DOUBLE / (length(p_name) * s * 0.5::DOUBLE)), 1.0), 6) AS font FROM (SELECT *, greatest(0.85::DOUBLE * (p_size - 20), 1.0::DOUBLE) AS s FROM part)""",
     "suggestion_lookup": """WITH h AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS key FROM part WHERE p_partkey % 9 = 0)
       SELECT p_partkey, coalesce((SELECT max(pos) FROM h WHERE key = p_name), (SELECT min(pos) FROM h WHERE lower(key) = lower(p_name))) AS found FROM part""",
-    "overlaid_settings": "SELECT r_regionkey, key, value::INT AS value FROM region, LATERAL (VALUES ('a', 1), ('b', r_regionkey + 10), ('c', r_regionkey)) v(key, value)",
+    "overlaid_settings": """WITH l AS (SELECT n_regionkey AS owner, 0 AS layer, n_name AS key, n_nationkey::BIGINT AS value FROM nation UNION ALL
+        SELECT n_regionkey, 1, CASE WHEN c_custkey % 50 = 0 THEN c_mktsegment ELSE n_name END, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 2 = 0)
+      SELECT owner, key, arg_max(value, (layer, value)) AS value FROM l WHERE key IS NOT NULL GROUP BY owner, key""",
     "batch_term_costs": "SELECT p_partkey, round(sum(p_size) OVER (PARTITION BY p_partkey // 40) / count(*) OVER (PARTITION BY p_partkey // 40) / 1000, 9) AS cost_usd FROM part",
     "group_boxes": f"""SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, round(coalesce(avg(CASE WHEN font > 0 THEN font END), 11), 9) AS font FROM (
       SELECT p_partkey // 12 AS page, ((p_partkey * 37) % 400)::DOUBLE AS x0, ((p_partkey * 91) % 600)::DOUBLE AS y0, ((p_partkey * 37) % 400 + 30 + p_size * 3)::DOUBLE AS x1, ((p_partkey * 91) % 600 + 12 + p_size)::DOUBLE AS y1,
