@@ -80,7 +80,7 @@ def fit_decision(spark, sf):
 def fit_lines(spark, sf):
     """Lines of five spans, of which some show nothing."""
     k = F.col("p_partkey")
-    spans = table(spark, sf, "part").select(F.floor(k / 5).alias("line"), k.alias("span"), F.when(k % 11 > 0, F.col("p_name")).otherwise(" ").alias("text"), F.lit(100.0).alias("width"), (F.col("p_retailprice") / 10).alias("text_width"), (8.0 + F.col("p_size") % 7).alias("size"))
+    spans = table(spark, sf, "part").select(F.floor(k / 5).alias("line"), k.alias("span"), F.when(k % 11 > 0, F.col("p_name")).otherwise(" ").alias("text"), F.lit(100.0).alias("width"), (F.col("p_retailprice") / (5 + k % 7)).alias("text_width"), (8.0 + F.col("p_size") % 7).alias("size"))
     return layout.fit_lines(spans).withColumn("size", F.round("size", 6))
 
 
@@ -304,7 +304,7 @@ SQL = {
     "page_queue": """SELECT page, sum(w)::BIGINT AS score, string_agg(c, ',' ORDER BY -w, seq) AS checks FROM (SELECT p_partkey // 7 AS page, p_partkey AS seq, p_brand AS c, 3 - p_size % 4 AS w FROM part) GROUP BY page""",
     "fit_decision": """SELECT p_partkey, CASE WHEN tw <= 100 THEN 'fits' WHEN tw * small / size <= 100 + 1e-9 THEN 'shrunk' WHEN tw * small / size * 0.85::DOUBLE <= 100 + 1e-9 THEN 'condensed' ELSE 'overflow' END AS decision,
       round(CASE WHEN tw <= 100 THEN size ELSE small END, 6) AS font_size FROM (SELECT *, greatest(0.8::DOUBLE * size, size * 100.0::DOUBLE / tw) AS small FROM (SELECT p_partkey, p_retailprice / 10 AS tw, 8.0::DOUBLE + p_size % 7 AS size FROM part))""",
-    "fit_lines": """WITH s AS (SELECT p_partkey // 5 AS line, p_partkey AS span, p_retailprice / 10 AS tw, 8.0::DOUBLE + p_size % 7 AS size FROM part WHERE p_partkey % 11 > 0),
+    "fit_lines": """WITH s AS (SELECT p_partkey // 5 AS line, p_partkey AS span, p_retailprice / (5 + p_partkey % 7) AS tw, 8.0::DOUBLE + p_size % 7 AS size FROM part WHERE p_partkey % 11 > 0),
       r AS (SELECT *, min(CASE WHEN tw <= 100 THEN 1 ELSE greatest(0.8::DOUBLE, 100.0::DOUBLE / tw) END) OVER (PARTITION BY line) AS r FROM s)
       SELECT line, span, round(size * r, 6) AS size, CASE WHEN tw * r <= 100 + 1e-9 THEN 1.0 ELSE 0.85 END::DOUBLE AS scale, tw * r * 0.85::DOUBLE > 100 + 1e-9 AS overflow,
         NOT bool_or(tw * r * 0.85::DOUBLE > 100 + 1e-9) OVER (PARTITION BY line) AS repack FROM r WHERE r < 1""",
