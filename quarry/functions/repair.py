@@ -64,15 +64,18 @@ def repair(raw: pd.Series, expected: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"translations": [f[0] for f in found], "strict_ids": [f[1] for f in found], "salvaged_ids": [f[2] for f in found]})
 
 
+_FLAT_PAIR = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
+
+
 def pairs_one(raw: str | None) -> dict[str, str]:
-    """A flat JSON object; or, where that fails, all ``"key": "value"`` pairs."""
+    """The texts of a flat JSON object; or, where that fails, all ``"key": "value"`` pairs as they are written."""
     try:
         value = json.loads(raw or "")
         if isinstance(value, dict):
             return {str(k): v for k, v in value.items() if isinstance(v, str)}
     except ValueError:
         pass
-    return {k: v for k, v in re.findall(r'"([^"]+)"\s*:\s*"([^"]*)"', raw or "")}
+    return dict(_FLAT_PAIR.findall(raw or ""))
 
 
 @F.pandas_udf(MapType(StringType(), StringType()))

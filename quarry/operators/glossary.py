@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from quarry.functions import repair
 from quarry.functions import text as T
+from quarry.operators.control import numbered
 from quarry.sources.shared import written
 
 
@@ -150,3 +152,27 @@ def forms_of(term: str) -> list[str]:
 @F.pandas_udf(ArrayType(StringType()))
 def forms(terms: pd.Series) -> pd.Series:
     return terms.map(lambda t: [] if t is None else forms_of(t))
+
+
+#: Terms that one request asks translations for, at most.
+ASKED = 40
+
+
+def term_batches(terms: DataFrame, key: list[str], order: list[str], size: int = ASKED) -> DataFrame:
+    """``terms`` with the number (``batch``, from 0) of the request that asks for them: so many in order a request, in ranges of key and order."""
+    return numbered(terms, key, order).withColumn("batch", F.call_function("div", F.col("pos") - 1, F.lit(size)))
+
+
+def suggested(terms: DataFrame, responses: DataFrame, key: list[str]) -> DataFrame:
+    """``terms`` (key, batch, term, ...) with the translation that the response to their batch (key, batch, raw, cost) gives, and their share of its cost.
+
+    A response is a JSON object, or any text that holds pairs (``repair.pairs``). A term is found under its own spelling, else under the first
+    that differs in case only; one that isn't found, or whose batch has no response, has no translation. The terms of a batch share its cost evenly."""
+    at = [*key, "batch"]
+    found = responses.select(*at, F.posexplode(repair.pairs("raw")).alias("_place", "_key", "_value"))
+    exact = found.select(*at, F.col("_key").alias("term"), F.col("_value").alias("_exact"))
+    loose = found.groupBy(*at, F.lower("_key").alias("_low")).agg(F.min_by("_value", "_place").alias("_loose"))
+    sizes = terms.groupBy(*at).agg(F.count("*").alias("_n"))
+    shares = responses.select(*at, "cost").join(sizes, at).select(*at, (F.col("cost") / F.col("_n")).alias("cost_usd"))
+    both = terms.withColumn("_low", F.lower("term")).join(exact, [*at, "term"], "left").join(loose, [*at, "_low"], "left").join(shares, at, "left")
+    return both.withColumn("translation", F.coalesce("_exact", "_loose")).drop("_low", "_exact", "_loose")

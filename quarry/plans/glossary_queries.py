@@ -100,8 +100,26 @@ def glossary_known_forms(spark, sf):
     return glossary_forms(spark, sf).select("form").distinct()
 
 
-QUERIES = {f.__name__: f for f in (glossary_scope_merge, glossary_occurrences, glossary_topn, glossary_snippet, glossary_search, glossary_entry_count, glossary_upsert, glossary_forms, glossary_known_forms)}
+def suggest_translations(spark, sf):
+    """Terms in requests of forty, and responses that leave some out, change the case of some, and say more than JSON now and then."""
+    p = table(spark, sf, "part").select((F.col("p_size") % 5).alias("book"), F.col("p_partkey").alias("id"), F.col("p_name").alias("term"))
+    terms = glossary.term_batches(p, ["book"], ["id"])
+    key = F.when(F.col("id") % 4 == 1, F.upper("term")).otherwise(F.col("term"))
+    pair = F.when(F.col("id") % 4 > 0, F.concat(F.lit('"'), key, F.lit('": "vi '), F.col("id").cast("string"), F.lit('"')))
+    told = terms.groupBy("book", "batch").agg(F.array_sort(F.collect_list(F.struct("id", pair.alias("pair")))).alias("p"), (F.count("*") * 0.002).alias("cost"))
+    body = F.concat(F.lit("{"), F.array_join(F.transform("p", lambda x: x["pair"]), ", "), F.lit("}"))
+    raw = F.when(F.col("batch") % 3 == 0, F.concat(F.lit("As asked: "), body, F.lit(" - done"))).otherwise(body)
+    done = glossary.suggested(terms, told.where("batch % 7 < 6").select("book", "batch", raw.alias("raw"), "cost"), ["book"])
+    return done.select("id", "book", "batch", "translation", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+QUERIES = {f.__name__: f for f in (suggest_translations, glossary_scope_merge, glossary_occurrences, glossary_topn, glossary_snippet, glossary_search, glossary_entry_count, glossary_upsert, glossary_forms, glossary_known_forms)}
 SQL = {
+    "suggest_translations": """WITH t AS (SELECT p_size % 5 AS book, p_partkey AS id, p_name AS term, (row_number() OVER (PARTITION BY p_size % 5 ORDER BY p_partkey) - 1) // 40 AS batch FROM part),
+      k AS (SELECT book, batch, CASE WHEN id % 4 = 1 THEN upper(term) ELSE term END AS key, min(id) AS first, 'vi ' || max(id) AS value FROM t WHERE id % 4 > 0 AND batch % 7 < 6 GROUP BY ALL),
+      l AS (SELECT book, batch, lower(key) AS low, arg_min(value, first) AS value FROM k GROUP BY ALL)
+      SELECT t.id, t.book, t.batch, coalesce(k.value, l.value) AS translation, CASE WHEN t.batch % 7 < 6 THEN 0.002 END::DOUBLE AS cost_usd
+      FROM t LEFT JOIN k ON k.book = t.book AND k.batch = t.batch AND k.key = t.term LEFT JOIN l ON l.book = t.book AND l.batch = t.batch AND l.low = lower(t.term)""",
     "glossary_scope_merge": f"SELECT entry_id, scope, term_en, term_vi FROM {_EFF}",
     "glossary_occurrences": f"SELECT * FROM {_COUNTS}",
     "glossary_topn": f"SELECT term_en, n, place FROM {_TOP}",

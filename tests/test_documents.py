@@ -142,3 +142,11 @@ def test_occurrences_are_whole_words(spark):
     docs = spark.createDataFrame([(1, "Pan pan-fry pans épan PAN's hot  pan"), (2, "none"), (3, None)], "doc_id long, text string")
     terms = spark.createDataFrame([("pan",), ("hot pan",), ("c++",), ("!!",)], "term_en string")
     assert [(r["doc_id"], r["term_en"], r["n"]) for r in glossary.occurrences(docs, terms).collect()] == [(1, "pan", 4)]
+
+
+def test_translations_that_were_suggested(spark):
+    assert repair.pairs_one('x "say \\"hi\\"": "y" "cut": "of') == {'say \\"hi\\"': "y"}
+    terms = glossary.term_batches(spark.createDataFrame([("b", i, t) for i, t in enumerate(["Pan", "pan", "oven", "gone", "late"])], "book string, id long, term string"), ["book"], ["id"], 4)
+    raw = 'Sure: {"PAN": "1", "pan": "2", "Oven": "3", "OVEN": "4"}'
+    got = glossary.suggested(terms, spark.createDataFrame([("b", 0, raw, 0.2), ("c", 0, "{}", 9.0)], "book string, batch long, raw string, cost double"), ["book"])
+    assert {r["term"]: (r["batch"], r["translation"], r["cost_usd"]) for r in got.collect()} == {"Pan": (0, "1", 0.05), "pan": (0, "2", 0.05), "oven": (0, "3", 0.05), "gone": (0, None, 0.05), "late": (1, None, None)}
