@@ -13,7 +13,8 @@ each, so a broadcast never grows with the tables.
 Seeds of a word that comes again and again, in a text and in an item, are not listed pair by pair: the diagonals between
 them are looked at once each, until one agrees in the whole item.
 
-Defined cases: null or empty texts and items match nothing; repeated rows give one match each; repeated items (same id
+Defined cases: null or empty texts and items match nothing; an empty table of documents gives no row, an empty benchmark
+matches nothing; very long texts are looked at whole; repeated rows give one match each; repeated items (same id
 and text) count once, an id with two texts counts as two items; rows with a null id are looked at like others; of stretches
 that agree in as many tokens the first counts; words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; other columns are ignored or passed on.
 """

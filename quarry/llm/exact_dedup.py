@@ -11,7 +11,7 @@
 Defined cases: null text counts as empty; rows with a null id take part and never stay while another copy has an id;
 repeated rows count one by one in ``group_size``, but rows that repeat both id and text are one document, so if it is
 the one that stays, all of them are ``kept``, and so are copies none of which has an id; an empty table gives an empty
-result; other columns are ignored.
+result; very long texts are hashed whole and meet by their bytes; other columns are ignored.
 """
 
 from __future__ import annotations

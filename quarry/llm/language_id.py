@@ -7,7 +7,7 @@ Each language is clustered in a task of its own; the driver gets centroids (32 K
 
 Defined cases: a text that is null or has no letter is ``und``, score 0, rejected; without any labelled row every text
 is ``und``; any number of languages is learned; of centroids that are equally near the first counts, in the order of
-languages; repeated rows are predicted alike, and rows that repeat an id teach one text a language; rows with a null id
+languages; an empty table gives no row; repeated rows are predicted alike, and rows that repeat an id teach one text a language; rows with a null id
 are predicted like others; very long texts are read whole, some at a time; other columns are ignored (or passed on by
 ``filter_language``).
 """

@@ -16,8 +16,8 @@ up the maximal repeated runs, which are deleted. The first copy of each line alw
 Line ids are 128-bit digests, which tell the lines of any corpus apart; all steps after them compare ranks.
 
 Defined cases: a null text has no lines and stays null; empty texts stay; lines are cut at ``\\n`` only; rows with a null
-id come last; rows that repeat both id and text are the same place, so they get the same result; columns called like the
-two new ones are replaced.
+id come last; rows that repeat both id and text are the same place, so they get the same result; very long texts are cut
+whole, and each of their lines is a row; an empty table gives none; columns called like the two new ones are replaced.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ A model of at most LIMIT_MB is broadcast. Of a greater one no worker needs all:
 shuffle, and each owner's slice is given to the few tasks that probe it.
 
 Defined cases: null text counts as empty and scores its end token only; without training rows all counts are 0; an empty
-table gives no row; repeated rows count and score one by one; rows with a null id are scored like others; other columns,
+table gives no row; repeated rows count and score one by one; very long texts are read whole, some words at a time; rows with a null id are scored like others; other columns,
 whatever their names, are ignored.
 """
 

@@ -17,7 +17,8 @@ A pair of similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6
 Defined cases: a text without words has an empty set and links with nothing; fewer than five words are one shingle;
 rows that repeat an id are one document: if their texts differ, the one whose set has the smallest digest stands for it
 in every step, and all its rows get its component (``n_shingles`` is each row's own); a row with a null id links with
-nothing, has a null component and is kept; an empty table gives no row; other columns are ignored.
+nothing, has a null component and is kept; an empty table gives no row; very long texts have all
+their shingles, one text at a time; other columns are ignored.
 """
 
 from __future__ import annotations

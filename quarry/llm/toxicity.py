@@ -7,7 +7,7 @@ without one. Phrases around lexicon words that only clean texts have become
 exceptions, which silence the matches inside them. The weight found is normalised by the number of words.
 
 Defined cases: null and empty texts score as clean; without labels of both kinds every text scores 0; a label for an
-unknown id is ignored; repeated rows score alike, and rows that repeat an id teach one text (the greatest); repeated labels
+unknown id is ignored; repeated rows score alike, of entries that add as many texts the longest is taken first, and rows that repeat an id teach one text (the greatest); repeated labels
 of an id count once (the larger); rows with a null id are scored, and teach nothing; an empty table gives no row; very
 long texts are scored whole; other columns, whatever their names, are ignored.
 """
