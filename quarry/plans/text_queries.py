@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quarry.functions import lexicon as L
 from quarry.functions import text as T
 from quarry.operators import quality, terms
+from quarry.sources.shared import written
 from quarry.sources.tables import books, table, texts
+from quarry.streaming.state import refresh_terms
 
 
 def _sql_list(values) -> str:
@@ -155,6 +157,17 @@ def term_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return decided.unionByName(fresh)
 
 
+def extract_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests to mine books again, some of them for books that have no source: how many pending terms the new run wrote beside the decided ones."""
+    found = written(term_candidates(spark, sf).select("book", F.col("match_key").alias("term"), F.col("occurrences").alias("n")), "found")
+    decided = found.where((F.length("term") % 3 == 0) & ~F.contains("term", F.lit(" "))).select("book", "term", F.lit("dismissed").alias("status"), "n")
+    terms_ = refresh_terms(decided, found).groupBy("book").agg(F.count_if(F.col("status") == "pending").alias("written"))
+    asked = table(spark, sf, "documents").select(F.col("source").alias("book")).unionByName(table(spark, sf, "region").select(F.col("r_name").alias("book"))).distinct()
+    sources = books(spark, sf).select("book").distinct().withColumn("has", F.lit(True))
+    out = asked.join(sources, "book", "left").join(terms_, "book", "left")
+    return out.select("book", F.when(F.col("has"), "done").otherwise("no_source").alias("result"), F.coalesce("written", F.lit(0)).alias("written"))
+
+
 _TOKEN = "[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'']*(?:-[A-Za-zÀ-ÿ'']+)*"
 _END = T.SEGMENT_END.replace("'", "''")
 _TERMS_SQL = f"""
@@ -209,7 +222,7 @@ ranked AS (SELECT book, surface AS term, key AS match_key, n AS ngram_size, nois
 
 QUERIES = {f.__name__: f for f in (
     language_detect, language_by_source, diacritic_quality, strip_markup_lengths, unit_hint_filter, ocr_warning, copyright_score, copyright_scan, copyright_prune,
-    tokenize_segments, ngram_counts, term_absorption, term_noise_flags, term_plural_merge, term_candidates, term_rank_topk, term_specificity, term_refresh,
+    tokenize_segments, ngram_counts, term_absorption, term_noise_flags, term_plural_merge, term_candidates, term_rank_topk, term_specificity, term_refresh, extract_terms,
 )}
 
 SQL = {
@@ -236,6 +249,9 @@ SQL = {
     "term_absorption": _TERMS_SQL + "SELECT book, n, key, cnt FROM kept",
     "term_noise_flags": _TERMS_SQL + "SELECT book, n, key, array_to_string(flags, ',') AS noise_flags FROM flagged",
     "term_plural_merge": _TERMS_SQL + "SELECT book, n, key, surface, cnt, noise_flags FROM merged",
+    "extract_terms": _TERMS_SQL + """, w AS (SELECT book, count(*) FILTER (WHERE length(match_key) % 3 <> 0 OR contains(match_key, ' ')) AS written FROM ranked WHERE place <= 20000 GROUP BY book),
+      a AS (SELECT DISTINCT source AS book, lang = 'en' AS en FROM documents UNION ALL SELECT r_name, false FROM region)
+      SELECT a.book, CASE WHEN bool_or(coalesce(en, false)) THEN 'done' ELSE 'no_source' END AS result, coalesce(any_value(written), 0) AS written FROM a LEFT JOIN w USING (book) GROUP BY a.book""",
     "term_candidates": _TERMS_SQL + "SELECT * FROM ranked WHERE place <= 20000",
     "term_specificity": _TERMS_SQL + """, rr AS (SELECT DISTINCT word, (ascii(word) * 1000 + length(word) * 137) % 60000 + 1 AS r FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)),
       cw AS (SELECT book, n, key, min(r) AS common FROM (SELECT book, n, key, unnest(string_split(key, ' ')) AS word FROM merged) JOIN rr USING (word) GROUP BY ALL),
