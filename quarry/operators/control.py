@@ -135,6 +135,18 @@ def latest_duplicate(files: DataFrame, digest: str, order: list[str]) -> DataFra
     return files.join(newest, digest).where(F.struct(*order) != F.col("top"))
 
 
+def _reach(ranges: DataFrame, key: list[str], each: Column, gather) -> DataFrame:
+    """What a key has in the ranges before each of those that it reaches into; at most one row a range."""
+    counts = ranges.groupBy(*key, "_range").agg(gather(each).alias("_n"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = counts.withColumn("_before", gather("_n").over(earlier)).where("_before is not null")
+    return reach.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)), F.col("_range").alias("_at"), "_before")
+
+
+def _at_range(key: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)), F.col("_range") == F.col("_at"))
+
+
 def _by_ranges(df: DataFrame, key: list[str], order: list, each: Column, name: str, gather=F.sum, add=lambda here, before: here + F.coalesce(before, F.lit(0))) -> DataFrame:
     """``gather`` of ``each`` over a row and those of its key before it, in ``order`` (names or sort orders); null keys are one key.
 
@@ -142,13 +154,8 @@ def _by_ranges(df: DataFrame, key: list[str], order: list, each: Column, name: s
     So a key that holds a third of all rows lies in many tasks. At most one key reaches into a range from the one before,
     hence at most one row a range is broadcast."""
     ranges = written(df.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "places")
-    counts = ranges.groupBy(*key, "_range").agg(gather(each).alias("_n"))
-    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    reach = counts.withColumn("_before", gather("_n").over(earlier)).where("_before is not null")
-    reach = reach.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)), F.col("_range").alias("_at"), "_before")
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)), F.col("_range") == F.col("_at"))
     so_far = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranges.withColumn(name, gather(each).over(so_far)).join(F.broadcast(reach), same, "left")
+    placed = ranges.withColumn(name, gather(each).over(so_far)).join(F.broadcast(_reach(ranges, key, each, gather)), _at_range(key), "left")
     return placed.withColumn(name, add(F.col(name), F.col("_before"))).drop("_range", "_at", "_before", *(f"_key{i}" for i in range(len(key))))
 
 
@@ -166,3 +173,22 @@ def spent_before(df: DataFrame, key: list[str], order: list, cost: str, name: st
     """What the rows of the key before each row cost together, exact to a millionth; a null cost is 0; in ranges (``_by_ranges``)."""
     exact = F.coalesce(F.col(cost), F.lit(0)).cast("decimal(26,6)")
     return _by_ranges(df, key, order, exact, name).withColumn(name, (F.col(name) - exact).cast("decimal(32,6)"))
+
+
+def sums_before(df: DataFrame, key: list[str], order: list, cost: str, whole: int = 100_000) -> DataFrame:
+    """``spent_before`` as SQL adds doubles: ``spent_before`` (exact to a millionth) and ``added_before``, the doubles added one by one in
+    ``order``, which can miss the exact sum by its last digits; null costs are left out.
+
+    A key of at most ``whole`` rows that lies in several ranges goes to the first of them, so its doubles are added in one task. One
+    with more rows stays in its ranges; from the second on its ``added_before`` is the exact sum."""
+    exact = F.coalesce(F.col(cost), F.lit(0)).cast("decimal(26,6)")
+    ranges = written(df.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "places")
+    counts = ranges.groupBy(*key, "_range").agg(F.count("*").alias("_n")).groupBy(*key).agg(F.sum("_n").alias("_n"), F.min("_range").alias("_home"), F.max("_range").alias("_last"))
+    small = counts.where((F.col("_home") < F.col("_last")) & (F.col("_n") <= whole)).select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(key)), "_home", "_last")  # fewer than ranges
+    lies = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)), F.col("_range").between(F.col("_home"), F.col("_last")))
+    homed = ranges.join(F.broadcast(small), lies, "left").withColumn("_range", F.coalesce("_home", "_range")).select(*ranges.columns)
+    before = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = homed.withColumns({"spent_before": F.coalesce(F.sum(exact).over(before), F.lit(0)), "added_before": F.coalesce(F.sum(F.col(cost).cast("double")).over(before), F.lit(0.0))})
+    placed = placed.join(F.broadcast(_reach(homed, key, exact, F.sum)), _at_range(key), "left")
+    sum_ = (F.col("spent_before") + F.coalesce("_before", F.lit(0))).cast("decimal(32,6)")
+    return placed.withColumns({"spent_before": sum_, "added_before": F.when(F.col("_before").isNull(), F.col("added_before")).otherwise(sum_.cast("double"))}).drop("_range", "_at", "_before", *(f"_key{i}" for i in range(len(key))))

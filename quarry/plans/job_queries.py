@@ -207,7 +207,7 @@ SELECT engine, provider, model, arg_max(threads, rn) AS threads, arg_max(streak,
 
 
 def running_cost_cap(spark, sf):
-    kept = planning.running_cap(table(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "l_extendedprice", 100_000.0)
+    kept = planning.running_cap(table(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "l_extendedprice", 100_000.0)
     return kept.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count("*").alias("chunks_run"), F.round(F.sum("l_extendedprice"), 2).alias("spent"), (F.round(F.sum("l_extendedprice"), 2) > 100_000).alias("cost_capped"))
 
 

@@ -124,3 +124,15 @@ def test_drop_reports(spark):
         refused = records.drop_log(spark.createDataFrame([("a", 1, bad)], "log string, line_no long, line string"))
         with pytest.raises(Exception, match="record without page"):
             records.drop_audit(refused).collect()
+
+
+def test_caps_follow_the_order_of_doubles(spark, many_ranges):
+    """0.1 three times is more than 0.3 as doubles, in SQL too: what meets the cap exactly is decided by them, wherever ranges end."""
+    rows = [(j, k, c) for j in range(60) for k, c in enumerate([0.1, 0.1, 0.1, 5.0] if j % 2 else [0.2, 0.1, 5.0] if j % 3 else [0.1, None, 0.1, 0.05, 5.0])]
+    df = spark.createDataFrame(rows, "job long, seq long, cost double").repartition(7)
+    kept = {(r["job"], r["seq"]) for r in planning.running_cap(df, "job", ["seq"], "cost", 0.3).collect()}
+    so_far, want = {}, set()
+    for j, k, c in rows:
+        want |= {(j, k)} if so_far.get(j, 0.0) <= 0.3 else set()
+        so_far[j] = so_far.get(j, 0.0) + (c or 0.0)
+    assert kept == want and (1, 3) not in kept and (3, 3) not in kept and (0, 4) in kept
