@@ -108,13 +108,12 @@ def tokenize_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    stats = terms.statistics(terms.grams(terms.tokens(terms.segments(books(spark, sf)))))
+    stats = terms.counts(books(spark, sf)).where("n > 0")
     return stats.select("book", "n", "key", "surface", "cnt", "cap", F.col("first.doc_pos").alias("first_doc"))
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
-    segs = terms.segments(books(spark, sf))
-    return terms.kept(terms.statistics(terms.grams(terms.tokens(segs))), terms.floors(segs), _forms(spark))
+    return terms.kept(terms.counts(books(spark, sf)), _forms(spark))
 
 
 def term_absorption(spark: SparkSession, sf: str) -> DataFrame:

@@ -113,3 +113,15 @@ def test_ocr_warning(spark):
     jobs = spark.createDataFrame([(1, None, 3), (2, 0.6, 3), (3, 0.125, None)], "job_id long, confidence double, dropped int")
     r = {x["job_id"]: x["warning"] for x in quality.ocr_warning(jobs, 0.6).collect()}
     assert r[1] is None and r[2] is None and "(12%)" in r[3] and " 0 unreadable" in r[3]
+
+
+def test_ngrams_are_shuffled_and_sorted_once(spark):
+    """Surfaces and keys are added up after one shuffle and one sort; earlier documents win ties, whatever batch they come in."""
+    docs = spark.createDataFrame([("a", 7, "Sour Dough! sour dough"), ("a", 3, "x sour dough. SOUR"), ("a", 9, None), ("b", 1, "the"), ("b", 2, "Rye rye, Rye")], "book string, doc_pos long, text string").repartition(3)
+    counted = terms.counts(docs)
+    got = {(r["book"], r["n"], r["key"]): (r["surface"], r["cnt"], r["cap"], r["first"] and r["first"]["doc_pos"]) for r in counted.collect()}
+    assert got[("a", 0, "")][1] == 8 and got[("b", 0, "")][1] == 4
+    assert got[("a", 1, "sour")] == ("sour", 4, 0, 3) and got[("a", 2, "sour dough")] == ("sour dough", 3, 0, 3) and got[("b", 1, "rye")] == ("Rye", 3, 0, 2)
+    assert ("b", 1, "the") not in got and got[("a", 3, "x sour dough")] == ("x sour dough", 1, 0, 3)
+    plan = terms.counts(docs.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(key") == 1 and plan.count("ENSURE_REQUIREMENTS") == 0
