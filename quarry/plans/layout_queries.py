@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import html, lexicon, repair
 from quarry.functions import text as T
 from quarry.operators import control, layout, records
-from quarry.sources.shared import written
+from quarry.sources.shared import small_batches, written
 from quarry.sources.tables import table
 
 
@@ -111,6 +111,7 @@ def list_markers(spark, sf):
 
 
 def html_units(spark, sf):
+    small_batches(spark)
     return table(spark, sf, "pages").select("page_id", "html").mapInPandas(html.html_units, "page_id long, ordinal int, tag string, html string, text string")
 
 

@@ -54,6 +54,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts and files go to Python in batches of 4 MB at most (one row at least), so a worker's memory doesn't follow the rows' number."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 _shipped: set[str] = set()
 
 

@@ -150,3 +150,13 @@ def test_translations_that_were_suggested(spark):
     raw = 'Sure: {"PAN": "1", "pan": "2", "Oven": "3", "OVEN": "4"}'
     got = glossary.suggested(terms, spark.createDataFrame([("b", 0, raw, 0.2), ("c", 0, "{}", 9.0)], "book string, batch long, raw string, cost double"), ["book"])
     assert {r["term"]: (r["batch"], r["translation"], r["cost_usd"]) for r in got.collect()} == {"Pan": (0, "1", 0.05), "pan": (0, "2", 0.05), "oven": (0, "3", 0.05), "gone": (0, None, 0.05), "late": (1, None, None)}
+
+
+def test_units_of_many_pages_come_in_parts(monkeypatch):
+    """A frame of pages does not become one frame of all their units."""
+    import pandas as pd
+
+    monkeypatch.setattr(html, "CHARS", 100)
+    frame = pd.DataFrame({"page_id": range(50), "html": ["<p>some words here</p><p>and some more</p>"] * 49 + [None]})
+    parts = list(html.html_units(iter([frame])))
+    assert max(map(len, parts)) < 10 and [tuple(r) for p in parts for r in p[["page_id", "ordinal"]].itertuples(index=False)] == [(i, k) for i in range(49) for k in range(2)]
