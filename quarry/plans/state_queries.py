@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.operators import layout, planning
 from quarry.plans import glossary_queries, job_queries, layout_queries, text_queries
 from quarry.sources import books, epub, sinks
-from quarry.sources.shared import scratch, until_end
+from quarry.sources.shared import scratch, small_batches, until_end
 from quarry.sources.tables import table
 
 
@@ -125,6 +125,7 @@ def _archives(spark, sf):
         chapters = [(f"d{i}.xhtml", "<html><body>" + "".join(f"<p>{escape(x, quote=False)}</p>" for x in t.split("\n")) + "</body></html>") for i, t in zip(book.doc_id, book.text)]
         return pd.DataFrame({"path": [f"{book.source.iloc[0]}/{book.volume.iloc[0]}"], "content": [epub.build(chapters)]})
 
+    small_batches(spark)
     d = table(spark, sf, "documents").select("doc_id", "source", "text", F.floor(F.col("doc_id") / 64).alias("volume"))
     return d.groupBy("source", "volume").applyInPandas(pack, "path string, content binary")
 

@@ -160,3 +160,14 @@ def test_units_of_many_pages_come_in_parts(monkeypatch):
     frame = pd.DataFrame({"page_id": range(50), "html": ["<p>some words here</p><p>and some more</p>"] * 49 + [None]})
     parts = list(html.html_units(iter([frame])))
     assert max(map(len, parts)) < 10 and [tuple(r) for p in parts for r in p[["page_id", "ordinal"]].itertuples(index=False)] == [(i, k) for i in range(49) for k in range(2)]
+
+
+def test_archives_go_to_python_in_small_batches(spark, tmp_path):
+    """A batch of volumes is bounded by bytes, not by ten thousand files."""
+    from quarry.plans import state_queries
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    spark.createDataFrame([(1, "a", "x y\nz"), (2, "a", "w")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["text"] for r in state_queries.epub_units(spark, str(tmp_path)).collect()) == ["w", "x y", "z"]
+    assert int(spark.conf.get(key)) <= 4 << 20
