@@ -113,7 +113,7 @@ def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
-    return terms.kept(terms.counts(books(spark, sf)), _forms(spark))
+    return terms.kept(terms.frequent(books(spark, sf), _forms(spark)), _forms(spark))
 
 
 def term_absorption(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,24 @@ def test_ngrams_are_shuffled_and_sorted_once(spark):
     assert ("b", 1, "the") not in got and got[("a", 3, "x sour dough")] == ("x sour dough", 1, 0, 3)
     plan = terms.counts(docs.coalesce(1))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(key") == 1 and plan.count("ENSURE_REQUIREMENTS") == 0
+
+
+def counted_here(pages, least=1, known=frozenset()):
+    blocks = pa.Table.from_batches(list(terms._counted(True, known)(iter([pa.RecordBatch.from_pylist(pages)])))).sort_by("key")
+    return sorted((tuple(r.values()) for b in terms._met(least)(iter(blocks.to_batches())) for r in b.to_pylist()), key=repr)
+
+
+def test_rare_ngrams_go_early_and_hashes_that_meet_stay_apart(spark, monkeypatch):
+    """Rare n-grams but known ones are left out, whatever the size of batches and parts, and keys of one hash are told apart."""
+    pages = [{"book": b, "doc_pos": d, "text": t} for b, d, t in [("a", 7, "Sour Dough! sour dough, rye"), ("a", 3, "x sour dough. SOUR " + "oat. " * 9), (None, 9, "rye. rye"), ("b", None, "Rye; spelt rye. ..."), ("c", 1, "...")]]
+    every = counted_here(pages)
+    assert ("b", 2, "spelt rye", "spelt rye", 1, 0, None, 1) in every and (None, 1, "rye", "rye", 2, 0, 9, 0) in every and ("a", 0, "", "", 18, 0, None, None) in every
+    strong = counted_here(pages, 2, frozenset(["spelt rye"]))
+    assert strong == [r for r in every if r[4] >= 2 or r[2] in ("", "spelt rye")] and len(strong) < len(every)
+    monkeypatch.setattr(terms, "WORDS", 3)
+    monkeypatch.setattr(terms, "ROWS", 1)
+    assert counted_here(pages) == every
+    monkeypatch.setattr(terms, "_hashes", lambda values: np.zeros(len(values), np.uint64))
+    assert counted_here(pages) == every and counted_here(pages, 2, frozenset(["spelt rye"])) == strong
+    docs = spark.createDataFrame([(p["book"], p["doc_pos"], p["text"]) for p in pages], "book string, doc_pos long, text string")
+    assert {r["key"] for r in terms.frequent(docs, spark.createDataFrame([("spelt rye",)], "form string")).collect()} == {"", "sour", "dough", "sour dough", "oat", "rye", "spelt rye"}
