@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.operators import layout, planning
 from quarry.plans import glossary_queries, job_queries, layout_queries, text_queries
 from quarry.sources import books, epub, sinks
-from quarry.sources.shared import scratch, small_batches, until_end
+from quarry.sources.shared import scratch, small_batches, until_end, written
 from quarry.sources.tables import table
 
 
@@ -120,14 +120,13 @@ def _archives(spark, sf):
 
     A file is one value, so a book of very many documents must be many files; ``_book`` gives the book of a volume's path."""
 
-    def pack(book: pd.DataFrame) -> pd.DataFrame:
-        book = book.sort_values("doc_id")
+    def pack(book: pd.DataFrame) -> tuple[str, bytes]:
         chapters = [(f"d{i}.xhtml", "<html><body>" + "".join(f"<p>{escape(x, quote=False)}</p>" for x in t.split("\n")) + "</body></html>") for i, t in zip(book.doc_id, book.text)]
-        return pd.DataFrame({"path": [f"{book.source.iloc[0]}/{book.volume.iloc[0]}"], "content": [epub.build(chapters)]})
+        return f"{book.source.iloc[0]}/{book.volume.iloc[0]}", epub.build(chapters)
 
     small_batches(spark)
     d = table(spark, sf, "documents").select("doc_id", "source", "text", F.floor(F.col("doc_id") / 64).alias("volume"))
-    return d.groupBy("source", "volume").applyInPandas(pack, "path string, content binary")
+    return epub.volumes(d, ["source", "volume"], "doc_id", pack)
 
 
 def _book(path: str = "path"):
@@ -141,7 +140,7 @@ def epub_units(spark, sf):
 
 def epub_translate(spark, sf):
     """Units of every second document rewritten in the archives and read again."""
-    files = _archives(spark, sf)
+    files = written(_archives(spark, sf), "volumes")
     units = epub.read_units(files).where("error is null")
     done = units.where(F.regexp_extract("doc_href", "d(\\d+)", 1).cast("long") % 2 == 0).select("path", F.concat("doc_href", F.lit("#"), F.col("ordinal").cast("string")).alias("unit_id"), F.lit("<b>neu</b> & gut").alias("html"))
     again = epub.read_units(epub.rewrite_all(files, done))
@@ -151,19 +150,19 @@ def epub_translate(spark, sf):
 def _illustrated(spark, sf):
     """Volumes whose documents each show one image; the same name has other content in other documents, and the same content other names."""
 
-    def pack(book: pd.DataFrame) -> pd.DataFrame:
-        book = book.sort_values("doc_id")
+    def pack(book: pd.DataFrame) -> tuple[str, bytes]:
         chapters = [(f"t/d{i}.xhtml", f'<html><body><p><img src="../i{i % 5}/p{i % 7}.jpg" alt="{i}"/> ' + "</p><p>".join(escape(x, quote=False) for x in t.split("\n")) + "</p></body></html>") for i, t in zip(book.doc_id, book.text)]
         images = {f"i{i % 5}/p{i % 7}.jpg": f"{i % 5 % 3}-{i % 7}".encode() for i in book.doc_id}
-        return pd.DataFrame({"path": [f"{book.source.iloc[0]}/{book.volume.iloc[0]:09d}"], "content": [epub.build(chapters, "book", images)]})
+        return f"{book.source.iloc[0]}/{book.volume.iloc[0]:09d}", epub.build(chapters, "book", images)
 
+    small_batches(spark)
     d = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("doc_id") / 64).alias("volume"))
-    return d.groupBy("source", "volume").applyInPandas(pack, "path string, content binary")
+    return epub.volumes(d, ["source", "volume"], "doc_id", pack)
 
 
 def book_markdown(spark, sf):
     """Books of illustrated volumes exported document by document: what each document shows, and how long it is without its image."""
-    docs, _ = epub.export_markdown(_illustrated(spark, sf), _book())
+    docs, _ = epub.export_markdown(written(_illustrated(spark, sf), "volumes"), _book())
     first = F.regexp_extract("markdown", r"^!\[(\d+)\]\(images/([^)]*)\)", 1).cast("long")
     shows = F.regexp_extract("markdown", r"^!\[(\d+)\]\(images/([^)]*)\)", 2)
     rest = F.regexp_replace("markdown", r"^!\[\d+\]\([^)]*\)\s*", "")
@@ -173,7 +172,7 @@ def book_markdown(spark, sf):
 def committed_epubs(spark, sf):
     """The same rewritten archives as files: written under temporary names, checked, renamed, and read by the reader of EPUBs."""
     books.register(spark)
-    files = _archives(spark, sf)
+    files = written(_archives(spark, sf), "volumes")
     units = epub.read_units(files).where("error is null")
     done = units.where(F.regexp_extract("doc_href", "d(\\d+)", 1).cast("long") % 2 == 0).select("path", F.concat("doc_href", F.lit("#"), F.col("ordinal").cast("string")).alias("unit_id"), F.lit("<b>neu</b> & gut").alias("html"))
     folder = scratch(spark, "epubs")

@@ -9,7 +9,7 @@ import hashlib
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -28,6 +28,44 @@ _NS = {"c": "urn:oasis:names:tc:opendocument:xmlns:container", "o": "http://www.
 UNITS = "path string, error string, doc_pos int, doc_href string, ordinal int, tag string, html string, text string"
 
 
+#: Characters or bytes of rows that are handed on at once, and rows.
+SIZE, ROWS = 4 << 20, 5000
+
+
+def _frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of some size: neither one a row, nor one of all."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += sum(len(c) for c in row if isinstance(c, (str, bytes)))
+        if size >= SIZE or len(some) >= ROWS:
+            yield pd.DataFrame(some, columns=names)
+            some, size = [], 0
+    if some:
+        yield pd.DataFrame(some, columns=names)
+
+
+def volumes(docs: DataFrame, key: list[str], order: str, pack: Callable[[pd.DataFrame], tuple[str, bytes]]) -> DataFrame:
+    """Rows of each key, in order, packed to one archive (path, content). Rows come sorted, so a task holds the rows of one key and batch, and many
+    small keys cost no more than their rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def packed() -> Iterator[tuple]:
+            held = []
+            for frame in frames:
+                for _, group in frame.groupby(key, sort=False, dropna=False):
+                    if held and not all(a == b or pd.isna(a) and pd.isna(b) for a, b in zip(held[0][key].iloc[0], group[key].iloc[0])):
+                        yield pack(pd.concat(held) if len(held) > 1 else held[0])
+                        held = []
+                    held.append(group)
+            if held:
+                yield pack(pd.concat(held) if len(held) > 1 else held[0])
+
+        yield from _frames(packed(), ["path", "content"])
+
+    return docs.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, "path string, content binary")
+
+
 class EpubError(ValueError):
     """A file that can't be read: what is wrong is the message."""
 
@@ -91,9 +129,9 @@ def unit_rows(path: str, content: bytes) -> Iterator[tuple]:
 
 def _units(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in UNITS.split(", ")]
-    for frame in frames:
-        for path, content in zip(frame.path, frame.content):
-            yield pd.DataFrame(list(unit_rows(path, content)), columns=names).astype({"doc_pos": "Int32", "ordinal": "Int32"})
+    rows = (r for frame in frames for path, content in zip(frame.path, frame.content) for r in unit_rows(path, content))
+    for frame in _frames(rows, names):
+        yield frame.astype({"doc_pos": "Int32", "ordinal": "Int32"})
 
 
 def read_units(files: DataFrame) -> DataFrame:
@@ -197,18 +235,18 @@ IMAGES = "path string, image string, sha256 string, content binary"
 def read_documents(files: DataFrame) -> DataFrame:
     """(path, content) to documents in reading order, each with the paths of the images that it shows; files that can't be read give none."""
 
+    def documents(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            archive = opened(content)
+            hrefs = spine(archive)[1]
+        except EpubError:
+            return
+        for pos, href in enumerate(hrefs):
+            html = _document(archive, href)
+            yield path, pos, href, html, sorted({H.resolve(href, s) for s in H.image_sources(html, H.parse_xhtml)})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame.path, frame.content):
-                try:
-                    archive = opened(content)
-                    hrefs = spine(archive)[1]
-                except EpubError:
-                    continue
-                for pos, href in enumerate(hrefs):
-                    html = _document(archive, href)
-                    sources = sorted({H.resolve(href, s) for s in H.image_sources(html, H.parse_xhtml)})
-                    yield pd.DataFrame({"path": [path], "doc_pos": [pos], "doc_href": [href], "html": [html], "sources": [sources]})
+        return _frames((r for frame in frames for path, content in zip(frame.path, frame.content) for r in documents(path, content)), [c.split()[0] for c in DOCUMENTS.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, DOCUMENTS)
 
@@ -216,16 +254,17 @@ def read_documents(files: DataFrame) -> DataFrame:
 def read_images(files: DataFrame) -> DataFrame:
     """(path, content) to the images that the archives hold, by the names that images have."""
 
+    def images(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            archive = opened(content)
+        except EpubError:
+            return
+        for name in sorted(n for n in archive.namelist() if n.lower().endswith(PICTURES)):
+            data = archive.read(name)
+            yield path, name, hashlib.sha256(data).hexdigest(), data
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame.path, frame.content):
-                try:
-                    archive = opened(content)
-                except EpubError:
-                    continue
-                for name in sorted(n for n in archive.namelist() if n.lower().endswith(PICTURES)):
-                    data = archive.read(name)
-                    yield pd.DataFrame({"path": [path], "image": [name], "sha256": [hashlib.sha256(data).hexdigest()], "content": [data]})
+        return _frames((r for frame in frames for path, content in zip(frame.path, frame.content) for r in images(path, content)), [c.split()[0] for c in IMAGES.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, IMAGES)
 
@@ -248,7 +287,7 @@ def export_markdown(files: DataFrame, book: Column) -> tuple[DataFrame, DataFram
 
     Documents are rows of their own, so neither a book nor a volume is put together; their order is (path, doc_pos). Images are
     named over all volumes of a book, each content once under a name (``image_names``), and documents refer to them below images/; what isn't in the archive keeps its source."""
-    images = written(image_names(read_images(files).select(book.alias("book"), "*")), "images")
+    images = written(image_names(written(read_images(files), "pictures").select(book.alias("book"), "*")), "images")  # archives are opened once for them
     docs = written(read_documents(files), "documents")
     shown = docs.select("path", "doc_pos", F.explode("sources").alias("image")).join(images.select("path", "image", "name"), ["path", "image"])
     names = shown.groupBy("path", "doc_pos").agg(F.map_from_entries(F.collect_list(F.struct("image", "name"))).alias("names"))
@@ -270,7 +309,7 @@ def build(documents: list[tuple[str, str]], title: str = "book", images: dict[st
     out = io.BytesIO()
     items = "".join(f'<item id="d{i}" href="{h}" media-type="application/xhtml+xml"/>' for i, (h, _) in enumerate(documents))
     refs = "".join(f'<itemref idref="d{i}"/>' for i in range(len(documents)))
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
         z.writestr(zipfile.ZipInfo("mimetype"), MIME, zipfile.ZIP_STORED)
         z.writestr("META-INF/container.xml", f'<container xmlns="{_NS["c"]}" version="1.0"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
         z.writestr("OEBPS/content.opf", f'<package xmlns="{_NS["o"]}" version="2.0"><metadata><title>{title}</title></metadata><manifest>{items}</manifest><spine>{refs}</spine></package>')

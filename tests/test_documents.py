@@ -171,3 +171,24 @@ def test_archives_go_to_python_in_small_batches(spark, tmp_path):
     spark.createDataFrame([(1, "a", "x y\nz"), (2, "a", "w")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["text"] for r in state_queries.epub_units(spark, str(tmp_path)).collect()) == ["w", "x y", "z"]
     assert int(spark.conf.get(key)) <= 4 << 20
+
+
+def test_archives_are_packed_once_and_over_batches(spark, tmp_path):
+    """Volumes whose rows lie in several batches are whole, rows of archives come together, and archives that are read twice are built once."""
+    import pandas as pd
+
+    from quarry.plans import state_queries
+    from quarry.sources import epub
+    from quarry.sources.shared import setting
+
+    rows = [(k, v, i) for i in range(10) for k, v in (("a", 0), ("a", 1), (None, 0))]
+    docs = spark.createDataFrame(rows, "k string, v long, i long").repartition(3)
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "4"):
+        packed = epub.volumes(docs, ["k", "v"], "i", lambda g: (f"{g.k.iloc[0]}/{g.v.iloc[0]}", ",".join(map(str, g.i)).encode())).collect()
+    assert sorted(r["path"] for r in packed) == ["None/0", "a/0", "a/1"] and {bytes(r["content"]) for r in packed} == {b"0,1,2,3,4,5,6,7,8,9"}
+    content = epub.build([(f"d{i}.xhtml", "<html><body><p>one</p><p>two</p></body></html>") for i in range(20)])
+    assert [len(f) for f in epub._units(iter([pd.DataFrame({"path": ["x", "y"], "content": [content, content]})]))] == [80]
+    assert [len(f) for f in epub._frames(((i, "x" * (1 << 20)) for i in range(9)), ["i", "t"])] == [4, 4, 1]
+    spark.createDataFrame([(1, "a", "x y\nz"), (2, "a", "w")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (state_queries.epub_translate, state_queries.book_markdown):
+        assert not any("documents.parquet" in f for f in query(spark, str(tmp_path)).inputFiles())
