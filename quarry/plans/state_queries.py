@@ -120,9 +120,9 @@ def _archives(spark, sf):
 
     A file is one value, so a book of very many documents must be many files; ``_book`` gives the book of a volume's path."""
 
-    def pack(book: pd.DataFrame) -> tuple[str, bytes]:
-        chapters = [(f"d{i}.xhtml", "<html><body>" + "".join(f"<p>{escape(x, quote=False)}</p>" for x in t.split("\n")) + "</body></html>") for i, t in zip(book.doc_id, book.text)]
-        return f"{book.source.iloc[0]}/{book.volume.iloc[0]}", epub.build(chapters)
+    def pack(docs: list[dict]) -> tuple[str, bytes]:
+        chapters = [(f"d{i}.xhtml", "<html><body>" + "".join(f"<p>{escape(x, quote=False)}</p>" for x in t.split("\n")) + "</body></html>") for i, t in ((d["doc_id"], d["text"]) for d in docs)]
+        return f"{docs[0]['source']}/{docs[0]['volume']}", epub.build(chapters)
 
     small_batches(spark)
     d = table(spark, sf, "documents").select("doc_id", "source", "text", F.floor(F.col("doc_id") / 64).alias("volume"))
@@ -150,10 +150,10 @@ def epub_translate(spark, sf):
 def _illustrated(spark, sf):
     """Volumes whose documents each show one image; the same name has other content in other documents, and the same content other names."""
 
-    def pack(book: pd.DataFrame) -> tuple[str, bytes]:
-        chapters = [(f"t/d{i}.xhtml", f'<html><body><p><img src="../i{i % 5}/p{i % 7}.jpg" alt="{i}"/> ' + "</p><p>".join(escape(x, quote=False) for x in t.split("\n")) + "</p></body></html>") for i, t in zip(book.doc_id, book.text)]
-        images = {f"i{i % 5}/p{i % 7}.jpg": f"{i % 5 % 3}-{i % 7}".encode() for i in book.doc_id}
-        return f"{book.source.iloc[0]}/{book.volume.iloc[0]:09d}", epub.build(chapters, "book", images)
+    def pack(docs: list[dict]) -> tuple[str, bytes]:
+        chapters = [(f"t/d{i}.xhtml", f'<html><body><p><img src="../i{i % 5}/p{i % 7}.jpg" alt="{i}"/> ' + "</p><p>".join(escape(x, quote=False) for x in t.split("\n")) + "</p></body></html>") for i, t in ((d["doc_id"], d["text"]) for d in docs)]
+        images = {f"i{i % 5}/p{i % 7}.jpg": f"{i % 5 % 3}-{i % 7}".encode() for i in (d["doc_id"] for d in docs)}
+        return f"{docs[0]['source']}/{docs[0]['volume']:09d}", epub.build(chapters, "book", images)
 
     small_batches(spark)
     d = table(spark, sf, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), F.floor(F.col("doc_id") / 64).alias("volume"))

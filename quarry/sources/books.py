@@ -31,8 +31,8 @@ from pyspark.sql.types import StructType
 from quarry.functions import html as H
 from quarry.sources import epub, sinks, xlsx
 
-#: Bytes of small files that one task reads.
-TASK_BYTES = 64 << 20
+#: Bytes of small files that one task reads; parsing, not reading, takes the time.
+TASK_BYTES = 8 << 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:

@@ -10,10 +10,12 @@ import io
 import posixpath
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,25 +47,17 @@ def _frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(some, columns=names)
 
 
-def volumes(docs: DataFrame, key: list[str], order: str, pack: Callable[[pd.DataFrame], tuple[str, bytes]]) -> DataFrame:
+def volumes(docs: DataFrame, key: list[str], order: str, pack: Callable[[list[dict]], tuple[str, bytes]]) -> DataFrame:
     """Rows of each key, in order, packed to one archive (path, content). Rows come sorted, so a task holds the rows of one key and batch, and many
     small keys cost no more than their rows."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def packed() -> Iterator[tuple]:
-            held = []
-            for frame in frames:
-                for _, group in frame.groupby(key, sort=False, dropna=False):
-                    if held and not all(a == b or pd.isna(a) and pd.isna(b) for a, b in zip(held[0][key].iloc[0], group[key].iloc[0])):
-                        yield pack(pd.concat(held) if len(held) > 1 else held[0])
-                        held = []
-                    held.append(group)
-            if held:
-                yield pack(pd.concat(held) if len(held) > 1 else held[0])
-
-        yield from _frames(packed(), ["path", "content"])
-
-    return docs.repartition(*key).sortWithinPartitions(*key, order).mapInPandas(run, "path string, content binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        packed = (pack(list(group)) for _, group in groupby(rows, lambda r: [r[k] for k in key]))
+        for frame in _frames(packed, ["path", "content"]):
+            yield pa.RecordBatch.from_arrays([pa.array(frame.path, pa.string()), pa.array(frame.content, pa.binary())], names=["path", "content"])
+
+    return docs.repartition(*key).sortWithinPartitions(*key, order).mapInArrow(run, "path string, content binary")
 
 
 class EpubError(ValueError):

@@ -184,7 +184,7 @@ def test_archives_are_packed_once_and_over_batches(spark, tmp_path):
     rows = [(k, v, i) for i in range(10) for k, v in (("a", 0), ("a", 1), (None, 0))]
     docs = spark.createDataFrame(rows, "k string, v long, i long").repartition(3)
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "4"):
-        packed = epub.volumes(docs, ["k", "v"], "i", lambda g: (f"{g.k.iloc[0]}/{g.v.iloc[0]}", ",".join(map(str, g.i)).encode())).collect()
+        packed = epub.volumes(docs, ["k", "v"], "i", lambda g: (f"{g[0]['k']}/{g[0]['v']}", ",".join(str(r["i"]) for r in g).encode())).collect()
     assert sorted(r["path"] for r in packed) == ["None/0", "a/0", "a/1"] and {bytes(r["content"]) for r in packed} == {b"0,1,2,3,4,5,6,7,8,9"}
     content = epub.build([(f"d{i}.xhtml", "<html><body><p>one</p><p>two</p></body></html>") for i in range(20)])
     assert [len(f) for f in epub._units(iter([pd.DataFrame({"path": ["x", "y"], "content": [content, content]})]))] == [80]
