@@ -20,13 +20,13 @@ def stream_aimd_threads(spark, sf):
     return last.select(F.col("key").alias("user_id"), "s.threads", "s.streak", "s.observations")
 
 
-def _runs(spark, parts, make, sink, mode):
+def _runs(spark, parts, make, sink, mode, state_parts=None):
     """Start a stream again and again on one checkpoint, with more files each time."""
     folder, checkpoint = scratch(spark, "stream-in"), scratch(spark, "stream-state")
     for part in parts:
         part.write.mode("append").parquet(folder)
         live = spark.readStream.schema(part.schema).parquet(folder)
-        stateful.start(make(live), sink, checkpoint, mode).awaitTermination()
+        stateful.start(make(live), sink, checkpoint, mode, state_parts).awaitTermination()
     until_end(spark, folder)
     until_end(spark, checkpoint)
 
@@ -44,7 +44,7 @@ def stream_provider_threads(spark, sf):
     half = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
     closing = log.limit(1).select(F.lit("plain").alias("engine"), F.lit("openai").alias("provider"), F.lit("none").alias("model"), F.lit("2200-01-01").cast("timestamp_ntz").alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("outcome"))
     make = lambda live: stateful.thread_counts(live.withColumn("floor", control.thread_floor(F.col("engine"), F.col("provider"))))
-    _runs(spark, [log.where(half), log.where(~half), closing], make, stateful.log_sink(f"{out}/log"), "update")
+    _runs(spark, [log.where(half), log.where(~half), closing], make, stateful.log_sink(f"{out}/log"), "update", min(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # keys are few
     log = stateful.read_log(spark, f"{out}/log", stateful.THREADS)
     last = log.groupBy("engine", "provider", "model").agg(F.max_by(F.struct("threads", "streak", "observations"), "observations").alias("s"))
     return last.select("engine", "provider", "model", "s.*")
