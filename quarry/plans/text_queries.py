@@ -150,7 +150,7 @@ def term_specificity(spark: SparkSession, sf: str) -> DataFrame:
 
 def term_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """New candidates replace pending ones; terms that a user decided on (here: a third of one-word terms) stay as they are."""
-    found = term_candidates(spark, sf).select("book", F.col("match_key").alias("term"), "occurrences")
+    found = written(term_candidates(spark, sf).select("book", F.col("match_key").alias("term"), "occurrences"), "found")  # read three times
     decided = found.where(F.crc32(F.col("term").cast("binary")) % 3 == 0).where(~F.contains("term", F.lit(" "))).select("book", "term", F.lit("dismissed").alias("status"), F.lit(0).cast("long").alias("occurrences"))
     fresh = found.join(decided, ["book", "term"], "left_anti").select("book", "term", F.lit("pending").alias("status"), "occurrences")
     return decided.unionByName(fresh)

@@ -1,6 +1,7 @@
 """Queries do the whole job: whole tables, whole texts, every page and every count."""
 
 import json
+import zlib
 from datetime import datetime
 
 import pandas as pd
@@ -84,6 +85,16 @@ def test_terms_are_folded(spark, tmp_path):
     assert {r["doc_pos"]: r["tokens"] for r in plans.QUERIES["tokenize_segments"](spark, sf).collect()} == {0: 7, 1: 7, 2: 3}
 
 
+def test_terms_are_ranked_once_for_a_refresh(spark, tmp_path):
+    sf = put(tmp_path, "documents", [(k, "s", "en", "amber basin; Amber; crane") for k in range(3)], ["doc_id", "source", "lang", "text"])
+    found = {r["match_key"]: r["occurrences"] for r in plans.QUERIES["term_candidates"](spark, sf).collect()}
+    out = plans.QUERIES["term_refresh"](spark, sf)
+    assert out.inputFiles() and all("/found-" in f for f in out.inputFiles())  # not what candidates are ranked from
+    got = {r["term"]: (r["status"], r["occurrences"]) for r in out.collect()}
+    decided = {t for t in found if " " not in t and zlib.crc32(t.encode()) % 3 == 0}
+    assert {"amber basin", "amber", "crane"} == set(found) and got == {t: ("dismissed", 0) if t in decided else ("pending", n) for t, n in found.items()}
+
+
 def test_prompt_variants_and_payloads(spark):
     import json
 
