@@ -124,12 +124,17 @@ def term_noise_flags(spark: SparkSession, sf: str) -> DataFrame:
     return terms.flagged(_kept(spark, sf)).select("book", "n", "key", F.concat_ws(",", "flags").alias("noise_flags"))
 
 
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    return terms.merged(terms.flagged(_kept(spark, sf)))
+
+
 def term_plural_merge(spark: SparkSession, sf: str) -> DataFrame:
-    return terms.merged(terms.flagged(_kept(spark, sf))).select("book", "n", "key", "surface", "cnt", F.concat_ws(",", "flags").alias("noise_flags"))
+    return _merged(spark, sf).select("book", "n", "key", "surface", "cnt", F.concat_ws(",", "flags").alias("noise_flags"))
 
 
 def term_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return terms.mine(books(spark, sf), _forms(spark))
+    """The 20,000 best of each book, as the SQL has it."""
+    return terms.mine(books(spark, sf), _forms(spark), cap=20_000)
 
 
 def term_rank_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,8 +154,8 @@ def term_specificity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    """New candidates replace pending ones; terms that a user decided on (here: a third of one-word terms) stay as they are."""
-    found = written(term_candidates(spark, sf).select("book", F.col("match_key").alias("term"), "occurrences"), "found")  # read three times
+    """New candidates, all of them and so unranked, replace pending ones; terms that a user decided on (here: a third of one-word terms) stay as they are."""
+    found = written(_merged(spark, sf).select("book", F.col("key").alias("term"), F.col("cnt").alias("occurrences")), "found")  # read three times
     decided = found.where(F.crc32(F.col("term").cast("binary")) % 3 == 0).where(~F.contains("term", F.lit(" "))).select("book", "term", F.lit("dismissed").alias("status"), F.lit(0).cast("long").alias("occurrences"))
     fresh = found.join(decided, ["book", "term"], "left_anti").select("book", "term", F.lit("pending").alias("status"), "occurrences")
     return decided.unionByName(fresh)

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from quarry import plans
+from quarry.operators import terms
 
 
 def put(folder, name, rows, columns):
@@ -95,6 +96,19 @@ def test_terms_are_ranked_once_for_a_refresh(spark, tmp_path):
     assert {"amber basin", "amber", "crane"} == set(found) and got == {t: ("dismissed", 0) if t in decided else ("pending", n) for t, n in found.items()}
 
 
+def test_a_refresh_has_every_candidate(spark, tmp_path):
+    words = ["q" + "".join("abcdefghijkmnoprtuvz"[i // 20**k % 20] for k in range(4)) for i in range(20_003)]
+    sf = put(tmp_path, "documents", [(k, "s", "en", "; ".join(words)) for k in range(2)], ["doc_id", "source", "lang", "text"])
+    got = {r["term"]: (r["status"], r["occurrences"]) for r in plans.QUERIES["term_refresh"](spark, sf).collect()}
+    assert got == {w: ("dismissed", 0) if zlib.crc32(w.encode()) % 3 == 0 else ("pending", 2) for w in words}
+
+
+def test_ranks_have_every_candidate_unless_capped(spark):
+    few = spark.createDataFrame([("b", 1, f"w{k}", f"w{k}", k + 1, []) for k in range(20_003)], "book string, n int, key string, surface string, cnt long, flags array<string>")
+    assert terms.ranked(few).agg(F.count("*"), F.max("place")).collect() == [(20_003, 20_003)]
+    assert sorted((r["match_key"], r["place"]) for r in terms.ranked(few, 2).collect()) == [("w20001", 2), ("w20002", 1)]
+
+
 def test_prompt_variants_and_payloads(spark):
     import json
 
